@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -107,3 +107,24 @@ def with_columns_mapped(
 def text_of(column: str = "text") -> F.Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def with_running_sum(df: DataFrame, keys: list[str], order: list, value: Column | str, bucket: Column, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of equal ``keys`` before a row, by (bucket, order).
+
+    ``bucket`` is an integer of bounded range.  Sums are accumulated over
+    (keys, bucket) first and inside each then, so no task orders all rows of a
+    key.  ``df`` is read twice and should be a staged table.
+    """
+    df = df.withColumn("__b", bucket)
+    value = F.expr(value) if isinstance(value, str) else value
+    parts = df.groupBy(*keys, "__b").agg(F.sum(value).alias("__w"))
+    before = F.sum("__w").over(Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*(F.col(k).alias(f"__k_{k}") for k in keys), F.col("__b").alias("__p"), F.coalesce(before, F.lit(0)).alias("__before"))
+    inner = F.sum(value).over(Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    on = F.col("__b") == F.col("__p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    total = F.col("__before") + F.coalesce(F.col("__inner"), F.lit(0))
+    joined = df.withColumn("__inner", inner).join(parts, on).withColumn(name, total)
+    return joined.drop("__b", "__p", "__before", "__inner", *(f"__k_{k}" for k in keys))
