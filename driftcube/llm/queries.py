@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftcube.llm import bpe, chat, mixing, secrets, sharding, simhash, token_counts, topk, winnowing
+from driftcube.llm import bpe, chat, kneser_ney, mixing, secrets, sharding, simhash, token_counts, topk, winnowing
 from driftcube.llm.common import prepare, text_of
 
 
@@ -79,6 +79,12 @@ def op8_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
+    model = kneser_ney.Classifier(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return model.judged(docs).select("doc_id", "lang", "length", "perplexity", "deviation", "threshold", "keep")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents(spark, sf_dir).select("doc_id", text_of().alias("text"))
     counted = token_counts.count_tokens(texts, public_tokenizers.path("piece_bpe_32k.model"))
@@ -97,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_capped_mixing": op6_capped_mixing,
         "op7_prefix_targets": op7_prefix_targets,
         "op8_histogram_topk": op8_histogram_topk,
+        "op9_kneser_ney_quality": op9_kneser_ney_quality,
         "op10_token_counts": op10_token_counts,
     }
 
