@@ -49,7 +49,7 @@ def cube_mart(spark, sf_dir):
 
 
 def ratio_metrics(spark, sf_dir):
-    return _round(analysis(spark, sf_dir).history.select("segment_id", "cal_date", "aov", "tpm", "freq"), 6, "aov", "tpm", "freq")
+    return analysis(spark, sf_dir).history.select("segment_id", "cal_date", "aov", "tpm", "freq")
 
 
 def segment_keys(spark, sf_dir):
@@ -62,7 +62,7 @@ def parse_segment_key(spark, sf_dir):
 
 
 def week_grid(spark, sf_dir):
-    return _round(analysis(spark, sf_dir).panel.select("segment_id", "cal_date", "gmv", "tx", "au", "am", "aov", "row_missing_in_source"), 6, "aov")
+    return analysis(spark, sf_dir).panel.select("segment_id", "cal_date", "gmv", "tx", "au", "am", "aov", "row_missing_in_source")
 
 
 def missing_zero_report(spark, sf_dir):
@@ -86,7 +86,7 @@ def metric_wow(spark, sf_dir):
 
 def materiality(spark, sf_dir):
     rows = analysis(spark, sf_dir).candidates.select("segment_id", "wow_delta_gmv", "gross_atomic_movement", "materiality_share")
-    return _round(_round(rows, 2, "wow_delta_gmv", "gross_atomic_movement"), 8, "materiality_share")
+    return _round(_round(rows, 4, "wow_delta_gmv", "gross_atomic_movement"), 8, "materiality_share")
 
 
 def initial_filter(spark, sf_dir):
@@ -105,7 +105,7 @@ def atomic_coverage(spark, sf_dir):
 def reconciliation(spark, sf_dir):
     a = analysis(spark, sf_dir)
     rows = cov.reconciliation(a.panel, a.coverage)
-    return rows.select("segment_id", "cal_date", F.round("gmv", 2).alias("gmv"), (F.col("error") <= 1e-4).alias("reconciled"))
+    return rows.select("segment_id", "cal_date", F.round("gmv", 4).alias("gmv"), (F.col("error") <= 1e-4).alias("reconciled"))
 
 
 def descendants(spark, sf_dir):
@@ -140,7 +140,7 @@ def decision_log(spark, sf_dir):
 def history_selected(spark, sf_dir):
     a = analysis(spark, sf_dir)
     rows = reports.history_for_selected(a.panel, a.final)
-    return _round(_round(rows, 2, "gmv", "total_gmv"), 8, "share_in_total", "share_delta")
+    return _round(_round(rows, 4, "gmv", "total_gmv"), 8, "share_in_total", "share_delta")
 
 
 def analysis_sheet(spark, sf_dir):
@@ -151,16 +151,16 @@ def analysis_sheet(spark, sf_dir):
 
 def manager_summary(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return _round(a.manager.select("section", "row_no", "segment_key", "wow_delta_gmv", "direction"), 2, "wow_delta_gmv")
+    return _round(a.manager.select("section", "row_no", "segment_key", "wow_delta_gmv", "direction"), 4, "wow_delta_gmv")
 
 
 def structure_changes(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    return _round(reports.structure_changes(a.candidates).select("row_no", "state", "segment_key", "wow_delta_gmv"), 2, "wow_delta_gmv")
+    return _round(reports.structure_changes(a.candidates).select("row_no", "state", "segment_key", "wow_delta_gmv"), 4, "wow_delta_gmv")
 
 
 def control_table(spark, sf_dir):
-    return _round(analysis(spark, sf_dir).control, 2, "value")
+    return _round(analysis(spark, sf_dir).control, 4, "value")
 
 
 def dag_edges(spark, sf_dir):
