@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -15,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from driftcube.storage import shared_dir, stage
+
 #: Rows of one Arrow batch: a batch of very long texts must fit a Python worker.
 BATCH_ROWS = 256
 
 _shipped: set[str] = set()
-_staged: list[tuple[SparkSession, str]] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -35,46 +35,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master (tests) gets a temporary folder; on a
-    cluster that is an error, as no machine-local folder would do.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="shared-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from files that no executor owns."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_staged() -> None:
-    """Delete what :func:`stage` has written; results that read it must have been used."""
-    while _staged:
-        spark, path = _staged.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session is gone; the files stay in the shared folder
-            return
-
-
-atexit.register(drop_staged)
-
-
 def with_columns_mapped(
     df: DataFrame,
     fields: list[T.StructField],
@@ -128,3 +88,6 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list, value: Column
     total = F.col("__before") + F.coalesce(F.col("__inner"), F.lit(0))
     joined = df.withColumn("__inner", inner).join(parts, on).withColumn(name, total)
     return joined.drop("__b", "__p", "__before", "__inner", *(f"__k_{k}" for k in keys))
+
+
+__all__ = ["prepare", "shared_dir", "stage", "text_of", "with_columns_mapped", "with_running_sum"]

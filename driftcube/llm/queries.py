@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from driftcube.llm import bpe, chat, kneser_ney, mixing, secrets, sharding, simhash, token_counts, topk, winnowing
 from driftcube.llm.common import prepare, text_of
+from driftcube.llm.oracle import oracle_sql
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +109,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+__all__ = ["oracle_sql", "queries"]
