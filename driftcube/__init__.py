@@ -3,8 +3,9 @@
 from driftcube.config import DIMENSIONS, AnomalyThresholds
 from driftcube.functions.keys import parse_segment_key_parts
 from driftcube.operators.coverage import atomic_coverage as build_atomic_coverage
+from driftcube.operators.coverage import coverage_by_keys
 from driftcube.operators.coverage import check_reconciliation as validate_hierarchy_reconciliation
-from driftcube.operators.packing import decision_log, diagnostics, final, solve
+from driftcube.operators.packing import apply_hierarchy_score_adjustment, decision_log, diagnostics, final, search_anomal, solve
 from driftcube.operators.packing import validate as validate_set_packing_solution
 from driftcube.operators.panel import full_grid as build_full_week_grid
 from driftcube.operators.panel import missing_zero_report as build_missing_zero_report

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftcube.config import DIMENSIONS
+from driftcube.functions.keys import key_parts
 from driftcube.storage import stage
 
 
@@ -25,6 +26,46 @@ def atomic_coverage(segments: DataFrame, dims: tuple[str, ...] = DIMENSIONS) ->
     return masked.join(segments.select("segment_id").distinct(), "segment_id", "left_semi").select("segment_id", "atom_id")
 
 
+def coverage_by_keys(segments: DataFrame) -> DataFrame:
+    """(segment_id, atom_id) from ``segment_key`` alone, where the dimensions are not at hand.
+
+    A segment covers the atoms whose parts include all of its own.  Unlike the
+    factual coverage the total covers nothing, unless it is an atom itself.
+    Each atom's part sets are joined to the segments' by value.
+    """
+    deepest = F.broadcast(segments.agg(F.max("slice_depth").alias("atom_depth")))
+    parts = F.transform(key_parts(F.col("segment_key")), lambda p: F.concat_ws("=", p["dim"], p["value"]))
+    rows = segments.select("segment_id", "slice_depth", F.sort_array(F.array_distinct(parts)).alias("parts")).join(deepest)
+    atoms = rows.where("slice_depth = atom_depth").select(F.col("segment_id").alias("atom_id"), "parts")
+    numbers = F.sequence(F.lit(0), (F.pow(F.lit(2), F.size("parts")) - 1).cast("int"))
+    masked = atoms.withColumn("mask", F.explode(numbers))
+    masked = masked.select("atom_id", F.expr("filter(parts, (p, i) -> (mask & shiftleft(1, i)) <> 0)").alias("parts"))
+    covering = rows.where("size(parts) > 0 or slice_depth = atom_depth").select("segment_id", "parts")
+    return masked.join(covering, "parts").select("segment_id", "atom_id").distinct()
+
+
+def check_coverage(candidates: DataFrame, coverage: DataFrame) -> None:
+    """An error for a coverage that cannot be right; a few ids of each fault reach the driver.
+
+    Faults: ids or atoms that are no candidates, blank ones, repeated pairs,
+    eligible segments without atoms, and atoms that do not cover themselves only.
+    """
+    ids = candidates.select("segment_id")
+    atoms = candidates.where("is_atom").select(F.col("segment_id").alias("atom_id"))
+    eligible = candidates.where("passes_initial_anomaly_filter").select("segment_id")
+    faults = {
+        "blank ids": coverage.where("coalesce(trim(segment_id), '') = '' or coalesce(trim(atom_id), '') = ''"),
+        "unknown segments": coverage.join(ids, "segment_id", "left_anti"),
+        "unknown atoms": coverage.join(atoms, "atom_id", "left_anti"),
+        "repeated pairs": coverage.groupBy("segment_id", "atom_id").count().where("count > 1"),
+        "no coverage": eligible.join(coverage, "segment_id", "left_anti"),
+        "atoms that cover others": coverage.join(atoms.select(F.col("atom_id").alias("segment_id")), "segment_id").where("segment_id <> atom_id"),
+    }
+    for name, found in faults.items():
+        if some := [r["segment_id"] for r in found.select("segment_id").limit(5).collect()]:
+            raise ValueError(f"atomic coverage, {name}: {some}")
+
+
 def reconciliation(panel: DataFrame, coverage: DataFrame) -> DataFrame:
     """(segment_id, cal_date, gmv, atom_gmv, error) of every segment that is not its own only atom."""
     atoms = panel.select(F.col("segment_id").alias("atom_id"), "cal_date", F.col("gmv").alias("atom_gmv"))

@@ -111,3 +111,14 @@ def with_ratios(df: DataFrame) -> DataFrame:
 
 def with_segment(df: DataFrame, dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     return df.withColumns({"segment_id": segment_id(dims), "segment_key": segment_key(dims), "segment_level": segment_level(dims)})
+
+
+def with_share_of_total(history: DataFrame) -> DataFrame:
+    """``history`` with ``share_in_total_gmv``: of the window's total; a window is one row of totals."""
+    total = history.where("slice_depth = 0").select("cal_date", F.col("gmv").alias("__total"))
+    return history.join(F.broadcast(total), "cal_date").withColumn("share_in_total_gmv", F.try_divide("gmv", "__total")).drop("__total")
+
+
+def save_mart(history: DataFrame, path: str) -> None:
+    """Replace the stored mart, one folder a window."""
+    history.write.mode("overwrite").partitionBy("cal_date").parquet(path)

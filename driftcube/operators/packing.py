@@ -74,6 +74,47 @@ def diagnostics(candidates: DataFrame, coverage: DataFrame, solved: DataFrame) -
     )
 
 
+def apply_hierarchy_score_adjustment(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds()) -> DataFrame:
+    """``candidates`` with ``anomaly_score`` and the hierarchy columns; the base score where a segment is not eligible."""
+    solved = solve(candidates, coverage, thresholds)
+    kept = [c for c in solved.columns if c == "anomaly_score" or c.startswith("hierarchy_")]
+    rows = candidates.drop(*kept).join(solved.select("segment_id", *kept), "segment_id", "left")
+    return rows.withColumns({"anomaly_score": F.coalesce("anomaly_score", "base_anomaly_score"), "hierarchy_factor": F.coalesce("hierarchy_factor", F.lit(1.0))})
+
+
+#: Columns that :func:`search_anomal` needs.
+REQUIRED = ("segment_id", "segment_key", "slice_depth", "passes_initial_anomaly_filter", "anomaly_score", "wow_delta_gmv", "abs_robust_z", "materiality_share", "reliability_factor")
+
+
+def search_anomal(
+    candidates: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds(), coverage: DataFrame | None = None, allow_segment_key_fallback: bool = False
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(final, diagnostics, log): the optimal disjoint set for candidates that have their ``anomaly_score``.
+
+    Coverage must be given, or taken from the keys on request.  A segment that
+    passed the filter without a finite positive score is an error, not a loser.
+    """
+    if missing := sorted(set(REQUIRED) - set(candidates.columns)):
+        raise ValueError(f"required columns are missing: {missing}")
+    if coverage is None and not allow_segment_key_fallback:
+        raise ValueError("atomic coverage is required; allow_segment_key_fallback takes it from the keys")
+    deepest = F.broadcast(candidates.agg(F.max("slice_depth").alias("__deepest")))
+    rows = candidates.drop("is_atom").join(deepest).withColumn("is_atom", F.col("slice_depth") == F.col("__deepest")).drop("__deepest")
+    if coverage is None:
+        coverage = cov.coverage_by_keys(rows)
+    else:
+        cov.check_coverage(rows, coverage)
+    score = F.col("anomaly_score")
+    bad = rows.where(F.col("passes_initial_anomaly_filter") & ~F.coalesce((score > 0) & (score < float("inf")), F.lit(False)))
+    if some := [r["segment_id"] for r in bad.select("segment_id").limit(5).collect()]:
+        raise ValueError(f"eligible segments without a finite positive score: {some}")
+    solved = solve(rows, coverage, thresholds, prescored=True)
+    source = "SEGMENT_KEY_FALLBACK" if allow_segment_key_fallback else "FACTUAL"
+    found = stage(diagnostics(rows.drop("anomaly_score"), coverage, solved).withColumn("atomic_coverage_source", F.lit(source)), "diagnosed")
+    validate(found, coverage)
+    return final(found), found, decision_log(found, coverage)
+
+
 def final(diagnosed: DataFrame) -> DataFrame:
     """The selected segments with their rank; keys are unique, so the order is total."""
     order = [F.col("anomaly_score").desc(), F.col("abs_robust_z").desc(), F.col("materiality_share").desc(), F.abs("wow_delta_gmv").desc(), F.col("reliability_factor").desc(), F.col("segment_key")]
@@ -98,7 +139,8 @@ def component_stats(diagnosed: DataFrame, coverage: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("selected"), F.col("segment_id")))).alias("selected_ids"),
     )
     span = F.when(F.col("score_min") > 0, F.col("score_max") / F.col("score_min")).otherwise(float("inf"))
-    return stats.join(atoms, "component_id").withColumn("score_dynamic_range", span)
+    gaps = {"best_bound": F.col("objective_value"), "absolute_gap": F.lit(0.0), "relative_gap": F.lit(0.0)}  # proven optima
+    return stats.join(atoms, "component_id").withColumns({"score_dynamic_range": span, **gaps})
 
 
 def decision_log(diagnosed: DataFrame, coverage: DataFrame) -> DataFrame:

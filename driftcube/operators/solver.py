@@ -148,8 +148,28 @@ def pack(nodes: list[Node], t: AnomalyThresholds) -> tuple[set[str], str]:
     nodes = sorted(nodes, key=lambda n: n.order)
     if len({bit for n in nodes for bit in _bits(n.bits)}) == sum(n.bits.bit_count() for n in nodes):
         return {n.segment_id for n in nodes if n.result["score"] > 0}, "TRIVIAL"
-    picked = best_disjoint([n.bits for n in nodes], [n.result["score"] for n in nodes], [n.order for n in nodes], t.max_search_nodes, TIE)
-    return {nodes[i].segment_id for i in picked}, "BRANCH_AND_BOUND"
+    bits, scores = [n.bits for n in nodes], [n.result["score"] for n in nodes]
+    most = t.max_search_nodes if len(nodes) > t.max_exact_fallback_size else 1 << 60  # small components are always searched to the end
+    try:
+        picked, name = best_disjoint(bits, scores, [n.order for n in nodes], most, TIE), "BRANCH_AND_BOUND"
+    except SearchExhausted:
+        if (picked := milp(bits, scores, t.set_packing_gap_tolerance)) is None:
+            raise
+        name = "SCIPY_HIGHS"
+    return {nodes[i].segment_id for i in picked}, name
+
+
+def milp(bits: list[int], scores: list[float], gap: float) -> list[int] | None:
+    """The same optimum by SciPy's mixed-integer solver, where it is installed and proves it; else None."""
+    try:
+        import numpy as np
+        from scipy.optimize import Bounds, LinearConstraint, milp as solve
+    except ImportError:
+        return None
+    atoms = sorted({b for x in bits for b in _bits(x)})
+    uses = np.array([[float(bool(x & a)) for x in bits] for a in atoms])
+    found = solve(-np.array(scores), constraints=LinearConstraint(uses, ub=1.0), integrality=np.ones(len(bits)), bounds=Bounds(0, 1), options={"mip_rel_gap": gap})
+    return [i for i, v in enumerate(found.x) if v >= 0.5] if found.status == 0 else None
 
 
 def _bits(bits: int):

@@ -177,6 +177,14 @@ _QUERIES = {
     "top_n_bucket": "SELECT merchants_type, cal_date, count(*) AS rows, sum(amount)::BIGINT / 10000.0::DOUBLE AS gmv FROM bucketed GROUP BY ALL",
     "cube_mart": f"SELECT cal_date, slice_depth, {_D}, gmv, tx, au, am FROM history",
     "ratio_metrics": "SELECT segment_id, cal_date, aov, tpm, freq FROM history",
+    "share_of_total": """
+        SELECT segment_id, cal_date, round(gmv / total, 10) AS share_in_total_gmv FROM history JOIN (SELECT cal_date, gmv AS total FROM history WHERE slice_depth = 0) USING (cal_date)""",
+    "coverage_by_keys": "SELECT c.segment_id, atom_id FROM coverage c JOIN candidates USING (segment_id) WHERE slice_depth > 0",
+    "component_stats": """
+        SELECT component_id, count(*) AS segment_count, len(list_distinct(flatten(list(atoms)))) AS atom_count,
+               (SELECT count(*) FROM pairs JOIN solved l ON l.segment_id = left_id WHERE l.component_id = s.component_id) AS conflict_pair_count,
+               min(slice_depth) AS min_depth, max(slice_depth) AS max_depth, round(sum(score), 6) AS score_sum, round(sum(score) FILTER (selected), 6) AS objective_value, round(max(score) / min(score), 6) AS score_dynamic_range
+        FROM solved s GROUP BY component_id""",
     "segment_keys": "SELECT DISTINCT segment_id, segment_key, segment_level, slice_depth FROM history",
     "parse_segment_key": """
         SELECT segment_id, (i - 1)::INT AS part_no, split_part(part, '=', 1) AS dim, split_part(part, '=', 4) AS value

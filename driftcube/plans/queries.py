@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftcube.config import AnomalyThresholds
 from driftcube.functions import keys
 from driftcube.operators import coverage as cov
-from driftcube.operators import mart, panel
+from driftcube.operators import mart, packing, panel
 from driftcube.plans import reports
 from driftcube.plans.engine import Analysis
 
@@ -52,6 +52,20 @@ def ratio_metrics(spark, sf_dir):
     return analysis(spark, sf_dir).history.select("segment_id", "cal_date", "aov", "tpm", "freq")
 
 
+def share_of_total(spark, sf_dir):
+    return _round(mart.with_share_of_total(analysis(spark, sf_dir).history).select("segment_id", "cal_date", "share_in_total_gmv"), 10, "share_in_total_gmv")
+
+
+def coverage_by_keys(spark, sf_dir):
+    return cov.coverage_by_keys(analysis(spark, sf_dir).metrics)
+
+
+def component_stats(spark, sf_dir):
+    a = analysis(spark, sf_dir)
+    rows = packing.component_stats(a.diagnosed, a.coverage).select("component_id", "segment_count", "atom_count", "conflict_pair_count", "min_depth", "max_depth", "score_sum", "objective_value", "score_dynamic_range")
+    return _round(rows, 6, "score_sum", "objective_value", "score_dynamic_range")
+
+
 def segment_keys(spark, sf_dir):
     return analysis(spark, sf_dir).history.select("segment_id", "segment_key", "segment_level", "slice_depth").distinct()
 
@@ -169,8 +183,8 @@ def dag_edges(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     of = (
-        complete_windows, top_n_bucket, cube_mart, ratio_metrics, segment_keys, parse_segment_key, week_grid, missing_zero_report, robust_z, lifecycle_state, metric_wow, materiality,
-        initial_filter, top_movers, atomic_coverage, reconciliation, descendants, conflict_pairs, components, hierarchy_adjust, set_packing_selected, final_ranked, decision_log,
+        complete_windows, top_n_bucket, cube_mart, ratio_metrics, share_of_total, segment_keys, parse_segment_key, week_grid, missing_zero_report, robust_z, lifecycle_state, metric_wow, materiality,
+        initial_filter, top_movers, atomic_coverage, coverage_by_keys, reconciliation, descendants, conflict_pairs, components, hierarchy_adjust, set_packing_selected, component_stats, final_ranked, decision_log,
         history_selected, analysis_sheet, manager_summary, structure_changes, control_table, dag_edges,
     )
     return {f.__name__: f for f in of}

@@ -253,3 +253,32 @@ def test_figure():
     assert math.isclose(figure.PORTS, 0.72)
     with pytest.raises(ValueError):
         figure.write("x.png", boxes)
+
+
+def test_search_with_given_scores(spark):
+    rows = [("p", 1, 10, 1000, True), ("a", 2, 6, 600, True), ("b", 2, 3, 400, True)]
+    base = frame(spark, rows).withColumnRenamed("base_anomaly_score", "anomaly_score")
+    table = spark.createDataFrame([("p", "a"), ("p", "b"), ("a", "a"), ("b", "b")], "segment_id string, atom_id string")
+    final, diagnosed, log = dc.search_anomal(base, coverage=table)
+    assert [r["segment_id"] for r in final.collect()] == ["p"] and diagnosed.count() == 3
+    assert {r["event_type"] for r in log.collect()} == {"GLOBAL_OPTIMIZATION_SUMMARY", "ATOM_TO_SEGMENTS", "CONFLICT_PAIR", "COMPONENT_SOLVE", "SEGMENT_DECISION"}
+    with pytest.raises(ValueError, match="required"):
+        dc.search_anomal(base)
+    with pytest.raises(ValueError, match="missing"):
+        dc.search_anomal(base.drop("anomaly_score"), coverage=table)
+    with pytest.raises(ValueError, match="positive score"):
+        dc.search_anomal(base.withColumn("anomaly_score", F.lit(0.0)), coverage=table)
+    extra = lambda s, a: table.union(spark.createDataFrame([(s, a)], table.schema))
+    for bad, message in ((extra("x", "a"), "unknown segments"), (extra("p", "x"), "unknown atoms"), (extra("p", "a"), "repeated"), (extra("p", " "), "blank"), (extra("a", "b"), "cover others"), (table.where("segment_id <> 'b'"), "no coverage")):
+        with pytest.raises(ValueError, match=message):
+            dc.search_anomal(base, coverage=bad)
+    keyed = base.withColumn("segment_key", F.when(F.col("segment_id") == "p", "geo=A").otherwise(F.concat(F.lit("geo=A × products="), "segment_id")))
+    final, diagnosed, _ = dc.search_anomal(keyed, allow_segment_key_fallback=True)
+    assert {r["segment_id"] for r in final.collect()} == {"p"} and diagnosed.first()["atomic_coverage_source"] == "SEGMENT_KEY_FALLBACK"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from driftcube.__main__ import main
+
+    main([write_csv(tmp_path / "h.csv", history_rows()), "--report", str(tmp_path / "r.xlsx")])
+    assert "candidate_count: 4" in capsys.readouterr().out and (tmp_path / "r.xlsx").exists()
