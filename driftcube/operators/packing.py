@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from driftcube.config import AnomalyThresholds
 from driftcube.operators import coverage as cov
 from driftcube.operators.solver import Node, adjust_hierarchy, pack
-from driftcube.storage import stage
+from driftcube.storage import ship, stage
 
 _SOLVED = (
     "segment_id string, component_id string, anomaly_score double, hierarchy_factor double, hierarchy_descendant_count int, hierarchy_group_count long, "
@@ -28,6 +28,7 @@ def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresho
     ``prescored`` takes ``anomaly_score`` as given and only packs.
     """
     thresholds.check()
+    ship(candidates.sparkSession)
     rows = candidates.where("passes_initial_anomaly_filter").withColumn("is_atom", F.col("is_atom").cast("boolean"))
     eligible = stage(cov.eligible_coverage(candidates, coverage), "eligible")
     gross = cov.gross_movement(coverage, candidates)

@@ -1,4 +1,4 @@
-"""Tables in the folder that driver and executors share, to cut long lineages."""
+"""What reaches the executors: this package, and tables in the folder that they share with the driver."""
 
 from __future__ import annotations
 
@@ -6,10 +6,24 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _staged: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="ship-")  # on the driver, which serves it
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        _shipped.add(sc.applicationId)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
