@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,25 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftcube.storage import shared_dir, stage
+from driftcube.storage import shared_dir, ship, stage
 
 #: Rows of one Arrow batch: a batch of very long texts must fit a Python worker.
 BATCH_ROWS = 256
 
-_shipped: set[str] = set()
-
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Send this package to the executors, once per application, and bound the Arrow batches."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if sc.applicationId not in _shipped:
-        package = Path(__file__).resolve().parents[1]
-        folder = tempfile.mkdtemp(prefix="ship-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-        _shipped.add(sc.applicationId)
-    return spark
+    return ship(spark)
 
 
 def with_columns_mapped(

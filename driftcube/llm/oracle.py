@@ -46,7 +46,7 @@ per AS (
     SELECT row_no, {counts}, {listed} AS spans, coalesce({listed.replace("ORDER BY start_at, kind_no, end_at)", "ORDER BY start_at, kind_no, end_at) FILTER (kind_no < " + str(n) + ")")}, '') AS base,
            count(*) FILTER (owners < {secrets.WIDE_OWNERS}) AS n_live
     FROM kept GROUP BY row_no)
-SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in names[:-1])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0)::INT AS n_live
+SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in names[:-1])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM d LEFT JOIN per USING (row_no)"""
 
 
