@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 from driftcube.config import AnomalyThresholds
@@ -47,51 +48,82 @@ def count_disjoint(bits: list[int]) -> int:
     return count((1 << len(bits)) - 1) - 1
 
 
-def _bounds(bits: list[int], scores: list[float]) -> list[float]:
-    """For each position, an upper bound of what it and later ones add: they are covered by
-    cliques (segments that share an atom), and a clique gives at most its best."""
-    bounds, cliques = [0.0] * (len(bits) + 1), []
-    for i in range(len(bits) - 1, -1, -1):
-        for clique in cliques:
-            if clique[0] & bits[i]:
-                clique[0] &= bits[i]
-                clique[1] = max(clique[1], scores[i])
-                break
-        else:
-            cliques.append([bits[i], scores[i]])
-        bounds[i] = sum(c[1] for c in cliques)
-    return bounds
-
-
-def best_disjoint(bits: list[int], scores: list[float], names: list, most_nodes: int, tie: float = 0.0) -> list[int]:
+def best_disjoint(bits: list[int], scores: list[float], names: list, most_nodes: int) -> list[int]:
     """Positions of the disjoint set of the highest score; of ties the smallest, then the lowest sorted names.
 
-    Branch and bound over positive scores, highest first.  Raises
-    SearchExhausted rather than return a set that is not proven best.
+    Only positive scores count.  Branches on the member with most conflicts,
+    solves what falls apart separately, remembers subproblems, and leaves a
+    branch whose bound is below what is found: members that share an atom form
+    a clique, which adds at most its best.  Raises SearchExhausted rather than
+    return a set that is not proven best.
     """
     order = sorted((i for i in range(len(bits)) if scores[i] > 0), key=lambda i: (-scores[i], names[i]))
     b, s = [bits[i] for i in order], [scores[i] for i in order]
-    bounds = _bounds(b, s)
-    best: tuple[float, int, list] = (0.0, 0, [])
-    best_set: list[int] = []
-    visited = 0
-    stack: list[tuple[int, int, float, tuple[int, ...]]] = [(0, 0, 0.0, ())]
-    while stack:
-        at, used, total, taken = stack.pop()
-        visited += 1
-        if visited > most_nodes:
-            raise SearchExhausted(f"{len(order)} segments: no optimum proven within {most_nodes} nodes")
-        if total + bounds[at] < best[0] - TIE:
-            continue
-        if at == len(order):
-            mine = (total, len(taken), sorted(names[order[i]] for i in taken))
-            if total > best[0] + tie or (abs(total - best[0]) <= tie and (mine[1], mine[2]) < (best[1], best[2])):
-                best, best_set = mine, [order[i] for i in taken]
-            continue
-        stack.append((at + 1, used, total, taken))
-        if not used & b[at]:
-            stack.append((at + 1, used | b[at], total + s[at], (*taken, at)))
-    return best_set
+    clash = [sum(1 << j for j, y in enumerate(b) if x & y and i != j) for i, x in enumerate(b)]
+    known: dict[int, tuple] = {0: (0.0, 0, [])}
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * len(b) + 2000))
+
+    def members(mask: int) -> list[int]:
+        out = []
+        while mask:
+            low = mask & -mask
+            out.append(low.bit_length() - 1)
+            mask ^= low
+        return out
+
+    def bound(mask: int) -> float:
+        total, cliques = 0.0, []
+        for i in members(mask):  # highest score first
+            for clique in cliques:
+                if clique[0] & b[i]:
+                    clique[0] &= b[i]
+                    break
+            else:
+                cliques.append([b[i]])
+                total += s[i]
+        return total
+
+    def apart(mask: int) -> list[int]:
+        out = []
+        while mask:
+            part = edge = mask & -mask
+            while edge:
+                edge = _union(clash[i] for i in members(edge)) & mask & ~part
+                part |= edge
+            out.append(part)
+            mask &= ~part
+        return out
+
+    def best(mask: int) -> tuple:
+        """(score, size, sorted names) of the best set within ``mask``; names carry their positions."""
+        if mask in known:
+            return known[mask]
+        if len(known) > most_nodes:
+            raise SearchExhausted(f"{len(b)} segments: no optimum proven within {most_nodes} nodes")
+        parts = apart(mask)
+        if len(parts) > 1:
+            found = [best(p) for p in parts]
+            out = sum(f[0] for f in found), sum(f[1] for f in found), sorted(x for f in found for x in f[2])
+        else:
+            pick = max(members(mask), key=lambda i: ((clash[i] & mask).bit_count(), s[i]))
+            rest = mask & ~(1 << pick)
+            inner = best(rest & ~clash[pick])
+            out = inner[0] + s[pick], inner[1] + 1, sorted([*inner[2], (names[order[pick]], order[pick])])
+            if bound(rest) >= out[0] - TIE:
+                other = best(rest)
+                if other[0] > out[0] + TIE or (abs(other[0] - out[0]) <= TIE and other[1:] < out[1:]):
+                    out = other
+        known[mask] = out
+        return out
+
+    return [i for _, i in best((1 << len(b)) - 1)[2]]
+
+
+def _union(masks) -> int:
+    out = 0
+    for m in masks:
+        out |= m
+    return out
 
 
 def adjust_hierarchy(nodes: list[Node], t: AnomalyThresholds) -> None:
@@ -151,7 +183,7 @@ def pack(nodes: list[Node], t: AnomalyThresholds) -> tuple[set[str], str]:
     bits, scores = [n.bits for n in nodes], [n.result["score"] for n in nodes]
     most = t.max_search_nodes if len(nodes) > t.max_exact_fallback_size else 1 << 60  # small components are always searched to the end
     try:
-        picked, name = best_disjoint(bits, scores, [n.order for n in nodes], most, TIE), "BRANCH_AND_BOUND"
+        picked, name = best_disjoint(bits, scores, [n.order for n in nodes], most), "BRANCH_AND_BOUND"
     except SearchExhausted:
         if (picked := milp(bits, scores, t.set_packing_gap_tolerance)) is None:
             raise

@@ -216,7 +216,7 @@ def test_solver_against_brute_force():
         want = min(sets, key=lambda c: (-sum(scores[i] for i in c), len(c), sorted(c)))
         assert tuple(sorted(solver.best_disjoint(bits, scores, list(range(n)), 10**6))) == want
     with pytest.raises(solver.SearchExhausted):
-        solver.best_disjoint([1 << i for i in range(12)], [1.0] * 12, list(range(12)), 3)
+        solver.best_disjoint([3 << i for i in range(12)], [1.0] * 12, list(range(12)), 3)
 
 
 def test_reconciliation(spark, loaded):
