@@ -127,7 +127,8 @@ def with_next_document(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     spark = prepare(df.sparkSession)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 8 * partitions
     ids = docs.select("doc_id")
     found = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n).alias("q"), F.min("doc_id").alias("m")).first()
     bounds = np.unique(np.array(found["q"] or [], np.int64))
@@ -169,7 +170,8 @@ def with_next_document(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _ARROW)], names=_NAMES)
                 out = []
 
-    dealt = docs.mapInArrow(deal, "bucket long, ghost byte, doc_id long, text string").repartition("bucket")
+    dealt = docs.mapInArrow(deal, "bucket long, ghost byte, doc_id long, text string")
+    dealt = dealt.repartitionById(partitions, F.col("bucket").cast("int"))  # equal numbers of ranges, where a hash would pile some up
     return dealt.sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(follow, _EDITED)
 
 
