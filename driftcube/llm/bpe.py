@@ -40,9 +40,9 @@ class ByteBpe:
     """Encoder and decoder of one vocabulary file of the ``tokenizers`` library (byte-level BPE)."""
 
     #: Words kept with their ids.  A full table takes no more until so many times as many words were missed, then starts anew.
-    MEMO, PATIENCE = 150_000, 40
+    MEMO, PATIENCE = 220_000, 40
 
-    def __init__(self, vocabulary: bytes, max_states: int = 100_000):
+    def __init__(self, vocabulary: bytes, max_states: int = 140_000):
         spec = json.loads(vocabulary)
         self.alphabet = alphabet = str.maketrans(byte_alphabet())
         ranks: dict[tuple[str, str], int] = {}
