@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftcube.config import ADDITIVE, DIMENSIONS, RATIOS
 from driftcube.functions.keys import depth, segment_id, segment_key, segment_level
+from driftcube.storage import stage
 
 #: Parameters of the mart: windows kept, brands kept by name, name of the rest.
 WINDOWS, TOP, OTHER = 13, 5, "Other"
@@ -74,33 +75,54 @@ def bucketed(rows: DataFrame, top: int = TOP) -> DataFrame:
     return joined.withColumn("merchants_type", F.coalesce("b", F.lit(OTHER))).drop("b", "brand")
 
 
-def cube(rows: DataFrame, period: str = "13W", dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
-    """The mart: every combination of dimensions by window, with additive measures and ratios.
+#: Values of a dimension up to which its code list is broadcast; beyond it the list is joined by a shuffle.
+BROADCAST_VALUES = 100_000
 
-    Each measure is reduced to what it counts before the grouping sets expand:
-    amounts to sums by atom, distinct counts to distinct ids by atom.
-    """
-    keys = ["cal_date", *dims]
 
-    def sets(pre: DataFrame, *measures: Column) -> DataFrame:
-        # window by window: cal_date is in every grouping set
-        expanded = pre.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(2 ** len(dims) - 1))))
-        masked = [F.when(F.col("bits").bitwiseAND(1 << i) == 0, F.col(d)).alias(d) for i, d in enumerate(dims)]
-        rest = [c for c in pre.columns if c not in keys]
-        return expanded.select("cal_date", "bits", *masked, *rest).groupBy("cal_date", "bits", *dims).agg(*measures)
+def _codes(rows: DataFrame, dim: str) -> tuple[DataFrame, int]:
+    """(value, code from 1) of a dimension, and how many there are."""
+    listed = rows.select(F.col(dim).alias("value")).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")).cast("long"))
+    listed = stage(listed, f"codes-{dim}")
+    return listed, listed.count()
 
-    amounts = sets(rows.groupBy(*keys).agg(F.sum("amount").alias("amount")), F.sum("amount").alias("amount"))
-    parts = [amounts]
-    for name, of in (("tx", "order_id"), ("au", "user_id"), ("am", "merchant_id")):
-        parts.append(sets(rows.select(*keys, of).distinct(), F.count_distinct(of).cast("double").alias(name)))
-    on = ["cal_date", "bits", *dims]
 
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.select(*(F.col(c).alias(f"r_{c}") for c in on), right.columns[-1])
-        condition = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in on])
-        return left.join(right, condition).drop(*(f"r_{c}" for c in on))
+def cube(rows: DataFrame, period: str = "13W", dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+    """The mart: every combination of dimensions by window, with additive measures and ratios.
 
-    out = reduce(joined, parts).withColumn("gmv", F.col("amount") / UNIT)
+    Values become codes and a combination one number, 0 in the place of a
+    rolled-up dimension, so the 16 grouping sets expand and meet by two longs.
+    Each measure is reduced to what it counts before they expand: amounts to
+    sums by atom, distinct counts to distinct ids by atom.
+    """
+    lists, strides, stride = {}, {}, 1
+    for d in dims:
+        lists[d], n = _codes(rows, d)
+        lists[d] = F.broadcast(lists[d]) if n <= BROADCAST_VALUES else lists[d]
+        strides[d] = stride, n + 1
+        stride *= n + 1
+    if stride >= 1 << 62:
+        raise ValueError("the dimensions have too many combinations to be numbered")
+    for d in dims:
+        coded = lists[d].select(F.col("value").alias(f"v_{d}"), F.col("code").alias(f"c_{d}"))
+        rows = rows.join(coded, F.col(d).eqNullSafe(F.col(f"v_{d}"))).drop(f"v_{d}")
+
+    atom = sum((F.col(f"c_{d}") * F.lit(strides[d][0]) for d in dims), F.lit(0).cast("long"))
+    rows = rows.select("cal_date", atom.alias("atom"), "amount", "order_id", "user_id", "merchant_id")
+    places = [F.expr(f"atom div {low} % {n} * {low}") for low, n in strides.values()]
+    masked = F.array(*(sum((p for p, keep in zip(places, how) if keep), F.lit(0).cast("long")) for how in product((True, False), repeat=len(dims))))
+
+    def sets(pre: DataFrame, measure: Column) -> DataFrame:
+        return pre.withColumn("combination", F.explode(masked)).groupBy("cal_date", "combination").agg(measure)
+
+    out = sets(rows.groupBy("cal_date", "atom").agg(F.sum("amount").alias("amount")), F.sum("amount").alias("amount"))
+    for name, of in (("tx", "order_id"), ("au", "user_id"), ("am", "merchant_id")):
+        ids = rows.select("cal_date", "atom", of).distinct()
+        out = out.join(sets(ids, F.count_distinct(of).cast("double").alias(name)), ["cal_date", "combination"])
+    for d in dims:
+        low, n = strides[d]
+        named = lists[d].select(F.col("value").alias(d), F.col("code").alias("__code"))
+        out = out.join(named, F.expr(f"combination div {low}") % n == F.col("__code"), "left").drop("__code")
+    out = out.withColumn("gmv", F.col("amount") / UNIT)
     return with_ratios(out.select(F.lit(period).alias("period"), "cal_date", depth(dims).alias("slice_depth"), *dims, *ADDITIVE))
 
 
