@@ -70,7 +70,7 @@ def top_brands(rows: DataFrame, top: int = TOP) -> DataFrame:
 
 def bucketed(rows: DataFrame, top: int = TOP) -> DataFrame:
     """``rows`` with ``merchants_type``: the brand if among the top, else OTHER. At most ``top`` rows are broadcast."""
-    named = top_brands(rows, top).select(F.col("brand").alias("b"))
+    named = stage(top_brands(rows, top).select(F.col("brand").alias("b")), "top")  # once, however often the rows are read
     joined = rows.join(F.broadcast(named), F.col("brand") == F.col("b"), "left")
     return joined.withColumn("merchants_type", F.coalesce("b", F.lit(OTHER))).drop("b", "brand")
 
@@ -79,9 +79,9 @@ def bucketed(rows: DataFrame, top: int = TOP) -> DataFrame:
 BROADCAST_VALUES = 100_000
 
 
-def _codes(rows: DataFrame, dim: str) -> tuple[DataFrame, int]:
+def _codes(atoms: DataFrame, dim: str) -> tuple[DataFrame, int]:
     """(value, code from 1) of a dimension, and how many there are."""
-    listed = rows.select(F.col(dim).alias("value")).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")).cast("long"))
+    listed = atoms.select(F.col(dim).alias("value")).distinct().withColumn("code", F.row_number().over(Window.orderBy("value")).cast("long"))
     listed = stage(listed, f"codes-{dim}")
     return listed, listed.count()
 
@@ -95,8 +95,9 @@ def cube(rows: DataFrame, period: str = "13W", dims: tuple[str, ...] = DIMENSION
     sums by atom, distinct counts to distinct ids by atom.
     """
     lists, strides, stride = {}, {}, 1
+    atoms = stage(rows.select(*dims).distinct(), "atoms")
     for d in dims:
-        lists[d], n = _codes(rows, d)
+        lists[d], n = _codes(atoms, d)
         lists[d] = F.broadcast(lists[d]) if n <= BROADCAST_VALUES else lists[d]
         strides[d] = stride, n + 1
         stride *= n + 1
