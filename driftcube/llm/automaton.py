@@ -146,11 +146,10 @@ class MergeAutomaton:
 
     def ending(self, word: str) -> list[str | None]:
         """For every prefix of ``word``, the last token of its tokenization."""
-        state, out = self.start, []
+        state, out, arc_of = self.start, [], self.compile_arc
         for symbol in word:
-            arc = state.get(symbol) or self.compile_arc(state, symbol)
-            state = arc[0]
-            out.append(arc[1])
+            state, token, _ = state.get(symbol) or arc_of(state, symbol)
+            out.append(token)
         return out
 
     def count(self, word: str) -> int:

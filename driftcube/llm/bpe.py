@@ -26,6 +26,8 @@ from driftcube.llm.common import prepare, with_columns_mapped
 #: The split pattern, and the bytes that stand for themselves in byte-level BPE vocabularies.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: Marks that the split pattern takes from letters as words of their own.
+MARKS = frozenset(".,;:!?")
 #: Below this character no two Unicode versions class characters otherwise.
 OLD = "\u0220"
 
@@ -40,9 +42,9 @@ class ByteBpe:
     """Encoder and decoder of one vocabulary file of the ``tokenizers`` library (byte-level BPE)."""
 
     #: Words kept with their ids.  A full table takes no more until so many times as many words were missed, then starts anew.
-    MEMO, PATIENCE = 220_000, 40
+    MEMO, PATIENCE = 300_000, 40
 
-    def __init__(self, vocabulary: bytes, max_states: int = 140_000):
+    def __init__(self, vocabulary: bytes, max_states: int = 320_000):
         spec = json.loads(vocabulary)
         self.alphabet = alphabet = str.maketrans(byte_alphabet())
         ranks: dict[tuple[str, str], int] = {}
@@ -102,6 +104,17 @@ class ByteBpe:
     def _whole(self, text: str) -> list[int]:
         return list(chain.from_iterable([self._word(w) for w in self._split(text)]))
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        """Ids of a part behind a space.  Letters alone are one word, and so is the punctuation mark behind them."""
+        core, mark = part, ""
+        if part[-1] in MARKS:
+            core, mark = part[:-1], part[-1]
+        if not core.isalpha() or not (core.isascii() or max(core) < OLD):
+            return tuple(self._whole(" " + part))
+        word = " " + core
+        ids = self._word(word if core.isascii() else word.encode().decode("latin-1"))
+        return ids + self._word(mark) if mark else ids
+
     def _plain(self, text: str) -> list[int]:
         """Ids of a text without special tokens.
 
@@ -117,7 +130,7 @@ class ByteBpe:
             if ids is None:
                 if not part or part[0].isspace():
                     return self._whole(text)
-                ids = self._keep(self.spaced, part, tuple(self._whole(" " + part)))
+                ids = self._keep(self.spaced, part, self._part(part))
             out += ids
         return out
 
