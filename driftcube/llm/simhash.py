@@ -120,13 +120,15 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", c
     return rows.join(labels, "simhash", "left").select("doc_id", "simhash", "component_id")
 
 
-def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
     """The rows of ``df`` that stay: of each component the document with the smallest id, once.
 
+    ``found`` (doc_id, component_id) are the components, by default those of :func:`near_duplicates`.
+
     Of rows that repeat that id the one with the smallest text stays; rows
     without an id stay where their whole component has none.
     """
-    found = near_duplicates(df, doc_id, text)
+    found = near_duplicates(df, doc_id, text) if found is None else found
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     rows = df.withColumn("__id", F.col(doc_id).cast("long")).join(kept, F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
     first = F.row_number().over(Window.partitionBy("__id").orderBy(F.col(text).asc_nulls_first()))
