@@ -1,19 +1,16 @@
-"""Quality classifier: interpolated modified Kneser-Ney n-grams of character classes.
+"""Quality classifier: interpolated modified Kneser-Ney n-grams of characters.
 
-A model of order 4 is fitted on trusted text.  Its counts come from all trusted
-documents that the labels name; counts, continuation counts and context sums
-are DataFrames dealt by n-gram, and joins of them give the interpolated
-probability of every n-gram seen.  Characters fall into ``A`` classes, so no
-more than A**4 n-grams exist at any size of corpus; within that bound the joined
-table is sent to the executors, where the join of the documents' n-grams with
-it is a lookup and yields each document's perplexity.
+The classifier's models are those of :mod:`driftcube.llm.char_model`: order 4
+over the characters themselves, from all trusted documents that the labels
+name, cross-fitted.  The small model over ``A`` character classes in this module
+(:func:`count_grams`, :func:`table`) serves no query.
 
 A document's deviation is the distance of its mean log-probability from its
 language's median times the square root of its length, so short texts are not
 judged by chance alone, and texts that are far too predictable (one word over
 and over) stand out like those that are too surprising.  The threshold is a
-quantile of the deviations of trusted documents held out from the fit, for each
-language.
+quantile of the deviations of all trusted documents of the language, each
+scored by a model that has not seen it.
 """
 
 from __future__ import annotations
@@ -26,20 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from driftcube.llm.common import prepare, stage, with_columns_mapped
+from driftcube.llm import char_model
+from driftcube.llm.common import prepare, stage
 
-#: Order of the model and number of character classes.
+#: Order of the class model and number of its character classes.
 ORDER, A = 4, 46
 #: Most trusted ids that are broadcast to pick the texts of the fit; more of them are joined by a shuffle. All are used either way.
 BROADCAST_TRUSTED = 200_000
-#: One in so many trusted documents is held out for the thresholds.
-HELD_OUT = 4
-#: Quantile of held-out deviations and the factor on it up to which documents stay; languages with fewer held-out documents than LEAST share one threshold.
-QUANTILE, MARGIN, LEAST = 0.999, 1.2, 100
-#: Added to the factor for few held-out documents: this over their number.
-WIDEN = 30.0
+#: Quantile of the trusted documents' deviations and the factor on it up to which documents stay.
+QUANTILE, MARGIN = 0.999, 1.2
 #: Most languages whose thresholds are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
 
@@ -84,10 +77,10 @@ def grams(text: str) -> np.ndarray:
 
 
 def trusted(labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out) of all documents labelled good and not toxic; repeated labels must agree on it."""
+    """(doc_id) of all documents labelled good and not toxic; repeated labels must agree on it."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     good = good.agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
-    return good.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0).alias("held_out"))
+    return good.select("doc_id")
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -158,68 +151,57 @@ def table(counts: DataFrame) -> np.ndarray:
     return np.log(p).astype(np.float32)
 
 
-def with_surprise(docs: DataFrame, logs, text: str = "text") -> DataFrame:
-    """``docs`` with ``surprise`` (mean negative log-probability a character, null for an empty text) and ``length``."""
+def _deviation(median: str = "median") -> Column:
+    return F.abs(F.col("surprise") - F.col(median)) * F.sqrt("length")
 
-    def rows():
-        known = logs.value
 
-        def batch(texts):
-            found = [float(-known[grams(t)].mean(dtype=np.float64)) if t else None for t in texts]
-            return found, [len(t) if t else 0 for t in texts]
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
+    """(lang, median, threshold) from trusted (lang, surprise, length), a null language as an empty one, and one row (median, threshold) of all.
 
-        return batch
-
-    return with_columns_mapped(docs, [T.StructField("surprise", T.DoubleType()), T.StructField("length", T.LongType())], rows, text)
-
-
-def _deviation() -> Column:
-    return F.abs(F.col("surprise") - F.col("median")) * F.sqrt("length")
-
-
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """(lang, median, threshold) from held-out (lang, surprise, length), a null language as an empty one.
-
-    The threshold is the quantile of the language's deviations, or of all
-    languages' where it has fewer than LEAST documents, times ``margin`` plus
-    WIDEN over the number of those documents: a few say little about a tail.
+    One rule for every language and for all together: the threshold is the
+    quantile of the deviations from the median, times ``margin``.
     """
-    scored = stage(scored.where("surprise is not null").withColumn("lang", F.coalesce("lang", F.lit(""))), "held-out")
-    medians = scored.groupBy("lang").agg(F.percentile_approx("surprise", 0.5, 10_000).alias("median"))
+    scored = stage(scored.where("surprise is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), "surprise", "length"), "trusted-scores")
+    middle, limit = F.percentile_approx("surprise", 0.5, 10_000), F.percentile_approx("d", quantile, 100_000) * margin
+    medians = scored.groupBy("lang").agg(middle.alias("median"))
     few = medians.count() <= BROADCAST_LANGUAGES
     off = scored.join(F.broadcast(medians) if few else medians, "lang").select("lang", "median", _deviation().alias("d"))
-    limit = F.percentile_approx("d", quantile, 100_000) * (F.lit(margin) + F.lit(WIDEN) / F.count("*"))
-    own = off.groupBy("lang").agg(F.first("median").alias("median"), limit.alias("own"), F.count("*").alias("docs"))
-    both = own.join(F.broadcast(off.agg(limit.alias("every"))))  # one row
-    return stage(both.select("lang", "median", F.when(F.col("docs") >= LEAST, F.col("own")).otherwise(F.col("every")).alias("threshold")), "thresholds")
+    own = off.groupBy("lang").agg(F.first("median").alias("median"), limit.alias("threshold"))
+    every = scored.crossJoin(F.broadcast(scored.agg(middle.alias("median")))).select("median", _deviation().alias("d"))  # one row
+    return stage(own, "thresholds"), stage(every.agg(F.first("median").alias("median"), limit.alias("threshold")), "pooled")
 
 
 class Classifier:
-    """The fitted model: log-probabilities, and thresholds by language."""
+    """The fitted models, and thresholds by language from all trusted documents, each scored by the model without its fold."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame):
         """Fit on the documents that ``labels`` (doc_id, quality, toxic) names as good."""
         prepare(spark)
-        known = stage(trusted(labels).withColumnRenamed("doc_id", "__id"), "trusted")
+        known = stage(trusted(labels).select(F.col("doc_id").alias("__id")), "trusted")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-        rows = rows.join(F.broadcast(known) if known.count() <= BROADCAST_TRUSTED else known, F.col("doc_id") == F.col("__id"))
-        self.logs = spark.sparkContext.broadcast(table(stage(count_grams(rows.where("not held_out")), "counts")))
-        self.limits = thresholds(with_surprise(rows.where("held_out").select("lang", "text"), self.logs))
+        rows = rows.join(F.broadcast(known) if known.count() <= BROADCAST_TRUSTED else known, F.col("doc_id") == F.col("__id")).drop("__id")
+        chunks = char_model.pack(rows, "text", char_model.fold("doc_id"), counted=True)
+        self.model = char_model.tables(char_model.counts(chunks))
+        self.limits, self.pooled = thresholds(char_model.with_surprise(chunks, rows.schema, "text", self.model))
         self.few = self.limits.count() <= BROADCAST_LANGUAGES
 
-    def judged(self, docs: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
+    def judged(self, docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", pooled: bool = False) -> DataFrame:
         """``docs`` with surprise, length, perplexity, deviation, threshold and keep; columns so named are replaced.
 
         Documents whose deviation is above their language's threshold are not
-        kept.  Documents of a language without held-out trusted documents are
-        not judged and stay, as do null and empty texts, which have no
-        perplexity.
+        kept.  Documents of a language without trusted documents are judged by
+        the median and threshold of all languages if ``pooled``, else they stay.
+        Null and empty texts have no perplexity and stay.
         """
-        made = ["perplexity", "deviation", "threshold", "keep", "median"]
-        scored = with_surprise(docs.drop(*made), self.logs, text)
+        made = ["surprise", "length", "perplexity", "deviation", "threshold", "keep", "median"]
+        docs = docs.drop(*made)
+        scored = char_model.with_surprise(char_model.pack(docs, text, char_model.fold(doc_id)), docs.schema, text, self.model)
         own = self.limits.select(F.col("lang").alias("__lang"), F.col("median").alias("__m"), F.col("threshold").alias("__t"))
         scored = scored.join(F.broadcast(own) if self.few else own, F.coalesce(F.col(lang), F.lit("")) == F.col("__lang"), "left")
-        scored = scored.withColumns({"median": F.col("__m"), "threshold": F.col("__t"), "perplexity": F.exp("surprise")})
-        scored = scored.withColumn("deviation", _deviation())
+        if pooled:
+            every = self.pooled.select(F.col("median").alias("__every_m"), F.col("threshold").alias("__every_t"))
+            scored = scored.crossJoin(F.broadcast(every))  # one row
+            scored = scored.withColumns({"__m": F.coalesce("__m", "__every_m"), "__t": F.coalesce("__t", "__every_t")}).drop("__every_m", "__every_t")
+        scored = scored.withColumns({"threshold": F.col("__t"), "perplexity": F.exp("surprise"), "deviation": _deviation("__m")})
         keep = F.coalesce(F.col("deviation") <= F.col("threshold"), F.lit(True))
-        return scored.withColumn("keep", keep).drop("__lang", "__m", "__t", "median")
+        return scored.withColumn("keep", keep).drop("__lang", "__m", "__t")
