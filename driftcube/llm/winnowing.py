@@ -6,7 +6,8 @@ is kept once with its position.  Any passage of k + w - 1 code points that two
 texts share puts at least one common hash into both fingerprints.
 
 A text of fewer than k code points has one gram, all of it; an empty text has
-none.  Two empty fingerprints are alike (1.0), an empty one and another not.
+none.  Short texts keep all their k-grams, which hold the chosen ones of any w,
+and very short ones their 3-grams too.  Two empty fingerprints are alike (1.0), an empty one and another not.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import types as T
 from driftcube.llm.common import prepare, text_of, with_columns_mapped
 
 #: Production parameters: gram and window, in code points and grams. Matches of K + W - 1 code points are guaranteed.
-K, W = 32, 64
+K, W = 8, 8
+#: Texts of fewer code points keep all their grams, and those of fewer than the second number all grams of SHORT_K code points as well.
+DENSE, SHORT, SHORT_K = 64, 32, 3
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CHOSEN = np.dtype([("hash", ">u4"), ("position", ">u4")])
@@ -75,10 +78,14 @@ def winnow(hashes: np.ndarray, w: int = W) -> np.ndarray:
 def fingerprint(text: str, k: int = K, w: int = W) -> tuple[str, np.ndarray]:
     """The fingerprint as hex digits (8 of the hash, 8 of the position, each chosen gram) and its distinct hashes."""
     hashes = gram_hashes(text, k)
-    chosen = winnow(hashes, w)
+    chosen = winnow(hashes, w if len(text) >= DENSE else 1)
+    values = hashes[chosen]
+    if SHORT_K < len(text) < SHORT:
+        short = gram_hashes(text, SHORT_K)
+        values, chosen = np.concatenate((values, short)), np.concatenate((chosen, np.arange(len(short))))
     both = np.empty(len(chosen), _CHOSEN)
-    both["hash"], both["position"] = hashes[chosen], chosen
-    return both.tobytes().hex(), np.unique(hashes[chosen])
+    both["hash"], both["position"] = values, chosen
+    return both.tobytes().hex(), np.unique(values)
 
 
 def parse(text: str) -> list[tuple[int, int]]:
