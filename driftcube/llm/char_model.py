@@ -2,16 +2,21 @@
 
 A character is its code point, so no classes bound what is counted: a gram is
 (ctx, c), the three characters before packed at 21 bits each, and the one that
-follows.  Counts and tables grow with the text and are never gathered.
+follows.  Counts and tables are sharded by gram and context and grow with the
+text: each task adds up its own texts first, and counts, continuation counts,
+contexts and orders are joins of tables.
 
 Documents fall into ``FOLDS`` by a hash of their id, and fold f is scored by
 model f, which is fitted on the trusted documents of the other folds: no
 document is scored by a model that has seen it.  All models are rows of the
 same tables.
 
-For scoring, texts are packed into chunks, one compressed row each, with their
-distinct grams; those meet the tables in joins, and each chunk gets its grams'
-log-probabilities back in order.
+For scoring, the distinct grams of a batch of texts meet the tables.  While
+those have at most ``BROADCAST_GRAMS`` rows, counted before, that join is a
+broadcast one.  Beyond it texts are packed into chunks, one compressed row
+each, whose distinct grams meet the sharded tables in shuffled joins, and each
+chunk gets its grams' log-probabilities back in order.  Both give the same
+numbers, fixed-point rounding included.
 """
 
 from __future__ import annotations
@@ -26,16 +31,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftcube.llm.common import BATCH_ROWS, stage
+from driftcube.llm.common import BATCH_ROWS, stage, with_columns_mapped
 
 #: Order of the model, bits of a character, characters there are, folds.
 ORDER, BITS, ALPHABET, FOLDS = 4, 21, 0x110000, 4
+#: Least discount: whatever the counts of counts say, every seen context leaves something to the order below, so no probability is 0.
+LEAST_CUT = 0.05
+#: Rows of all tables up to which they are broadcast for scoring; beyond it grams are joined by shuffles.
+BROADCAST_GRAMS = 4_000_000
+#: Distinct grams that a counting task holds before it passes them on.
+HELD_GRAMS = 1_000_000
 #: Characters from which on a chunk is closed.
 CHUNK = 4_000_000
 #: Bits of a gram's number in its chunk, and of a fixed-point log-probability: whole nats below 256 and 24 bits of fraction.
 PLACE, FIXED, FRACTION = 26, 32, 24
 
-_PACKED = "chunk long, fold int, blob binary, ctx array<long>, c array<int>, n array<long>"
+_PACKED = "chunk long, fold int, blob binary, ctx array<long>, c array<int>"
 
 
 def fold(doc_id: str) -> Column:
@@ -57,8 +68,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return number, contexts[codes >> BITS], codes & ((1 << BITS) - 1)
 
 
-def pack(docs: DataFrame, text: str, fold_of: Column, counted: bool = False) -> DataFrame:
-    """Chunks of the rows of ``docs``, with the distinct grams of their texts and, if ``counted``, how often each stands there."""
+def pack(docs: DataFrame, text: str, fold_of: Column) -> DataFrame:
+    """Chunks of the rows of ``docs``, with the distinct grams of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,9 +83,9 @@ def pack(docs: DataFrame, text: str, fold_of: Column, counted: bool = False) ->
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_table(rows)
-            number, ctx, c = grams([t or "" for t in rows[text].to_pylist()])
+            _, ctx, c = grams([t or "" for t in rows[text].to_pylist()])
             made += 1
-            values = [(task << 16) + made, f, sink.getvalue().to_pybytes(), ctx, c.astype(np.int32), np.bincount(number, minlength=len(c)) if counted else None]
+            values = [(task << 16) + made, f, sink.getvalue().to_pybytes(), ctx, c.astype(np.int32)]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, arrow.types)], schema=arrow)
 
         for batch in batches:
@@ -94,12 +105,37 @@ def pack(docs: DataFrame, text: str, fold_of: Column, counted: bool = False) ->
     return stage(docs.withColumn("__fold", fold_of).mapInArrow(run, _PACKED), "chunks")
 
 
-def counts(chunks: DataFrame) -> DataFrame:
-    """(model, ctx, c, n) of packed trusted texts: each model counts the other folds."""
-    rows = chunks.select("fold", F.explode(F.arrays_zip("ctx", "c", "n")).alias("g")).select("fold", "g.*")
-    rows = rows.groupBy("fold", "ctx", "c").agg(F.sum("n").alias("n"))
+def counts(docs: DataFrame, text: str, fold_of: Column) -> DataFrame:
+    """(model, ctx, c, n) of trusted texts: each model counts the other folds. Null and empty texts have no grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((4, 0), np.int64)
+        for batch in batches:
+            folds, texts = batch.column(1).to_numpy(), [t or "" for t in batch.column(0).to_pylist()]
+            parts = [held]
+            for f in np.unique(folds).tolist():
+                number, ctx, c = grams([t for t, x in zip(texts, folds) if x == f])
+                parts.append(np.stack((np.full(len(c), f), ctx, c, np.bincount(number, minlength=len(c)))))
+            held = _added(np.concatenate(parts, axis=1))
+            if held.shape[1] > HELD_GRAMS:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["fold", "ctx", "c", "n"])
+                held = held[:, :0]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["fold", "ctx", "c", "n"])
+
+    rows = docs.select(F.col(text).cast("string"), fold_of.alias("fold")).mapInArrow(run, "fold long, ctx long, c long, n long")
+    rows = stage(rows.groupBy("fold", "ctx", "c").agg(F.sum("n").alias("n")), "fold-counts")
     models = F.explode(F.filter(F.sequence(F.lit(0), F.lit(FOLDS - 1)), lambda m: m != F.col("fold")))
-    return stage(rows.select(models.alias("model"), "ctx", "c", "n").groupBy("model", "ctx", "c").agg(F.sum("n").alias("n")), "counts")
+    rows = rows.select(models.alias("model"), "ctx", F.col("c").cast("int").alias("c"), "n")
+    return stage(rows.groupBy("model", "ctx", "c").agg(F.sum("n").alias("n")), "counts")
+
+
+def _added(rows: np.ndarray) -> np.ndarray:
+    """Columns (fold, ctx, c, n) with the counts of equal grams added up."""
+    rows = rows[:, np.lexsort(rows[:3])]
+    if not rows.shape[1]:
+        return rows
+    first = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0))))
+    return np.concatenate((rows[:3, first], np.add.reduceat(rows[3:], first, axis=1)))
 
 
 def _discounts(level: DataFrame) -> Column:
@@ -109,7 +145,7 @@ def _discounts(level: DataFrame) -> Column:
     for m in range(FOLDS):
         n = [found[m][f"n{i}"] if m in found else 0 for i in range(1, 5)]
         y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-        out.append(F.array(*(F.lit(float(min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 * i, 0.0), i))) for i in (1, 2, 3))))
+        out.append(F.array(*(F.lit(float(min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 * i, LEAST_CUT), i))) for i in (1, 2, 3))))
     return F.element_at(F.element_at(F.array(*out), F.col("model") + 1), F.least("n", F.lit(3)).cast("int"))
 
 
@@ -153,13 +189,71 @@ def looked_up(asked: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> Dat
         asked = asked.join(seen.select("model", F.col("ctx").alias(f"ctx{k}"), "c", F.col("p").alias(f"p{k}")), ["model", f"ctx{k}", "c"], "left")
         asked = asked.join(contexts.select("model", F.col("ctx").alias(f"ctx{k}"), F.col("gamma").alias(f"gamma{k}")), ["model", f"ctx{k}"], "left")
         p = F.coalesce(f"p{k}", F.coalesce(f"gamma{k}", F.lit(1.0)) * p)
-    most = float(1 << FIXED - FRACTION) - 1  # for a probability of 0, where no discount was left
-    cost = F.least(F.coalesce(-F.log(p), F.lit(most)), F.lit(most))
-    return asked.select("model", "ctx", "c", F.round(cost * float(1 << FRACTION)).cast("long").alias("cost"))
+    return asked.select("model", "ctx", "c", F.round(-F.log(p) * float(1 << FRACTION)).cast("long").alias("cost"))
 
 
-def with_surprise(chunks: DataFrame, schema: T.StructType, text: str, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """The rows packed into ``chunks`` with ``surprise`` (mean negative log-probability a character, null for an empty text) and ``length``."""
+def with_surprise(docs: DataFrame, text: str, doc_id: str, model: list[tuple[DataFrame, DataFrame]], most: int = BROADCAST_GRAMS) -> DataFrame:
+    """``docs`` with ``surprise`` (mean negative log-probability a character, null for a null or empty text) and ``length``.
+
+    A document's fold is that of its ``doc_id``; of a null id, that of null.
+    ``most`` bounds the rows of the tables that are broadcast.
+    """
+    docs = docs.drop("surprise", "length", "__fold")
+    if sum(seen.count() + contexts.count() for seen, contexts in model) > most:
+        return _by_chunks(pack(docs, text, fold(doc_id)), docs.schema, text, model)
+    sent = docs.sparkSession.sparkContext.broadcast([_arrays(seen.toArrow(), contexts.toArrow()) for seen, contexts in model])  # at most ``most`` rows
+
+    def rows():
+        def batch(structs):
+            texts, folds = [r["text"] or "" for r in structs], np.array([r["fold"] for r in structs], np.int64)
+            lengths = np.array([len(t) for t in texts], np.int64)
+            number, ctx, c = grams(texts)
+            weights = _costs(sent.value, ctx, c)[np.repeat(folds, lengths), number]
+            return _means(weights, lengths), lengths
+
+        return batch
+
+    fields = [T.StructField("surprise", T.DoubleType()), T.StructField("length", T.LongType())]
+    asked = docs.withColumn("__asked", F.struct(F.col(text).cast("string").alias("text"), fold(doc_id).alias("fold")))
+    return with_columns_mapped(asked, fields, rows, "__asked", drop=["__asked"])
+
+
+def _means(weights: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Mean weight of each text, whose characters' weights follow each other; null for an empty one."""
+    sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights, len(lengths)) if len(weights) else np.zeros(len(lengths))
+    return pa.array(sums / np.maximum(lengths, 1), pa.float64(), mask=lengths == 0)
+
+
+def _arrays(seen: pa.Table, contexts: pa.Table) -> tuple[np.ndarray, ...]:
+    """One order's tables as sorted arrays: contexts and their gammas by model; grams, as (place of the context, c), and their probabilities by model."""
+    ctx, places = np.unique(contexts["ctx"].to_numpy(), return_inverse=True)
+    gammas = np.ones((FOLDS, len(ctx)))
+    gammas[contexts["model"].to_numpy(), places] = contexts["gamma"].to_numpy()
+    code = (np.searchsorted(ctx, seen["ctx"].to_numpy()) << BITS) | seen["c"].to_numpy().astype(np.int64)
+    code, places = np.unique(code, return_inverse=True)
+    p = np.full((FOLDS, len(code)), np.nan)
+    p[seen["model"].to_numpy(), places] = seen["p"].to_numpy()
+    return ctx, gammas, code, p
+
+
+def _costs(orders: list[tuple[np.ndarray, ...]], ctx: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cost of each gram by model, as of :func:`looked_up`."""
+    p = np.full((FOLDS, len(c)), 1.0 / ALPHABET)
+    for k, (contexts, gammas, codes, known) in enumerate(orders, 1):
+        if not len(codes):
+            continue
+        short = ctx & ((1 << BITS * (k - 1)) - 1)
+        place = np.minimum(np.searchsorted(contexts, short), len(contexts) - 1)
+        there = contexts[place] == short
+        code = (place << BITS) | c
+        at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        seen = np.where(there & (codes[at] == code), known[:, at], np.nan)
+        p = np.where(np.isnan(seen), np.where(there, gammas[:, place], 1.0) * p, seen)
+    return np.round(-np.log(p) * float(1 << FRACTION)) / float(1 << FRACTION)
+
+
+def _by_chunks(chunks: DataFrame, schema: T.StructType, text: str, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """The rows packed into ``chunks`` with ``surprise`` and ``length``."""
     grams_of = chunks.select("chunk", "fold", F.posexplode(F.arrays_zip("ctx", "c")).alias("i", "g"))
     place = F.shiftleft("chunk", PLACE).bitwiseOR(F.col("i").cast("long")).alias("place")
     asked = grams_of.select(place, F.col("g.ctx").alias("ctx"), (F.shiftleft(F.col("fold").cast("long"), BITS) + F.col("g.c")).alias("end"))  # three longs a row
@@ -180,13 +274,8 @@ def with_surprise(chunks: DataFrame, schema: T.StructType, text: str, model: lis
                 texts = [t or "" for t in table[text].to_pylist()]
                 lengths = np.array([len(t) for t in texts], np.int64)
                 costs = batch.column(1)[i].values
-                sums = np.zeros(len(texts))
-                if costs is not None and len(costs):
-                    known = (costs.to_numpy() & ((1 << FIXED) - 1)) / float(1 << FRACTION)
-                    weights = known[grams(texts)[0]]
-                    sums = np.bincount(np.repeat(np.arange(len(texts)), lengths), weights, len(texts))
-                mean = pa.array(sums / np.maximum(lengths, 1), pa.float64(), mask=lengths == 0)
-                made = table.append_column("surprise", mean).append_column("length", pa.array(lengths)).cast(arrow)
+                known = (costs.to_numpy() & ((1 << FIXED) - 1)) / float(1 << FRACTION) if costs is not None else np.empty(0)
+                made = table.append_column("surprise", _means(known[grams(texts)[0]], lengths)).append_column("length", pa.array(lengths)).cast(arrow)
                 yield from made.combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
 
     return joined.mapInArrow(run, out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,13 +12,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from driftcube.storage import shared_dir, ship, stage
 
-#: Rows of one Arrow batch: a batch of very long texts must fit a Python worker.
-BATCH_ROWS = 256
+#: Rows and bytes of one Arrow batch: a batch of very long texts must fit a Python worker.
+BATCH_ROWS, BATCH_BYTES = 256, "16m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once per application, and bound the Arrow batches."""
+    """Send this package to the executors, once per application, and bound the Arrow batches of its session by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return ship(spark)
 
 
@@ -27,14 +28,15 @@ def with_columns_mapped(
     fields: list[T.StructField],
     rows: Callable[[], Callable[[list], tuple]],
     of: str,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` with ``fields`` made from column ``of`` by ``mapInArrow``.
 
     ``rows()`` runs once per task and gives a function from a batch's values to
-    one list (or Arrow array) per field.  A column of ``df`` named like a field
-    is replaced.
+    one list (or array) per field.  A column of ``df`` named like a field is
+    replaced; those in ``drop`` don't come back from Python.
     """
-    names = {f.name for f in fields}
+    names = {*(f.name for f in fields), *drop}
     kept = [c for c in df.columns if c not in names]
     schema = T.StructType([*(df.schema[c] for c in kept), *fields])
     made = to_arrow_schema(T.StructType(fields))

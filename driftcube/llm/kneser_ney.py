@@ -1,207 +1,100 @@
-"""Quality classifier: interpolated modified Kneser-Ney n-grams of characters.
-
-The classifier's models are those of :mod:`driftcube.llm.char_model`: order 4
-over the characters themselves, from all trusted documents that the labels
-name, cross-fitted.  The small model over ``A`` character classes in this module
-(:func:`count_grams`, :func:`table`) serves no query.
-
-A document's deviation is the distance of its mean log-probability from its
-language's median times the square root of its length, so short texts are not
-judged by chance alone, and texts that are far too predictable (one word over
-and over) stand out like those that are too surprising.  The threshold is a
-quantile of the deviations of all trusted documents of the language, each
-scored by a model that has not seen it.
+"""Quality classifier: perplexity under interpolated modified Kneser-Ney n-grams, between language-specific quantiles.
+
+The models are those of :mod:`driftcube.llm.char_model`: order 4 over the
+characters themselves, from all trusted documents that the labels name,
+cross-fitted, so a trusted document is scored by a model that has not seen it.
+
+A document stays if its perplexity lies between two thresholds.  Those come
+from the trusted documents of its language: their log-perplexities are
+standardized (distance from the language's median, times the square root of
+the length, as a mean over n characters varies with 1 / sqrt(n)), and the
+quantile of these distances, brought back to the document's length, gives the
+lowest and the highest perplexity.  So short texts are not judged by chance
+alone, and texts that are far too predictable (one word over and over) go like
+those that are too surprising.
 """
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-from functools import cache
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftcube.llm import char_model
 from driftcube.llm.common import prepare, stage
 
-#: Order of the class model and number of its character classes.
-ORDER, A = 4, 46
 #: Most trusted ids that are broadcast to pick the texts of the fit; more of them are joined by a shuffle. All are used either way.
 BROADCAST_TRUSTED = 200_000
-#: Quantile of the trusted documents' deviations and the factor on it up to which documents stay.
+#: Quantile of the trusted documents' distances, and the factor on it: up to there documents stay.
 QUANTILE, MARGIN = 0.999, 1.2
 #: Most languages whose thresholds are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
 
-_VOWELS = {"a": 28, "e": 29, "i": 30, "o": 31, "u": 32, "n": 33, "c": 34}
-_MARKS = {".": 39, ",": 40, **dict.fromkeys("-'\"’", 41), **dict.fromkeys("!?", 42), **dict.fromkeys(":;()", 43), **dict.fromkeys("|/\\[]{}<>", 44)}
-
-
-def _class_of(c: str) -> int:
-    if c == "\n":
-        return 1
-    if c.isspace():
-        return 0
-    if "a" <= c <= "z":
-        return 2 + ord(c) - ord("a")
-    if c.islower():
-        base = unicodedata.normalize("NFD", c)[0]
-        return _VOWELS.get(base, 35) if "a" <= base <= "z" else 37
-    if c.isupper():
-        return 36
-    if c.isalpha():
-        return 37
-    if c.isnumeric():
-        return 38
-    return _MARKS.get(c, 45)
-
-
-@cache
-def _classes() -> np.ndarray:
-    return np.array([_class_of(chr(c)) for c in range(0x10000)], np.int64)
-
-
-def grams(text: str) -> np.ndarray:
-    """Code of the n-gram that ends at each character; the text stands behind n - 1 spaces."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.zeros(len(points) + ORDER - 1, np.int64)
-    codes[ORDER - 1 :] = _classes()[np.minimum(points, 0xFFFF)]
-    out = codes[: len(points)].copy()
-    for k in range(1, ORDER):
-        out *= A
-        out += codes[k : k + len(points)]
-    return out
-
 
 def trusted(labels: DataFrame) -> DataFrame:
-    """(doc_id) of all documents labelled good and not toxic; repeated labels must agree on it."""
+    """(doc_id) of all documents labelled good and not toxic; repeated labels must agree on it, null labels count as bad."""
     good = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     good = good.agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
     return good.select("doc_id")
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n) over the texts of ``docs``; a task adds up its own first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(A**ORDER, np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    code, n = np.unique(grams(text), return_counts=True)
-                    total[code] += n
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts of counts 1, 2 and 3 or more, from the numbers of n-grams seen 1 to 4 times."""
-    n = counts.agg(*(F.count_if(F.col("n") == i) for i in range(1, 5))).first()
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
-    return [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 * i, 0.0), float(i)) for i in (1, 2, 3)]
-
-
-def probabilities(counts: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
-    """For each order from 1: (gram, p) of the n-grams seen, and (context, gamma) of their contexts.
-
-    The highest order has counts, lower ones continuation counts: of how many
-    different characters they were seen behind.  Each order is the join of its
-    counts with its contexts' sums and with the order below.
-    """
-    levels = [counts]
-    for k in range(ORDER - 1, 0, -1):
-        levels.insert(0, levels[0].groupBy((F.col("gram") % A**k).alias("gram")).agg(F.count("*").alias("n")))
-    seen, contexts, below = [], [], None
-    for k, level in enumerate(levels, 1):
-        d = _discounts(level)
-        level = level.withColumn("context", F.floor(F.col("gram") / A).cast("long"))
-        kind = F.least("n", F.lit(3))
-        cut: Column = F.element_at(F.array(*map(F.lit, d)), kind.cast("int"))
-        sums = level.groupBy("context").agg(F.sum("n").alias("all"), F.sum(cut).alias("free"))
-        context = sums.select("context", "all", (F.col("free") / F.col("all")).alias("gamma"))
-        joined = level.withColumn("cut", cut).join(context, "context").withColumn("suffix", F.col("gram") % A ** (k - 1))
-        if below is None:
-            lower = F.lit(1.0 / A)
-        else:
-            joined = joined.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("lower")), "suffix")
-            lower = F.col("lower")
-        below = stage(joined.select("gram", ((F.col("n") - F.col("cut")) / F.col("all") + F.col("gamma") * lower).alias("p")), f"p{k}")
-        seen.append(below)
-        contexts.append(context.select("context", "gamma"))
-    return seen, contexts
-
-
-def table(counts: DataFrame) -> np.ndarray:
-    """Log-probability of each of the A**4 n-grams; what was not seen backs off to its suffix."""
-    p = np.full(A, 1.0 / A)
-    for k, (seen, context) in enumerate(zip(*probabilities(counts)), 1):
-        gamma = np.ones(A ** (k - 1))
-        rows = context.toArrow()  # at most A**3 rows
-        gamma[rows["context"].to_numpy()] = rows["gamma"].to_numpy()
-        if k > 1:
-            p = np.tile(p, A)
-        p = p * np.repeat(gamma, A)
-        rows = seen.toArrow()  # at most A**4 rows
-        p[rows["gram"].to_numpy()] = rows["p"].to_numpy()
-    return np.log(p).astype(np.float32)
-
-
-def _deviation(median: str = "median") -> Column:
+def _distance(median: str) -> Column:
     return F.abs(F.col("surprise") - F.col(median)) * F.sqrt("length")
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
-    """(lang, median, threshold) from trusted (lang, surprise, length), a null language as an empty one, and one row (median, threshold) of all.
+    """(lang, median, limit) from trusted (lang, surprise, length), a null language as an empty one, and one row (median, limit) of all.
 
-    One rule for every language and for all together: the threshold is the
-    quantile of the deviations from the median, times ``margin``.
+    One rule for every language and for all together: the limit is the
+    quantile of the standardized distances from the median, times ``margin``.
     """
     scored = stage(scored.where("surprise is not null").select(F.coalesce("lang", F.lit("")).alias("lang"), "surprise", "length"), "trusted-scores")
     middle, limit = F.percentile_approx("surprise", 0.5, 10_000), F.percentile_approx("d", quantile, 100_000) * margin
     medians = scored.groupBy("lang").agg(middle.alias("median"))
     few = medians.count() <= BROADCAST_LANGUAGES
-    off = scored.join(F.broadcast(medians) if few else medians, "lang").select("lang", "median", _deviation().alias("d"))
-    own = off.groupBy("lang").agg(F.first("median").alias("median"), limit.alias("threshold"))
-    every = scored.crossJoin(F.broadcast(scored.agg(middle.alias("median")))).select("median", _deviation().alias("d"))  # one row
-    return stage(own, "thresholds"), stage(every.agg(F.first("median").alias("median"), limit.alias("threshold")), "pooled")
+    off = scored.join(F.broadcast(medians) if few else medians, "lang").select("lang", "median", _distance("median").alias("d"))
+    own = off.groupBy("lang").agg(F.first("median").alias("median"), limit.alias("limit"))
+    every = scored.crossJoin(F.broadcast(scored.agg(middle.alias("median")))).select("median", _distance("median").alias("d"))  # one row
+    return stage(own, "thresholds"), stage(every.agg(F.first("median").alias("median"), limit.alias("limit")), "pooled")
 
 
 class Classifier:
-    """The fitted models, and thresholds by language from all trusted documents, each scored by the model without its fold."""
+    """The fitted models, and thresholds by language from all trusted documents, each scored by the model without its fold.
+
+    Repeated rows of a trusted document are fitted and scored each; labels
+    without a document and documents without a label do no harm.  Without any
+    trusted text nothing is judged and every document stays.  Long texts are
+    read whole, in Arrow batches of bounded rows and bytes.
+    """
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame):
-        """Fit on the documents that ``labels`` (doc_id, quality, toxic) names as good."""
+    def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame, most_grams: int = char_model.BROADCAST_GRAMS):
+        """Fit on the documents that ``labels`` (doc_id, quality, toxic) names as good; ``most_grams`` bounds what is broadcast for scoring."""
         prepare(spark)
+        self.most = most_grams
         known = stage(trusted(labels).select(F.col("doc_id").alias("__id")), "trusted")
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
         rows = rows.join(F.broadcast(known) if known.count() <= BROADCAST_TRUSTED else known, F.col("doc_id") == F.col("__id")).drop("__id")
-        chunks = char_model.pack(rows, "text", char_model.fold("doc_id"), counted=True)
-        self.model = char_model.tables(char_model.counts(chunks))
-        self.limits, self.pooled = thresholds(char_model.with_surprise(chunks, rows.schema, "text", self.model))
+        self.model = char_model.tables(char_model.counts(rows, "text", char_model.fold("doc_id")))
+        self.limits, self.pooled = thresholds(char_model.with_surprise(rows, "text", "doc_id", self.model, self.most))
         self.few = self.limits.count() <= BROADCAST_LANGUAGES
 
     def judged(self, docs: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", pooled: bool = False) -> DataFrame:
-        """``docs`` with surprise, length, perplexity, deviation, threshold and keep; columns so named are replaced.
+        """``docs`` with surprise, length, perplexity, lowest, highest and keep; columns so named are replaced.
 
-        Documents whose deviation is above their language's threshold are not
-        kept.  Documents of a language without trusted documents are judged by
-        the median and threshold of all languages if ``pooled``, else they stay.
-        Null and empty texts have no perplexity and stay.
+        Documents whose perplexity is below ``lowest`` or above ``highest`` are
+        not kept.  Documents of a language without trusted documents are judged
+        by the median and limit of all languages if ``pooled``, else they stay.
+        Null and empty texts have no perplexity and stay.  Repeated rows and
+        rows without an id are judged each; an empty table gives an empty one.
         """
-        made = ["surprise", "length", "perplexity", "deviation", "threshold", "keep", "median"]
-        docs = docs.drop(*made)
-        scored = char_model.with_surprise(char_model.pack(docs, text, char_model.fold(doc_id)), docs.schema, text, self.model)
-        own = self.limits.select(F.col("lang").alias("__lang"), F.col("median").alias("__m"), F.col("threshold").alias("__t"))
+        docs = docs.drop("surprise", "length", "perplexity", "lowest", "highest", "keep")
+        scored = char_model.with_surprise(docs, text, doc_id, self.model, self.most)
+        own = self.limits.select(F.col("lang").alias("__lang"), F.col("median").alias("__m"), F.col("limit").alias("__t"))
         scored = scored.join(F.broadcast(own) if self.few else own, F.coalesce(F.col(lang), F.lit("")) == F.col("__lang"), "left")
         if pooled:
-            every = self.pooled.select(F.col("median").alias("__every_m"), F.col("threshold").alias("__every_t"))
+            every = self.pooled.select(F.col("median").alias("__every_m"), F.col("limit").alias("__every_t"))
             scored = scored.crossJoin(F.broadcast(every))  # one row
             scored = scored.withColumns({"__m": F.coalesce("__m", "__every_m"), "__t": F.coalesce("__t", "__every_t")}).drop("__every_m", "__every_t")
-        scored = scored.withColumns({"threshold": F.col("__t"), "perplexity": F.exp("surprise"), "deviation": _deviation("__m")})
-        keep = F.coalesce(F.col("deviation") <= F.col("threshold"), F.lit(True))
+        off = F.when(F.col("length") > 0, F.col("__t") / F.sqrt("length"))
+        scored = scored.withColumns({"perplexity": F.exp("surprise"), "lowest": F.exp(F.col("__m") - off), "highest": F.exp(F.col("__m") + off)})
+        keep = F.coalesce(F.col("perplexity").between(F.col("lowest"), F.col("highest")), F.lit(True))
         return scored.withColumn("keep", keep).drop("__lang", "__m", "__t")

@@ -83,7 +83,7 @@ def op8_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
     model = kneser_ney.Classifier(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return model.judged(docs, pooled=True).select("doc_id", "lang", "length", "perplexity", "deviation", "threshold", "keep")
+    return model.judged(docs, pooled=True).select("doc_id", "lang", "length", "perplexity", "lowest", "highest", "keep")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,44 +264,6 @@ def test_top_k(spark):
     assert [(r["vec_id"], r["score"]) for r in topk.top_k(huge, huge.where("vec_id = 1")).collect()] == [(2, 256 * 256 * 130 * 10**9), (3, 256 * 256 * (-10) * 10**9)]
 
 
-def by_hand_kneser_ney(codes):
-    """Interpolated modified Kneser-Ney over tuples, by the textbook's recursion."""
-    n, a = kneser_ney.ORDER, kneser_ney.A
-    counts = {n: Counter(codes)}
-    for k in range(n - 1, 0, -1):
-        counts[k] = Counter(g[1:] for g in counts[k + 1])
-    cut = {}
-    for k in counts:
-        m = [sum(1 for c in counts[k].values() if c == i) for i in range(1, 5)]
-        y = m[0] / (m[0] + 2 * m[1]) if m[0] else 0.5
-        cut[k] = [min(max(i - (i + 1) * y * m[i] / m[i - 1] if m[i - 1] else 0.5 * i, 0.0), i) for i in (1, 2, 3)]
-
-    def p(gram):
-        k = len(gram)
-        if k == 0:
-            return 1 / a
-        seen = {g: c for g, c in counts[k].items() if g[:-1] == gram[:-1]}
-        if not seen:
-            return p(gram[1:])
-        d = lambda c: cut[k][min(c, 3) - 1]
-        total, c = sum(seen.values()), seen.get(gram, 0)
-        return ((c - d(c)) if c else 0.0) / total + sum(map(d, seen.values())) / total * p(gram[1:])
-
-    return p
-
-
-def test_kneser_ney(spark):
-    texts = ["abra cadabra, abra.", "Barbara ran!", None, "", "aaaa bbb"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string")
-    logs = kneser_ney.table(kneser_ney.count_grams(df))
-    assert np.allclose(np.exp(logs.astype(float)).reshape(-1, kneser_ney.A).sum(axis=1), 1, atol=1e-4)
-    split = lambda g: tuple(int(g) // kneser_ney.A**i % kneser_ney.A for i in range(3, -1, -1))
-    p = by_hand_kneser_ney([split(g) for t in texts if t for g in kneser_ney.grams(t)])
-    for t in ["abra", "Bar zz", "q!"]:
-        for g in kneser_ney.grams(t):
-            assert np.exp(logs[g]) == pytest.approx(p(split(g)), rel=1e-4)
-
-
 def test_classifier(spark):
     draw = random.Random(6)
     vocabulary = ["the", "river", "runs", "over", "old", "stones", "and", "under", "trees"]
