@@ -6,10 +6,13 @@ query's k-th highest score: a bin is found from the top, then refined, until
 bins are one score wide.  A last pass keeps the scores above it, and of those
 that tie with it the smallest ids.
 
-A task sends only the bins that hold the k highest of its own scores: the k-th
-of all scores is never below that, so no lower bin matters.  Queries go in
-blocks of bounded size, each one a broadcast; a block's bins come back to the
-driver as one row a query.
+Candidates are packed into chunks and queries into blocks, a row each.  Chunks
+are dealt to groups of bounded size and every block goes to every group, so a
+pass is one join over (block, chunk), whose rows are scored as they stream by;
+the number of jobs does not depend on the number of queries, and nothing
+reaches the driver but counts of chunks.  A task sends only the bins that hold
+the k highest of its own scores: the k-th of all scores is never below that, so
+no lower bin matters.
 """
 
 from __future__ import annotations
@@ -22,11 +25,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftcube.llm.common import prepare
+from driftcube.llm.common import prepare, stage
 
-#: Production parameters: results of a query, scale of components, queries of a block, bits of a bin's width by pass.
-K, SCALE, BLOCK, SHIFTS = 5, 256, 1024, (16, 8, 0)
-_EXACT = 2**53
+#: Production parameters: results of a query, scale of components, queries of a block, candidates of a chunk, bits of a bin's width by pass.
+K, SCALE, BLOCK, CHUNK, SHIFTS = 5, 256, 1024, 2048, (16, 8, 0)
+#: Chunks that the groups have at most on average: what a task of the join holds while blocks stream by.
+GROUP = 16
+#: Blocks for which a task holds histograms before it sends them.
+HELD = 64
+_EXACT, _MOST = 2**53, 2**63
 
 
 def _vectors(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -54,21 +61,13 @@ def _scores(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     if most < _EXACT:
         return (queries @ candidates.T).astype(np.int64)
     whole = np.frompyfunc(int, 1, 1)
-    return np.clip(whole(queries) @ whole(candidates).T, -(2**62), 2**62).astype(np.int64)
+    scores = whole(queries) @ whole(candidates).T
+    if scores.size and np.abs(scores).max() >= _MOST:
+        raise OverflowError("an inner product does not fit a long")
+    return scores.astype(np.int64)
 
 
-_NONE = -(2**63)
-
-
-def _scored(block: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(query rows, candidate ids, scores) for each batch and vector length; a query's own row scores _NONE."""
-    for batch in batches:
-        for ids, matrix in _vectors(batch):
-            if matrix.shape[1] in block:
-                rows, query_ids, queries = block[matrix.shape[1]]
-                scores = _scores(queries, matrix)
-                scores[query_ids[:, None] == ids[None, :]] = _NONE
-                yield rows, ids, scores
+_NONE = -_MOST
 
 
 def _highest(scores: np.ndarray, k: int) -> np.ndarray:
@@ -96,91 +95,117 @@ def _add(held: tuple | None, rows: np.ndarray, bins: np.ndarray, need: np.ndarra
     return rows[keep], bins[keep], weight[keep]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def _packed(vectors: DataFrame, most: int, name: str) -> DataFrame:
+    """(no, length, ids, matrix) of the (vec_id, embedding) rows that take part: at most ``most`` vectors of one length a row, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def closed(length: int, keep: int) -> Iterator[pa.RecordBatch]:
+            ids, matrix = (np.concatenate(x) for x in zip(*held[length]))
+            while len(ids) > keep:
+                row = length, ids[:most].tobytes(), matrix[:most].tobytes()
+                ids, matrix = ids[most:], matrix[most:]
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary())], names=["length", "ids", "matrix"])
+            held[length] = [(ids, matrix)]
+
+        for batch in batches:
+            for ids, matrix in _vectors(batch):
+                held.setdefault(matrix.shape[1], []).append((ids, matrix))
+                if sum(len(x[0]) for x in held[matrix.shape[1]]) >= most:
+                    yield from closed(matrix.shape[1], most - 1)
+        for length in list(held):
+            yield from closed(length, 0)
+
+    rows = vectors.mapInArrow(run, "length int, ids binary, matrix binary")
+    return stage(rows.withColumn("no", F.monotonically_increasing_id()), name)
+
+
+_STATE = "array<struct<q:int,need:long,low:long,high:long>>"
+
+
+def _pairs(rows: pa.RecordBatch, k: int) -> Iterator[tuple]:
+    """(block, query ids, need, low, high, candidate ids, scores) of each row of the join; a query's own id scores _NONE."""
+    for r in range(rows.num_rows):
+        block, length, state = (rows.column(c)[r].as_py() for c in ("block", "length", "state"))
+        read = lambda name, kind: np.frombuffer(rows.column(name)[r].as_buffer(), kind)  # noqa: B023, E731
+        names, ids = read("query_ids", np.int64), read("ids", np.int64)
+        queries, matrix = (read(c, np.float64).reshape(n, length) for c, n in (("query_matrix", len(names)), ("matrix", len(ids))))
+        need, low, high = np.full(len(names), k), np.full(len(names), _NONE), np.full(len(names), _MOST - 1)  # the k-th score lies in [low, high]
+        if state:
+            q = [x["q"] for x in state]
+            need[q], low[q], high[q] = ([x[c] for x in state] for c in ("need", "low", "high"))
+        scores = _scores(queries, matrix)
+        scores[names[:, None] == ids[None, :]] = _NONE
+        yield block, names, need, low, high, ids, scores
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products over ``vectors``.
 
     Components become floor(256 * x).  Candidates are all rows but those with
     the query's own id; ties go to the smaller id, and a query with fewer
     candidates gets all.  Rows that are null, have a null id, or hold a null or
-    non-finite component take no part; only vectors of equal length are scored.
-    Rows of ``vectors`` that repeat an id are candidates of their own; a query
-    id that repeats counts once, with its smallest vector.  Scores are kept
-    within 2**62 either way.  Other columns are left out.
+    non-finite component take no part, neither as queries nor as candidates;
+    only vectors of equal length are scored.  Rows that repeat an id are
+    queries and candidates of their own, so such a query has k results for each
+    of its rows.  A score that does not fit a long is an error.  Other columns
+    are left out; without queries or candidates the result is empty.
     """
     spark = prepare(vectors.sparkSession)
-    candidates = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    asked = queries.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull()).groupBy(F.col(vec_id).cast("long").alias("vec_id")).agg(F.min(embedding).alias("embedding"))
-    blocks = max(1, -(-asked.count() // block))
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    out = None
-    for b in range(blocks):  # a stated query set against all rows, in blocks
-        found = _block(spark, candidates, asked.where(part == b).toArrow(), k)
-        out = found if out is None else out.union(found)
-    return out
-
-
-def _block(spark, candidates: DataFrame, asked: pa.Table, k: int) -> DataFrame:
-    by_length: dict[int, list] = {}
-    ids: list[int] = []
-    for batch in asked.to_batches():
-        for own, matrix in _vectors(batch):
-            by_length.setdefault(matrix.shape[1], []).append((np.arange(len(ids), len(ids) + len(own)), own, matrix))
-            ids += own.tolist()
-    block = {n: tuple(np.concatenate(x) for x in zip(*parts)) for n, parts in by_length.items()}
-    sent, n = spark.sparkContext.broadcast(block), len(ids)
-    need, low, high = np.full(n, k), np.full(n, _NONE), np.full(n, 2**63 - 1)  # the k-th score lies in [low, high]
+    shape = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
+    chunks, blocks = _packed(shape(vectors), chunk, "chunks"), _packed(shape(queries), block, "blocks")
+    groups = max(2 * spark.sparkContext.defaultParallelism, -(-chunks.count() // GROUP))
+    chunks = chunks.select("length", "ids", "matrix", F.pmod("no", F.lit(groups)).cast("int").alias("g"))
+    blocks = blocks.select(F.col("no").alias("block"), "length", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+
+    def joined(state: DataFrame | None) -> DataFrame:
+        asked = blocks.withColumn("state", F.lit(None).cast(_STATE)) if state is None else blocks.join(state, "block", "left")
+        asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        return asked.join(chunks, ["length", "g"])  # blocks stream by, a group's chunks are held
+
+    state = None
     for shift in SHIFTS:
-        state = spark.sparkContext.broadcast((need, low, high))
-
-        def histogram(batches: Iterator[pa.RecordBatch], shift=shift, state=state) -> Iterator[pa.RecordBatch]:
-            need, low, high = state.value
-            held = None
-            for rows, _, scores in _scored(sent.value, batches):
-                inside = (scores >= low[rows][:, None]) & (scores <= high[rows][:, None]) & (scores != _NONE)
-                inside &= scores >= _highest(np.where(inside, scores, _NONE), k)[:, None]
-                r, c = np.nonzero(inside)
-                held = _add(held, rows[r], scores[r, c] >> shift, need)
-            if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in held], names=["q", "bin", "n"])
-
-        counts = candidates.mapInArrow(histogram, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-        above = F.coalesce(F.sum("n").over(Window.partitionBy("q").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        if not n:
-            break
-        needs = spark.createDataFrame(pa.table({"q": np.arange(n), "need": need}))
-        located = counts.withColumn("above", above).join(needs, "q").where("above < need and above + n >= need")
-        done = np.zeros(n, bool)
-        for q, bin_, above_ in located.select("q", "bin", "above").toArrow().to_pandas().itertuples(index=False):  # a row a query of the block
-            need[q] -= above_
-            low[q], high[q], done[q] = bin_ << shift, ((bin_ + 1) << shift) - 1, True
-        need[~done], low[~done], high[~done] = k, _NONE, 2**63 - 1  # fewer than k candidates: all are results
-    limits = spark.sparkContext.broadcast(low)
-    names = np.array(ids, np.int64)
+
+        def histogram(batches: Iterator[pa.RecordBatch], shift=shift) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple] = {}
+
+            def sent() -> Iterator[pa.RecordBatch]:
+                for number, (need, found) in held.items():
+                    q, bins, n = found
+                    columns = [np.full(len(q), number), q, need[q], bins, n]
+                    yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["block", "q", "need", "bin", "n"])
+                held.clear()
+
+            for batch in batches:
+                for number, _, need, low, high, _, scores in _pairs(batch, k):
+                    inside = (scores >= low[:, None]) & (scores <= high[:, None]) & (scores != _NONE)
+                    inside &= scores >= _highest(np.where(inside, scores, _NONE), k)[:, None]
+                    r, c = np.nonzero(inside)
+                    held[number] = need, _add(held[number][1] if number in held else None, r, scores[r, c] >> shift, need)
+                    if len(held) > HELD:
+                        yield from sent()
+            yield from sent()
+
+        counts = joined(state).mapInArrow(histogram, "block long, q long, need long, bin long, n long").groupBy("block", "q", "need", "bin").agg(F.sum("n").alias("n"))
+        above = F.coalesce(F.sum("n").over(Window.partitionBy("block", "q").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        located = counts.withColumn("above", above).where("above < need and above + n >= need")
+        low = F.shiftleft("bin", shift)
+        entry = F.struct(F.col("q").cast("int").alias("q"), (F.col("need") - F.col("above")).alias("need"), low.alias("low"), (low + ((1 << shift) - 1)).alias("high"))
+        state = stage(located.groupBy("block").agg(F.collect_list(entry).alias("state")), "located")  # an entry a query of the block; none where all candidates are results
 
     def select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ties: dict[int, list[int]] = {}
-        limit = limits.value
-        for rows, own, scores in _scored(sent.value, batches):
-            r, c = np.nonzero((scores > limit[rows][:, None]) & (scores != _NONE))
-            yield _hits(names[rows[r]], own[c], scores[r, c])
-            r, c = np.nonzero((scores == limit[rows][:, None]) & (scores != _NONE))
-            order = np.lexsort((own[c], r))
-            r, c = r[order], c[order]
-            first = np.searchsorted(r, r)
-            nearest = np.arange(len(r)) - first < k  # of each row the k smallest ids
-            for q, v in zip(rows[r[nearest]].tolist(), own[c[nearest]].tolist()):
-                ties.setdefault(q, []).append(v)
-                if len(ties[q]) > 8 * k:
-                    ties[q] = sorted(ties[q])[:k]
-        flat = [(q, v) for q, vs in ties.items() for v in sorted(vs)[:k]]
-        if flat:
-            q, v = np.array(flat, np.int64).T
-            yield _hits(names[q], v, limit[q])
-
-    hits = candidates.mapInArrow(select, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+        for batch in batches:
+            for number, names, _, low, _, ids, scores in _pairs(batch, k):
+                r, c = np.nonzero((scores > low[:, None]) & (scores != _NONE))
+                ties, at = np.nonzero((scores == low[:, None]) & (scores != _NONE))
+                order = np.lexsort((ids[at], ties))
+                ties, at = ties[order], at[order]
+                nearest = np.arange(len(ties)) - np.searchsorted(ties, ties) < k  # of each query the k smallest ids
+                r, c = np.concatenate((r, ties[nearest])), np.concatenate((c, at[nearest]))
+                columns = [np.full(len(r), number), r, names[r], ids[c], scores[r, c]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], names=["block", "q", "query_id", "vec_id", "score"])
+
+    hits = joined(state).mapInArrow(select, "block long, q long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("block", "q").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _hits(query_ids: np.ndarray, vec_ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (query_ids, vec_ids, scores)], names=["query_id", "vec_id", "score"])
