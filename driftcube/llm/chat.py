@@ -1,15 +1,13 @@
 """Chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example of its own: all preceding turns are its
-context and only that reply is trainable.  A turn is written as
+Every assistant turn is exploded into an example of its own: all preceding
+turns are its context and only that reply is trainable.  A turn is written as
 
     <|im_start|>role NEWLINE text<|im_end|> NEWLINE
 
 with ``&`` and ``<|`` inside texts (and line breaks inside roles) escaped, so
 control strings in a text cannot end a turn and everything can be read back.
-The examples of a conversation are prefixes of one formatted text; they are
-kept as that text and the ends and loss spans of the examples, and written out
-in full by :func:`expanded`.  All of it is DataFrame expressions.
+All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -37,77 +35,60 @@ def _unrole(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("&nl;"), F.lit("\n")), F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
 
 
-def formatted(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, formatted, examples), a row a conversation.
+def written(turn: Column) -> Column:
+    """A turn (role, text) in the template."""
+    return F.concat(F.lit(START), _role(turn["role"]), F.lit("\n"), escaped(turn["text"]), F.lit(END))
 
-    examples: array of (target, end, loss_start, loss_end), one for each
-    assistant turn: its 0-based index among the turns, and offsets in code
-    points of the formatted text, ends exclusive; the example's text is the
-    formatted text up to ``end``.  A conversation without an assistant turn has
-    none, and turns behind the last one are context of none, but both are in
-    the formatted text.
+
+def expanded(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv_id, lone, target, closes, text, loss_start, loss_end), a row an example.
+
+    target is the 0-based index of the assistant turn that the example trains,
+    text the conversation up to its end, and the loss span the code points of
+    the reply in that text, its end exclusive.  Turns behind the last assistant
+    turn are context of no example; they follow in a last row of the whole
+    conversation with a null loss span, and so does a conversation without an
+    assistant turn.  ``closes`` marks the row that holds the whole conversation.
 
     Rows go by turn (null first), then role and text; repeated rows are turns
-    of their own; null roles and texts count as empty; rows with a null
-    conv_id are one conversation.  Other columns are left out.
+    of their own, a repeated turn number too; null roles and texts count as
+    empty.  A row with a null conv_id belongs to no known conversation and is
+    one of its own, told apart by ``lone``, which is null elsewhere.  Other
+    columns are left out, an empty table gives an empty result.  A conversation
+    is one training text, so its turns meet in one row; its examples together
+    are as long as the method makes them, in proportion to turns times length,
+    and are made behind the shuffle.
     """
-    written = F.concat(F.lit(START), _role(F.coalesce(F.col(role), F.lit(""))), F.lit("\n"), escaped(F.coalesce(F.col(text), F.lit(""))), F.lit(END))
-    rows = conversations.select(
-        F.col(conv_id).alias("conv_id"),
-        F.struct(
-            F.col(turn).alias("turn"),
-            F.coalesce(F.col(role), F.lit("")).alias("role"),
-            F.coalesce(F.col(text), F.lit("")).alias("text"),
-            written.alias("written"),
-            (F.length(written)).alias("chars"),
-            F.length(_role(F.coalesce(F.col(role), F.lit("")))).alias("role_chars"),
-        ).alias("t"),
-    )
-    # a conversation is one training text: its turns meet in one row by definition
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    whole = turns.select(
-        "conv_id", F.array_join(F.transform("turns", lambda t: t["written"]), "").alias("formatted"), F.transform(
-            "turns", lambda t: F.struct(t["role"].alias("role"), t["chars"].cast("long").alias("chars"), t["role_chars"].cast("long").alias("role_chars"))
-        ).alias("turns")
-    )
-    none = F.array().cast("array<struct<target:long,end:long,loss_start:long,loss_end:long>>")
-
-    def add(state: Column, t: Column) -> Column:
-        end = state["end"] + t["chars"]
-        example = F.struct(
-            state["n"].alias("target"), end.alias("end"), (state["end"] + len(START) + t["role_chars"] + 1).alias("loss_start"), (end - len(END)).alias("loss_end")
-        )
-        examples = F.when(t["role"] == TARGET_ROLE, F.array_append(state["examples"], example)).otherwise(state["examples"])
-        return F.struct((state["n"] + 1).alias("n"), end.alias("end"), examples.alias("examples"))
-
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"), none.alias("examples"))
-    return whole.select("conv_id", "formatted", F.aggregate("turns", start, add)["examples"].alias("examples"))
-
-
-def expanded(of: DataFrame) -> DataFrame:
-    """(conv_id, target, text, loss_start, loss_end): the examples of :func:`formatted` written out, one a row."""
-    rows = of.select("conv_id", "formatted", F.explode("examples").alias("e"))
-    text = F.substring(F.col("formatted"), F.lit(1), F.col("e.end").cast("int"))
-    return rows.select("conv_id", "e.target", text.alias("text"), "e.loss_start", "e.loss_end")
-
-
-def read_back(of: DataFrame) -> DataFrame:
-    """(conv_id, turns, losses) parsed from the output of :func:`formatted`.
-
-    turns: array of (role, text) from the formatted text alone; losses: what
-    stands under each example's loss mask, unescaped.
+    one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = conversations.select(F.col(conv_id).alias("conv_id"), F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id()).alias("lone"), one.alias("t"))
+    turns = rows.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    rows = turns.select("conv_id", "lone", "turns", F.posexplode("turns").alias("target", "t"))
+    trains, closes = F.col("t.role") == TARGET_ROLE, F.col("target") == F.size("turns") - 1
+    rows = rows.where(trains | closes).select("conv_id", "lone", "target", closes.alias("closes"), "t", F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("target") + 1), written), "").alias("text"))
+    end = F.length("text") - len(END)
+    start = end - F.length(escaped(F.col("t.text")))
+    return rows.select("conv_id", "lone", "target", "closes", "text", F.when(trains, start).alias("loss_start"), F.when(trains, end).alias("loss_end"))
+
+
+def read_back(examples: DataFrame) -> DataFrame:
+    """(conv_id, turns, losses, chars) parsed from the output of :func:`expanded`, a row a conversation.
+
+    turns: array of (role, text) from the text of the row that closes the
+    conversation; losses: what stands under the loss mask of each example in
+    that example's own text, unescaped, in order; chars: code points of all
+    rows' texts.  The rows lie by conversation already, so they are not
+    shuffled again.
     """
-    pieces = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda p: p != "")
+    loss = unescaped(F.substring(F.col("text"), F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
+    one = F.struct("target", loss.alias("loss"), F.when(F.col("closes"), F.col("text")).alias("whole"))
+    rows = examples.select("conv_id", "lone", F.length("text").cast("long").alias("chars"), one.alias("e"))
+    found = rows.groupBy("conv_id", "lone").agg(F.sort_array(F.collect_list("e")).alias("e"), F.sum("chars").alias("chars"))
+    whole = F.element_at(F.col("e"), -1)["whole"]
+    pieces = F.filter(F.split(whole, r"<\|im_end\|>\n", -1), lambda p: p != "")
 
     def parse(piece: Column) -> Column:
         body = F.substring(piece, F.lit(len(START) + 1), F.length(piece))
         role = F.substring_index(body, "\n", 1)
-        return F.struct(
-            _unrole(role).alias("role"), unescaped(F.substring(body, F.length(role) + 2, F.length(body))).alias("text")
-        )
-
-    masked = F.transform(
-        "examples",
-        lambda e: unescaped(F.substring(F.col("formatted"), (e["loss_start"] + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int"))),
-    )
-    return of.select("conv_id", F.transform(pieces, parse).alias("turns"), masked.alias("losses"), "formatted", "examples")
+        return F.struct(_unrole(role).alias("role"), unescaped(F.substring(body, F.length(role) + 2, F.length(body))).alias("text"))
+
+    return found.select("conv_id", F.transform(pieces, parse).alias("turns"), F.array_compact(F.transform("e", lambda e: e["loss"])).alias("losses"), "chars")

@@ -58,6 +58,11 @@ def text_of(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def text_key(column: str = "text") -> F.Column:
+    """A hash by which equal texts meet; a null text counts as empty."""
+    return F.xxhash64(text_of(column))
+
+
 def with_running_sum(df: DataFrame, keys: list[str], order: list, value: Column | str, bucket: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows of equal ``keys`` before a row, by (bucket, order).
 
@@ -79,4 +84,4 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list, value: Column
     return joined.drop("__b", "__p", "__before", "__inner", *(f"__k_{k}" for k in keys))
 
 
-__all__ = ["prepare", "shared_dir", "stage", "text_of", "with_columns_mapped", "with_running_sum"]
+__all__ = ["prepare", "shared_dir", "stage", "text_key", "text_of", "with_columns_mapped", "with_running_sum"]

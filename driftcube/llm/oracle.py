@@ -36,15 +36,17 @@ def _op1() -> str:
     listed = "string_agg(kind || ':' || start_at || ':' || end_at, ',' ORDER BY start_at, kind_no, end_at)"
     counts = ", ".join(f"count(*) FILTER (kind_no = {i}) AS n_{x}" for i, x in enumerate(names[:-1]))
     return f"""
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_no, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, doc_id, to_json([source])::VARCHAR AS owner, to_json([source, lang])::VARCHAR AS repository, coalesce(text, '') AS text FROM documents),
 hits AS MATERIALIZED (
-    SELECT row_no, doc_id, owner, kind_no, CASE kind_no {case} END AS kind, start_at, start_at + chars AS end_at, value
+    SELECT row_no, doc_id, owner, repository, text, kind_no, CASE kind_no {case} END AS kind, start_at, start_at + chars AS end_at, value
     FROM ({found}) JOIN d USING (row_no) WHERE {least} OR ({owned})),
-owners AS (SELECT value, count(DISTINCT owner) AS owners FROM hits GROUP BY value),
-kept AS (SELECT hits.*, owners FROM hits JOIN owners USING (value) WHERE kind_no < {n} OR owners < {secrets.WIDE_OWNERS}),
+-- copies of one text count once
+holders AS (SELECT value, text, min({{'o': owner, 'r': repository}}) AS h FROM hits GROUP BY value, text),
+owners AS (SELECT value, count(DISTINCT h.o) AS owners, count(DISTINCT h.r) AS repositories FROM holders GROUP BY value),
+kept AS (SELECT hits.*, owners < {secrets.WIDE_OWNERS} OR repositories < {secrets.WIDE_REPOSITORIES} AS live FROM hits JOIN owners USING (value)),
 per AS (
-    SELECT row_no, {counts}, {listed} AS spans, coalesce({listed.replace("ORDER BY start_at, kind_no, end_at)", "ORDER BY start_at, kind_no, end_at) FILTER (kind_no < " + str(n) + ")")}, '') AS base,
-           count(*) FILTER (owners < {secrets.WIDE_OWNERS}) AS n_live
+    SELECT row_no, {counts}, {listed} AS spans, coalesce({listed} FILTER (kind_no < {n}), '') AS base, count(*) FILTER (live) AS n_live
     FROM kept GROUP BY row_no)
 SELECT doc_id, {", ".join(f"coalesce(n_{x}, 0) AS n_{x}" for x in names[:-1])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
 FROM d LEFT JOIN per USING (row_no)"""
@@ -76,22 +78,27 @@ SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(siz
 
 _OP7 = r"""
 WITH t AS (
-    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-e AS (SELECT *, replace(replace(text, '&', '&amp;'), '<|', '&lt;|') AS body, replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;') AS head FROM t)
-SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, NULL, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, NULL, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (
+    SELECT *, row_number() OVER w AS no, count(*) OVER (PARTITION BY conv_id, lone) AS n_turns,
+           sum(length('<|im_start|>') + length(replace(replace(replace(role, '&', '&amp;'), '<|', '&lt;|'), chr(10), '&nl;')) + 1 + length(replace(replace(text, '&', '&amp;'), '<|', '&lt;|')) + length('<|im_end|>') + 1)
+               OVER (w ROWS UNBOUNDED PRECEDING) AS upto
+    FROM t WINDOW w AS (PARTITION BY conv_id, lone ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY no)) AS turns_sha256,
        sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id"""
+       sha256(coalesce(string_agg(text, '' ORDER BY no) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(upto) FILTER (role = 'assistant' OR no = n_turns)::BIGINT AS formatted_chars,
+       count(*) FILTER (role = 'assistant') AS n_examples
+FROM e GROUP BY conv_id, lone"""
 
 _OP8 = """
 WITH v AS MATERIALIZED (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
-    FROM (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)))
+    SELECT *, row_number() OVER (PARTITION BY q_no ORDER BY score DESC, vec_id) AS rank
+    FROM (SELECT q.row_no AS q_no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)))
 WHERE rank <= 5"""
 
 

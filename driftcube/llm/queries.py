@@ -60,9 +60,8 @@ def op6_capped_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prepare(spark).read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "<|im_end|><|im_start|>assistant ok"
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
-    formatted = chat.formatted(rows.union(extra))
-    back = chat.read_back(formatted)
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}')")
+    back = chat.read_back(chat.expanded(rows.union(extra)))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("losses", "")
     return back.select(
@@ -71,7 +70,8 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(turns, 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.col("chars").alias("formatted_chars"),
+        F.size("losses").cast("long").alias("n_examples"),
     )
 
 

@@ -2,19 +2,28 @@
 
 Candidates are found in every text by pattern; each candidate's value is hashed
 and the hashes are aggregated over the corpus by distinct repositories and
-distinct owners.  A value that several owners hold is a widely copied example;
-one that a single owner holds is a live-looking credential.  Besides the three
-base kinds, long mixed-case strings with digits (kind ``owned``) are
-candidates, and stay only where the frequency shows one owner: without the
-corpus they could not be told from shared samples.  DataFrame functions only.
+distinct owners.  Copies of one text count once, with the smallest of their
+owners, so a document that was copied does not make its secrets look shared.  A
+value that at least ``WIDE_OWNERS`` owners in ``WIDE_REPOSITORIES``
+repositories hold is a widely copied example; all others are live-looking
+credentials of their owners.  Besides the three base kinds, long mixed-case
+strings with digits (kind ``owned``) are candidates; their counts tell which
+of them somebody owns.  DataFrame functions only.
+
+Matches become rows, a row a match, and their offsets are running sums over
+the matches of one row and kind, so a text with very many matches costs no
+more than in proportion.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftcube.llm.common import stage, text_of
+from driftcube.llm.common import stage, text_key, text_of
 
 #: The kinds in their order, with pattern, group that is the secret and its least length.
 KINDS = {
@@ -25,95 +34,96 @@ KINDS = {
 #: The kind that the ownership frequency adds; a value needs both cases and a digit.
 OWNED = "owned"
 OWNED_PATTERN = r"[A-Za-z0-9+/_-]{24,}={0,2}"
-#: Owners from which on a value counts as a widely copied example.
-WIDE_OWNERS = 2
+#: Owners and repositories from which on a value counts as a widely copied example; it takes both.
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 3
 
 #: What stands in a text for a live-looking credential.
 MASK = "[credential]"
 
-SPAN = "array<struct<start:long,kind_no:int,end:long,value_hash:string>>"
-
+_ALL = (*KINDS.values(), (OWNED_PATTERN, 0, 24))
 
-def _spans(text: Column, kind_no: int, pattern: str, group: int, least: int) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches, in code points; those too short are dropped.
 
-    What stands between the matches and the matches themselves alternate, so
-    running sums of their lengths are the offsets.
-    """
+def _matches(text: Column, kind_no: int, pattern: str, group: int, least: int) -> Column:
+    """A pattern's leftmost non-overlapping matches in order: code points before the match and in it, whether it counts, hash of the value."""
     between, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    matches = F.arrays_zip(
-        F.transform(whole, lambda m: F.length(m).cast("long")).alias("chars"),
-        F.transform(F.slice(between, F.lit(1), F.size(whole)), lambda b: F.length(b).cast("long")).alias("gap"),
-        value.alias("value"),
-    )
-    none = F.array().cast(SPAN)
-
-    def add(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        end = start + m["chars"]
-        span = F.struct(start.alias("start"), F.lit(kind_no).alias("kind_no"), end.alias("end"), F.sha2(m["value"], 256).alias("value_hash"))
+
+    def one(m: Column) -> Column:
         good = F.length(m["value"]) >= least
         if kind_no == len(KINDS):
             good = good & m["value"].rlike("[A-Z]") & m["value"].rlike("[a-z]") & m["value"].rlike("[0-9]")
-        return F.struct(end.alias("at"), F.when(good, F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
+        return F.struct(F.length(m["gap"]).alias("gap"), F.length(m["whole"]).alias("chars"), F.when(good, F.sha2(m["value"], 256)).alias("value_hash"))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
-    return F.when(text.rlike(pattern), F.aggregate(matches, start, add)["spans"]).otherwise(none)
+    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
+    none = F.array().cast("array<struct<gap:int,chars:int,value_hash:string>>")
+    return F.when(text.rlike(pattern), F.transform(zipped, one)).otherwise(none)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``base`` and ``extra``: spans of the base kinds, and of strings that may be credentials."""
+    """``docs`` with ``found``: for each kind the matches in the text."""
     body = text_of(text)
-    base = [_spans(body, i, *kind) for i, kind in enumerate(KINDS.values())]
-    return docs.withColumns({"base": F.array_sort(F.concat(*base)), "extra": _spans(body, len(KINDS), OWNED_PATTERN, 0, 24)})
+    kinds = [F.struct(F.lit(i).alias("kind_no"), _matches(body, i, *kind).alias("matches")) for i, kind in enumerate(_ALL)]
+    return docs.withColumn("found", F.filter(F.array(*kinds), lambda k: F.size(k["matches"]) > 0))
 
 
-def ownership(found: DataFrame) -> DataFrame:
-    """(value_hash, repositories, owners) of every candidate value: distinct counts over the corpus.
+def spans_of(found: DataFrame) -> DataFrame:
+    """(row_no, text_key, owner, repository, start, kind_no, end, value_hash), a row a match that counts."""
+    rows = found.select("row_no", "text_key", "owner", "repository", F.explode("found").alias("k"))
+    rows = rows.select("row_no", "text_key", "owner", "repository", "k.kind_no", F.posexplode("k.matches").alias("i", "m"))
+    upto = F.sum((F.col("m.gap") + F.col("m.chars")).cast("long")).over(Window.partitionBy("row_no", "kind_no").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("end", upto).where("m.value_hash is not null")
+    return rows.select("row_no", "text_key", "owner", "repository", (F.col("end") - F.col("m.chars")).alias("start"), "kind_no", "end", "m.value_hash")
 
-    (value, repository, owner) is made distinct first, before the shuffle too,
-    so a value in a third of all rows arrives as one row for each repository.
+
+def ownership(spans: DataFrame) -> DataFrame:
+    """(value_hash, repositories, owners) of every candidate value: distinct counts over the corpus, copies of one text counted once.
+
+    (value, text, holder) is reduced before the shuffle too, so a value in a
+    third of all rows arrives as one row for each task and text.
     """
-    rows = found.select("repository", "owner", F.explode(F.concat("base", "extra")).alias("s"))
-    rows = rows.select(F.col("s.value_hash").alias("value_hash"), F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("owner", F.lit("")).alias("owner"))
-    per_owner = rows.distinct().groupBy("value_hash", "owner").agg(F.count("*").alias("r"))
-    return per_owner.groupBy("value_hash").agg(F.sum("r").alias("repositories"), F.count("*").alias("owners"))
+    holder = F.min(F.struct("owner", "repository")).alias("holder")
+    texts = spans.groupBy("value_hash", "text_key").agg(holder).select("value_hash", "holder.owner", "holder.repository").distinct()
+    return texts.groupBy("value_hash").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("owner").alias("owners"))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository: Column | None = None, owner: Column | None = None) -> DataFrame:
     """(row_no, doc_id, spans) of every row of ``docs``.
 
     spans: array of (start, kind, end, live, repositories, owners) by start, then kind;
-    offsets are code points, ends exclusive.  Base findings all stay, whatever
-    their frequency; ``owned`` ones only where a single owner holds the value.
-    ``live`` tells owner-specific values from widely copied ones.
+    offsets are code points, ends exclusive.  All findings stay, whatever their
+    frequency; ``live`` tells owner-specific values from widely copied ones.
 
     By default a document's owner is its source and its repository the source
     with the language; null ones count as one unnamed owner or repository.
-    Null texts count as empty; repeated rows are scanned each; row_no tells
-    them apart.  Other columns are left out.
+    Null texts count as empty, and an empty text has no spans.  Texts are
+    scanned whole, whatever their length.  Repeated rows and repeated ids are
+    scanned each, row_no tells them apart; copies of one text count once in the
+    frequencies.  Other columns are left out, an empty table gives an empty result.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *_ownership_columns(repository, owner), F.col(text).alias("text"))
-    found = candidates(rows).drop("text").withColumn("row_no", F.monotonically_increasing_id())
-    found = stage(found, "candidates")
-    per_row = _judged(found)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *_holders(repository, owner), F.col(text).alias("text"))
+    found = stage(_numbered(candidates(rows)).drop("text"), "candidates")
+    per_row = _judged(spans_of(found))
     none = F.array().cast(per_row.schema["spans"].dataType)
     return found.select("row_no", "doc_id").join(per_row, "row_no", "left").withColumn("spans", F.coalesce("spans", none))
 
 
-def _ownership_columns(repository: Column | None, owner: Column | None) -> list[Column]:
+def _holders(repository: Column | None, owner: Column | None) -> list[Column]:
+    """Owner and repository as JSON, in which a null one differs from every name."""
     owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
-    return [owner.cast("string").alias("owner"), repository.cast("string").alias("repository")]
+    repository = F.array("source", "lang") if repository is None else F.array(repository.cast("string"))
+    return [F.to_json(F.array(owner.cast("string"))).alias("owner"), F.to_json(repository).alias("repository")]
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"text_key": text_key("text"), "row_no": F.monotonically_increasing_id()})
 
 
-def _judged(found: DataFrame) -> DataFrame:
+def _judged(spans: DataFrame) -> DataFrame:
     """(row_no, spans) of the rows with findings; a value in very many rows is a skewed key, which adaptive execution splits."""
-    spans = found.select("row_no", F.explode(F.concat("base", "extra")).alias("s")).select("row_no", "s.*")
-    judged = spans.join(ownership(found), "value_hash").where((F.col("kind_no") < len(KINDS)) | (F.col("owners") < WIDE_OWNERS))
+    judged = spans.join(ownership(spans), "value_hash")
     kind = F.element_at(F.array(*map(F.lit, [*KINDS, OWNED])), F.col("kind_no") + 1)
-    span = F.struct("start", "kind_no", "end", kind.alias("kind"), (F.col("owners") < WIDE_OWNERS).alias("live"), "repositories", "owners")
+    live = (F.col("owners") < WIDE_OWNERS) | (F.col("repositories") < WIDE_REPOSITORIES)
+    span = F.struct("start", "kind_no", "end", kind.alias("kind"), live.alias("live"), "repositories", "owners")
     return judged.groupBy("row_no").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
@@ -121,24 +131,25 @@ def redacted(docs: DataFrame, text: str = "text", repository: Column | None = No
     """``docs`` with every live-looking credential in the text replaced by ``mask``; all rows and columns stay.
 
     Overlapping findings are masked as one.  Widely copied examples and null
-    texts stay as they are.
+    texts stay as they are, repeated rows are masked each, an empty table gives
+    an empty result.  Only texts in which some pattern is found are moved; the
+    others pass by.  A text is cut at each of its findings, so one of very many
+    live findings costs their number times its length.
     """
     names = docs.columns
-    packed = docs.select(*_ownership_columns(repository, owner), F.col(text).alias("text"), F.struct(*names).alias("row"))
-    found = stage(candidates(packed).withColumn("row_no", F.monotonically_increasing_id()), "scanned")
-    live = _judged(found.drop("text", "row")).select("row_no", F.filter("spans", lambda s: s["live"]).alias("spans")).where(F.size("spans") > 0)
-    joined = found.select("row_no", "row", "text").join(live, "row_no", "left")
-
-    def cut(state: Column, s: Column) -> Column:
-        apart = s["start"] >= state["at"]
-        before = F.substring(F.col("text"), (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        out = F.when(apart, F.concat(state["out"], before, F.lit(mask))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    ending = lambda state: F.concat(state["out"], F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.length("text")))
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.aggregate("spans", start, cut, ending))
-    return joined.select(*((clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in names))
+    hit = reduce(or_, (text_of(text).rlike(kind[0]) for kind in _ALL))
+    packed = docs.where(hit).select(*_holders(repository, owner), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    found = stage(_numbered(candidates(packed)), "scanned")
+    live = _judged(spans_of(found.drop("text", "row"))).select("row_no", F.explode(F.filter("spans", lambda s: s["live"])).alias("s")).select("row_no", "s.start", "s.end", "s.kind_no")
+    before = F.max("end").over(Window.partitionBy("row_no").orderBy("start", "kind_no").rowsBetween(Window.unboundedPreceding, -1))
+    live = live.withColumn("covered", F.coalesce(before, F.lit(0)))
+    cuts = live.groupBy("row_no").agg(F.max("end").alias("last"), F.sort_array(F.collect_list(F.when(F.col("start") >= F.col("covered"), F.struct("start", "covered")))).alias("cuts"))
+    joined = found.select("row_no", "row", "text").join(cuts, "row_no", "left")
+    piece = lambda c: F.concat(F.substring(F.col("text"), (c["covered"] + 1).cast("int"), (c["start"] - c["covered"]).cast("int")), F.lit(mask))
+    masked = F.concat(F.array_join(F.transform("cuts", piece), ""), F.substring(F.col("text"), (F.col("last") + 1).cast("int"), F.length("text")))
+    clean = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(masked)
+    changed = joined.select(*((clean if c == text else F.col(f"row.`{c}`")).alias(c) for c in names))
+    return docs.where(~hit).union(changed)
 
 
 def digest(spans: Column) -> Column:

@@ -60,15 +60,42 @@ def test_secrets(spark, docs):
     one = secrets.scan(spark.createDataFrame([(1, "x A1b2C3d4E5f6G7h8I9j0K1l2M3", "s1", "en")], "doc_id long, text string, source string, lang string")).first()
     assert [(s["kind"], s["live"]) for s in one["spans"]] == [("owned", True)]
     assert secrets.scan(docs.limit(0)).collect() == []
+    many = secrets.scan(spark.createDataFrame([(1, "token=abcdefgh " * 60_000, "s1", "en")], "doc_id long, text string, source string, lang string")).first()["spans"]
+    assert len(many) == 60_000 and (many[-1]["start"], many[-1]["end"]) == (59_999 * 15, 59_999 * 15 + 14)
+
+
+SHARED = "doc_id long, text string, source string, lang string, spans string"
+
+
+def ownership_rows():
+    """A value in three owners' texts, one in two owners' four repositories, one in one repository of two owners, one in many copies of a text, and nulls."""
+    value = lambda v, i: f'{i} token: "{v}" z'
+    out = [(i, value("sharedsample1", i), s, "en", "x") for i, s in enumerate(("s1", "s2", "s3", "s3"))]
+    out += [(10 + i, value("twoowners1", i), s, x, "x") for i, (s, x) in enumerate((("s1", "en"), ("s1", "de"), ("s2", "fr"), ("s2", "de")))]
+    out += [(20 + i, value("copiedtext1", 0), s, "en", "x") for i, s in enumerate(("s1", "s2", "s3", "s4", "s5"))]
+    out += [(30, value("nullowner1", 0), None, "x", "x"), (31, value("nullowner1", 1), "x", None, "x"), (32, value("nullowner1", 2), None, None, "x"), (33, None, "s1", "en", "x")]
+    return out
+
+
+def test_ownership(spark):
+    got = {r["doc_id"]: [(s["live"], s["repositories"], s["owners"]) for s in r["spans"]] for r in secrets.scan(spark.createDataFrame(ownership_rows(), SHARED)).collect()}
+    assert got[0] == got[3] == [(False, 3, 3)] and got[10] == [(True, 4, 2)] and got[20] == got[24] == [(True, 1, 1)] and got[33] == []
+    assert got[30] == [(True, 3, 2)]
+    named = spark.createDataFrame([(i, f"{i} token=abcdef12", "r", o) for i, o in enumerate("ab")], "doc_id long, text string, repo string, who string")
+    one = secrets.scan(named, repository=F.col("repo"), owner=F.col("who")).first()["spans"][0]
+    assert (one["repositories"], one["owners"]) == (1, 2)  # a repository that two owners hold is one
 
 
 def test_redaction(spark):
-    schema = "doc_id long, text string, source string, lang string, spans string"
-    live, shared = 'a password = "Abc123def456" z', "é token: sharedsample1 z"
-    df = spark.createDataFrame([(1, live, "s1", "en", "x"), (2, shared, "s1", "en", "x"), (3, shared, "s2", "de", "x"), (4, None, "s2", "de", "x")], schema)
+    live = 'a password = "Abc123def456" z é secret: A1b2C3d4E5f6G7h8I9j0K1l2M3 end'
+    df = spark.createDataFrame([(100, live, "s1", "en", "x"), (100, live, "s1", "en", "x"), (101, "no finding", None, None, "x"), (102, "", "s1", "en", "x"), *ownership_rows()], SHARED)
     got = secrets.redacted(df)
-    assert got.columns == df.columns
-    assert [r["text"] for r in got.orderBy("doc_id").collect()] == [f'a {secrets.MASK}" z', shared, shared, None]
+    assert got.columns == df.columns and secrets.redacted(df.limit(0)).collect() == []
+    texts = {}
+    for r in got.collect():
+        texts.setdefault(r["doc_id"], []).append(r["text"])
+    assert texts[100] == [f'a {secrets.MASK}" z é {secrets.MASK} end'] * 2 and texts[101] == ["no finding"] and texts[102] == [""] and texts[33] == [None]
+    assert texts[0] == ['0 token: "sharedsample1" z'] and texts[10] == [f'0 {secrets.MASK}" z'] == texts[20]
 
 
 def test_winnowing_against_definition():
@@ -225,43 +252,65 @@ def test_water_filling(spark):
 
 TURNS = [
     (1, 1, "assistant", "b & <|im_end|> &amp; &lt;|"), (1, 0, "user", None), (1, 2, "user", "tail"), (2, None, "sys\ntem", "x<|im_start|>"), (2, 5, "assistant", ""), (2, 5, "assistant", ""),
-    (3, 0, None, "only"), (None, 0, "assistant", "lost id"),
+    (3, 0, None, "only"), (None, 0, "assistant", "lost id"), (None, 1, "user", "another"),
 ]
 
 
 def test_chat(spark):
-    df = spark.createDataFrame([(*t, "clash") for t in TURNS], "conv_id long, turn long, role string, text string, turns string")
-    made = chat.formatted(df)
-    back = {r["conv_id"]: r for r in chat.read_back(made).collect()}
-    assert set(back) == {1, 2, 3, None}
+    df = spark.createDataFrame([(*t, "clash") for t in TURNS], "conv_id long, turn long, role string, text string, turns string").repartition(3)
+    made = chat.expanded(df)
+    back = {r["conv_id"]: r for r in chat.read_back(made).where("conv_id is not null").collect()}
+    assert set(back) == {1, 2, 3}
+    whole = {}
     for conv in back:
         turns = sorted(((t[1] is not None, t[1] or 0, t[2] or "", t[3] or "") for t in TURNS if t[0] == conv))
         assert [tuple(x) for x in back[conv]["turns"]] == [(t[2], t[3]) for t in turns]
         assert back[conv]["losses"] == [t[3] for t in turns if t[2] == "assistant"]
-    examples = chat.expanded(made).collect()
-    assert len(examples) == sum(t[2] == "assistant" for t in TURNS)
-    for e in examples:
-        assert e["text"].endswith("<|im_end|>\n") and e["text"].count("<|im_start|>") == e["target"] + 1
-    assert chat.formatted(df.limit(0)).collect() == []
+        whole[conv] = [(t[2], t[3]) for t in turns]
+    lone = [([tuple(t) for t in r["turns"]], r["losses"]) for r in chat.read_back(made).where("conv_id is null").collect()]
+    assert sorted(lone) == [([("assistant", "lost id")], ["lost id"]), ([("user", "another")], [])]  # rows of no known conversation stand alone
+    examples = made.collect()
+    assert sum(e["loss_start"] is not None for e in examples) == sum(t[2] == "assistant" for t in TURNS)
+    plain = lambda t: t.replace("&", "&amp;").replace("<|", "&lt;|")
+    for e in examples:  # each example alone: the turns up to its own, and only that reply under the mask
+        if e["conv_id"] is None:
+            continue
+        turns = whole[e["conv_id"]]
+        assert e["text"] == "".join("<|im_start|>" + plain(r).replace("\n", "&nl;") + "\n" + plain(t) + "<|im_end|>\n" for r, t in turns[: e["target"] + 1])
+        assert e["closes"] == (e["target"] == len(turns) - 1)
+        if turns[e["target"]][0] == "assistant":
+            assert e["text"][e["loss_start"] : e["loss_end"]] == plain(turns[e["target"]][1])
+        else:
+            assert e["closes"] and e["loss_start"] is None
+    for conv in back:
+        assert back[conv]["chars"] == sum(len(e["text"]) for e in examples if e["conv_id"] == conv)
+    assert chat.expanded(df.limit(0)).collect() == [] == chat.read_back(chat.expanded(df.limit(0))).collect()
 
 
 def test_top_k(spark):
     draw = np.random.default_rng(3)
     vectors = [(i, (draw.integers(-3, 4, 6) / 4).tolist()) for i in range(60)] + [(100 + i, [0.5] * 6) for i in range(40)]
-    vectors += [(200, None), (201, [None] * 6), (202, [float("nan")] * 6), (203, [1.0, 2.0]), (204, [float("inf")] * 6), (None, [1.0] * 6), (7, [1.0] * 6), (250, [])]
+    vectors += [(200, None), (201, [None] * 6), (202, [float("nan")] * 6), (203, [1.0, 2.0]), (204, [float("inf")] * 6), (None, [1.0] * 6), (7, [1.0] * 6), (250, []), (255, [])]
+    vectors += [(50, [None] + [1.0] * 5), (50, [1.0] * 6), (15, [float("-inf")] * 6)]  # query ids whose other row takes no part, or repeats
     df = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<float>, score int").repartition(7)
     good = [(i, np.floor(256 * np.array(v, float))) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all()]
-    for block in (3, 1024):
-        got = Counter(tuple(r) for r in topk.top_k(df, df.where("vec_id % 5 = 0"), block=block).select("query_id", "rank", "vec_id", "score").collect())
+    for block, chunk in ((3, 8), (1024, 2048)):
+        got = Counter(tuple(r) for r in topk.top_k(df, df.where("vec_id % 5 = 0"), block=block, chunk=chunk).select("query_id", "rank", "vec_id", "score").collect())
         want = Counter()
         for q, v in good:
             if q % 5 == 0:
                 hits = sorted((-int(v @ c), i) for i, c in good if i != q and len(c) == len(v))[:5]
                 want.update((q, n, i, -s) for n, (s, i) in enumerate(hits, 1))
         assert got == want
+    assert sum(n for (q, *_), n in got.items() if q == 50) == 10
     assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
+    only = spark.createDataFrame([(50, [None, 1.0]), (50, [1.0, 1.0]), (1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>")
+    assert [r["vec_id"] for r in topk.top_k(only, only.where("vec_id = 50")).collect()] == [2, 1]
     huge = spark.createDataFrame([(1, [3e5, 2e5]), (2, [3e5, 2e5]), (3, [1e5, -2e5])], "vec_id long, embedding array<double>")
     assert [(r["vec_id"], r["score"]) for r in topk.top_k(huge, huge.where("vec_id = 1")).collect()] == [(2, 256 * 256 * 130 * 10**9), (3, 256 * 256 * (-10) * 10**9)]
+    over = spark.createDataFrame([(1, [1e30]), (2, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(over, over).collect()
 
 
 def test_classifier(spark):
