@@ -152,11 +152,14 @@ class MergeAutomaton:
             out.append(token)
         return out
 
+    def read(self, text: str, state: dict) -> tuple[dict, int]:
+        """The state behind ``text``, read from ``state``, and the sum of its arcs' changes of the token count."""
+        total, arc_of = 0, self.compile_arc
+        for symbol in text:
+            state, _, change = state.get(symbol) or arc_of(state, symbol)
+            total += change
+        return state, total
+
     def count(self, word: str) -> int:
-        """Number of tokens of ``word``: the sum of its arcs' changes."""
-        state, total = self.start, 0
-        for symbol in word:
-            arc = state.get(symbol) or self.compile_arc(state, symbol)
-            state = arc[0]
-            total += arc[2]
-        return total
+        """Number of tokens of ``word``."""
+        return self.read(word, self.start)[1]

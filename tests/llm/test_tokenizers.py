@@ -51,12 +51,43 @@ def test_counts_equal_library(pieces, chunk):
 
 
 def test_chunk_maps_compose(pieces):
-    counter = token_counts.PieceCounter(pieces[0])
-    text = "the quick brown fox\njumps over the lazy dogs again and again"
-    maps = [counter.chunk_map(text[i : i + 5]) for i in range(0, len(text), 5)]
-    assert counter.scan(maps)[-1] == counter.reduce(maps) == counter.chunk_map(text)
-    a, b, c = maps[:3]
-    assert counter.compose(counter.compose(a, b), c) == counter.compose(a, counter.compose(b, c))
+    draw = random.Random(3)
+    for text in ("the quick brown fox\njumps over the lazy dogs again and again", "".join(draw.choice("abcdeghinorst") for _ in range(400)), "▁▁a  b" * 30):
+        counter = token_counts.PieceCounter(pieces[0], chunk=5)
+        marked = token_counts.SPACE + text.replace(" ", token_counts.SPACE)
+        maps, start = counter.maps(marked), counter.automaton.start
+        a, b, c = maps[:3]
+        for state in (start, counter.automaton.read("▁th", start)[0], counter.automaton.read("▁ab", start)[0]):
+            assert token_counts.compose(token_counts.compose(a, b), c)(state) == token_counts.compose(a, token_counts.compose(b, c))(state)
+        whole = counter.automaton.read(marked, start)[1]
+        assert token_counts.scan(maps)[-1](start)[1] == whole
+        prefixes, at, total = token_counts.scan(maps), start, 0
+        for m, prefix in zip(maps, prefixes):
+            at, n = m(at)
+            total += n
+            assert prefix(start)[1] == total
+
+
+def test_maps_from_any_entry(pieces):
+    """A chunk that begins inside a word sends each entry state where reading it from there leads."""
+    counter = token_counts.PieceCounter(pieces[0], chunk=50)
+    draw = random.Random(12)
+    text = "▁" + "".join(draw.choice("abcdeghinorst") for _ in range(300))
+    maps = counter.maps(text)
+    assert len(maps) == 7 and [m.constant for m in maps] == [True] + [False] * 6
+    for before in ("▁", "▁the", "▁inter", "xyz", text[:50]):
+        state = counter.automaton.read(before, counter.automaton.start)[0]
+        assert maps[1](state) == counter.automaton.read(text[50:100], state)
+
+
+def test_a_million_characters_without_spaces(pieces):
+    model, library = pieces
+    draw = random.Random(6)
+    text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789+/漢字") for _ in range(1_000_000))
+    counter = token_counts.PieceCounter(model)
+    maps = counter.maps(token_counts.SPACE + text)
+    assert len(maps) == 62 and not any(m.constant for m in maps[1:])
+    assert counter.count(text) == len(library.encode(text))
 
 
 def test_memory_bound_changes_nothing(pieces):
