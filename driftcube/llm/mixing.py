@@ -10,7 +10,7 @@ target allows, and a seeded order of them fills the fraction.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftcube.llm.common import stage, text_of, with_running_sum
@@ -23,9 +23,14 @@ BROADCAST_SOURCES = 100_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
-def sized(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``size``: words of the text, 0 for a null one. A column of that name is replaced."""
-    return docs.withColumn("size", F.regexp_count(text_of(text), F.lit(WORDS)).cast("long"))
+def words(text: str = "text") -> Column:
+    """Words of the text, 0 for a null one."""
+    return F.regexp_count(text_of(text), F.lit(WORDS)).cast("long")
+
+
+def drawn(doc_id: str, seed: str) -> Column:
+    """The seeded hash of a document's id by which documents are ordered."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -53,22 +58,22 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **weights) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, part, taken) of every row of ``docs``.
+    """(doc_id, source, size, source_size, target, epochs, part, taken, draw) of every row of ``docs``.
 
     Every document is repeated whole ``epochs`` = floor(target / source_size)
     times.  In the order of a seeded hash of the id, documents are taken once
     more until their words fill the fraction; ``part`` is the words of that
     repetition: all, none, or for one document a source what was still open.
-    ``taken`` is the words in all.  A source of no words takes none.  Ties of
-    the hash go by id and size, so repeated rows count as documents of their
-    own and reruns agree.  Other columns are left out; an empty table gives an
-    empty result.
+    ``taken`` is the words in all.  A source of no words takes none, a null or
+    empty text has none; long texts are counted whole.  Ties of the hash go by
+    id and size, so repeated rows count as documents of their own and reruns
+    agree; rows without an id have one hash together.  A null source is one,
+    the last.  Other columns are left out; an empty table gives an empty result.
 
     Sums are accumulated over hash ranges first, then within a range, so no
     task sees a whole source.
     """
-    draw = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    rows = sized(docs, text).select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), "size", draw.alias("draw"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(text).alias("size"), drawn(doc_id, seed).alias("draw"))
     rows = stage(rows, "sizes")
     goals = stage(targets(rows, **weights).withColumnRenamed("source", "s"), "targets")
     part = F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")
@@ -78,21 +83,28 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     open_words = F.floor(F.col("target") - epochs * F.col("source_size")).cast("long")
     part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), open_words - F.col("before")))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), part.alias("part"))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", epochs.alias("epochs"), part.alias("part"), "draw")
     return rows.withColumn("taken", F.col("epochs") * F.col("size") + F.col("part"))
 
 
-def take(docs: DataFrame, doc_id: str = "doc_id", **parameters) -> DataFrame:
+def take(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = SEED, **weights) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as :func:`mixed` says, 0 times included.
 
     Texts are never cut: the one partial repetition of a source counts as whole
-    if at least half of the text is in it, else not at all.  Rows that repeat an
-    id are the same document and get the copies of one of them, the most.
+    if at least half of the text is in it, else not at all.  What is taken once
+    more is a beginning of the order, so all that goes back to the documents is
+    the last one taken of each source, and their texts stay where they are.
+    Rows of one id and size are decided alike.  Null and empty texts are never
+    taken once more, so they come only in whole repetitions; columns that clash
+    with names used here stay as they are.
     """
-    copies = mixed(docs, doc_id, **parameters)
-    copies = copies.withColumn("copies", F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0))
-    copies = copies.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    copies = copies.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("__id")))
-    again = F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))
-    return joined.withColumn("__again", again).select(*(docs[c] for c in docs.columns))
+    found = mixed(docs, doc_id, source, text, seed, **weights)
+    place = F.struct("draw", "doc_id", "size")
+    last = F.max(F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), place))
+    ends = stage(found.groupBy("source").agg(F.first("epochs").alias("__epochs"), last.alias("__last")).withColumnRenamed("source", "__source"), "ends")
+    rows = docs.withColumns({"__size": words(text), "__draw": drawn(doc_id, seed)})
+    rows = rows.join(F.broadcast(ends) if ends.count() <= BROADCAST_SOURCES else ends, F.col(source).eqNullSafe(F.col("__source")))
+    more = (F.col("__size") > 0) & F.coalesce(F.struct(F.col("__draw").alias("draw"), F.col(doc_id).alias("doc_id"), F.col("__size").alias("size")) <= F.col("__last"), F.lit(False))
+    copies = F.col("__epochs") + F.when(more, 1).otherwise(0)
+    again = F.explode(F.array_repeat(F.lit(0), copies.cast("int")))
+    return rows.withColumn("__again", again).select(*(docs[c] for c in docs.columns))

@@ -19,12 +19,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from driftcube.llm.common import prepare, stage, with_columns_mapped
+from driftcube.llm.common import prepare, stage, text_key, with_columns_mapped
 from driftcube.llm.components import components
 
 #: Words of a shingle, seed of its hash, most differing bits of a link.
@@ -103,33 +103,50 @@ def links(prints: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", cap: int = CAP) -> DataFrame:
-    """(doc_id, simhash, component_id) of every row of ``df``.
-
-    component_id is the smallest doc_id that links reach, its own included.
-    Null texts count as empty; texts without words have fingerprint 0 and are
-    linked like any other.  Rows with a null id keep it and get the smallest id
-    of their component, or null.  Repeated rows stay; other columns are left out.
+    """(doc_id, text_key, simhash, root, component_id) of every row of ``df``.
+
+    component_id is the smallest doc_id that links reach, its own included, and
+    root the smallest fingerprint.  Null texts count as empty; texts without
+    words have fingerprint 0 and are linked like any other; long texts are read
+    whole.  Rows with a null id keep it and get the smallest id of their
+    component, or null.  Repeated rows stay; other columns are left out; an
+    empty table gives an empty result.
     """
-    own = with_simhash(df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text")
-    rows = stage(own.select("doc_id", "simhash"), "simhash")
+    own = with_simhash(df.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(text).alias("text_key"), F.col(text).alias("text")), "text")
+    rows = stage(own.select("doc_id", "text_key", "simhash"), "simhash")
     prints = rows.groupBy("simhash").agg(F.min("doc_id").alias("first_id"))
     roots = stage(components(links(prints.select("simhash"), cap)), "roots")
     named = prints.join(roots, prints["simhash"] == roots["node"], "left").select("simhash", "first_id", F.coalesce("root", "simhash").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = named.select("simhash", "root").join(smallest, "root").select("simhash", "component_id")
-    return rows.join(labels, "simhash", "left").select("doc_id", "simhash", "component_id")
+    labels = named.select("simhash", "root").join(smallest, "root").select("simhash", "root", "component_id")
+    return rows.join(labels, "simhash", "left").select("doc_id", "text_key", "simhash", "root", "component_id")
+
+
+#: Documents that go or have copies of their own row, up to which their list is broadcast; beyond it it is joined by a shuffle.
+BROADCAST_LISTED = 1_000_000
 
 
 def deduplicated(df: DataFrame, doc_id: str = "doc_id", text: str = "text", found: DataFrame | None = None) -> DataFrame:
-    """The rows of ``df`` that stay: of each component the document with the smallest id, once.
+    """The rows of ``df`` that stay: one of each component, that of the smallest doc_id; rows without an id come last.
 
-    ``found`` (doc_id, component_id) are the components, by default those of :func:`near_duplicates`.
+    ``found`` (doc_id, text_key, root) are the components, by default those of
+    :func:`near_duplicates`.  Of different texts under the smallest id one
+    stays, by the hash of its text, and of rows that repeat id and text one,
+    that whose columns are the smallest.  Null texts count as empty.  All
+    columns stay; an empty table gives an empty result.
 
-    Of rows that repeat that id the one with the smallest text stays; rows
-    without an id stay where their whole component has none.
+    What goes is listed by id and text, and only rows that repeat id and text
+    are gathered; all others stay where they are.
     """
-    found = near_duplicates(df, doc_id, text) if found is None else found
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = df.withColumn("__id", F.col(doc_id).cast("long")).join(kept, F.col("__id").eqNullSafe(F.col("__kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("__id").orderBy(F.col(text).asc_nulls_first()))
-    return rows.withColumn("__first", first).where((F.col("__first") == 1) | F.col("__id").isNull()).drop("__id", "__first")
+    found = stage(near_duplicates(df, doc_id, text) if found is None else found.select("doc_id", "text_key", "root"), "found")
+    place = F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")
+    first = found.groupBy("root").agg(F.min(place).alias("first"))
+    placed = found.join(first, "root").groupBy("doc_id", "text_key").agg(F.max(place == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    listed = placed.where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("stays").alias("__again"))
+    listed = stage(listed, "listed")
+    listed = F.broadcast(listed) if listed.count() <= BROADCAST_LISTED else listed
+    own_id, own_key = F.col(doc_id).cast("long"), text_key(text)
+    on = own_id.eqNullSafe(F.col("__id")) & (own_key == F.col("__key"))
+    alone = df.join(listed, on, "left_anti")
+    again = df.join(listed.where("__again"), on).groupBy("__id", "__key").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("row"))
+    return alone.union(again.select(*(F.col(f"row.`{c}`") for c in df.columns)))
