@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,6 +33,23 @@ def segment_level(dims: Sequence[str] = DIMENSIONS) -> Column:
     return F.concat_ws(KEY_SEPARATOR, *(F.when(F.col(d).isNotNull(), F.lit(d)) for d in dims))
 
 
+def normalize_dim_value(value: object) -> str | None:
+    """One dimension value as :func:`clean_dimension` makes it; NaN is null, too."""
+    text = "" if value is None or value != value else str(value).strip()
+    return text or None
+
+
+def segment_id_from_row(row: Mapping[str, object], dims: Sequence[str] = DIMENSIONS) -> str:
+    """The id of one row, as :func:`segment_id` makes it."""
+    return json.dumps([normalize_dim_value(row.get(d)) for d in dims], ensure_ascii=False, separators=(",", ":"))
+
+
+def build_segment_key_and_level(row: Mapping[str, object], dims: Sequence[str] = DIMENSIONS) -> tuple[str, str]:
+    """(key, level) of one row, as :func:`segment_key` and :func:`segment_level` make them."""
+    known = [(d, v) for d in dims if (v := normalize_dim_value(row.get(d))) is not None]
+    return KEY_SEPARATOR.join(f"{d}={v}" for d, v in known) or TOTAL_KEY, KEY_SEPARATOR.join(d for d, _ in known)
+
+
 def depth(dims: Sequence[str] = DIMENSIONS) -> Column:
     total = F.lit(0)
     for d in dims:

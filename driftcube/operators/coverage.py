@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from itertools import product
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftcube.config import DIMENSIONS
-from driftcube.functions.keys import key_parts
+from driftcube.functions.keys import key_parts, normalize_dim_value
+from driftcube.operators.components import components as connected
 from driftcube.storage import stage
 
 
@@ -26,6 +28,12 @@ def atomic_coverage(segments: DataFrame, dims: tuple[str, ...] = DIMENSIONS) ->
     return masked.join(segments.select("segment_id").distinct(), "segment_id", "left_semi").select("segment_id", "atom_id")
 
 
+def candidate_covers_atomic(candidate: Mapping[str, object], atom: Mapping[str, object], dims: Sequence[str] = DIMENSIONS) -> bool:
+    """Whether one segment covers one atom: every dimension that the segment fixes has the same value in the atom."""
+    pairs = [(normalize_dim_value(candidate.get(d)), normalize_dim_value(atom.get(d))) for d in dims]
+    return all(a is None or a == b for a, b in pairs)
+
+
 def coverage_by_keys(segments: DataFrame) -> DataFrame:
     """(segment_id, atom_id) from ``segment_key`` alone, where the dimensions are not at hand.
 
@@ -67,18 +75,35 @@ def check_coverage(candidates: DataFrame, coverage: DataFrame) -> None:
 
 
 def reconciliation(panel: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(segment_id, cal_date, gmv, atom_gmv, error) of every segment that is not its own only atom."""
+    """(segment_id, cal_date, gmv, atom_gmv, error) of every segment above the atoms.
+
+    Both sums are null where the segment has no atoms, or one of its atoms has
+    no row on that date.
+    """
+    deepest = F.broadcast(panel.agg(F.max("slice_depth").alias("atom_depth")))
+    own = panel.join(deepest).where("slice_depth < atom_depth").select("segment_id", "cal_date", "gmv")
     atoms = panel.select(F.col("segment_id").alias("atom_id"), "cal_date", F.col("gmv").alias("atom_gmv"))
-    sums = coverage.where("segment_id <> atom_id").join(atoms, "atom_id").groupBy("segment_id", "cal_date").agg(F.sum("atom_gmv").alias("atom_gmv"))
-    own = panel.select("segment_id", "cal_date", "gmv")
-    return own.join(sums, ["segment_id", "cal_date"]).withColumn("error", F.abs(F.col("gmv") - F.col("atom_gmv")))
+    sums = coverage.join(atoms, "atom_id").groupBy("segment_id", "cal_date").agg(F.sum("atom_gmv").alias("atom_gmv"), F.count("atom_gmv").alias("n"))
+    sizes = coverage.groupBy("segment_id").agg(F.count("*").alias("size"))
+    rows = own.join(sums, ["segment_id", "cal_date"], "left").join(sizes, "segment_id", "left")
+    rows = rows.withColumn("atom_gmv", F.when(F.col("n") == F.col("size"), F.col("atom_gmv")))
+    return rows.withColumn("error", F.abs(F.col("gmv") - F.col("atom_gmv"))).select("segment_id", "cal_date", "gmv", "atom_gmv", "error")
 
 
 def check_reconciliation(panel: DataFrame, coverage: DataFrame, tolerance: float = 1e-4) -> None:
-    """An error that names a segment whose value is not the sum of its atoms."""
+    """An error that names a segment without atoms, or whose value is not the sum of its atoms; and for what a panel must not hold."""
+    if not 0 <= tolerance < float("inf"):
+        raise ValueError(f"the tolerance must be finite and not negative: {tolerance}")
+    if panel.isEmpty():
+        raise ValueError("an empty panel cannot be reconciled")
     if coverage.isEmpty():
         raise ValueError("no segment has atomic coverage")
-    if bad := reconciliation(panel, coverage).where(F.col("error") > tolerance).orderBy("segment_id", "cal_date").first():
+    if bad := panel.where(~F.coalesce(F.abs("gmv") < float("inf"), F.lit(False))).first():  # null, NaN or infinite
+        raise ValueError(f"segment {bad['segment_id']} on {bad['cal_date']}: gmv is not a finite number")
+    if bad := panel.groupBy("segment_id", "cal_date").count().where("count > 1").first():
+        raise ValueError(f"segment {bad['segment_id']} on {bad['cal_date']} stands in the panel more than once")
+    wrong = reconciliation(panel, coverage).where(F.col("error").isNull() | (F.col("error") > tolerance))
+    if bad := wrong.orderBy("segment_id", "cal_date").first():
         raise ValueError(f"segment {bad['segment_id']} on {bad['cal_date']}: {bad['gmv']} is not the sum of its atoms, {bad['atom_gmv']}")
 
 
@@ -114,20 +139,15 @@ def conflict_pairs(eligible: DataFrame) -> DataFrame:
 def components(eligible: DataFrame) -> DataFrame:
     """(segment_id, component_id): segments connected by shared atoms; C001 holds the smallest key.
 
-    The smallest key spreads over segment-atom links, from atoms to segments
-    and back, until nothing changes; each round is a staged table.
+    Every atom links its segments to the one of the smallest key, and those
+    links go to the component search.
     """
-    links = stage(eligible.select("segment_id", "atom_id", F.struct("segment_key", "slice_depth", "segment_id").alias("label")), "links")
-    changed = True
-    while changed:
-        low = links.groupBy("atom_id").agg(F.min("label").alias("low"))
-        best = links.join(low, "atom_id").groupBy("segment_id").agg(F.min("low").alias("best"))
-        after = stage(links.join(best, "segment_id").select("segment_id", "atom_id", F.col("best").alias("label"), (F.col("best") != F.col("label")).alias("moved")), "links")
-        changed = not after.where("moved").isEmpty()
-        links = after.drop("moved")
-    found = links.select("segment_id", "label").distinct()
-    roots = found.select("label").distinct().withColumn("no", F.row_number().over(Window.orderBy("label")))
-    return found.join(roots, "label").select("segment_id", F.format_string("C%03d", F.col("no")).alias("component_id"))
+    rows = stage(eligible.select("segment_id", "atom_id", "segment_key"), "links")
+    low = rows.groupBy("atom_id").agg(F.min("segment_key").alias("a"))
+    roots = stage(connected(rows.join(low, "atom_id").select("a", F.col("segment_key").alias("b"))), "roots")
+    found = rows.select("segment_id", "segment_key").distinct().join(roots, F.col("segment_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "segment_key"))
+    numbered = found.select("root").distinct().withColumn("no", F.row_number().over(Window.orderBy("root")))  # a row a component
+    return found.join(numbered, "root").select("segment_id", F.format_string("C%03d", F.col("no")).alias("component_id"))
 
 
 def dag_edges(segments: DataFrame, dims: tuple[str, ...] = DIMENSIONS) -> DataFrame:

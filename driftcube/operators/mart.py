@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime, timedelta
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,8 +13,8 @@ from driftcube.config import ADDITIVE, DIMENSIONS, RATIOS
 from driftcube.functions.keys import depth, segment_id, segment_key, segment_level
 from driftcube.storage import stage
 
-#: Parameters of the mart: windows kept, brands kept by name, name of the rest.
-WINDOWS, TOP, OTHER = 13, 5, "Other"
+#: Parameters of the mart: windows kept, brands kept by name, name of the rest and of values that are not known.
+WINDOWS, TOP, OTHER, UNKNOWN = 13, 5, "Other", "Unknown"
 #: Amounts are summed as integers of this fraction, so sums do not depend on their order.
 UNIT = 10_000
 
@@ -25,21 +26,39 @@ def period_to_weeks(period: str) -> int:
     return int(m[1])
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a sale: day (since the epoch), amount in 1/UNIT, order, user, merchant and the raw dimensions."""
+def _known(name: str) -> Column:
+    """A dimension's value; null and blank become UNKNOWN, so that null is left to what is rolled up."""
+    return F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(UNKNOWN))
+
+
+def sales_days(spark: SparkSession, sf_dir: str) -> tuple[int, int] | None:
+    """First and last day of the sales, since the epoch; a scan of one column."""
+    day = F.unix_date(F.to_date("l_shipdate"))
+    found = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg(F.min(day).alias("first"), F.max(day).alias("last")).first()
+    return None if found["first"] is None else (found["first"], found["last"])
+
+
+def transactions(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
+    """One row a sale: day (since the epoch), amount in 1/UNIT, order, user, merchant and the raw dimensions.
+
+    ``since`` is the first day that is read; it reaches the scan of the sales.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    line = read("lineitem").select(
+    line = read("lineitem")
+    if since is not None:
+        line = line.where(F.col("l_shipdate") >= F.lit(datetime(1970, 1, 1) + timedelta(days=since)).cast("timestamp_ntz"))
+    line = line.select(
         F.unix_date(F.to_date("l_shipdate")).cast("long").alias("day"),
         (F.round(F.col("l_extendedprice") * 100).cast("long") * (100 - F.round(F.col("l_discount") * 100).cast("long"))).alias("amount"),
         F.col("l_orderkey").alias("order_id"),
         F.col("l_suppkey").alias("merchant_id"),
         "l_partkey",
-        F.col("l_returnflag").alias("is_terminal_or_cpqr"),
+        _known("l_returnflag").alias("is_terminal_or_cpqr"),
     )
-    place = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("geo"))
+    place = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", _known("r_name").alias("geo"))
     users = read("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "geo")
     orders = read("orders").select("o_orderkey", F.col("o_custkey").alias("user_id"))
-    parts = read("part").select("p_partkey", F.col("p_type").alias("products"), F.col("p_brand").alias("brand"))
+    parts = read("part").select("p_partkey", _known("p_type").alias("products"), _known("p_brand").alias("brand"))
     return (
         line.join(parts, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders, F.col("order_id") == F.col("o_orderkey"))
@@ -48,17 +67,29 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def complete_windows(sales: DataFrame, period: str = "13W", windows: int = WINDOWS) -> DataFrame:
+def complete_windows(sales: DataFrame, period: str = "13W", windows: int = WINDOWS, days: tuple[int, int] | None = None) -> DataFrame:
     """``sales`` with ``idx`` (0: current) and ``cal_date`` (last day) of windows that lie wholly in the data.
 
-    Windows are anchored at the last day.  The bounds are one row.
+    Windows are anchored at the last day.  ``days`` are the data's first and
+    last day; without them ``sales`` is read for them first.
     """
-    days = 7 * period_to_weeks(period)
-    bounds = F.broadcast(sales.agg(F.min("day").alias("first"), F.max("day").alias("last")))
-    rows = sales.join(bounds)
-    rows = rows.withColumn("idx", F.floor((F.col("last") - F.col("day")) / days).cast("long"))
-    rows = rows.withColumn("cal_date", F.col("last") - days * F.col("idx"))
-    return rows.where((F.col("idx") < windows) & (F.col("cal_date") - (days - 1) >= F.col("first"))).drop("first", "last")
+    span = 7 * period_to_weeks(period)
+    if days is None:
+        found = sales.agg(F.min("day"), F.max("day")).first()
+        days = (found[0], found[1]) if found[0] is not None else (0, 0)
+    first, last = days
+    rows = sales.withColumn("idx", F.floor((last - F.col("day")) / span).cast("long"))
+    rows = rows.withColumn("cal_date", last - span * F.col("idx"))
+    return rows.where((F.col("idx") < windows) & (F.col("cal_date") - (span - 1) >= first))
+
+
+def windowed_sales(spark: SparkSession, sf_dir: str, period: str = "13W", windows: int = WINDOWS) -> DataFrame:
+    """The sales of the complete windows, of which the scan reads no older days."""
+    days = sales_days(spark, sf_dir)
+    if days is None:
+        return complete_windows(transactions(spark, sf_dir), period, windows)
+    since = max(days[0], days[1] - windows * 7 * period_to_weeks(period) + 1)
+    return complete_windows(transactions(spark, sf_dir, since), period, windows, days)
 
 
 def top_brands(rows: DataFrame, top: int = TOP) -> DataFrame:
@@ -108,7 +139,7 @@ def cube(rows: DataFrame, period: str = "13W", dims: tuple[str, ...] = DIMENSION
         rows = rows.join(coded, F.col(d).eqNullSafe(F.col(f"v_{d}"))).drop(f"v_{d}")
 
     atom = sum((F.col(f"c_{d}") * F.lit(strides[d][0]) for d in dims), F.lit(0).cast("long"))
-    rows = rows.select("cal_date", atom.alias("atom"), "amount", "order_id", "user_id", "merchant_id")
+    rows = stage(rows.select("cal_date", atom.alias("atom"), "amount", "order_id", "user_id", "merchant_id"), "coded")  # read once for each measure
     places = [F.expr(f"atom div {low} % {n} * {low}") for low, n in strides.values()]
     masked = F.array(*(sum((p for p, keep in zip(places, how) if keep), F.lit(0).cast("long")) for how in product((True, False), repeat=len(dims))))
 

@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftcube.config import AnomalyThresholds
 from driftcube.operators import coverage as cov
-from driftcube.operators.solver import Node, adjust_hierarchy, pack
+from driftcube.operators.solver import UNADJUSTED, Node, adjust_hierarchy, pack
 from driftcube.storage import ship, stage
 
 _SOLVED = (
     "segment_id string, component_id string, anomaly_score double, hierarchy_factor double, hierarchy_descendant_count int, hierarchy_group_count long, "
-    "hierarchy_best_group_ids array<string>, hierarchy_best_group_score double, hierarchy_uncapped_score double, hierarchy_capture double, "
-    "hierarchy_score_cap double, hierarchy_cap_applied boolean, hierarchy_same_direction boolean, hierarchy_dominant_child_id string, "
-    "hierarchy_unidirectionality double, hierarchy_balance_max double, hierarchy_balance_eff double, hierarchy_coherence double, "
-    "selected boolean, solver_name string, solver_status string"
+    "hierarchy_best_group_ids array<string>, hierarchy_best_group_keys array<string>, hierarchy_best_group_score double, hierarchy_uncapped_score double, "
+    "hierarchy_capture double, hierarchy_score_cap double, hierarchy_cap_applied boolean, hierarchy_same_direction boolean, hierarchy_dominant_child_id string, "
+    "hierarchy_unidirectionality double, hierarchy_dominant_share double, hierarchy_balance_max double, hierarchy_balance_eff double, hierarchy_balance double, hierarchy_coherence double, "
+    "selected boolean, solver_name string, solver_status string, objective_value double, best_bound double, absolute_gap double, relative_gap double, solve_time_sec double, "
+    "variable_count int, constraint_count int, message string"
 )
+_FIELDS = (
+    "score", "factor", "descendants", "groups", "group_ids", "group_keys", "group_score", "uncapped", "capture", "cap", "cap_applied", "same_direction", "dominant",
+    "u", "dominant_share", "b_max", "b_eff", "balance", "coherence",
+)
+
+
+def proven(tolerance: float) -> Column:
+    """Whether a component's solver states an optimum and its gap bears it out."""
+    near = F.least(F.col("relative_gap"), F.col("absolute_gap")) <= tolerance + 1e-12
+    return F.coalesce((F.col("solver_status") == "OPTIMAL") & near, F.lit(False))
 
 
 def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds(), prescored: bool = False) -> DataFrame:
@@ -45,34 +56,59 @@ def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresho
         ]
         if prescored:
             for n in nodes:
-                n.result.update(dict.fromkeys(("descendants", "groups", "group_score", "uncapped", "capture", "cap", "cap_applied", "same_direction", "dominant", "u", "b_max", "b_eff", "coherence")), group_ids=[], factor=1.0, score=n.base)
+                n.result.update(UNADJUSTED, group_ids=[], group_keys=[], score=n.base, uncapped=n.base)
         else:
             adjust_hierarchy(nodes, thresholds)
-        chosen, solver = pack(nodes, thresholds)
-        fields = ("score", "factor", "descendants", "groups", "group_ids", "group_score", "uncapped", "capture", "cap", "cap_applied", "same_direction", "dominant", "u", "b_max", "b_eff", "coherence")
-        return pd.DataFrame([(n.segment_id, key[0], *(n.result[f] for f in fields), n.segment_id in chosen, solver, "OPTIMAL") for n in nodes], columns=[c.split(" ")[0] for c in _SOLVED.split(", ")])
+        p = pack(nodes, thresholds)
+        of = (p.solver, p.status, p.objective, p.bound, p.absolute_gap, p.relative_gap, p.seconds, p.variables, p.constraints, p.message)
+        rows = [(n.segment_id, key[0], *(n.result[f] for f in _FIELDS), n.segment_id in p.chosen, *of) for n in nodes]
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _SOLVED.split(", ")])
 
     return stage(ready.groupBy("component_id").applyInPandas(run, _SOLVED), "solved")
 
 
-def diagnostics(candidates: DataFrame, coverage: DataFrame, solved: DataFrame) -> DataFrame:
-    """Every candidate with its packing status, coverage and conflicts."""
+def diagnostics(
+    candidates: DataFrame, coverage: DataFrame, solved: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds(), source: str = "FACTUAL_ATOMIC_COVERAGE"
+) -> DataFrame:
+    """Every candidate with its packing status, coverage, conflicts, and its component's solution."""
     covered = coverage.groupBy("segment_id").agg(F.count("*").alias("covered_atomic_count"), F.sort_array(F.collect_list("atom_id")).alias("original_atomic_descendants"))
     pairs = cov.conflict_pairs(cov.eligible_coverage(candidates, coverage))
-    ends = pairs.select(F.col("left_id").alias("segment_id"), F.col("right_key").alias("other")).union(pairs.select("right_id", "left_key"))
-    degree = ends.groupBy("segment_id").agg(F.count("*").alias("conflict_count"), F.sort_array(F.collect_list("other")).alias("conflict_segment_keys"))
+    other = F.struct(F.col("right_key").alias("key"), F.col("right_id").alias("id")), F.struct(F.col("left_key").alias("key"), F.col("left_id").alias("id"))
+    ends = pairs.select(F.col("left_id").alias("segment_id"), other[0].alias("other")).union(pairs.select("right_id", other[1]))
+    degree = ends.groupBy("segment_id").agg(F.count("*").alias("conflict_count"), F.sort_array(F.collect_list("other")).alias("others"))
+    degree = degree.select("segment_id", "conflict_count", F.col("others.key").alias("conflict_segment_keys"), F.col("others.id").alias("conflict_segment_ids"))
     rows = candidates.join(covered, "segment_id", "left").join(degree, "segment_id", "left").join(solved, "segment_id", "left")
-    rows = rows.withColumns({"covered_atomic_count": F.coalesce("covered_atomic_count", F.lit(0)), "conflict_count": F.coalesce("conflict_count", F.lit(0))})
+    zero = {c: F.coalesce(c, F.lit(0)) for c in ("covered_atomic_count", "conflict_count")}
+    rows = rows.withColumns({**zero, "is_resolved": proven(thresholds.set_packing_gap_tolerance), "original_atomic_count": zero["covered_atomic_count"]})
     passed, score = F.col("passes_initial_anomaly_filter"), F.col("anomaly_score")
     status = F.when((F.col("slice_depth") == 0) | ~passed, "NOT_IN_SET_PACKING_GRAPH").when(F.col("covered_atomic_count") == 0, "EMPTY_ATOMIC_COVERAGE")
     status = status.when(score.isNull() | F.isnan(score) | (F.abs(score) == float("inf")), "INVALID_SCORE").when(score <= 0, "NONPOSITIVE_SCORE")
-    status = status.when(F.col("solver_status") != "OPTIMAL", "SET_PACKING_NOT_PROVEN")
+    status = status.when(~F.col("is_resolved"), "SET_PACKING_NOT_PROVEN")
     status = status.when(F.col("selected"), "SET_PACKING_SELECTED").otherwise("SET_PACKING_NOT_SELECTED")
+    by = F.format_string("component %s, solver %s, status %s", "component_id", "solver_name", "solver_status")
     reason = F.when(F.col("slice_depth") == 0, "the total takes no part").when(~passed, "below the initial thresholds")
-    reason = reason.when(F.col("selected"), "part of the proven optimum").otherwise("lost to a disjoint set of higher score")
-    return rows.withColumns(
-        {"set_packing_status": status, "set_packing_reason": reason, "selected": F.coalesce("selected", F.lit(False)), "is_eligible": passed & (F.col("slice_depth") > 0), "is_resolved": F.col("solver_status").isNotNull()}
+    reason = reason.when(F.col("covered_atomic_count") == 0, "no atomic coverage").when(F.col("set_packing_status") == "INVALID_SCORE", "the score is not a finite number").when(score <= 0, "the score is not positive")
+    reason = reason.when(~F.col("is_resolved"), F.concat(F.lit("no proven optimum: "), by)).when(F.col("selected"), F.concat(F.lit(f"part of the proven optimum (gap {thresholds.set_packing_gap_tolerance}): "), by))
+    reason = reason.otherwise(F.concat(F.lit("lost to a disjoint set of at least the same score: "), by))
+    rows = rows.withColumn("set_packing_status", status).withColumn("set_packing_reason", reason)
+    chosen = F.coalesce("selected", F.lit(False))
+    rows = rows.withColumns(
+        {
+            "selected": chosen,
+            "is_eligible": passed & (F.col("slice_depth") > 0),
+            "selection_score": score,
+            "selected_atomic_count": F.when(chosen, F.col("covered_atomic_count")).otherwise(0),
+            "selected_atomic_descendants": F.when(chosen, F.col("original_atomic_descendants")),
+            "selection_exclusion_reason": F.when(chosen, "").otherwise(F.col("set_packing_reason")),
+            "output_block": F.when(chosen, "optimal anomaly").otherwise("excluded"),
+            "atomic_coverage_source": F.lit(source),
+            "atomic_coverage_validation_status": F.when(F.col("covered_atomic_count") > 0, "OK").otherwise("EMPTY"),
+        }
     )
+    stats = component_stats(rows, coverage).select("component_id", *(F.col(c).alias(f"set_packing_component_{c}") for c in ("segment_count", "atom_count", "conflict_pair_count", "score_sum", "score_min", "score_max", "score_dynamic_range")))
+    status = F.when(F.count_if("is_eligible") == 0, "EMPTY").when(F.count_if(F.col("is_eligible") & ~F.col("is_resolved")) == 0, "OPTIMAL").otherwise("NOT_OPTIMAL")
+    overall = rows.agg(status.alias("set_packing_global_status"))  # one row
+    return rows.join(stats, "component_id", "left").join(F.broadcast(overall))
 
 
 def apply_hierarchy_score_adjustment(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds()) -> DataFrame:
@@ -110,10 +146,11 @@ def search_anomal(
     if some := [r["segment_id"] for r in bad.select("segment_id").limit(5).collect()]:
         raise ValueError(f"eligible segments without a finite positive score: {some}")
     solved = solve(rows, coverage, thresholds, prescored=True)
-    source = "SEGMENT_KEY_FALLBACK" if allow_segment_key_fallback else "FACTUAL"
-    found = stage(diagnostics(rows.drop("anomaly_score"), coverage, solved).withColumn("atomic_coverage_source", F.lit(source)), "diagnosed")
-    validate(found, coverage)
-    return final(found), found, decision_log(found, coverage)
+    source = "SEGMENT_KEY_FALLBACK" if allow_segment_key_fallback else "FACTUAL_ATOMIC_COVERAGE"
+    found = stage(diagnostics(rows.drop("anomaly_score"), coverage, solved, thresholds, source), "diagnosed")
+    best = stage(final(found), "final")
+    validate(found, coverage, solved, best, thresholds)
+    return best, found, decision_log(found, coverage)
 
 
 def final(diagnosed: DataFrame) -> DataFrame:
@@ -134,14 +171,12 @@ def component_stats(diagnosed: DataFrame, coverage: DataFrame) -> DataFrame:
         F.sum("anomaly_score").alias("score_sum"),
         F.min("anomaly_score").alias("score_min"),
         F.max("anomaly_score").alias("score_max"),
-        F.sum(F.when(F.col("selected"), F.col("anomaly_score")).otherwise(0.0)).alias("objective_value"),
-        F.first("solver_name").alias("solver_name"),
-        F.first("solver_status").alias("solver_status"),
+        F.sum(F.when(F.col("selected"), F.col("anomaly_score")).otherwise(0.0)).alias("selected_score_sum"),
+        *(F.first(c).alias(c) for c in ("solver_name", "solver_status", "objective_value", "best_bound", "absolute_gap", "relative_gap", "solve_time_sec", "variable_count", "constraint_count", "message")),
         F.sort_array(F.collect_list(F.when(F.col("selected"), F.col("segment_id")))).alias("selected_ids"),
     )
     span = F.when(F.col("score_min") > 0, F.col("score_max") / F.col("score_min")).otherwise(float("inf"))
-    gaps = {"best_bound": F.col("objective_value"), "absolute_gap": F.lit(0.0), "relative_gap": F.lit(0.0)}  # proven optima
-    return stats.join(atoms, "component_id").withColumns({"score_dynamic_range": span, **gaps})
+    return stats.join(atoms, "component_id").withColumn("score_dynamic_range", span)
 
 
 def decision_log(diagnosed: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -149,32 +184,53 @@ def decision_log(diagnosed: DataFrame, coverage: DataFrame) -> DataFrame:
     eligible = cov.eligible_coverage(diagnosed, coverage)
     stats = component_stats(diagnosed, coverage)
     event = lambda name: F.lit(name).alias("event_type")
-    summary = stats.agg(F.count("*").alias("component_count"), F.sum("objective_value").alias("objective_value"), F.sum(F.size("selected_ids")).alias("selected_count"))
-    summary = summary.select(event("GLOBAL_OPTIMIZATION_SUMMARY"), "component_count", F.coalesce("objective_value", F.lit(0.0)).alias("objective_value"), F.coalesce("selected_count", F.lit(0)).alias("selected_count"), F.when(F.col("component_count") > 0, "OPTIMAL").otherwise("EMPTY").alias("global_status"))
-    atoms = eligible.groupBy("atom_id").agg(F.count("*").alias("segment_count"), F.array_join(F.sort_array(F.collect_list("segment_key")), " || ").alias("segment_keys"))
-    atoms = atoms.select(event("ATOM_TO_SEGMENTS"), F.col("atom_id").alias("atomic_segment_id"), "segment_count", "segment_keys")
+    sums = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("objective_value", "best_bound", "absolute_gap")]
+    summary = stats.agg(F.count("*").alias("component_count"), F.coalesce(F.sum(F.size("selected_ids")), F.lit(0)).alias("selected_count"), *sums, F.coalesce(F.max("relative_gap"), F.lit(0.0)).alias("relative_gap"))
+    overall = diagnosed.agg(F.coalesce(F.max("set_packing_global_status"), F.lit("EMPTY")).alias("global_status"))  # one row
+    summary = summary.join(F.broadcast(overall)).select(event("GLOBAL_OPTIMIZATION_SUMMARY"), *summary.columns, "global_status", F.col("global_status").alias("solver_status"))
+    listed = lambda c: F.array_join(F.col(c), " || ")
+    atoms = eligible.groupBy("atom_id").agg(F.count("*").alias("segment_count"), F.sort_array(F.collect_list(F.struct("segment_key", "segment_id"))).alias("s"))
+    atoms = atoms.select(event("ATOM_TO_SEGMENTS"), F.col("atom_id").alias("atomic_segment_id"), "segment_count", listed("s.segment_id").alias("segment_ids"), listed("s.segment_key").alias("segment_keys"))
     pairs = cov.conflict_pairs(eligible)
-    pairs = pairs.select(event("CONFLICT_PAIR"), F.col("left_key").alias("left_segment_key"), F.col("right_key").alias("right_segment_key"), "shared_atomic_count", F.array_join("shared_atomic_ids", " || ").alias("shared_atomic_ids"))
-    solves = stats.select(event("COMPONENT_SOLVE"), *(c for c in stats.columns if c != "selected_ids"), F.array_join("selected_ids", " || ").alias("selected_ids"))
-    decisions = diagnosed.where("component_id is not null").select(event("SEGMENT_DECISION"), "component_id", "segment_id", "segment_key", "slice_depth", "anomaly_score", "selected", "solver_name", "solver_status")
+    names = {"left_id": "left_segment_id", "left_key": "left_segment_key", "right_id": "right_segment_id", "right_key": "right_segment_key"}
+    pairs = pairs.select(event("CONFLICT_PAIR"), *(F.col(k).alias(v) for k, v in names.items()), "shared_atomic_count", listed("shared_atomic_ids").alias("shared_atomic_ids"))
+    solves = stats.select(event("COMPONENT_SOLVE"), *(c for c in stats.columns if c not in ("selected_ids", "selected_score_sum")), listed("selected_ids").alias("selected_ids"))
+    decisions = diagnosed.where("component_id is not null")
+    decisions = decisions.select(event("SEGMENT_DECISION"), "component_id", "segment_id", "segment_key", "slice_depth", "anomaly_score", "selected", "solver_name", "solver_status", F.col("set_packing_global_status").alias("global_status"))
     log = summary
     for part in (atoms, pairs, solves, decisions):
         log = log.unionByName(part, allowMissingColumns=True)
     return log
 
 
-def validate(diagnosed: DataFrame, coverage: DataFrame) -> None:
-    """Errors for what must hold of a solution: all eligible resolved, positive scores, no atom twice, all proven."""
+def validate(diagnosed: DataFrame, coverage: DataFrame, solved: DataFrame | None = None, best: DataFrame | None = None, thresholds: AnomalyThresholds = AnomalyThresholds()) -> None:
+    """Errors for what must hold of a solution.
+
+    All eligible segments resolved with positive scores, every component proven,
+    its objective the sum of its chosen scores, no atom twice and none missing,
+    ids and keys unique; and, where given, the final rows exactly what the
+    solver chose, with the same sum.
+    """
+    tolerance = max(1e-7, thresholds.set_packing_gap_tolerance + 1e-12)
     checks = diagnosed.agg(
         F.count_if(F.col("is_eligible") & ~F.col("is_resolved")).alias("unresolved"),
-        F.count_if(F.col("is_eligible") & ~(F.col("anomaly_score") > 0)).alias("without a positive score"),
-        F.count_if(F.col("set_packing_status") == "SET_PACKING_NOT_PROVEN").alias("not proven"),
+        F.count_if(F.col("is_eligible") & ~F.coalesce(F.col("anomaly_score") > 0, F.lit(False))).alias("without a positive score"),
+        F.count_if(F.col("is_eligible") & ~F.col("set_packing_status").isin("SET_PACKING_SELECTED", "SET_PACKING_NOT_SELECTED")).alias("not decided"),
+        F.count_if(F.col("set_packing_global_status") == "NOT_OPTIMAL").alias("not globally optimal"),
+        F.count_if(F.col("selected") & (F.col("covered_atomic_count") == 0)).alias("selected without coverage"),
         (F.count("*") - F.count_distinct("segment_id")).alias("repeated ids"),
         (F.count("*") - F.count_distinct("segment_key")).alias("repeated keys"),
     ).first()
     twice = diagnosed.where("selected").join(coverage, "segment_id").groupBy("atom_id").count().where("count > 1").count()
-    bad = {k: v for k, v in {**checks.asDict(), "atoms selected twice": twice}.items() if v}
-    if bad:
+    apart = lambda a, b: ~F.coalesce(F.abs(a - b) <= F.greatest(F.lit(tolerance), 1e-9 * F.greatest(F.abs(a), F.abs(b))), F.lit(False))
+    stats = component_stats(diagnosed, coverage)
+    sums = stats.where(apart(F.col("objective_value"), F.col("selected_score_sum")) | ~proven(thresholds.set_packing_gap_tolerance)).count()
+    bad = {**checks.asDict(), "atoms selected twice": twice, "components whose objective is not proven or not the sum of their scores": sums}
+    if solved is not None and best is not None:
+        chosen = solved.where("selected").select("segment_id")
+        bad["final segments that the solver did not choose"] = best.join(chosen, "segment_id", "left_anti").count()
+        bad["chosen segments that are not final"] = chosen.join(best, "segment_id", "left_anti").count()
+        total = stats.agg(F.coalesce(F.sum("objective_value"), F.lit(0.0)).alias("a")).join(best.agg(F.coalesce(F.sum("anomaly_score"), F.lit(0.0)).alias("b")))
+        bad["final sums that are not the objective"] = total.where(apart(F.col("a"), F.col("b"))).count()
+    if bad := {k: v for k, v in bad.items() if v}:
         raise ValueError(f"set packing solution is not valid: {bad}")
-
-

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftcube.config import ADDITIVE, DIMENSIONS, RATIOS, AnomalyThresholds
+from driftcube.operators.coverage import atomic_coverage, check_reconciliation
 from driftcube.operators.panel import META
 
 METRICS = (*ADDITIVE, *RATIOS)
@@ -85,3 +86,21 @@ def candidates(metrics: DataFrame, thresholds: AnomalyThresholds = AnomalyThresh
     )
     base = F.col("abs_robust_z") * F.col("materiality_share") * F.col("reliability_factor")
     return rows.withColumn("passes_initial_anomaly_filter", passes).withColumn("base_anomaly_score", base)
+
+
+def build_anomaly_candidates(
+    panel: DataFrame,
+    dates: list[int],
+    current: int | None = None,
+    thresholds: AnomalyThresholds = AnomalyThresholds(),
+    dims: tuple[str, ...] = DIMENSIONS,
+    coverage: DataFrame | None = None,
+) -> DataFrame:
+    """The candidates of a panel whose totals are positive on every date and whose segments are the sums of their atoms; errors otherwise."""
+    totals = panel.where("slice_depth = 0").groupBy("cal_date").agg(F.sum("gmv").alias("total"))
+    known = {r["cal_date"]: r["total"] for r in totals.collect()}  # one number a date
+    if bad := [d for d in dates if not known.get(d, 0.0) > 0]:
+        raise ValueError(f"the total is not positive on {bad}")
+    metrics = segment_metrics(panel, dates, current, thresholds, dims)
+    check_reconciliation(panel, atomic_coverage(metrics, dims) if coverage is None else coverage, thresholds.hierarchy_reconciliation_abs_tolerance)
+    return candidates(metrics, thresholds)

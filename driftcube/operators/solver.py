@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import sys
+import time
 from dataclasses import dataclass, field
 
 from driftcube.config import AnomalyThresholds
@@ -126,11 +128,20 @@ def _union(masks) -> int:
     return out
 
 
+#: What a segment without a group of descendants has.
+UNADJUSTED = {
+    "descendants": 0, "groups": 0, "group_score": 0.0, "factor": 1.0, "capture": None, "cap": None, "cap_applied": False, "same_direction": None, "dominant": None,
+    "u": None, "dominant_share": None, "b_max": None, "b_eff": None, "balance": None, "coherence": None,
+}
+
+
 def adjust_hierarchy(nodes: list[Node], t: AnomalyThresholds) -> None:
     """Set every node's ``result``: its score adjusted by its best disjoint descendants, deepest first."""
     for p in sorted(nodes, key=lambda n: (-n.depth, n.segment_id)):
         r = p.result
-        r.update(descendants=0, groups=0, group_ids=[], group_score=0.0, factor=1.0, score=p.base, uncapped=p.base, capture=None, cap=None, cap_applied=False, same_direction=None, u=None, b_max=None, b_eff=None, coherence=None, dominant=None)
+        if not math.isfinite(p.base) or not math.isfinite(p.delta) or not p.delta:
+            raise ValueError(f"segment {p.segment_id}: an eligible segment needs a finite base score and a change, not {p.base} and {p.delta}")
+        r.update(UNADJUSTED, group_ids=[], group_keys=[], score=p.base, uncapped=p.base)
         if p.is_atom:
             continue
         below = sorted((n for n in nodes if n.depth > p.depth and n.bits & ~p.bits == 0), key=lambda n: n.segment_id)
@@ -139,13 +150,11 @@ def adjust_hierarchy(nodes: list[Node], t: AnomalyThresholds) -> None:
             continue
         if len(below) > t.max_hierarchy_descendants:
             raise ValueError(f"segment {p.segment_id}: {len(below)} eligible descendants exceed max_hierarchy_descendants={t.max_hierarchy_descendants}")
-        if p.base <= 0 or not p.delta:
-            raise ValueError(f"segment {p.segment_id}: an eligible segment needs a positive base score and a change")
         bits = [n.bits for n in below]
         r["groups"] = count_disjoint(bits)
         group = [below[i] for i in best_disjoint(bits, [n.result["score"] for n in below], [n.segment_id for n in below], t.max_search_nodes)]
         group.sort(key=lambda n: n.segment_id)
-        r["group_ids"], r["group_score"] = [n.segment_id for n in group], sum(n.result["score"] for n in group)
+        r["group_ids"], r["group_keys"], r["group_score"] = [n.segment_id for n in group], [n.segment_key for n in group], sum(n.result["score"] for n in group)
         if len(group) == 1:
             _single_child(p, group[0], t)
         else:
@@ -160,7 +169,7 @@ def _single_child(p: Node, child: Node, t: AnomalyThresholds) -> None:
     same = p.delta * child.delta > 0
     rule = same and capture >= t.dominant_child_capture_threshold
     score = min(uncapped, cap) if rule else uncapped
-    r.update(uncapped=uncapped, cap=cap, capture=capture, same_direction=same, cap_applied=rule and score < uncapped, score=score, factor=score / p.base, dominant=child.segment_id if rule else None)
+    r.update(uncapped=uncapped, cap=cap, capture=capture, same_direction=same, cap_applied=rule and score < uncapped, score=score, factor=score / p.base if p.base else 1.0, dominant=child.segment_id if rule else None)
 
 
 def _coherence(p: Node, deltas: list[float], t: AnomalyThresholds) -> None:
@@ -170,38 +179,79 @@ def _coherence(p: Node, deltas: list[float], t: AnomalyThresholds) -> None:
     u = abs(sum(deltas)) / gross
     b_max = clamp((1 - max(shares)) / (1 - 1 / k))
     b_eff = clamp((1 / sum(q * q for q in shares) - 1) / (k - 1))
-    coherence = u * min(b_max, b_eff)
+    balance = min(b_max, b_eff)
+    coherence = u * balance
     factor = 1 + t.aggregation_bonus_lambda * (coherence - 0.5)
-    p.result.update(u=u, b_max=b_max, b_eff=b_eff, coherence=coherence, factor=factor, score=p.base * factor, uncapped=p.base * factor)
+    p.result.update(u=u, dominant_share=max(shares), b_max=b_max, b_eff=b_eff, balance=balance, coherence=coherence, factor=factor, score=p.base * factor, uncapped=p.base * factor)
 
 
-def pack(nodes: list[Node], t: AnomalyThresholds) -> tuple[set[str], str]:
-    """Ids of the best set of pairwise disjoint segments by adjusted score, and the solver's name."""
-    nodes = sorted(nodes, key=lambda n: n.order)
-    if len({bit for n in nodes for bit in _bits(n.bits)}) == sum(n.bits.bit_count() for n in nodes):
-        return {n.segment_id for n in nodes if n.result["score"] > 0}, "TRIVIAL"
-    bits, scores = [n.bits for n in nodes], [n.result["score"] for n in nodes]
-    most = t.max_search_nodes if len(nodes) > t.max_exact_fallback_size else 1 << 60  # small components are always searched to the end
-    try:
-        picked, name = best_disjoint(bits, scores, [n.order for n in nodes], most), "BRANCH_AND_BOUND"
-    except SearchExhausted:
-        if (picked := milp(bits, scores, t.set_packing_gap_tolerance)) is None:
-            raise
-        name = "SCIPY_HIGHS"
-    return {nodes[i].segment_id for i in picked}, name
+def constraint_rows(bits: list[int]) -> list[list[int]]:
+    """For each atom that two or more segments cover, their positions: at most one of them may be chosen."""
+    atoms = sorted({b for x in bits for b in _bits(x)})
+    rows = [[i for i, x in enumerate(bits) if x & a] for a in atoms]
+    return [r for r in rows if len(r) > 1]
+
 
+@dataclass(frozen=True)
+class Packing:
+    """A component's solution, and what proves it."""
 
-def milp(bits: list[int], scores: list[float], gap: float) -> list[int] | None:
-    """The same optimum by SciPy's mixed-integer solver, where it is installed and proves it; else None."""
+    chosen: frozenset[str]
+    solver: str
+    status: str
+    objective: float
+    bound: float
+    seconds: float
+    variables: int
+    constraints: int
+    message: str = ""
+
+    @property
+    def absolute_gap(self) -> float:
+        return max(0.0, self.bound - self.objective)
+
+    @property
+    def relative_gap(self) -> float:
+        return self.absolute_gap / max(abs(self.objective), 1e-12)
+
+
+def pack(nodes: list[Node], t: AnomalyThresholds) -> Packing:
+    """The best set of pairwise disjoint segments by adjusted score."""
+    began = time.perf_counter()
+    nodes = sorted(nodes, key=lambda n: n.order)
+    bits, scores = [n.bits for n in nodes], [n.result["score"] for n in nodes]
+    rows, message, status = constraint_rows(bits), "", "OPTIMAL"
+    if not rows:
+        picked, solver = [i for i, s in enumerate(scores) if s > 0], "TRIVIAL"
+        bound = sum(scores[i] for i in picked)
+    else:
+        most = t.max_search_nodes if len(nodes) > t.max_exact_fallback_size else 1 << 60  # small components are always searched to the end
+        try:
+            picked, solver = best_disjoint(bits, scores, [n.order for n in nodes], most), "BRANCH_AND_BOUND"
+            bound = sum(scores[i] for i in picked)  # the search ends with no branch left above what it found
+        except SearchExhausted as stopped:
+            if (found := milp(rows, scores, t.set_packing_gap_tolerance)) is None:
+                raise
+            (picked, bound, status), solver, message = found, "SCIPY_HIGHS", str(stopped)
+    objective = sum(scores[i] for i in picked)
+    return Packing(frozenset(nodes[i].segment_id for i in picked), solver, status, objective, bound, time.perf_counter() - began, len(nodes), len(rows), message)
+
+
+def milp(rows: list[list[int]], scores: list[float], gap: float) -> tuple[list[int], float, str] | None:
+    """(positions, bound, status) by SciPy's mixed-integer solver, where it is installed and finds a solution; else None."""
     try:
         import numpy as np
         from scipy.optimize import Bounds, LinearConstraint, milp as solve
     except ImportError:
         return None
-    atoms = sorted({b for x in bits for b in _bits(x)})
-    uses = np.array([[float(bool(x & a)) for x in bits] for a in atoms])
-    found = solve(-np.array(scores), constraints=LinearConstraint(uses, ub=1.0), integrality=np.ones(len(bits)), bounds=Bounds(0, 1), options={"mip_rel_gap": gap})
-    return [i for i, v in enumerate(found.x) if v >= 0.5] if found.status == 0 else None
+    uses = np.zeros((len(rows), len(scores)))
+    for i, members in enumerate(rows):
+        uses[i, members] = 1.0
+    found = solve(-np.array(scores), constraints=LinearConstraint(uses, ub=1.0), integrality=np.ones(len(scores)), bounds=Bounds(0, 1), options={"mip_rel_gap": gap})
+    if found.x is None:
+        return None
+    picked = [i for i, v in enumerate(found.x) if v >= 0.5 and scores[i] > 0]
+    return picked, -float(found.mip_dual_bound), "OPTIMAL" if found.status == 0 else "NOT_OPTIMAL"
 
 
 def _bits(bits: int):

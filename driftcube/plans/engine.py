@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,10 +28,18 @@ class Analysis:
     @classmethod
     def of_sales(cls, spark: SparkSession, sf_dir: str, period: str = "13W", thresholds: AnomalyThresholds = AnomalyThresholds()) -> "Analysis":
         """From the transaction tables in ``sf_dir``, through the mart."""
-        rows = stage(mart.complete_windows(mart.transactions(spark, sf_dir), period), "windows")
+        rows = stage(mart.windowed_sales(spark, sf_dir, period), "windows")
         history = stage(mart.with_segment(mart.cube(mart.bucketed(rows), period)), "history")
         return cls(history, panel.calendar(history), thresholds)
 
+    def under(self, thresholds: AnomalyThresholds) -> "Analysis":
+        """The same panel under other thresholds of the filter and what follows; its metrics, too, where those agree on what they need."""
+        other = replace(self, thresholds=thresholds)
+        other.__dict__ |= {"panel": self.panel, "coverage": self.coverage}
+        if (thresholds.sigma_floor, thresholds.lifecycle_z_score) == (self.thresholds.sigma_floor, self.thresholds.lifecycle_z_score):
+            other.__dict__["metrics"] = self.metrics
+        return other
+
     @property
     def current(self) -> int:
         return self.dates[-1] if self.current_cal_date is None else self.current_cal_date
@@ -59,17 +67,17 @@ class Analysis:
     @cached_property
     def solved(self) -> DataFrame:
         cov.check_reconciliation(self.panel, self.coverage, self.thresholds.hierarchy_reconciliation_abs_tolerance)
-        return packing.solve(self.candidates, self.coverage, self.thresholds)
+        return packing.solve(self.candidates, self.coverage, self.thresholds)  # a staged table
 
     @cached_property
     def diagnosed(self) -> DataFrame:
-        found = stage(packing.diagnostics(self.candidates, self.coverage, self.solved), "diagnosed")
-        packing.validate(found, self.coverage)
-        return found
+        return stage(packing.diagnostics(self.candidates, self.coverage, self.solved, self.thresholds), "diagnosed")
 
     @cached_property
     def final(self) -> DataFrame:
-        return stage(packing.final(self.diagnosed), "final")
+        best = stage(packing.final(self.diagnosed), "final")
+        packing.validate(self.diagnosed, self.coverage, self.solved, best, self.thresholds)
+        return best
 
     @cached_property
     def manager(self) -> DataFrame:
@@ -81,7 +89,7 @@ class Analysis:
 
     @cached_property
     def control(self) -> DataFrame:
-        return reports.control_table(self.history, self.panel, self.diagnosed, self.coverage, self.dates, self.current)
+        return reports.control_table(self.history, self.panel, self.diagnosed, self.final, self.coverage, self.dates, self.current)
 
     def results(self) -> dict[str, DataFrame]:
         return {
@@ -96,13 +104,13 @@ class Analysis:
 
     def sheets(self) -> dict[str, DataFrame]:
         """The nine report tables in their order."""
-        spark = self.history.sparkSession
+        history = reports.history_for_selected(self.panel, self.final)
         return {
-            "00_parameters_and_control": reports.parameters(self.thresholds, self.dims, self.current, spark).union(self.control.selectExpr("metric", "cast(value as string)")),
-            "01_manager": self.manager.orderBy("section", "row_no"),
-            "02_final": self.final.select("rank", "segment_key", "slice_depth", "gmv_current", "gmv_previous", "wow_delta_gmv", "relative_wow", "covered_atomic_count", "original_atomic_descendants").orderBy("rank"),
+            "00_parameters_and_control": reports.parameters_and_control(self.thresholds, self.dims, self.current, self.control),
+            "01_manager": reports.manager_sheet(self.manager),
+            "02_final": reports.final_sheet(self.final, history, self.current, self.thresholds),
             "analysis": reports.analysis_sheet(self.diagnosed, self.final, self.thresholds).orderBy(*_analysis_order()),
-            "03_history": reports.history_for_selected(self.panel, self.final).orderBy("segment_key", "cal_date"),
+            "03_history": history.orderBy("segment_key", "cal_date"),
             "04_candidates": self.diagnosed.orderBy("slice_depth", "segment_key"),
             "05_missing_and_zero": panel.missing_zero_report(self.panel, self.dates, self.current),
             "06_control": self.control,
@@ -111,4 +119,4 @@ class Analysis:
 
 
 def _analysis_order() -> list:
-    return [F.col("depth").desc(), F.col("anomaly_score").desc(), F.round("delta").desc(), F.col("segment")]
+    return [F.col("depth").desc(), F.col("anomaly_score").desc(), F.col("delta_gmv").desc(), F.col("segment")]

@@ -23,7 +23,8 @@ _CTES = {
         SELECT date_diff('day', DATE '1970-01-01', l_shipdate::DATE) AS day,
                round(l_extendedprice * 100)::BIGINT * (100 - round(l_discount * 100)::BIGINT) AS amount,
                l_orderkey AS order_id, o_custkey AS user_id, l_suppkey AS merchant_id,
-               r_name AS geo, p_type AS products, p_brand AS brand, l_returnflag AS is_terminal_or_cpqr
+               coalesce(nullif(trim(r_name), ''), 'Unknown') AS geo, coalesce(nullif(trim(p_type), ''), 'Unknown') AS products,
+               coalesce(nullif(trim(p_brand), ''), 'Unknown') AS brand, coalesce(nullif(trim(l_returnflag), ''), 'Unknown') AS is_terminal_or_cpqr
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
         JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "windows": """
@@ -73,7 +74,7 @@ _CTES = {
     "candidates": """
         SELECT *, CASE WHEN gross_atomic_movement > 0 THEN abs(wow_delta_gmv) / gross_atomic_movement ELSE 0 END AS materiality_share,
                slice_depth = atom_depth AS is_atom,
-               slice_depth > 0 AND abs(robust_z) >= 3 AND CASE WHEN gross_atomic_movement > 0 THEN abs(wow_delta_gmv) / gross_atomic_movement ELSE 0 END >= 0.005 AS passes,
+               slice_depth > 0 AND abs(robust_z) >= {least_z} AND CASE WHEN gross_atomic_movement > 0 THEN abs(wow_delta_gmv) / gross_atomic_movement ELSE 0 END >= {least_share} AS passes,
                abs(robust_z) * (abs(wow_delta_gmv) / gross_atomic_movement) * reliability_factor AS base_score
         FROM metrics, (SELECT max(slice_depth) AS atom_depth FROM metrics),
              (SELECT sum(abs(wow_delta_gmv)) AS gross_atomic_movement FROM metrics WHERE slice_depth = (SELECT max(slice_depth) FROM metrics))""",
@@ -117,19 +118,25 @@ def _level(depth: int) -> dict[str, str]:
                (SELECT count(*) FROM descendants d WHERE d.segment_id = o.segment_id) AS n_desc
         FROM own o LEFT JOIN best{n} b USING (segment_id) WHERE o.slice_depth = {n}"""
     scored = f"""
-        SELECT *, k = 1 AND delta * deltas[1] > 0 AND capture >= 0.8 AS rule,
+        SELECT *, k = 1 AND delta * deltas[1] > 0 AND capture >= 0.8 AS rule, CASE WHEN k = 1 THEN delta * deltas[1] > 0 END AS same_direction,
+               CASE WHEN k > 1 THEN net / g END AS u, CASE WHEN k > 1 THEN top / g END AS dominant_share,
+               CASE WHEN k > 1 THEN least(1, greatest(0, (1 - top / g) / (1 - 1.0 / k))) END AS b_max, CASE WHEN k > 1 THEN least(1, greatest(0, (g * g / squares - 1) / (k - 1))) END AS b_eff,
                CASE WHEN is_atom OR k IS NULL THEN base_score WHEN k = 1 THEN base_score * 0.85
                     ELSE base_score * (1 + 0.3 * (net / g * least(least(1, greatest(0, (1 - top / g) / (1 - 1.0 / k))), least(1, greatest(0, (g * g / squares - 1) / (k - 1)))) - 0.5)) END AS uncapped
         FROM parts{n}"""
     adj = f"""
         SELECT segment_id, segment_key, slice_depth, component_id, atoms, delta, gross, base_score, coalesce(n_desc, 0) AS n_desc, coalesce(n_groups, 0) AS n_groups,
-               CASE WHEN rule THEN least(uncapped, best_score * 0.98) ELSE uncapped END AS score, coalesce(rule AND best_score * 0.98 < uncapped, false) AS cap_applied
+               CASE WHEN rule THEN least(uncapped, best_score * 0.98) ELSE uncapped END AS score, coalesce(rule AND best_score * 0.98 < uncapped, false) AS cap_applied,
+               coalesce(ids, []) AS ids, coalesce(best_score, 0) AS best_score, CASE WHEN k = 1 THEN capture END AS capture, CASE WHEN k = 1 THEN best_score * 0.98 END AS cap,
+               coalesce(rule, false) AS rule, same_direction, u, dominant_share, b_max, b_eff, CASE WHEN k = 1 THEN uncapped END AS uncapped
         FROM scored{n} UNION ALL SELECT * FROM {deeper}"""
     return {f"groups{n}": groups, f"best{n}": best, f"parts{n}": parts, f"scored{n}": scored, f"adj{n}": adj}
 
 
 _CTES["adj5"] = """
-        SELECT segment_id, segment_key, slice_depth, component_id, atoms, delta, gross, base_score, 0::BIGINT AS n_desc, 0::BIGINT AS n_groups, base_score AS score, false AS cap_applied FROM own WHERE false"""
+        SELECT segment_id, segment_key, slice_depth, component_id, atoms, delta, gross, base_score, 0::BIGINT AS n_desc, 0::BIGINT AS n_groups, base_score AS score, false AS cap_applied,
+               []::VARCHAR[] AS ids, 0.0::DOUBLE AS best_score, NULL::DOUBLE AS capture, NULL::DOUBLE AS cap, false AS rule, NULL::BOOLEAN AS same_direction, NULL::DOUBLE AS u, NULL::DOUBLE AS dominant_share,
+               NULL::DOUBLE AS b_max, NULL::DOUBLE AS b_eff, NULL::DOUBLE AS uncapped FROM own WHERE false"""
 for _depth in (4, 3, 2, 1):
     _CTES |= _level(_depth)
 _CTES |= {
@@ -142,6 +149,20 @@ _CTES |= {
     "chosen": """
         SELECT component_id, keys FROM (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY round(score, 11) DESC, len(keys), keys) AS r FROM choices) WHERE r = 1""",
     "solved": "SELECT n.*, list_contains(keys, n.segment_key) AS selected FROM nodes n JOIN chosen USING (component_id)",
+    "clash": """
+        SELECT key, count(*) AS n, string_agg(other, ' || ' ORDER BY other) AS others FROM (SELECT left_key AS key, right_key AS other FROM pairs UNION ALL SELECT right_key, left_key FROM pairs) GROUP BY key""",
+    "stats": """
+        SELECT component_id, count(*) AS segment_count, len(list_distinct(flatten(list(atoms)))) AS atom_count,
+               (SELECT count(*) FROM pairs JOIN solved l ON l.segment_id = left_id WHERE l.component_id = s.component_id) AS conflict_pair_count,
+               CASE WHEN sum(len(atoms)) = len(list_distinct(flatten(list(atoms)))) THEN 'TRIVIAL' ELSE 'BRANCH_AND_BOUND' END AS solver_name,
+               min(slice_depth) AS min_depth, max(slice_depth) AS max_depth, sum(score) AS score_sum, min(score) AS score_min, max(score) AS score_max, sum(score) FILTER (selected) AS objective_value,
+               -- a proof by all disjoint sets: the best of them
+               (SELECT max(c.score) FROM choices c WHERE c.component_id = s.component_id) AS best_bound, max(score) / min(score) AS score_dynamic_range
+        FROM solved s GROUP BY component_id""",
+    "proof": """
+        SELECT *, CASE WHEN abs(best_bound - objective_value) <= 1e-9 THEN 'OPTIMAL' ELSE 'NOT_OPTIMAL' END AS solver_status, greatest(0, round(best_bound - objective_value, 9)) AS absolute_gap,
+               greatest(0, round(best_bound - objective_value, 9)) / abs(objective_value) AS relative_gap FROM stats""",
+    "overall": "SELECT CASE WHEN count(*) = 0 THEN 'EMPTY' WHEN count(*) FILTER (solver_status <> 'OPTIMAL') = 0 THEN 'OPTIMAL' ELSE 'NOT_OPTIMAL' END AS global_status FROM proof",
     "final": """
         SELECT s.segment_id, s.segment_key, s.slice_depth, score, c.wow_delta_gmv,
                row_number() OVER (ORDER BY score DESC, abs(robust_z) DESC, materiality_share DESC, abs(wow_delta_gmv) DESC, reliability_factor DESC, s.segment_key) AS rank
@@ -157,8 +178,10 @@ _CTES |= {
                        'week_count', 'previous_cal_date', 'current_cal_date']) AS metric,
                unnest([(SELECT count(*) FROM history)::DOUBLE, (SELECT count(*) FROM panel), (SELECT count(*) FROM panel WHERE row_missing_in_source),
                        (SELECT sum(gmv) FROM panel, bounds WHERE slice_depth = 0 AND cal_date = cur), (SELECT count(*) FROM candidates), (SELECT count(*) FROM candidates WHERE passes),
-                       (SELECT count(*) FROM final), 0, 0, (SELECT count(*) FROM candidates WHERE is_atom), (SELECT count(DISTINCT component_id) FROM solved), 0,
-                       (SELECT round(sum(score), 6) FROM final), (SELECT count(*) FROM pairs),
+                       (SELECT count(*) FROM final), (SELECT count(*) FROM candidates LEFT JOIN solved USING (segment_id) WHERE passes AND selected IS NULL),
+                       (SELECT count(*) FROM solved JOIN proof USING (component_id) WHERE solver_status <> 'OPTIMAL'), (SELECT count(*) FROM candidates WHERE is_atom), (SELECT count(DISTINCT component_id) FROM solved),
+                       (SELECT count(*) FROM proof WHERE solver_status <> 'OPTIMAL'),
+                       (SELECT coalesce(sum(score), 0) FROM final), (SELECT count(*) FROM pairs),
                        (SELECT count(DISTINCT atom_id) FROM coverage JOIN final USING (segment_id)),
                        (SELECT count(*) - count(DISTINCT atom_id) FROM coverage JOIN final USING (segment_id)),
                        (SELECT count(*) FROM dates), (SELECT prev FROM bounds), (SELECT cur FROM bounds)]) AS value""",
@@ -182,12 +205,17 @@ _QUERIES = {
     "coverage_by_keys": "SELECT c.segment_id, atom_id FROM coverage c JOIN candidates USING (segment_id) WHERE slice_depth > 0",
     "component_stats": """
         SELECT component_id, count(*) AS segment_count, len(list_distinct(flatten(list(atoms)))) AS atom_count,
-               (SELECT count(*) FROM pairs JOIN solved l ON l.segment_id = left_id WHERE l.component_id = s.component_id) AS conflict_pair_count,
-               min(slice_depth) AS min_depth, max(slice_depth) AS max_depth, round(sum(score), 6) AS score_sum, round(sum(score) FILTER (selected), 6) AS objective_value, round(max(score) / min(score), 6) AS score_dynamic_range
-        FROM solved s GROUP BY component_id""",
+               (SELECT count(*) FROM pairs JOIN parts l ON l.segment_key = left_key WHERE l.component_id = p.component_id) AS conflict_pair_count, min(slice_depth) AS min_depth, max(slice_depth) AS max_depth,
+               count(*)::INT AS variable_count,
+               (SELECT count(*) FROM (SELECT e.atom_id FROM eligible e JOIN parts q USING (segment_key) WHERE q.component_id = p.component_id GROUP BY e.atom_id HAVING count(*) > 1))::INT AS constraint_count
+        FROM sets JOIN parts p USING (segment_key) GROUP BY component_id""",
+    "component_stats_strict": """
+        SELECT component_id, segment_count, atom_count, conflict_pair_count, min_depth, max_depth, solver_name, solver_status, round(score_sum, 6) AS score_sum, round(score_min, 6) AS score_min,
+               round(score_max, 6) AS score_max, round(objective_value, 6) AS objective_value, round(best_bound, 6) AS best_bound, round(absolute_gap, 6) AS absolute_gap, round(relative_gap, 6) AS relative_gap,
+               round(score_dynamic_range, 6) AS score_dynamic_range FROM proof""",
     "segment_keys": "SELECT DISTINCT segment_id, segment_key, segment_level, slice_depth FROM history",
     "parse_segment_key": """
-        SELECT segment_id, (i - 1)::INT AS part_no, split_part(part, '=', 1) AS dim, split_part(part, '=', 4) AS value
+        SELECT segment_id, (i - 1)::INT AS part_no, split_part(part, '=', 1) AS dim, substr(part, instr(part, '=') + 1) AS value
         FROM (SELECT segment_id, unnest(string_split(segment_key, ' × ')) AS part, generate_subscripts(string_split(segment_key, ' × '), 1) AS i
               FROM segments WHERE slice_depth > 0)""",
     "week_grid": "SELECT segment_id, cal_date, gmv, tx, au, am, aov, row_missing_in_source FROM panel",
@@ -212,32 +240,64 @@ _QUERIES = {
     "descendants": "SELECT * FROM descendants",
     "conflict_pairs": "SELECT left_key, right_key, shared_atomic_count FROM pairs",
     "components": "SELECT segment_id, component_id FROM sets JOIN parts USING (segment_key)",
-    "hierarchy_adjust": """
-        SELECT segment_id, round(score, 6) AS anomaly_score, round(score / base_score, 6) AS hierarchy_factor, n_desc::INT AS hierarchy_descendant_count, n_groups AS hierarchy_group_count,
-               cap_applied AS hierarchy_cap_applied FROM nodes""",
-    "set_packing_selected": """
-        SELECT segment_id, component_id, selected, CASE WHEN selected THEN 'SET_PACKING_SELECTED' ELSE 'SET_PACKING_NOT_SELECTED' END AS set_packing_status FROM solved""",
-    "final_ranked": "SELECT rank::INT AS rank, segment_key, round(score, 6) AS anomaly_score FROM final",
-    "decision_log": """
-        SELECT 'GLOBAL_OPTIMIZATION_SUMMARY' AS event_type, 1::BIGINT AS events UNION ALL SELECT 'ATOM_TO_SEGMENTS', count(DISTINCT atom_id) FROM eligible
-        UNION ALL SELECT 'CONFLICT_PAIR', count(*) FROM pairs UNION ALL SELECT 'COMPONENT_SOLVE', count(DISTINCT component_id) FROM solved UNION ALL SELECT 'SEGMENT_DECISION', count(*) FROM solved""",
-    "history_selected": """
+    "hierarchy_adjust_strict": """
+        SELECT segment_id, round(score, 6) AS anomaly_score, round(score / base_score, 6) AS hierarchy_factor, round(best_score, 6) AS hierarchy_best_group_score, round(capture, 6) AS hierarchy_capture,
+               round(cap, 6) AS hierarchy_score_cap, round(u, 6) AS hierarchy_unidirectionality, round(dominant_share, 6) AS hierarchy_dominant_share, round(b_max, 6) AS hierarchy_balance_max,
+               round(b_eff, 6) AS hierarchy_balance_eff, round(u * least(b_max, b_eff), 6) AS hierarchy_coherence, n_desc::INT AS hierarchy_descendant_count, n_groups AS hierarchy_group_count,
+               to_json(ids)::VARCHAR AS hierarchy_best_group_ids, cap_applied AS hierarchy_cap_applied, same_direction AS hierarchy_same_direction FROM nodes""",
+    "set_packing_selected_strict": """
+        SELECT segment_id, component_id, selected, CASE WHEN selected THEN 'SET_PACKING_SELECTED' ELSE 'SET_PACKING_NOT_SELECTED' END AS set_packing_status, global_status AS set_packing_global_status,
+               CASE WHEN selected THEN len(atoms) ELSE 0 END AS selected_atomic_count FROM solved, overall""",
+    "final_ranked_strict": "SELECT rank::INT AS rank, segment_key, round(score, 6) AS anomaly_score FROM final",
+    "decision_log_strict": """
+        SELECT 'GLOBAL_OPTIMIZATION_SUMMARY' AS event_type, (SELECT count(*) FROM proof) AS component_count, (SELECT count(*) FROM final) AS selected_count, round((SELECT coalesce(sum(objective_value), 0) FROM proof), 6) AS objective_value,
+               round((SELECT coalesce(sum(best_bound), 0) FROM proof), 6) AS best_bound, round((SELECT coalesce(sum(absolute_gap), 0) FROM proof), 6) AS absolute_gap, round((SELECT coalesce(max(relative_gap), 0) FROM proof), 6) AS relative_gap,
+               global_status, global_status AS solver_status, NULL AS atomic_segment_id, NULL::BIGINT AS segment_count, NULL AS segment_keys, NULL AS left_segment_id, NULL AS left_segment_key, NULL AS right_segment_id,
+               NULL AS right_segment_key, NULL::BIGINT AS shared_atomic_count, NULL AS component_id, NULL::BIGINT AS atom_count, NULL::BIGINT AS conflict_pair_count, NULL::INT AS min_depth, NULL::INT AS max_depth,
+               NULL::DOUBLE AS score_sum, NULL::DOUBLE AS score_min, NULL::DOUBLE AS score_max, NULL::DOUBLE AS score_dynamic_range, NULL AS solver_name, NULL AS segment_id, NULL AS segment_key, NULL::INT AS slice_depth,
+               NULL::DOUBLE AS anomaly_score, NULL::BOOLEAN AS selected FROM overall
+        UNION ALL BY NAME SELECT 'ATOM_TO_SEGMENTS' AS event_type, atom_id AS atomic_segment_id, count(*) AS segment_count, string_agg(segment_key, ' || ' ORDER BY segment_key) AS segment_keys FROM eligible GROUP BY atom_id
+        UNION ALL BY NAME SELECT 'CONFLICT_PAIR' AS event_type, left_id AS left_segment_id, left_key AS left_segment_key, right_id AS right_segment_id, right_key AS right_segment_key, shared_atomic_count FROM pairs
+        UNION ALL BY NAME SELECT 'COMPONENT_SOLVE' AS event_type, component_id, segment_count, atom_count, conflict_pair_count, min_depth, max_depth, solver_name, solver_status, round(score_sum, 6) AS score_sum, round(score_min, 6) AS score_min,
+               round(score_max, 6) AS score_max, round(objective_value, 6) AS objective_value, round(best_bound, 6) AS best_bound, round(absolute_gap, 6) AS absolute_gap, round(relative_gap, 6) AS relative_gap,
+               round(score_dynamic_range, 6) AS score_dynamic_range FROM proof
+        UNION ALL BY NAME SELECT 'SEGMENT_DECISION' AS event_type, component_id, segment_id, segment_key, slice_depth, round(score, 6) AS anomaly_score, selected, solver_name, solver_status, global_status
+               FROM solved s JOIN (SELECT component_id, solver_name, solver_status FROM proof) USING (component_id), overall""",
+    "history_selected_strict": """
         SELECT segment_id, segment_key, slice_depth, cal_date, round(gmv, 4) AS gmv, round(total_gmv, 4) AS total_gmv, round(gmv / total_gmv, 8) AS share_in_total,
                round(gmv / total_gmv - lag(gmv / total_gmv) OVER (PARTITION BY segment_id ORDER BY cal_date), 8) AS share_delta, row_missing_in_source
         FROM panel JOIN (SELECT cal_date, sum(gmv) AS total_gmv FROM panel WHERE slice_depth = 0 GROUP BY cal_date) USING (cal_date)
         WHERE segment_id IN (SELECT segment_id FROM final)""",
-    "analysis_sheet": """
-        SELECT s.segment_key AS segment, s.slice_depth AS depth, round(s.base_score, 6) AS base_anomaly_score, round(s.score, 6) AS anomaly_score, c.state,
-               CASE WHEN f.rank <= 10 THEN f.rank::INT END AS manager_rank, selected,
-               CASE WHEN f.rank <= 10 THEN 'shown to the manager' WHEN selected THEN 'below the number of facts' ELSE 'lost to a disjoint set of higher score' END AS reason
-        FROM solved s JOIN candidates c USING (segment_id) LEFT JOIN final f USING (segment_id)""",
-    "manager_summary": """
-        SELECT '1 heading' AS section, 1 AS row_no, 'total' AS segment_key, round(sum(gmv), 4) AS wow_delta_gmv, '' AS direction FROM panel, bounds WHERE slice_depth = 0 AND cal_date = cur
-        UNION ALL SELECT '2 brief', 1, segment_key, round(wow_delta_gmv, 4), CASE WHEN wow_delta_gmv > 0 THEN 'up' ELSE 'down' END FROM final WHERE rank = 1
-        UNION ALL SELECT '3 facts', rank::INT, segment_key, round(wow_delta_gmv, 4), CASE WHEN wow_delta_gmv > 0 THEN 'up' ELSE 'down' END FROM final WHERE rank <= 10
-        UNION ALL SELECT '4 structure', row_no::INT, segment_key, round(wow_delta_gmv, 4), state FROM structure""",
+    "analysis_sheet_strict": """
+        SELECT s.segment_key AS segment, s.slice_depth AS depth, round(c.robust_z, 2) AS z_scope, c.z_scale_source, c.z_scale_source = 'SIGMA_FLOOR' AS z_uses_sigma_floor, round(s.base_score, 6) AS base_anomaly_score,
+               s.n_desc::INT AS hierarchy_eligible_descendant_count, s.n_groups AS hierarchy_group_count, len(s.ids)::INT AS hierarchy_best_group_size, to_json(s.ids)::VARCHAR AS hierarchy_best_group_ids_json,
+               to_json(coalesce((SELECT list(k.segment_key ORDER BY k.segment_id) FROM sets k WHERE list_contains(s.ids, k.segment_id)), []))::VARCHAR AS hierarchy_best_group_segment_keys,
+               round(s.best_score, 6) AS hierarchy_best_group_score, round(u, 6) AS hierarchy_direction_unity, round(dominant_share, 6) AS hierarchy_dominant_share, round(b_max, 6) AS hierarchy_balance_max,
+               round(b_eff, 6) AS hierarchy_balance_effective, round(least(b_max, b_eff), 6) AS hierarchy_balance, round(u * least(b_max, b_eff), 6) AS hierarchy_coherence,
+               round(0.3 * (u * least(b_max, b_eff) - 0.5), 6) AS hierarchy_coherence_adjustment, round(capture, 6) AS hierarchy_single_child_capture, same_direction AS hierarchy_single_child_direction_match,
+               round(uncapped, 6) AS hierarchy_single_child_uncapped_score, round(cap, 6) AS hierarchy_dominance_cap_score, rule AS hierarchy_dominance_rule_matches, cap_applied AS hierarchy_dominance_cap_applied,
+               CASE WHEN rule THEN (SELECT k.segment_key FROM sets k WHERE k.segment_id = s.ids[1]) ELSE '' END AS hierarchy_dominant_child_segment, round(s.score / s.base_score, 6) AS hierarchy_score_factor,
+               round(s.score, 6) AS anomaly_score, selected, p.solver_status = 'OPTIMAL' AS is_resolved, CASE WHEN selected THEN 'SET_PACKING_SELECTED' ELSE 'SET_PACKING_NOT_SELECTED' END AS set_packing_status,
+               CASE WHEN selected THEN 'part of the proven optimum (gap 1e-09): ' ELSE 'lost to a disjoint set of at least the same score: ' END || 'component ' || s.component_id || ', solver ' || p.solver_name || ', status ' || p.solver_status AS set_packing_reason,
+               global_status AS set_packing_global_status, s.component_id AS set_packing_component_id, p.solver_name AS set_packing_solver, p.solver_status AS set_packing_solver_status,
+               round(absolute_gap, 6) AS set_packing_abs_gap, round(relative_gap, 6) AS set_packing_rel_gap, round(score_min, 6) AS set_packing_component_score_min, round(score_max, 6) AS set_packing_component_score_max,
+               round(score_dynamic_range, 6) AS set_packing_component_score_dynamic_range, coalesce(x.n, 0) AS conflict_count, coalesce(x.others, '') AS conflict_segment_keys,
+               CASE WHEN selected THEN len(s.atoms) ELSE 0 END AS selected_atomic_count, CASE WHEN f.rank <= 10 THEN f.rank::INT END AS manager_rank,
+               CASE WHEN f.rank <= 10 THEN 'shown to the manager' WHEN selected THEN 'selected, but below the 10 facts of the manager'
+                    ELSE 'lost to a disjoint set of at least the same score: component ' || s.component_id || ', solver ' || p.solver_name || ', status ' || p.solver_status END AS manager_exclusion_reason,
+               round_even(c.wow_delta_gmv, 0)::BIGINT AS delta_gmv
+        FROM solved s JOIN candidates c USING (segment_id) JOIN proof p ON p.component_id = s.component_id LEFT JOIN clash x ON x.key = s.segment_key LEFT JOIN final f USING (segment_id), overall""",
+    "manager_summary_strict": """
+        SELECT '1 heading' AS section, 1 AS row_no, 'total' AS segment_key, round(sum(gmv), 4) AS wow_delta_gmv, '' AS direction,
+               'total GMV of the current window: ' || replace(format('{:,}', round_even(sum(gmv), 0)::BIGINT), ',', ' ') AS interpretation FROM panel, bounds WHERE slice_depth = 0 AND cal_date = cur
+        UNION ALL SELECT '2 brief', 1, segment_key, round(wow_delta_gmv, 4), CASE WHEN wow_delta_gmv > 0 THEN 'up' ELSE 'down' END,
+               'GMV of the segment went ' || CASE WHEN wow_delta_gmv > 0 THEN 'up' ELSE 'down' END || ' against the window before' FROM final WHERE rank = 1
+        UNION ALL SELECT '3 facts', rank::INT, segment_key, round(wow_delta_gmv, 4), CASE WHEN wow_delta_gmv > 0 THEN 'up' ELSE 'down' END,
+               'GMV of the segment went ' || CASE WHEN wow_delta_gmv > 0 THEN 'up' ELSE 'down' END || ' against the window before' FROM final WHERE rank <= 10
+        UNION ALL SELECT '4 structure', row_no::INT, segment_key, round(wow_delta_gmv, 4), state, state FROM structure""",
     "structure_changes": "SELECT row_no::INT AS row_no, state, segment_key, round(wow_delta_gmv, 4) AS wow_delta_gmv FROM structure",
-    "control_table": "SELECT metric, round(value, 4) AS value FROM control",
+    "control_table_strict": """
+        SELECT metric, round(value, 4) AS value, NULL::VARCHAR AS text FROM control UNION ALL SELECT 'set_packing_global_status', NULL, global_status FROM overall""",
     "dag_edges": _EDGES,
 }
 
@@ -256,7 +316,11 @@ def _needed(sql: str) -> list[str]:
 def oracle_sql() -> dict[str, str]:
     out = {}
     for name, sql in _QUERIES.items():
+        strict = name.endswith("_strict")
+        least = {"{least_z}": "3" if strict else "2", "{least_share}": "0.005" if strict else "0.0001"}
         # each expression that several others read is evaluated once
         ctes = ",\n".join(f"{n} AS {'' if n.startswith(('groups', 'reach', 'choices')) else 'MATERIALIZED '}({_CTES[n].strip()})" for n in _needed(sql))
+        for mark, value in least.items():
+            ctes = ctes.replace(mark, value)
         out[name] = f"WITH RECURSIVE {ctes}\n{sql.strip()}"
     return out

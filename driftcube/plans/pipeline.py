@@ -14,6 +14,12 @@ from driftcube.sources import workbook
 from driftcube.sources.history import load_history_table
 
 
+def highlight_manager_rows_on_anomaly_analysis(columns: Sequence[str], rows: Sequence[Sequence]) -> set[int]:
+    """The rows of the analysis sheet, from 0, that the manager's table shows; the workbook fills them green."""
+    at = list(columns).index("manager_rank")
+    return {i for i, r in enumerate(rows) if r[at] is not None}
+
+
 def write_report(analysis: Analysis, path: str | Path) -> None:
     """The nine sheets as one workbook.  They list segments that passed thresholds and summaries, so they fit the driver."""
     sheets, marked = {}, {}
@@ -21,8 +27,7 @@ def write_report(analysis: Analysis, path: str | Path) -> None:
         rows = [list(r) for r in df.collect()]
         sheets[name] = df.columns, rows
         if name == "analysis":
-            at = df.columns.index("reason")
-            marked[name] = {i for i, r in enumerate(rows) if r[at] == "shown to the manager"}
+            marked[name] = highlight_manager_rows_on_anomaly_analysis(df.columns, rows)
     workbook.write(path, sheets, marked)
 
 
@@ -34,9 +39,26 @@ def write_tables(analysis: Analysis, folder: str) -> None:
 
 def write_tree(analysis: Analysis, path: str | Path) -> Path:
     """The graph of the segments above the thresholds."""
-    rows = analysis.sheets()["analysis"].collect()
-    boxes = [figure.Box(r["segment"], r["depth"], r["robust_z"], r["anomaly_score"], r["delta"], r["selected"], bool(r["rule_matches"] and r["hierarchy_cap_applied"])) for r in rows]
-    return figure.write(path, boxes)
+    rows = [r.asDict() for r in analysis.sheets()["analysis"].collect()]  # segments that passed the thresholds
+    return figure.write(path, _boxes(rows))
+
+
+def build_anomaly_tree_from_excel(report_path: str | Path, path: str | Path, sheet: str = "analysis") -> Path:
+    """The same graph from a report that :func:`write_report` has written."""
+    columns, rows = workbook.read(report_path, sheet)
+    return figure.write(path, _boxes([dict(zip(columns, r)) for r in rows]))
+
+
+def _boxes(rows: list[dict]) -> list[figure.Box]:
+    true = lambda v: str(v).strip().lower() in ("true", "1", "1.0", "yes")
+    number = lambda v: float(v) if v not in (None, "") else 0.0
+    return [
+        figure.Box(
+            str(r["segment"]), int(number(r["depth"])), number(r["z_scope"]), number(r["anomaly_score"]), number(r["delta_gmv"]), true(r["selected"]),
+            true(r["hierarchy_dominance_rule_matches"]) and true(r["hierarchy_dominance_cap_applied"]), r["hierarchy_dominant_child_segment"] or "",
+        )
+        for r in rows
+    ]
 
 
 def run_pipeline(

@@ -14,20 +14,27 @@ from driftcube.operators import coverage as cov
 from driftcube.operators import mart, packing, panel
 from driftcube.plans import reports
 from driftcube.plans.engine import Analysis
+from driftcube.storage import stage
 
-#: Thresholds under which the conflict components of the test tables stay small.
-THRESHOLDS = AnomalyThresholds(min_anomaly_abs=0.0, min_z_score=3.0, min_materiality_share=0.005)
+#: The default z and materiality, for amounts of any size, and as many descendants as there are: the search needs no bound on them.
+THRESHOLDS = AnomalyThresholds(min_anomaly_abs=0.0, max_hierarchy_descendants=1_000_000)
+#: Thresholds under which the components of the test tables stay so small that SQL can list all their disjoint sets.
+STRICT = AnomalyThresholds(min_anomaly_abs=0.0, min_z_score=3.0, min_materiality_share=0.005)
 DIMS = ["geo", "products", "merchants_type", "is_terminal_or_cpqr"]
 
 _analyses: WeakKeyDictionary = WeakKeyDictionary()
 
 
-def analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+def analysis(spark: SparkSession, sf_dir: str, thresholds: AnomalyThresholds = THRESHOLDS) -> Analysis:
     """The analysis of a folder; queries of one session share its steps."""
     held = _analyses.setdefault(spark, {})
-    if sf_dir not in held:
-        held[sf_dir] = Analysis.of_sales(spark, sf_dir, "13W", THRESHOLDS)
-    return held[sf_dir]
+    if (sf_dir, thresholds) not in held:
+        held[sf_dir, thresholds] = Analysis.of_sales(spark, sf_dir, "13W", thresholds) if thresholds == THRESHOLDS else analysis(spark, sf_dir).under(thresholds)
+    return held[sf_dir, thresholds]
+
+
+def strict(spark: SparkSession, sf_dir: str) -> Analysis:
+    return analysis(spark, sf_dir, STRICT)
 
 
 def _round(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -35,12 +42,12 @@ def _round(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def complete_windows(spark, sf_dir):
-    rows = mart.complete_windows(mart.transactions(spark, sf_dir))
+    rows = mart.windowed_sales(spark, sf_dir)
     return rows.groupBy("idx", "cal_date").agg(F.count("*").alias("rows"), (F.sum("amount") / mart.UNIT).alias("gmv"))
 
 
 def top_n_bucket(spark, sf_dir):
-    rows = mart.bucketed(mart.complete_windows(mart.transactions(spark, sf_dir)))
+    rows = mart.bucketed(stage(mart.windowed_sales(spark, sf_dir), "windows"))  # read for the brands' ranks and for the result
     return rows.groupBy("merchants_type", "cal_date").agg(F.count("*").alias("rows"), (F.sum("amount") / mart.UNIT).alias("gmv"))
 
 
@@ -62,8 +69,14 @@ def coverage_by_keys(spark, sf_dir):
 
 def component_stats(spark, sf_dir):
     a = analysis(spark, sf_dir)
-    rows = packing.component_stats(a.diagnosed, a.coverage).select("component_id", "segment_count", "atom_count", "conflict_pair_count", "min_depth", "max_depth", "score_sum", "objective_value", "score_dynamic_range")
-    return _round(rows, 6, "score_sum", "objective_value", "score_dynamic_range")
+    return packing.component_stats(a.diagnosed, a.coverage).select("component_id", "segment_count", "atom_count", "conflict_pair_count", "min_depth", "max_depth", "variable_count", "constraint_count")
+
+
+def component_stats_strict(spark, sf_dir):
+    a = strict(spark, sf_dir)
+    names = ("score_sum", "score_min", "score_max", "objective_value", "best_bound", "absolute_gap", "relative_gap", "score_dynamic_range")
+    rows = packing.component_stats(a.diagnosed, a.coverage).select("component_id", "segment_count", "atom_count", "conflict_pair_count", "min_depth", "max_depth", "solver_name", "solver_status", *names)
+    return _round(rows, 6, *names)
 
 
 def segment_keys(spark, sf_dir):
@@ -134,38 +147,51 @@ def components(spark, sf_dir):
     return cov.components(analysis(spark, sf_dir).eligible)
 
 
-def hierarchy_adjust(spark, sf_dir):
-    rows = analysis(spark, sf_dir).solved.select("segment_id", "anomaly_score", "hierarchy_factor", "hierarchy_descendant_count", "hierarchy_group_count", "hierarchy_cap_applied")
-    return _round(rows, 6, "anomaly_score", "hierarchy_factor")
+def hierarchy_adjust_strict(spark, sf_dir):
+    names = ("anomaly_score", "hierarchy_factor", "hierarchy_best_group_score", "hierarchy_capture", "hierarchy_score_cap", "hierarchy_unidirectionality", "hierarchy_dominant_share", "hierarchy_balance_max", "hierarchy_balance_eff", "hierarchy_coherence")
+    rows = strict(spark, sf_dir).solved
+    rows = rows.select("segment_id", *names, "hierarchy_descendant_count", "hierarchy_group_count", F.to_json("hierarchy_best_group_ids").alias("hierarchy_best_group_ids"), "hierarchy_cap_applied", "hierarchy_same_direction")
+    return _round(rows, 6, *names)
 
 
-def set_packing_selected(spark, sf_dir):
-    return analysis(spark, sf_dir).diagnosed.where("is_eligible").select("segment_id", "component_id", "selected", "set_packing_status")
+def set_packing_selected_strict(spark, sf_dir):
+    return strict(spark, sf_dir).diagnosed.where("is_eligible").select("segment_id", "component_id", "selected", "set_packing_status", "set_packing_global_status", "selected_atomic_count")
 
 
 def final_ranked(spark, sf_dir):
-    return _round(analysis(spark, sf_dir).final.select("rank", "segment_key", "anomaly_score"), 6, "anomaly_score")
+    return _round(analysis(spark, sf_dir).final.select("rank", "segment_key", "component_id", "anomaly_score"), 6, "anomaly_score")
 
 
-def decision_log(spark, sf_dir):
-    return analysis(spark, sf_dir).log.groupBy("event_type").agg(F.count("*").alias("events"))
+def final_ranked_strict(spark, sf_dir):
+    return _round(strict(spark, sf_dir).final.select("rank", "segment_key", "anomaly_score"), 6, "anomaly_score")
 
 
-def history_selected(spark, sf_dir):
-    a = analysis(spark, sf_dir)
+def decision_log_strict(spark, sf_dir):
+    rows = strict(spark, sf_dir).log
+    names = ("objective_value", "best_bound", "absolute_gap", "relative_gap", "score_sum", "score_min", "score_max", "score_dynamic_range", "anomaly_score")
+    rows = rows.drop("solve_time_sec", "message", "segment_ids", "shared_atomic_ids", "selected_ids", "variable_count", "constraint_count")
+    return _round(rows, 6, *names)
+
+
+def history_selected_strict(spark, sf_dir):
+    a = strict(spark, sf_dir)
     rows = reports.history_for_selected(a.panel, a.final)
     return _round(_round(rows, 4, "gmv", "total_gmv"), 8, "share_in_total", "share_delta")
 
 
-def analysis_sheet(spark, sf_dir):
-    a = analysis(spark, sf_dir)
+def analysis_sheet_strict(spark, sf_dir):
+    a = strict(spark, sf_dir)
     rows = reports.analysis_sheet(a.diagnosed, a.final, a.thresholds)
-    return _round(rows.select("segment", "depth", "base_anomaly_score", "anomaly_score", "state", "manager_rank", "selected", "reason"), 6, "base_anomaly_score", "anomaly_score")
+    return _round(rows, 6, *(f.name for f in rows.schema if f.dataType.typeName() == "double"))
 
 
-def manager_summary(spark, sf_dir):
-    a = analysis(spark, sf_dir)
-    return _round(a.manager.select("section", "row_no", "segment_key", "wow_delta_gmv", "direction"), 4, "wow_delta_gmv")
+def manager_summary_strict(spark, sf_dir):
+    a = strict(spark, sf_dir)
+    return _round(a.manager.select("section", "row_no", "segment_key", "wow_delta_gmv", "direction", "interpretation"), 4, "wow_delta_gmv")
+
+
+def control_table_strict(spark, sf_dir):
+    return _round(strict(spark, sf_dir).control, 4, "value")
 
 
 def structure_changes(spark, sf_dir):
@@ -173,10 +199,6 @@ def structure_changes(spark, sf_dir):
     return _round(reports.structure_changes(a.candidates).select("row_no", "state", "segment_key", "wow_delta_gmv"), 4, "wow_delta_gmv")
 
 
-def control_table(spark, sf_dir):
-    return _round(analysis(spark, sf_dir).control, 4, "value")
-
-
 def dag_edges(spark, sf_dir):
     return cov.dag_edges(analysis(spark, sf_dir).candidates.where("passes_initial_anomaly_filter"))
 
@@ -184,7 +206,8 @@ def dag_edges(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     of = (
         complete_windows, top_n_bucket, cube_mart, ratio_metrics, share_of_total, segment_keys, parse_segment_key, week_grid, missing_zero_report, robust_z, lifecycle_state, metric_wow, materiality,
-        initial_filter, top_movers, atomic_coverage, coverage_by_keys, reconciliation, descendants, conflict_pairs, components, hierarchy_adjust, set_packing_selected, component_stats, final_ranked, decision_log,
-        history_selected, analysis_sheet, manager_summary, structure_changes, control_table, dag_edges,
+        initial_filter, top_movers, atomic_coverage, coverage_by_keys, reconciliation, descendants, conflict_pairs, components, component_stats, final_ranked, dag_edges, structure_changes,
+        hierarchy_adjust_strict, set_packing_selected_strict, component_stats_strict, final_ranked_strict, decision_log_strict, history_selected_strict, analysis_sheet_strict, manager_summary_strict,
+        control_table_strict,
     )
     return {f.__name__: f for f in of}

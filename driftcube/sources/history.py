@@ -46,6 +46,13 @@ def _number(name: str) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 
+def infer_anomaly_dimension_columns(columns: Sequence[str], dims: Sequence[str] = DIMENSIONS) -> list[str]:
+    """The dimensions of a history, in their order; an error names those that its columns lack."""
+    if missing := sorted(set(dims) - set(columns)):
+        raise ValueError(f"required columns are missing: {missing}")
+    return list(dims)
+
+
 def load_history_table(spark: SparkSession, path: str, sheet: str | int = 0, *, period: str, dims: Sequence[str] = DIMENSIONS) -> tuple[DataFrame, list[str], list[int]]:
     """(history, dimensions, dates): the rows of one period, typed and validated; a ValueError names what is wrong.
 

@@ -10,7 +10,8 @@ from driftcube.config import DIMENSIONS
 from driftcube.functions import keys
 from driftcube.operators import coverage as cov
 from driftcube.operators import packing, panel, scoring, solver
-from driftcube.plans import figure
+from driftcube.operators import mart
+from driftcube.plans import figure, oracle, queries, reports
 from driftcube.sources import workbook
 from driftcube.sources.history import load_history_table
 
@@ -220,15 +221,30 @@ def test_solver_against_brute_force():
 
 
 def test_reconciliation(spark, loaded):
+    depth = {"t": 0, "p": 1, "x": 2, "y": 2}
     rows = [(i, d, g) for d, values in ((1, {"t": 30.0, "p": 30.0, "x": 10.0, "y": 20.0}), (8, {"t": 35.0, "p": 35.0, "x": 15.0, "y": 20.0})) for i, g in values.items()]
     table = spark.createDataFrame([(s, a) for s in "tp" for a in "xy"] + [("x", "x"), ("y", "y")], "segment_id string, atom_id string")
-    grid = lambda r: spark.createDataFrame(r, "segment_id string, cal_date long, gmv double")
+    grid = lambda r: spark.createDataFrame([(i, depth[i], d, g) for i, d, g in r], "segment_id string, slice_depth int, cal_date long, gmv double")
     cov.check_reconciliation(grid(rows), table)
     broken = [(i, d, g + (0.001 if (i, d) == ("p", 8) else 0)) for i, d, g in rows]
     with pytest.raises(ValueError, match="segment p on 8"):
         cov.check_reconciliation(grid(broken), table)
     with pytest.raises(ValueError, match="no segment"):
         cov.check_reconciliation(grid(rows), table.limit(0))
+    with pytest.raises(ValueError, match="segment p on 1"):  # a parent without atoms
+        cov.check_reconciliation(grid(rows), table.where("segment_id <> 'p'"))
+    with pytest.raises(ValueError, match="segment p on 1"):  # an atom that is not in the panel
+        cov.check_reconciliation(grid(rows), table.union(spark.createDataFrame([("p", "z")], table.schema)))
+    with pytest.raises(ValueError, match="more than once"):
+        cov.check_reconciliation(grid([*rows, rows[0]]), table)
+    for value in (None, float("nan"), float("inf")):
+        with pytest.raises(ValueError, match="finite"):
+            cov.check_reconciliation(grid([*rows[1:], (*rows[0][:2], value)]), table)
+    for tolerance in (float("nan"), -1.0, float("inf")):
+        with pytest.raises(ValueError, match="tolerance"):
+            cov.check_reconciliation(grid(rows), table, tolerance)
+    with pytest.raises(ValueError, match="empty"):
+        cov.check_reconciliation(grid(rows).limit(0), table)
 
 
 def test_pipeline_end_to_end(spark, tmp_path):
@@ -239,13 +255,24 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert list(results) == ["history", "panel", "candidates", "final", "manager", "optimization_decision_log", "control"]
     del path
     names = [workbook.read(tmp_path / "report.xlsx", i)[0] for i in range(9)]
-    assert names[2][:3] == ["rank", "segment_key", "slice_depth"] and names[7] == ["metric", "value"]
-    control = {r["metric"]: r["value"] for r in results["control"].collect()}
+    assert names[0] == ["section", "metric", "value"] and names[2][:3] == ["rank", "output_block", "segment_key"] and names[7] == ["metric", "value", "text"]
+    assert names[3] == list(reports.ANALYSIS_COLUMNS) and len(names[3]) == 47 and set(names[2]) == set(reports.FINAL_COLUMNS)
+    control = {r["metric"]: r["value"] if r["text"] is None else r["text"] for r in results["control"].collect()}
+    assert len(control) == 20 and control["set_packing_global_status"] == "OPTIMAL"
+    manager = workbook.read(tmp_path / "report.xlsx", "01_manager")[1]
+    assert manager[0][-1] == "total GMV of the current window: 1 000" and manager[1][-1].startswith("GMV of the segment went")
+    again = dc.build_anomaly_tree_from_excel(tmp_path / "report.xlsx", tmp_path / "again.svg")
+    assert again.read_text() == (tmp_path / "tree.svg").read_text()
     assert control["selected_count"] == 3 and control["double_count_violation_count"] == 0 and control["panel_rows"] == 16
     assert "<svg" in (tmp_path / "tree.svg").read_text()
 
 
 def test_figure():
+    assert figure.dominant_child_suffix("business=SMB × payment=QR", "business=SMB × payment=QR × country=РФ × product=FULL") == "РФ*FULL"
+    assert figure.wrapped("РФ*FULLPAYMENT", 8) == ["РФ*FULLP", "AYMENT"]
+    siblings = [figure.Box(f"g={g}", 1, 1, 1, 1) for g in "ab"] + [figure.Box(f"g={g} × p={i}", 2, 1, 1, 1) for i in range(3) for g in "ab"]
+    bottom = figure.layers(siblings, figure.edges(siblings))[1]
+    assert [s[2] for s in bottom] in (list("aaabbb"), list("bbbaaa"))  # a parent's children stand side by side
     boxes = [figure.Box("geo=A", 1, 3, 1, 1, crossed=True), figure.Box("products=B", 1, 3, 1, 1, crossed=True), figure.Box("geo=A × products=B", 2, 3, 1, 1, selected=True), figure.Box("nan", 1, 0, 0, 0)]
     drawing = figure.svg(boxes)
     assert drawing.count(f'stroke="{figure.CROSS}"') == 4
@@ -282,3 +309,116 @@ def test_command_line(spark, tmp_path, capsys):
 
     main([write_csv(tmp_path / "h.csv", history_rows()), "--report", str(tmp_path / "r.xlsx")])
     assert "candidate_count: 4" in capsys.readouterr().out and (tmp_path / "r.xlsx").exists()
+
+
+def test_solution_checks(spark):
+    """Each fault that a solution may have is refused."""
+    rows = [("p", 1, 10, 1000, True), ("a", 2, 6, 600, True), ("b", 2, 3, 400, True)]
+    table = spark.createDataFrame([("p", "a"), ("p", "b"), ("a", "a"), ("b", "b")], "segment_id string, atom_id string")
+    base = frame(spark, rows)
+    solved = packing.solve(base, table)
+    found = packing.diagnostics(base, table, solved).cache()
+    best = packing.final(found)
+    packing.validate(found, table, solved, best)
+    row = {r["segment_id"]: r for r in found.collect()}
+    assert row["p"]["set_packing_global_status"] == "OPTIMAL" and row["p"]["variable_count"] == 3 and row["p"]["constraint_count"] == 2 and row["p"]["set_packing_component_atom_count"] == 2
+    assert "solver BRANCH_AND_BOUND" in row["p"]["set_packing_reason"] and row["p"]["absolute_gap"] == 0
+    wider = found.withColumn("objective_value", F.col("objective_value") + 1)
+    for bad, message in (
+        (wider, "sum of their scores"),
+        (found.withColumn("relative_gap", F.lit(0.5)).withColumn("absolute_gap", F.lit(0.5)), "not proven"),
+        (found.withColumn("selected", F.lit(True)), "atoms selected twice"),
+        (found.withColumn("is_resolved", F.lit(False)), "unresolved"),
+        (found.withColumn("set_packing_global_status", F.lit("NOT_OPTIMAL")), "globally"),
+        (found.withColumn("covered_atomic_count", F.lit(0)), "without coverage"),
+        (found.unionByName(found), "repeated ids"),
+    ):
+        with pytest.raises(ValueError, match=message):
+            packing.validate(bad, table)
+    with pytest.raises(ValueError, match="did not choose"):
+        packing.validate(found, table, solved, found)
+    with pytest.raises(ValueError, match="not final"):
+        packing.validate(found, table, solved, best.limit(0))
+    for delta, score in ((0, 5), (float("nan"), 5), (100, float("inf"))):
+        with pytest.raises(Exception, match="needs a finite base score and a change"):
+            solved_rows = frame(spark, [("x", 1, score, delta, True)])
+            packing.solve(solved_rows, spark.createDataFrame([("x", "x")], table.schema)).collect()
+    assert solver.constraint_rows([3, 1, 2, 4]) == [[0, 1], [0, 2]]
+
+
+def test_components_of_any_shape(spark):
+    """Long chains and stars of segments against a search by hand."""
+    links = [(f"c{i:03}", f"x{i}") for i in range(40)] + [(f"c{i:03}", f"x{i + 1}") for i in range(40)] + [(f"s{i}", "hub") for i in range(30)] + [("alone", "own")]
+    eligible = spark.createDataFrame([(f"id-{s}", a, s, 1) for s, a in links], "segment_id string, atom_id string, segment_key string, slice_depth int")
+    got = {r["segment_id"]: r["component_id"] for r in cov.components(eligible).collect()}
+    assert got["id-alone"] == "C001" and {got[f"id-c{i:03}"] for i in range(40)} == {"C002"} and {got[f"id-s{i}"] for i in range(30)} == {"C003"}
+
+
+def test_unknown_dimensions(spark):
+    """Null and blank values are a value of their own and never meet what is rolled up."""
+    rows = spark.createDataFrame([(1, "a", None), (2, " ", "x"), (3, "a", "x")], "id int, geo string, products string")
+    known = rows.select("id", *(mart._known(c).alias(c) for c in ("geo", "products")))
+    assert [tuple(r) for r in known.orderBy("id").collect()] == [(1, "a", "Unknown"), (2, "Unknown", "x"), (3, "a", "x")]
+    sales = known.selectExpr("7L as cal_date", "geo", "products", "'m' as merchants_type", "'t' as is_terminal_or_cpqr", "cast(id * 10000 as long) as amount", "id as order_id", "id as user_id", "id as merchant_id")
+    cube = mart.with_segment(mart.cube(sales))
+    assert cube.groupBy("segment_id", "cal_date").count().where("count > 1").count() == 0
+    assert cube.where("geo is null and products is null and merchants_type is null and is_terminal_or_cpqr is null").first()["gmv"] == 6
+
+
+def test_windows_reach_the_scan(spark):
+    rows = mart.windowed_sales(spark, "/root/testdata/sf0.001", windows=2)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/lineitem.parquet") == 1 and "GreaterThanOrEqual(l_shipdate" in plan
+    days = mart.sales_days(spark, "/root/testdata/sf0.001")
+    whole = mart.complete_windows(mart.transactions(spark, "/root/testdata/sf0.001"), windows=2, days=days)
+    assert rows.count() == whole.count() == mart.complete_windows(mart.transactions(spark, "/root/testdata/sf0.001"), windows=2).count() > 0
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def tables():
+    import duckdb
+
+    con = duckdb.connect(config={"max_temp_directory_size": "1GB"})
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_queries_against_sql(spark, tables, name):
+    """Every registered query of the engine and its SQL, value by value."""
+    got = queries.queries()[name](spark, SF)
+    if name not in oracle.oracle_sql():
+        assert name == "final_ranked" and got.count() > 0  # see test_full_solution
+        return
+    want = tables.execute(oracle.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+
+    def shown(v):
+        if v is None or v != v:
+            return None
+        return f"{float(v) + 0.0:.5g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+
+    listed = lambda rows: sorted(([shown(v) for v in row] for row in rows), key=repr)
+    assert listed(got.select(*names).collect()) == listed(want.fetchall())
+
+
+def test_full_solution(spark):
+    """The default z and materiality: every component proven, the largest far beyond enumeration, and no single exchange improves it."""
+    a = queries.analysis(spark, SF)
+    rows = {r["segment_id"]: r for r in a.diagnosed.where("is_eligible").collect()}
+    atoms = {}
+    for r in a.eligible.collect():
+        atoms.setdefault(r["segment_id"], set()).add(r["atom_id"])
+    sizes = [r["segment_count"] for r in packing.component_stats(a.diagnosed, a.coverage).collect()]
+    assert len(rows) == 247 and max(sizes) == 226 and a.final.count() > 0
+    chosen = {i for i, r in rows.items() if r["selected"]}
+    covered = [x for i in chosen for x in atoms[i]]
+    assert len(covered) == len(set(covered))
+    for i in rows.keys() - chosen:  # no segment is worth more than all it would drive out
+        against = sum(rows[j]["anomaly_score"] for j in chosen if atoms[i] & atoms[j])
+        assert rows[i]["anomaly_score"] <= against + 1e-9
