@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftcube.storage import stage
+from driftcube.storage import release, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = stage(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        earlier, current = current, stage(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        release(earlier)
         before, mark = mark, _mark(current)
         if before == mark:
             break
