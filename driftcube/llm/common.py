@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from driftcube.storage import shared_dir, ship, stage
+from driftcube.storage import release, shared_dir, ship, stage
 
 #: Rows and bytes of one Arrow batch: a batch of very long texts must fit a Python worker.
 BATCH_ROWS, BATCH_BYTES = 256, "16m"
@@ -84,4 +84,4 @@ def with_running_sum(df: DataFrame, keys: list[str], order: list, value: Column
     return joined.drop("__b", "__p", "__before", "__inner", *(f"__k_{k}" for k in keys))
 
 
-__all__ = ["prepare", "shared_dir", "stage", "text_key", "text_of", "with_columns_mapped", "with_running_sum"]
+__all__ = ["prepare", "release", "shared_dir", "stage", "text_key", "text_of", "with_columns_mapped", "with_running_sum"]

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from driftcube.llm.common import prepare, stage, text_key, with_columns_mapped
-from driftcube.llm.components import components
+from driftcube.operators.components import components
 
 #: Words of a shingle, seed of its hash, most differing bits of a link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
