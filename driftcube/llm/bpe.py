@@ -154,10 +154,12 @@ _loaded: dict[int, ByteBpe] = {}
 def encode_texts(df: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (array<int>) and ``decoded`` (string) of column ``text``.
 
-    A null text counts as empty: no ids, an empty decoded text.  Special
-    strings of the vocabulary inside a text become their ids, as the library
-    does by default.  Columns of ``df`` named ids or decoded are replaced; all
-    others stay, repeated rows too.
+    A null text counts as empty: no ids, an empty decoded text.  Long texts are
+    encoded whole.  Special strings of the vocabulary inside a text become
+    their ids, as the library does by default.  Columns of ``df`` named ids or
+    decoded are replaced; all others stay, repeated rows too; an empty table
+    gives an empty result.  A Python worker holds one automaton and one memory
+    of words, some 250 MB at most, so an executor needs that for each core.
     """
     spark = prepare(df.sparkSession)
     sent = spark.sparkContext.broadcast(Path(vocabulary_path).read_bytes())  # a file of fixed size

@@ -1,6 +1,8 @@
 """Sharding by balanced label propagation.
 
-Documents of equal text are linked.  Labels are shards; in each round documents
+Links are equal texts only, those of one text with each other, so a text's
+documents are one clique and a label travels one step; further rounds move
+what found no room before.  Labels are shards; in each round documents
 move towards the shard that most of their neighbours are in, as far as that
 shard's quota has room, so few links are cut while the numbers of rows stay
 even.  Linked documents of one text and shard are alike, so a round works on
@@ -12,19 +14,20 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftcube.llm.common import stage, text_of, with_running_sum
 
 #: Production parameters.
 SHARDS, ROUNDS, SEED = 40, 4, 7
-#: Ranges of a hash, into which the rows of one text or shard are dealt to be numbered.
+#: Least number of ranges of a hash, into which the rows of one text or shard are dealt to be numbered; there are eight a shuffle partition.
 RANGES = 256
 
 
 def _range(*columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns, F.lit("range")), F.lit(RANGES)).cast("int")
+    partitions = int(SparkSession.active().conf.get("spark.sql.shuffle.partitions"))
+    return F.pmod(F.xxhash64(*columns, F.lit("range")), F.lit(max(RANGES, 8 * partitions))).cast("int")
 
 
 def _at(values: list[int], index: Column) -> Column:
@@ -69,10 +72,13 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     """(doc_id, size, text_crc32, shard, slot) of every row of ``docs``.
 
     size is the text's UTF-8 bytes plus 16.  Null texts count as empty, and all
-    empty texts are linked.  Repeated rows are documents of their own.  slot
-    numbers the rows of a shard from 0 without gaps.  Other columns are left
-    out; an empty table gives an empty result; with fewer rows than shards
-    some shards are empty.
+    empty texts are linked; long texts are read whole.  Repeated rows and rows
+    that share an id or have none are documents of their own, numbered among
+    themselves in any order, as they are alike.  Ties between shards go by a
+    hash of text and shard.  slot numbers the rows of a shard from 0 without
+    gaps.  Other columns are left out; an empty table gives an empty result;
+    with fewer rows than shards some shards are empty.  :func:`cut_links` tells
+    how many links a result cuts.
     """
     body = text_of(text)
     rows = docs.select(
@@ -118,3 +124,14 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     full = stage(placed.where("shard is not null").union(free.select("doc_id", "size", "crc", shard_of.alias("shard"))), "assigned")
     slots = with_running_sum(full, ["shard"], ["doc_id", "size", "crc"], F.lit(1).cast("long"), _range("doc_id", "size"), "slot")
     return slots.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def cut_links(assigned: DataFrame) -> DataFrame:
+    """One row (links, cut) of the result of :func:`assign`: pairs of equal texts, and those of them in different shards; counted, not listed.
+
+    Equal texts are told by size and CRC here.
+    """
+    cells = assigned.groupBy("size", "text_crc32", "shard").agg(F.count("*").alias("n"))
+    texts = cells.groupBy("size", "text_crc32").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("kept"))
+    links = F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0))
+    return texts.agg(links.cast("long").alias("links"), (links - F.coalesce(F.sum("kept"), F.lit(0.0))).cast("long").alias("cut"))

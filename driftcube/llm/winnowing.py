@@ -104,9 +104,11 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", k: int = K, w: int = W) -> DataFrame:
-    """``df`` with ``fingerprint`` (string) of column ``text``; a null text counts as empty.
+    """``df`` with ``fingerprint`` (string) of column ``text``; a null text counts as empty and has an empty fingerprint.
 
-    A column of ``df`` named fingerprint is replaced; all others stay, repeated rows too.
+    Long texts are read whole; hashes that tie give the rightmost position.  A
+    column of ``df`` named fingerprint is replaced; all others stay, repeated
+    rows too; an empty table gives an empty result.
     """
     prepare(df.sparkSession)
     return with_columns_mapped(

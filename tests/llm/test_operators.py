@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftcube.llm import chat, kneser_ney, mixing, queries, secrets, sharding, simhash, topk, winnowing
-from driftcube.llm.components import components
+from driftcube.operators.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, shard int, size long, n long, spans string, base string, label string"
 
@@ -128,9 +128,18 @@ def test_next_documents(docs):
         half = len(text) // 2
         want.append((doc_id, len(text), text[: len(text) - half] + order[(i + 1) % len(order)][1][:half]))
     assert Counter((r["doc_id"], r["n_chars"], r["edited"]) for r in got) == Counter(want)
+    def alike(a, b):
+        a, b = ({h for h, _ in winnowing.parse(x)} for x in (a, b))
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    following = {}
+    for (doc_id, text), (_, after) in zip(order, order[1:] + order[:1]):
+        following.setdefault((doc_id, len(text), winnowing.fingerprint(text)[0]), Counter())[round(alike(winnowing.fingerprint(text)[0], winnowing.fingerprint(after)[0]), 9)] += 1
     for r in got:
-        assert r["edited_sha256"] == sha(r["edited"]) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-        assert r["edited_fingerprint"] == winnowing.fingerprint(r["edited"])[0]
+        assert r["edited_sha256"] == sha(r["edited"]) and r["edited_fingerprint"] == winnowing.fingerprint(r["edited"])[0]
+        assert r["near_edited"] == pytest.approx(alike(r["fingerprint"], r["edited_fingerprint"]))
+        following[r["doc_id"], r["n_chars"], r["fingerprint"]][round(r["near_next"], 9)] -= 1
+    assert not any(n for c in following.values() for n in c.values())
     assert winnowing.with_next_document(docs.limit(0)).collect() == []
     alone = winnowing.with_next_document(docs.where("doc_id = 30")).first()
     assert alone["near_next"] == 1
@@ -149,6 +158,34 @@ def test_sharding(docs):
     assert sharding.assign(docs.limit(0)).collect() == []
 
 
+def test_sharding_query_by_brute_force(spark, folder="/root/testdata/sf0.001"):
+    """Law, slots, sizes and checksums of the query over its whole table, and how many links it cuts against the least there can be."""
+    import zlib
+
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.queries()["op3_label_propagation"](spark, folder)
+    rows_ = got.collect()
+    assert Counter(r["doc_id"] for r in rows_) == Counter(docs) and {r["law"] for r in rows_} == {"rows"}
+    slots = {}
+    for r in rows_:
+        text = docs[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["grown_shard"]) == (len(text) + 16, zlib.crc32(text), None) and 0 <= r["shard"] < 40
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots.get(b, [])) for b in range(40)]
+    assert max(sizes) - min(sizes) <= 1
+    groups = {}
+    for r in rows_:
+        groups.setdefault(docs[r["doc_id"]], []).append(r["shard"])
+    pairs = lambda shards: sum(a != b for a, b in combinations(shards, 2))
+    links, cut = sum(len(g) * (len(g) - 1) // 2 for g in groups.values()), sum(map(pairs, groups.values()))
+    found = sharding.cut_links(got).first()
+    assert (found["links"], found["cut"]) == (links, cut)
+    quota = min(sizes)
+    least = sum(len(g) * (len(g) - 1) // 2 - (len(g) // quota) * quota * (quota - 1) // 2 - (len(g) % quota) * (len(g) % quota - 1) // 2 for g in groups.values())
+    assert least <= cut <= least + 0.02 * links  # groups beyond a quota must be cut; others hardly ever are
+
+
 def test_sharding_keeps_links(spark):
     df = spark.range(400).selectExpr("id as doc_id", "case when id < 120 then concat('t', id % 40) else concat('u', id) end as text")
     got = sharding.assign(df, shards=8).join(df, "doc_id").groupBy("text").agg(F.count_distinct("shard").alias("s")).where("s > 1").count()
@@ -332,7 +369,7 @@ def test_classifier(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name, folder="/root/testdata/sf0.001"):
     got = queries.queries()[name](spark, folder).toPandas()
-    con = duckdb.connect()
+    con = duckdb.connect(config={"max_temp_directory_size": "1GB"})
     for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).df()
