@@ -19,9 +19,14 @@ def full_grid(history: DataFrame, dates: list[int], dims: tuple[str, ...] = DIME
     """Exactly segments x dates; absent rows have 0 in additive measures, null ratios and ``row_missing_in_source``.
 
     The dates are a literal list, so a segment's rows come from an explode and
-    one join by (segment, date) fills them.
+    one join by (segment, date) fills them.  A segment whose rows do not agree
+    on what describes it is an error.
     """
-    segments = history.groupBy("segment_id").agg(*(F.first(c).alias(c) for c in (*META[1:], *dims)))
+    own = F.struct(*META[1:], *dims)
+    segments = history.groupBy("segment_id").agg(F.min(own).alias("own"), (F.min(own) != F.max(own)).alias("differ"))
+    if bad := [r["segment_id"] for r in segments.where("differ").select("segment_id").limit(5).collect()]:
+        raise ValueError(f"segments whose key, level, depth or dimensions differ between rows: {bad}")
+    segments = segments.select("segment_id", *(F.col(f"own.{c}").alias(c) for c in (*META[1:], *dims)))
     grid = segments.withColumn("cal_date", F.explode(F.array(*(F.lit(d).cast("long") for d in dates))))
     known = history.select("segment_id", "cal_date", *ADDITIVE, *RATIOS, F.lit(True).alias("known"))
     rows = grid.join(known, ["segment_id", "cal_date"], "left")

@@ -56,6 +56,39 @@ def test_load_grid_and_states(spark, loaded):
     assert [(r["segment_key"], r["missing_week_count"]) for r in report] == [("geo=C", 3), ("geo=B", 1)]
 
 
+def test_candidates_hold_their_panel_to_the_contract(spark, loaded):
+    history, _, dates = loaded
+    grid = panel.full_grid(history, dates)
+    covers = spark.createDataFrame([(s, a) for a in ('["A",null,null,null]', '["B",null,null,null]', '["C",null,null,null]') for s in (a, "[null,null,null,null]")], "segment_id string, atom_id string")
+    found = dc.build_anomaly_candidates(grid, dates, coverage=covers)
+    assert found.count() == 4 == dc.build_anomaly_candidates(grid, dates).count()
+    with pytest.raises(ValueError, match="total is not positive on .8"):
+        dc.build_anomaly_candidates(grid.where("not (slice_depth = 0 and cal_date = 8)"), dates)
+    with pytest.raises(ValueError, match="not the sum"):
+        dc.build_anomaly_candidates(grid.withColumn("gmv", F.when(F.col("slice_depth") == 0, F.col("gmv") + 1).otherwise(F.col("gmv"))), dates)
+    with pytest.raises(ValueError, match="differ between rows"):
+        panel.full_grid(history.withColumn("segment_level", F.when(F.col("cal_date") == 8, "x").otherwise(F.col("segment_level"))), dates)
+
+
+def test_public_names(spark):
+    row = {"geo": " A ", "products": float("nan"), "merchants_type": None, "is_terminal_or_cpqr": "x|y"}
+    df = spark.createDataFrame([(" A ", None, None, "x|y")], ", ".join(f"{d} string" for d in DIMENSIONS)).select(*(keys.clean_dimension(F.col(d)).alias(d) for d in DIMENSIONS))
+    made = df.select(keys.segment_id(), keys.segment_key(), keys.segment_level()).first()
+    assert (dc.segment_id_from_row(row), *dc.build_segment_key_and_level(row)) == tuple(made)
+    assert dc.normalize_dim_value(" ") is None and dc.normalize_dim_value(3) == "3" and dc.period_to_weeks(" 4w ") == 4
+    assert dc.candidate_covers_atomic({"geo": "A"}, row) and dc.candidate_covers_atomic({}, row) and not dc.candidate_covers_atomic({"products": "q"}, row)
+    assert dc.infer_anomaly_dimension_columns(COLUMNS) == list(DIMENSIONS)
+    with pytest.raises(ValueError, match="missing"):
+        dc.infer_anomaly_dimension_columns(["geo"])
+    assert all(hasattr(dc, n) for n in dc.__all__) and "operators" not in dc.__all__
+    assert dc.highlight_manager_rows_on_anomaly_analysis(["segment", "manager_rank"], [["a", 1], ["b", None]]) == {0}
+
+
+def test_number_formats(spark):
+    df = spark.createDataFrame([(1234567.89, 0.1234), (-0.5, None), (2.5, float("nan")), (1e9, float("inf"))], "m double, p double")
+    assert [tuple(r) for r in df.select(reports.money(F.col("m")), reports.percent(F.col("p"))).collect()] == [("1 234 568", "12.34%"), ("0", ""), ("2", ""), ("1 000 000 000", "")]
+
+
 def change(rows, column, value, at=4):
     rows = [list(r) for r in rows]
     rows[at][COLUMNS.index(column)] = value
