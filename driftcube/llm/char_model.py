@@ -37,6 +37,8 @@ from driftcube.llm.common import BATCH_ROWS, stage, with_columns_mapped
 ORDER, BITS, ALPHABET, FOLDS = 4, 21, 0x110000, 4
 #: Least discount: whatever the counts of counts say, every seen context leaves something to the order below, so no probability is 0.
 LEAST_CUT = 0.05
+#: What stands before a text, and characters that are turned into arrays at once, of however long texts.
+PAD, PIECE = " " * (ORDER - 1), 1_000_000
 #: Rows of all tables up to which they are broadcast for scoring; beyond it grams are joined by shuffles.
 BROADCAST_GRAMS = 4_000_000
 #: Distinct grams that a counting task holds before it passes them on.
@@ -53,10 +55,27 @@ def fold(doc_id: str) -> Column:
     return F.pmod(F.xxhash64(F.col(doc_id).cast("long"), F.lit("fold")), F.lit(FOLDS)).cast("int")
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the gram at each character, ctx, c of the grams in order of first use); each text stands behind three spaces."""
-    pad = " " * (ORDER - 1)
-    points = np.frombuffer("".join(pad + t for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+def pieces(texts: list[str], most: int | None = None) -> Iterator[list[tuple[int, str, str]]]:
+    """Lists of (number of the text, the three characters before, piece) that hold all of ``texts``, each list of at most ``most`` characters."""
+    held, room = [], most or PIECE
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            part = text[at : at + room]
+            held.append((i, (PAD + text[max(0, at - ORDER + 1) : at])[-ORDER + 1 :], part))
+            at += len(part)
+            room -= len(part)
+            if not room:
+                yield held
+                held, room = [], most or PIECE
+    if held:
+        yield held
+
+
+def grams(texts: list[str], before: list[str] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the gram at each character, ctx, c of the grams in order of first use); each text stands behind three spaces, or those of ``before``."""
+    pads = before or [PAD] * len(texts)
+    points = np.frombuffer("".join(p + t for p, t in zip(pads, texts)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     if not len(points):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -111,15 +130,17 @@ def counts(docs: DataFrame, text: str, fold_of: Column) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty((4, 0), np.int64)
         for batch in batches:
-            folds, texts = batch.column(1).to_numpy(), [t or "" for t in batch.column(0).to_pylist()]
-            parts = [held]
-            for f in np.unique(folds).tolist():
-                number, ctx, c = grams([t for t, x in zip(texts, folds) if x == f])
-                parts.append(np.stack((np.full(len(c), f), ctx, c, np.bincount(number, minlength=len(c)))))
-            held = _added(np.concatenate(parts, axis=1))
-            if held.shape[1] > HELD_GRAMS:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["fold", "ctx", "c", "n"])
-                held = held[:, :0]
+            folds, texts = batch.column(1).to_pylist(), [t or "" for t in batch.column(0).to_pylist()]
+            for group in pieces(texts):
+                parts = [held]
+                for f in sorted({folds[i] for i, _, _ in group}):
+                    own = [(before, piece) for i, before, piece in group if folds[i] == f]
+                    number, ctx, c = grams([p for _, p in own], [b for b, _ in own])
+                    parts.append(np.stack((np.full(len(c), f), ctx, c, np.bincount(number, minlength=len(c)))))
+                held = _added(np.concatenate(parts, axis=1))
+                if held.shape[1] > HELD_GRAMS:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["fold", "ctx", "c", "n"])
+                    held = held[:, :0]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["fold", "ctx", "c", "n"])
 
     rows = docs.select(F.col(text).cast("string"), fold_of.alias("fold")).mapInArrow(run, "fold long, ctx long, c long, n long")
@@ -206,10 +227,12 @@ def with_surprise(docs: DataFrame, text: str, doc_id: str, model: list[tuple[Dat
     def rows():
         def batch(structs):
             texts, folds = [r["text"] or "" for r in structs], np.array([r["fold"] for r in structs], np.int64)
-            lengths = np.array([len(t) for t in texts], np.int64)
-            number, ctx, c = grams(texts)
-            weights = _costs(sent.value, ctx, c)[np.repeat(folds, lengths), number]
-            return _means(weights, lengths), lengths
+            lengths, sums = np.array([len(t) for t in texts], np.int64), np.zeros(len(texts))
+            for group in pieces(texts):
+                number, ctx, c = grams([p for _, _, p in group], [b for _, b, _ in group])
+                of = np.repeat([i for i, _, _ in group], [len(p) for _, _, p in group])
+                sums += np.bincount(of, _costs(sent.value, ctx, c)[folds[of], number], len(texts))
+            return _means(sums, lengths), lengths
 
         return batch
 
@@ -218,9 +241,8 @@ def with_surprise(docs: DataFrame, text: str, doc_id: str, model: list[tuple[Dat
     return with_columns_mapped(asked, fields, rows, "__asked", drop=["__asked"])
 
 
-def _means(weights: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """Mean weight of each text, whose characters' weights follow each other; null for an empty one."""
-    sums = np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights, len(lengths)) if len(weights) else np.zeros(len(lengths))
+def _means(sums: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Sums by lengths; null for an empty text."""
     return pa.array(sums / np.maximum(lengths, 1), pa.float64(), mask=lengths == 0)
 
 
@@ -275,7 +297,8 @@ def _by_chunks(chunks: DataFrame, schema: T.StructType, text: str, model: list[t
                 lengths = np.array([len(t) for t in texts], np.int64)
                 costs = batch.column(1)[i].values
                 known = (costs.to_numpy() & ((1 << FIXED) - 1)) / float(1 << FRACTION) if costs is not None else np.empty(0)
-                made = table.append_column("surprise", _means(known[grams(texts)[0]], lengths)).append_column("length", pa.array(lengths)).cast(arrow)
+                sums = np.bincount(np.repeat(np.arange(len(texts)), lengths), known[grams(texts)[0]], len(texts)) if lengths.any() else np.zeros(len(texts))
+                made = table.append_column("surprise", _means(sums, lengths)).append_column("length", pa.array(lengths)).cast(arrow)
                 yield from made.combine_chunks().to_batches(max_chunksize=BATCH_ROWS)
 
     return joined.mapInArrow(run, out)

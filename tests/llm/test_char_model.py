@@ -37,6 +37,20 @@ def by_hand(texts):
     return p
 
 
+def test_pieces_hold_all_grams():
+    """However texts are cut, every character keeps the three before it."""
+    texts = ["abracadabra", "", "x", "привет мир", "12345678"]
+    number, ctx, c = char_model.grams(texts)
+    want = list(zip(ctx[number].tolist(), c[number].tolist()))
+    for most in (1, 2, 3, 7, 1000):
+        got = []
+        for group in char_model.pieces(texts, most):
+            assert 0 < sum(len(p) for _, _, p in group) <= most
+            number, ctx, c = char_model.grams([p for _, _, p in group], [b for _, b, _ in group])
+            got += zip(ctx[number].tolist(), c[number].tolist())
+        assert got == want
+
+
 @pytest.mark.parametrize("most", [0, char_model.BROADCAST_GRAMS])
 def test_against_recursion(spark, most):
     texts = ["abra cadabra, abra.", "Barbara ran!", None, "", "aaaa ббб", "Привет, мир", "привет 你好 \U0001f600", "12 AB 21"]
