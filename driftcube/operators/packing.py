@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from driftcube.operators import coverage as cov
 from driftcube.operators.solver import UNADJUSTED, Node, adjust_hierarchy, pack
 from driftcube.storage import ship, stage
 
+_log = logging.getLogger(__name__)
+
 _SOLVED = (
     "segment_id string, component_id string, anomaly_score double, hierarchy_factor double, hierarchy_descendant_count int, hierarchy_group_count long, "
     "hierarchy_best_group_ids array<string>, hierarchy_best_group_keys array<string>, hierarchy_best_group_score double, hierarchy_uncapped_score double, "
@@ -35,7 +39,9 @@ def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresho
     """One row for each eligible segment: its adjusted score and whether the optimum holds it.
 
     A descendant shares atoms with its ancestor, so neither step leaves a
-    conflict component; components are solved in parallel, one group each.
+    conflict component.  Components of one segment need no search; the others
+    are solved in parallel, one group each, and their number and the size of
+    the largest are logged before.
     ``prescored`` takes ``anomaly_score`` as given and only packs.
     """
     thresholds.check()
@@ -47,6 +53,9 @@ def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresho
     score = F.col("anomaly_score") if prescored else F.col("base_anomaly_score")
     ready = rows.select("segment_id", "segment_key", "slice_depth", "is_atom", "wow_delta_gmv", score.alias("base"))
     ready = ready.join(gross, "segment_id").join(atoms, "segment_id").join(cov.components(eligible), "segment_id")
+    ready = stage(ready.withColumn("members", F.count("*").over(Window.partitionBy("component_id"))), "components")
+    found = ready.agg(F.count_distinct("component_id").alias("n"), F.max("members").alias("largest"), F.count_if(F.col("members") == 1).alias("alone")).first()
+    _log.info("%s conflict components, %s of one segment, the largest of %s", found["n"], found["alone"], found["largest"])
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         bit = {a: 1 << i for i, a in enumerate(sorted({a for atoms in group["atoms"] for a in atoms}))}
@@ -64,7 +73,23 @@ def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresho
         rows = [(n.segment_id, key[0], *(n.result[f] for f in _FIELDS), n.segment_id in p.chosen, *of) for n in nodes]
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _SOLVED.split(", ")])
 
-    return stage(ready.groupBy("component_id").applyInPandas(run, _SOLVED), "solved")
+    together = ready.where("members > 1").drop("members").groupBy("component_id").applyInPandas(run, _SOLVED)
+    return stage(_alone(ready.where("members = 1"), prescored).unionByName(together), "solved")
+
+
+def _alone(ready: DataFrame, prescored: bool) -> DataFrame:
+    """The solution of components of one segment, which has nothing to be adjusted by or to conflict with."""
+    base, delta = F.col("base"), F.col("wow_delta_gmv")
+    finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False))
+    says = F.concat(F.lit("segment "), F.col("segment_id"), F.lit(": an eligible segment needs a finite base score and a change"))
+    score = base if prescored else F.when(finite(base) & finite(delta) & (delta != 0), base).otherwise(F.raise_error(says).cast("double"))
+    value = {"segment_id": F.col("segment_id"), "component_id": F.col("component_id"), "anomaly_score": score, "hierarchy_uncapped_score": score, "selected": score > 0}
+    value |= {"hierarchy_factor": F.lit(1.0), "hierarchy_best_group_ids": F.array(), "hierarchy_best_group_keys": F.array(), "solver_name": F.lit("TRIVIAL"), "solver_status": F.lit("OPTIMAL")}
+    value |= {c: F.greatest(score, F.lit(0.0)) for c in ("objective_value", "best_bound")} | {"variable_count": F.lit(1), "hierarchy_cap_applied": F.lit(False), "message": F.lit("")}
+    zero = ("hierarchy_descendant_count", "hierarchy_group_count", "hierarchy_best_group_score", "absolute_gap", "relative_gap", "solve_time_sec", "constraint_count")
+    value |= dict.fromkeys(zero, F.lit(0))
+    names = [c.split(" ") for c in _SOLVED.split(", ")]
+    return ready.select(*(value.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in names))
 
 
 def diagnostics(

@@ -75,12 +75,10 @@ def _validated(raw: DataFrame, weeks: int, period: str, dims: tuple[str, ...]) -
         raise ValueError(f"period {period}: no rows" if not spellings else f"period {period}: more than one spelling, {sorted(spellings)}")
 
     bad = {c: _number(c).isNull() for c in NUMBERS}
-    shown = lambda c: F.when(bad[c], F.coalesce(F.col(c).cast("string"), F.lit("null")))
-    counts = [F.count_if(b).alias(c) for c, b in bad.items()]
-    examples = [f(shown(c)).alias(f"{name}_{c}") for c in NUMBERS for name, f in (("low", F.min), ("high", F.max))]
-    found = rows.agg(*counts, *examples).first()
-    if wrong := {c: sorted({found[f"low_{c}"], found[f"high_{c}"]}) for c in NUMBERS if found[c]}:
-        raise ValueError(f"columns with values that are not finite numbers: {wrong}")
+    counts = rows.agg(*(F.count_if(b).alias(c) for c, b in bad.items())).first()
+    if wrong := [c for c in NUMBERS if counts[c]]:
+        examples = {c: [r[0] for r in rows.where(bad[c]).select(F.coalesce(F.col(c).cast("string"), F.lit("null"))).limit(EXAMPLES).collect()] for c in wrong}
+        raise ValueError(f"columns with values that are not finite numbers: {examples}")
     typed = {c: _number(c) for c in NUMBERS} | {c: clean_dimension(F.when(~F.col(c).cast("string").isin(*MISSING), F.col(c).cast("string"))) for c in dims}
     typed |= {c: _number(c) if c in raw.columns else F.lit(None).cast("double") for c in RATIOS}
     rows = rows.withColumns(typed).withColumns({"cal_date": F.col("cal_date").cast("long"), "slice_depth": F.col("slice_depth").cast("int")})

@@ -372,6 +372,9 @@ def test_solution_checks(spark):
         packing.validate(found, table, solved, found)
     with pytest.raises(ValueError, match="not final"):
         packing.validate(found, table, solved, best.limit(0))
+    pair = frame(spark, [("x", 2, 5, 100, True), ("y", 2, 5, 0, True)])
+    with pytest.raises(Exception, match="needs a finite base score and a change"):  # in a component of several
+        packing.solve(pair, spark.createDataFrame([("x", "x"), ("y", "x"), ("y", "y")], table.schema)).collect()
     for delta, score in ((0, 5), (float("nan"), 5), (100, float("inf"))):
         with pytest.raises(Exception, match="needs a finite base score and a change"):
             solved_rows = frame(spark, [("x", 1, score, delta, True)])
@@ -398,6 +401,14 @@ def test_unknown_dimensions(spark):
     assert cube.where("geo is null and products is null and merchants_type is null and is_terminal_or_cpqr is null").first()["gmv"] == 6
 
 
+def test_mart_is_replaced(spark, loaded, tmp_path):
+    history = loaded[0]
+    for rows in (history, history.where("geo is null")):
+        mart.save_mart(rows, str(tmp_path / "mart"))
+        assert spark.read.parquet(str(tmp_path / "mart")).count() == rows.count()
+    assert (tmp_path / "mart" / "cal_date=22").exists()
+
+
 def test_windows_reach_the_scan(spark):
     rows = mart.windowed_sales(spark, "/root/testdata/sf0.001", windows=2)
     plan = rows._jdf.queryExecution().executedPlan().toString()
