@@ -159,7 +159,7 @@ def encode_texts(df: DataFrame, vocabulary_path: str, text: str = "text") -> Dat
     their ids, as the library does by default.  Columns of ``df`` named ids or
     decoded are replaced; all others stay, repeated rows too; an empty table
     gives an empty result.  A Python worker holds one automaton and one memory
-    of words, some 250 MB at most, so an executor needs that for each core.
+    of words, some 500 MB at most, so an executor needs that for each core.
     """
     spark = prepare(df.sparkSession)
     sent = spark.sparkContext.broadcast(Path(vocabulary_path).read_bytes())  # a file of fixed size
