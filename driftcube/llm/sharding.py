@@ -112,7 +112,8 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     before = F.sum("w").over(Window.partitionBy("key", "crc").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("before", F.coalesce(before, F.lit(0))).drop("w").join(places, ["key", "crc"])
     inner = F.row_number().over(Window.partitionBy("key", "crc", "b").orderBy("doc_id")) - 1
-    numbered = linked.drop("shard").withColumn("b", _range("doc_id", "size")).withColumn("inner", inner).join(parts, ["key", "crc", "b"])
+    ranged = linked.drop("shard").withColumn("b", _range("doc_id", "size")).repartition("key", "crc", "b")  # else the rows of a text go to one task
+    numbered = ranged.withColumn("inner", inner).join(parts, ["key", "crc", "b"])
     place = F.filter("places", lambda p: p["upto"] > F.col("before") + F.col("inner"))
     placed = numbered.withColumn("shard", F.try_element_at(place, F.lit(1))["shard"]).select("doc_id", "size", "crc", "shard")
     single = rows.join(places.select("key", "crc"), ["key", "crc"], "left_anti").select("doc_id", "size", "crc", F.lit(None).cast("int").alias("shard"))
