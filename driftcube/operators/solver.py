@@ -1,4 +1,4 @@
-"""Exact search over pairwise disjoint segments of one conflict component.  Plain Python; atoms are bits."""
+"""Exact search over pairwise disjoint segments of one conflict component.  Atoms are bits."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import sys
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from driftcube.config import AnomalyThresholds
 
 #: Sums of scores closer than this count as equal, and the tie rules decide.
@@ -36,46 +38,106 @@ class SearchExhausted(RuntimeError):
     pass
 
 
+def members(mask: int) -> list[int]:
+    """Positions of the bits set, ascending."""
+    out = []
+    while mask:
+        low = mask & -mask
+        out.append(low.bit_length() - 1)
+        mask ^= low
+    return out
+
+
+def apart(mask: int, clash: list[int]) -> list[int]:
+    """``mask`` by connected parts of the conflict graph."""
+    out = []
+    while mask:
+        part = edge = mask & -mask
+        while edge:
+            edge = _union(clash[i] for i in members(edge)) & mask & ~part
+            part |= edge
+        out.append(part)
+        mask &= ~part
+    return out
+
+
 def count_disjoint(bits: list[int]) -> int:
-    """Number of non-empty sets of pairwise disjoint members, by include/exclude with memory."""
-    clash = [sum(1 << j for j, b in enumerate(bits) if a & b) for a in bits]
+    """Number of non-empty sets of pairwise disjoint members: parts without conflicts between them multiply, the member with most conflicts is in or out."""
+    clash = [sum(1 << j for j, b in enumerate(bits) if a & b and i != j) for i, a in enumerate(bits)]
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * len(bits) + 2000))
     known: dict[int, int] = {0: 1}
 
     def count(free: int) -> int:
         if free not in known:
-            pick = free.bit_length() - 1
-            known[free] = count(free & ~(1 << pick)) + count(free & ~clash[pick])
+            parts = apart(free, clash)
+            if len(parts) > 1:
+                known[free] = math.prod(map(count, parts))
+            else:
+                pick = max(members(free), key=lambda i: (clash[i] & free).bit_count())
+                rest = free & ~(1 << pick)
+                known[free] = count(rest) + count(rest & ~clash[pick])
         return known[free]
 
     return count((1 << len(bits)) - 1) - 1
 
 
+def atom_prices(bits: list[int], scores: list[float], rounds: int = 400) -> dict[int, float]:
+    """Prices of atoms by subgradient steps: no disjoint set is worth more than all prices and what scores have above the prices of their atoms."""
+    atoms = sorted({b for x in bits for b in _bits(x)})
+    if not atoms:
+        return {}
+    uses = np.array([[bool(x & a) for a in atoms] for x in bits], float)
+    worth, price = np.array(scores), np.zeros(len(atoms))
+    best, kept, step = float("inf"), price, 1.0
+    floor = _greedy(list(range(len(bits))), bits, scores)
+    for i in range(rounds):
+        free = worth - uses @ price
+        value = price.sum() + free[free > 0].sum()
+        if value < best - 1e-15:
+            best, kept = value, price
+        elif i % 20 == 19:
+            step /= 2
+        slack = 1.0 - uses[free > 0].sum(axis=0)
+        norm = (slack**2).sum()
+        if norm == 0:
+            break
+        price = np.maximum(0.0, price - step * (value - floor) / norm * slack)
+    return dict(zip(atoms, kept.tolist()))
+
+
+def _greedy(order: list[int], bits: list[int], scores: list[float]) -> float:
+    """Score of the disjoint set that takes what fits in this order."""
+    taken, total = 0, 0.0
+    for i in order:
+        if not bits[i] & taken:
+            taken |= bits[i]
+            total += scores[i]
+    return total
+
+
 def best_disjoint(bits: list[int], scores: list[float], names: list, most_nodes: int) -> list[int]:
     """Positions of the disjoint set of the highest score; of ties the smallest, then the lowest sorted names.
 
     Only positive scores count.  Branches on the member with most conflicts,
     solves what falls apart separately, remembers subproblems, and leaves a
-    branch whose bound is below what is found: members that share an atom form
-    a clique, which adds at most its best.  Raises SearchExhausted rather than
-    return a set that is not proven best.
+    branch whose bound is below what can be had otherwise.  There are two
+    bounds, and the lower counts: members that share an atom form a clique,
+    which adds at most its best; and the prices of :func:`atom_prices`.  Raises
+    SearchExhausted rather than return a set that is not proven best.
     """
     order = sorted((i for i in range(len(bits)) if scores[i] > 0), key=lambda i: (-scores[i], names[i]))
     b, s = [bits[i] for i in order], [scores[i] for i in order]
     clash = [sum(1 << j for j, y in enumerate(b) if x & y and i != j) for i, x in enumerate(b)]
+    price = atom_prices(b, s) if len(b) > 12 else {}
+    above = [max(0.0, s[i] - sum(price[a] for a in _bits(x))) if price else 0.0 for i, x in enumerate(b)]
+    dense = sorted(range(len(b)), key=lambda i: -s[i] / b[i].bit_count())
     known: dict[int, tuple] = {0: (0.0, 0, [])}
+    slack = TIE * (1 + sum(s))  # no branch is left for what rounding may have taken from its bound
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * len(b) + 2000))
 
-    def members(mask: int) -> list[int]:
-        out = []
-        while mask:
-            low = mask & -mask
-            out.append(low.bit_length() - 1)
-            mask ^= low
-        return out
-
     def bound(mask: int) -> float:
-        total, cliques = 0.0, []
-        for i in members(mask):  # highest score first
+        total, cliques, inside = 0.0, [], members(mask)
+        for i in inside:  # highest score first
             for clique in cliques:
                 if clique[0] & b[i]:
                     clique[0] &= b[i]
@@ -83,18 +145,13 @@ def best_disjoint(bits: list[int], scores: list[float], names: list, most_nodes:
             else:
                 cliques.append([b[i]])
                 total += s[i]
-        return total
-
-    def apart(mask: int) -> list[int]:
-        out = []
-        while mask:
-            part = edge = mask & -mask
-            while edge:
-                edge = _union(clash[i] for i in members(edge)) & mask & ~part
-                part |= edge
-            out.append(part)
-            mask &= ~part
-        return out
+        if not price:
+            return total
+        return min(total, sum(above[i] for i in inside) + sum(price[a] for a in _bits(_union(b[i] for i in inside))))
+
+    def reached(mask: int) -> float:
+        """A score that some disjoint set within ``mask`` has."""
+        return max(_greedy(members(mask), b, s), _greedy([i for i in dense if mask >> i & 1], b, s))
 
     def best(mask: int) -> tuple:
         """(score, size, sorted names) of the best set within ``mask``; names carry their positions."""
@@ -102,19 +159,23 @@ def best_disjoint(bits: list[int], scores: list[float], names: list, most_nodes:
             return known[mask]
         if len(known) > most_nodes:
             raise SearchExhausted(f"{len(b)} segments: no optimum proven within {most_nodes} nodes")
-        parts = apart(mask)
+        parts = apart(mask, clash)
         if len(parts) > 1:
             found = [best(p) for p in parts]
             out = sum(f[0] for f in found), sum(f[1] for f in found), sorted(x for f in found for x in f[2])
         else:
             pick = max(members(mask), key=lambda i: ((clash[i] & mask).bit_count(), s[i]))
             rest = mask & ~(1 << pick)
-            inner = best(rest & ~clash[pick])
-            out = inner[0] + s[pick], inner[1] + 1, sorted([*inner[2], (names[order[pick]], order[pick])])
-            if bound(rest) >= out[0] - TIE:
-                other = best(rest)
-                if other[0] > out[0] + TIE or (abs(other[0] - out[0]) <= TIE and other[1:] < out[1:]):
-                    out = other
+            left = rest & ~clash[pick]
+            if s[pick] + bound(left) < reached(rest) - slack:  # not a tie either
+                out = best(rest)
+            else:
+                inner = best(left)
+                out = inner[0] + s[pick], inner[1] + 1, sorted([*inner[2], (names[order[pick]], order[pick])])
+                if bound(rest) >= out[0] - slack:
+                    other = best(rest)
+                    if other[0] > out[0] + TIE or (abs(other[0] - out[0]) <= TIE and other[1:] < out[1:]):
+                        out = other
         known[mask] = out
         return out
 
@@ -240,7 +301,6 @@ def pack(nodes: list[Node], t: AnomalyThresholds) -> Packing:
 def milp(rows: list[list[int]], scores: list[float], gap: float) -> tuple[list[int], float, str] | None:
     """(positions, bound, status) by SciPy's mixed-integer solver, where it is installed and finds a solution; else None."""
     try:
-        import numpy as np
         from scipy.optimize import Bounds, LinearConstraint, milp as solve
     except ImportError:
         return None

@@ -249,6 +249,17 @@ def test_solver_against_brute_force():
         assert solver.count_disjoint(bits) == len(sets)
         want = min(sets, key=lambda c: (-sum(scores[i] for i in c), len(c), sorted(c)))
         assert tuple(sorted(solver.best_disjoint(bits, scores, list(range(n)), 10**6))) == want
+    for _ in range(60):  # large enough for the price bounds
+        n = draw.randint(13, 16)
+        bits = [draw.randint(1, 255) for _ in range(n)]
+        scores = [float(draw.choice([1, 2, 2, 3, 5])) for _ in range(n)]
+        sets = [c for k in range(1, 9) for c in combinations(range(n), k) if all(not bits[a] & bits[b] for a, b in combinations(c, 2))]
+        want = min(sets, key=lambda c: (-sum(scores[i] for i in c), len(c), sorted(c)))
+        assert solver.count_disjoint(bits) == len(sets)
+        assert tuple(sorted(solver.best_disjoint(bits, scores, list(range(n)), 10**6))) == want
+        price = solver.atom_prices(bits, scores)
+        above = sum(max(0.0, s - sum(p for a, p in price.items() if a & b)) for b, s in zip(bits, scores))
+        assert sum(price.values()) + above >= sum(scores[i] for i in want) - 1e-9 and min(price.values()) >= 0
     with pytest.raises(solver.SearchExhausted):
         solver.best_disjoint([3 << i for i in range(12)], [1.0] * 12, list(range(12)), 3)
 
