@@ -165,7 +165,7 @@ def test_sharding_query_by_brute_force(spark, folder="/root/testdata/sf0.001"):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
     got = queries.queries()["op3_label_propagation"](spark, folder)
     rows_ = got.collect()
-    assert Counter(r["doc_id"] for r in rows_) == Counter(docs) and {r["law"] for r in rows_} == {"rows"}
+    assert Counter(r["doc_id"] for r in rows_) == Counter(list(docs)) and {r["law"] for r in rows_} == {"rows"}
     slots = {}
     for r in rows_:
         text = docs[r["doc_id"]].encode()
