@@ -1,13 +1,13 @@
 """DuckDB SQL for those of this subpackage's queries that SQL can express.
 
 None for the others: fingerprints by rolling or seeded XXH64 hashes (2, 5),
-iterations over staged tables (3, 5, 9) and tokenizers (4, 10) are held against
+iterations over staged tables (3, 5, 9, 12) and tokenizers (4, 10) are held against
 brute force and the libraries in the tests.
 """
 
 from __future__ import annotations
 
-from driftcube.llm import mixing, secrets
+from driftcube.llm import filter_audit, mixing, secrets
 
 
 def _sql_pattern(pattern: str) -> str:
@@ -102,5 +102,46 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 WHERE rank <= 5"""
 
 
+_OP11 = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+i AS (SELECT row_number() OVER () AS no, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM benchmark),
+s AS (SELECT count(*)::BIGINT AS N, sum(len(terms))::BIGINT AS L FROM d WHERE len(terms) > 0),
+lengths AS (SELECT row_no, doc_id, 100 - 75 + ((75 * len(terms)::BIGINT * N) // L) AS m FROM d, s WHERE len(terms) > 0),
+tf AS MATERIALIZED (SELECT row_no, term, count(*)::BIGINT AS tf FROM (SELECT row_no, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, N),
+asked AS (SELECT no, item_id, term, count(*)::BIGINT AS times FROM (SELECT no, item_id, unnest(terms) AS term FROM i) GROUP BY ALL),
+scored AS (
+    SELECT no, item_id, row_no, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN lengths USING (row_no) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+
+def _op13() -> str:
+    a = filter_audit
+    letters = "".join(a.FILTERS)
+    return rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+v AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           CASE WHEN len(words) < {a.LEAST_WORDS} THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < {a.LEAST_DISTINCT} * len(words) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {a.MOST_CAPITALS} * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[{a.BANNED}]') THEN 'D' ELSE '' END
+           || CASE WHEN coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) THEN 'E' ELSE '' END AS fails
+    FROM d LEFT JOIN l USING (doc_id)),
+n AS MATERIALIZED (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM v GROUP BY ALL),
+letter AS (SELECT unnest(string_split('{letters}', '')) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, s AS step, filter_order[s] AS f, filter_order[1:s - 1] AS before FROM orders, (SELECT unnest(generate_series(1, 5)) AS s)),
+c AS (SELECT part, filter_order, step, f, n, good, toxic, fails, contains(fails, f) AS bad, translate(fails, before, '') = fails AS alive FROM n, steps),
+o AS (
+    SELECT part, filter_order, step::INT AS step, f, coalesce(sum(n) FILTER (alive AND NOT bad), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (alive AND bad), 0)::BIGINT AS removed,
+           coalesce(sum(n) FILTER (bad AND NOT alive), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+           coalesce(sum(good) FILTER (alive AND bad), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (alive AND bad), 0)::BIGINT AS toxic_lost
+    FROM c GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_ownership": _op1(), "op6_capped_mixing": _op6(), "op7_prefix_targets": _OP7, "op8_histogram_topk": _OP8}
+    return {"op11_sparse_product_search": _OP11, "op13_filter_audit": _op13(), "op1_secret_ownership": _op1(), "op6_capped_mixing": _op6(), "op7_prefix_targets": _OP7, "op8_histogram_topk": _OP8}

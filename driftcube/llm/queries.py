@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftcube.llm import bpe, chat, kneser_ney, mixing, secrets, sharding, simhash, token_counts, topk, winnowing
+from driftcube.llm import bpe, chat, filter_audit, kneser_ney, language_id, lexical, mixing, secrets, sharding, simhash, token_counts, topk, winnowing
 from driftcube.llm.common import prepare, text_of
 from driftcube.llm.oracle import oracle_sql
 
@@ -94,6 +94,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_sparse_product_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = language_id.fit(docs.where("not held_out"))
+    return language_id.identify(docs.select("doc_id", "held_out", "text"), model)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return filter_audit.audit(rows).drop("filter")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ownership": op1_secret_ownership,
@@ -106,6 +122,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_histogram_topk": op8_histogram_topk,
         "op9_kneser_ney_quality": op9_kneser_ney_quality,
         "op10_token_counts": op10_token_counts,
+        "op11_sparse_product_search": op11_sparse_product_search,
+        "op12_language_mixture": op12_language_mixture,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
