@@ -98,7 +98,7 @@ WITH v AS MATERIALIZED (
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (
     SELECT *, row_number() OVER (PARTITION BY q_no ORDER BY score DESC, vec_id) AS rank
-    FROM (SELECT q.row_no AS q_no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)))
+    FROM (SELECT q.row_no AS q_no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row_no <> c.row_no AND len(q.e) = len(c.e)))
 WHERE rank <= 5"""
 
 

@@ -77,7 +77,7 @@ def op7_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_histogram_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = prepare(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
-    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+    return topk.top_k(vectors, "vec_id % 50 = 0")
 
 
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

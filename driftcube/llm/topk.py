@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftcube.llm.common import prepare, stage
@@ -34,24 +34,26 @@ GROUP = 16
 #: Blocks for which a task holds histograms before it sends them.
 HELD = 64
 _EXACT, _MOST = 2**53, 2**63
+#: Bits of a row's place in the number of its row: the chunk's number stands above them.
+PLACE = 20
 
 
-def _vectors(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, integer matrix) for each vector length in a batch of (vec_id, embedding) that takes part."""
-    ids, lists = batch.column(0), batch.column(1)
+def _vectors(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, whether asked for, integer matrix) for each vector length in a batch of (vec_id, embedding, asked) that takes part."""
+    ids, lists, asked = batch.column(0), batch.column(1), batch.column(2)
     rows = np.flatnonzero(pc.is_valid(ids).to_numpy(zero_copy_only=False) & pc.is_valid(lists).to_numpy(zero_copy_only=False))
     if not len(rows):
         return []
-    ids, lists = ids.take(pa.array(rows)), lists.take(pa.array(rows))
+    ids, lists, asked = (x.take(pa.array(rows)) for x in (ids, lists, asked))
     values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null component becomes NaN
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    ids, out = ids.to_numpy(zero_copy_only=False).astype(np.int64), []
+    ids, asked, out = ids.to_numpy(zero_copy_only=False).astype(np.int64), asked.to_numpy(zero_copy_only=False).astype(bool), []
     for length in np.unique(lengths):
         own = np.flatnonzero(lengths == length)
         matrix = values[starts[own][:, None] + np.arange(length)[None, :]]
         finite = np.isfinite(matrix).all(axis=1)
-        out.append((ids[own][finite], np.floor(SCALE * matrix[finite])))
+        out.append((ids[own][finite], asked[own][finite], np.floor(SCALE * matrix[finite])))
     return [x for x in out if len(x[0])]
 
 
@@ -95,37 +97,49 @@ def _add(held: tuple | None, rows: np.ndarray, bins: np.ndarray, need: np.ndarra
     return rows[keep], bins[keep], weight[keep]
 
 
-def _packed(vectors: DataFrame, most: int, name: str) -> DataFrame:
-    """(no, length, ids, matrix) of the (vec_id, embedding) rows that take part: at most ``most`` vectors of one length a row, as bytes."""
+def _packed(rows: DataFrame, most: int, kinds: tuple, arrays_of, name: str) -> DataFrame:
+    """(no, length, and a binary column each of ``kinds``) of the arrays that ``arrays_of`` finds in a batch, the last of them a matrix: at most ``most`` of its rows, of one length, a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def closed(length: int, keep: int) -> Iterator[pa.RecordBatch]:
-            ids, matrix = (np.concatenate(x) for x in zip(*held[length]))
-            while len(ids) > keep:
-                row = length, ids[:most].tobytes(), matrix[:most].tobytes()
-                ids, matrix = ids[most:], matrix[most:]
-                yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.binary())], names=["length", "ids", "matrix"])
-            held[length] = [(ids, matrix)]
+            arrays = [np.concatenate(x) for x in zip(*held[length])]
+            while len(arrays[-1]) > keep:
+                columns = [pa.array([x[:most].tobytes()], pa.binary()) for x in arrays]
+                arrays = [x[most:] for x in arrays]
+                yield pa.RecordBatch.from_arrays([pa.array([length], pa.int32()), *columns], names=["length", *kinds])
+            held[length] = [tuple(arrays)]
 
         for batch in batches:
-            for ids, matrix in _vectors(batch):
-                held.setdefault(matrix.shape[1], []).append((ids, matrix))
-                if sum(len(x[0]) for x in held[matrix.shape[1]]) >= most:
-                    yield from closed(matrix.shape[1], most - 1)
+            for arrays in arrays_of(batch):
+                length = arrays[-1].shape[1]
+                held.setdefault(length, []).append(arrays)
+                if sum(len(x[-1]) for x in held[length]) >= most:
+                    yield from closed(length, most - 1)
         for length in list(held):
             yield from closed(length, 0)
 
-    rows = vectors.mapInArrow(run, "length int, ids binary, matrix binary")
-    return stage(rows.withColumn("no", F.monotonically_increasing_id()), name)
+    made = rows.mapInArrow(run, "length int, " + ", ".join(f"{k} binary" for k in kinds))
+    return stage(made.withColumn("no", F.monotonically_increasing_id()), name)
+
+
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row numbers, ids, matrix) of what is asked for in chunks."""
+    for r in range(batch.num_rows):
+        read = lambda name, kind: np.frombuffer(batch.column(name)[r].as_buffer(), kind)  # noqa: B023, E731
+        at = np.flatnonzero(read("asked", bool))
+        if len(at):
+            ids = read("ids", np.int64)
+            matrix = read("matrix", np.float64).reshape(len(ids), batch.column("length")[r].as_py())
+            yield (batch.column("no")[r].as_py() << PLACE) + at, ids[at], matrix[at]
 
 
 _STATE = "array<struct<q:int,need:long,low:long,high:long>>"
 
 
 def _pairs(rows: pa.RecordBatch, k: int) -> Iterator[tuple]:
-    """(block, query ids, need, low, high, candidate ids, scores) of each row of the join; a query's own id scores _NONE."""
+    """(block, query ids, need, low, high, candidate ids, scores) of each row of the join; a query's own row scores _NONE."""
     for r in range(rows.num_rows):
         block, length, state = (rows.column(c)[r].as_py() for c in ("block", "length", "state"))
         read = lambda name, kind: np.frombuffer(rows.column(name)[r].as_buffer(), kind)  # noqa: B023, E731
@@ -136,28 +150,31 @@ def _pairs(rows: pa.RecordBatch, k: int) -> Iterator[tuple]:
             q = [x["q"] for x in state]
             need[q], low[q], high[q] = ([x[c] for x in state] for c in ("need", "low", "high"))
         scores = _scores(queries, matrix)
-        scores[names[:, None] == ids[None, :]] = _NONE
+        at = read("query_rows", np.int64) - (rows.column("no")[r].as_py() << PLACE)  # the place of a query's own row, if it is in this chunk
+        inside = np.flatnonzero((at >= 0) & (at < len(ids)))
+        scores[inside, at[inside]] = _NONE
         yield block, names, need, low, high, ids, scores
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's k highest integer inner products over ``vectors``.
+def top_k(vectors: DataFrame, asked: Column | str, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k highest integer inner products over ``vectors`` of each of its rows that meets the condition ``asked``.
 
-    Components become floor(256 * x).  Candidates are all rows but those with
-    the query's own id; ties go to the smaller id, and a query with fewer
-    candidates gets all.  Rows that are null, have a null id, or hold a null or
+    Components become floor(256 * x).  Candidates are all rows but the query's
+    own; ties go to the smaller id, and a query with fewer candidates gets all.  Rows that are null, have a null id, or hold a null or
     non-finite component take no part, neither as queries nor as candidates;
     only vectors of equal length are scored.  Rows that repeat an id are
-    queries and candidates of their own, so such a query has k results for each
-    of its rows.  A score that does not fit a long is an error.  Other columns
+    queries and candidates of their own and each other's candidates, so such a
+    query has k results for each of its rows.  A score that does not fit a long is an error.  Other columns
     are left out; without queries or candidates the result is empty.
     """
     spark = prepare(vectors.sparkSession)
-    shape = lambda df: df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"))
-    chunks, blocks = _packed(shape(vectors), chunk, "chunks"), _packed(shape(queries), block, "blocks")
+    asked = F.expr(asked) if isinstance(asked, str) else asked
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).alias("embedding"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    chunks = _packed(rows, chunk, ("ids", "asked", "matrix"), _vectors, "chunks")  # with their numbers, by which a row is told from others of its id
+    blocks = _packed(chunks, block, ("rows", "ids", "matrix"), _asked, "blocks")
     groups = max(2 * spark.sparkContext.defaultParallelism, -(-chunks.count() // GROUP))
-    chunks = chunks.select("length", "ids", "matrix", F.pmod("no", F.lit(groups)).cast("int").alias("g"))
-    blocks = blocks.select(F.col("no").alias("block"), "length", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
+    chunks = chunks.select("length", "no", "ids", "matrix", F.pmod("no", F.lit(groups)).cast("int").alias("g"))
+    blocks = blocks.select(F.col("no").alias("block"), "length", F.col("rows").alias("query_rows"), F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"))
 
     def joined(state: DataFrame | None) -> DataFrame:
         asked = blocks.withColumn("state", F.lit(None).cast(_STATE)) if state is None else blocks.join(state, "block", "left")
