@@ -7,7 +7,9 @@ texts share puts at least one common hash into both fingerprints.
 
 A text of fewer than k code points has one gram, all of it; an empty text has
 none.  Short texts keep all their k-grams, which hold the chosen ones of any w,
-and very short ones their 3-grams too.  Two empty fingerprints are alike (1.0), an empty one and another not.
+and very short ones their 3-grams too.  Two fingerprints are compared at the
+coarser of their schemes: chosen grams with chosen ones, unless both texts keep
+more.  Two empty fingerprints are alike (1.0), an empty one and another not.
 """
 
 from __future__ import annotations
@@ -75,17 +77,22 @@ def winnow(hashes: np.ndarray, w: int = W) -> np.ndarray:
     return best[np.concatenate(([True], best[1:] != best[:-1]))]
 
 
-def fingerprint(text: str, k: int = K, w: int = W) -> tuple[str, np.ndarray]:
-    """The fingerprint as hex digits (8 of the hash, 8 of the position, each chosen gram) and its distinct hashes."""
+def fingerprint(text: str, k: int = K, w: int = W) -> tuple[str, tuple[np.ndarray, ...]]:
+    """The fingerprint as hex digits (8 of the hash, 8 of the position, each gram kept) and its distinct hashes by scheme, the coarsest first."""
     hashes = gram_hashes(text, k)
-    chosen = winnow(hashes, w if len(text) >= DENSE else 1)
+    chosen = winnow(hashes, w)
     values = hashes[chosen]
-    if SHORT_K < len(text) < SHORT:
-        short = gram_hashes(text, SHORT_K)
+    sets = [np.unique(values)]
+    if len(text) < DENSE:
+        values, chosen = hashes, np.arange(len(hashes))
+        sets.append(np.unique(values))
+    if len(text) < SHORT:
+        short = gram_hashes(text, SHORT_K) if len(text) > SHORT_K else np.empty(0, np.uint32)
         values, chosen = np.concatenate((values, short)), np.concatenate((chosen, np.arange(len(short))))
+        sets.append(np.unique(values))
     both = np.empty(len(chosen), _CHOSEN)
     both["hash"], both["position"] = values, chosen
-    return both.tobytes().hex(), np.unique(values)
+    return both.tobytes().hex(), tuple(sets)
 
 
 def parse(text: str) -> list[tuple[int, int]]:
@@ -93,8 +100,9 @@ def parse(text: str) -> list[tuple[int, int]]:
     return [(int(h), int(p)) for h, p in np.frombuffer(bytes.fromhex(text), _CHOSEN)]
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard index of two sets of hashes, given distinct and sorted."""
+def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
+    """Jaccard index of two fingerprints' hashes, at the finest scheme that both have."""
+    a, b = list(zip(a, b))[-1]
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.concatenate((a, b))

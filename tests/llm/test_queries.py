@@ -9,9 +9,10 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from by_hand import alike
 from tokenizers import Tokenizer
 
-from driftcube.llm import kneser_ney, queries, winnowing
+from driftcube.llm import kneser_ney, queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,14 +37,13 @@ def test_op2(spark, docs):
     got, n = result(spark, "op2_winnowing", "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     assert n == len(docs) == len(got)
     order = sorted(docs)
-    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-    hashes = lambda f: {h for h, _ in winnowing.parse(f)}
     for i, doc_id in enumerate(order):
         text, following, r = docs[doc_id]["text"] or "", docs[order[(i + 1) % len(order)]]["text"] or "", got[doc_id]
         half = len(text) // 2
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), sha(text[: len(text) - half] + following[:half]))
-        assert r["near_edited"] == pytest.approx(alike(hashes(r["fingerprint"]), hashes(r["edited_fingerprint"])))
-        assert r["near_next"] == pytest.approx(alike(hashes(r["fingerprint"]), hashes(got[order[(i + 1) % len(order)]]["fingerprint"])))
+        following_row, edited_chars = got[order[(i + 1) % len(order)]], len(text[: len(text) - half] + following[:half])
+        assert r["near_edited"] == pytest.approx(alike(r["fingerprint"], len(text), r["edited_fingerprint"], edited_chars))
+        assert r["near_next"] == pytest.approx(alike(r["fingerprint"], len(text), following_row["fingerprint"], following_row["n_chars"]))
 
 
 def test_op4(spark, docs):

@@ -20,3 +20,11 @@ def test_a_change_every_90_characters():
     text = [draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(5000)]
     changed = ["#" if i % 90 == 0 else c for i, c in enumerate(text)]
     assert winnowing.likeness(winnowing.fingerprint("".join(text))[1], winnowing.fingerprint("".join(changed))[1]) > 0.5
+
+
+@pytest.mark.parametrize("n", [31, 32, 63, 64, 65])
+def test_no_seam_between_schemes(n):
+    draw = random.Random(1)
+    text = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(70))
+    likeness = winnowing.likeness(winnowing.fingerprint(text[:n])[1], winnowing.fingerprint(text[: n + 1])[1])
+    assert likeness > 0.8
