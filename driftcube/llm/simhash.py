@@ -1,12 +1,13 @@
 """Near-duplicates by SimHash with a byte-position inverted index.
 
 Fingerprints of 64 bits that differ in at most 2 bits share at least 6 of
-their 8 positional bytes.  The inverted index posts fingerprints under
-positional bytes; a pair's tally of shared bytes is its count filter (6 of 8
-guaranteed), and what remains is verified bit by bit.  A posting of one byte
-alone would hold 1/256 of all fingerprints at any size, so the index posts
-four bytes at a time: of the four byte pairs 2 differing bits leave two
-intact, hence 6 postings a fingerprint find every link.
+their 8 positional bytes.  A posting of one byte alone would hold 1/256 of all
+fingerprints at any size, so the inverted index posts four bytes at a time: of
+the four byte pairs 2 differing bits leave two intact, hence 6 postings a
+fingerprint find every link.  The postings in which a pair meets are counted:
+1, 3 or 6 of them for 2, 3 or 4 shared byte pairs, which tallies 4, 6 or 8
+shared bytes; to that come the bytes shared within the other byte pairs.  Pairs
+that reach the guaranteed 6 bytes are verified bit by bit, each once.
 
 A posting of more than ``CAP`` fingerprints emits no pairs.  Its members meet
 at midpoints instead: two fingerprints are within 2 bits exactly if some
@@ -70,29 +71,34 @@ def _postings(prints: DataFrame) -> DataFrame:
     return prints.select("simhash", F.explode(F.array(*keys)).alias("key")).select("key.slot", "key.bytes", "simhash")
 
 
-def _shared_bytes(a: F.Column, b: F.Column) -> F.Column:
-    """The pair's tally: positions at which both have the same byte."""
-    differing = a.bitwiseXOR(b)
-    same = [F.when(F.shiftrightunsigned(differing, 8 * i).bitwiseAND(0xFF) == 0, 1).otherwise(0) for i in range(8)]
-    total = same[0]
-    for x in same[1:]:
-        total = total + x
-    return total
+def _tallied(pairs: DataFrame) -> DataFrame:
+    """(a, b, shared): each of ``pairs``, which has a row a posting, once with its number of shared positional bytes.
+
+    Whole byte pairs come from the count of postings.  A byte pair that no
+    posting vouches for still shares a byte if one of its two is the same.
+    """
+    met = pairs.groupBy("a", "b").agg(F.count("*").alias("postings"))
+    whole = F.when(F.col("postings") >= 6, 4).when(F.col("postings") >= 3, 3).otherwise(2)
+    byte = lambda i: F.shiftrightunsigned(F.col("a").bitwiseXOR(F.col("b")), 8 * i).bitwiseAND(0xFF) == 0
+    half = sum(((byte(2 * i) != byte(2 * i + 1)).cast("int") for i in range(4)), F.lit(0))
+    return met.select("a", "b", (2 * whole + half).alias("shared"))
 
 
 def links(prints: DataFrame, cap: int = CAP) -> DataFrame:
     """(a, b): pairs of distinct ``simhash`` values that connect all that differ in at most 2 bits.
 
     Small postings give every such pair; of large ones each midpoint's members
-    are linked to the smallest, which connects the same fingerprints.
+    are linked to the smallest, which connects the same fingerprints.  A pair
+    that meets in large postings too is counted in its small ones only, so its
+    tally may stay below the guarantee; the midpoints link it.
     """
     postings = _postings(prints)
     sizes = postings.groupBy("slot", "bytes").agg(F.count("*").alias("n")).where("n > 1")
     shared = stage(postings.join(sizes, ["slot", "bytes"]), "postings")
     small = shared.where(F.col("n") <= cap).groupBy("slot", "bytes").agg(F.sort_array(F.collect_list("simhash")).alias("members"))
     pairs = small.select(F.explode("members").alias("a"), "members").select("a", F.explode("members").alias("b")).where("a < b")
-    near = pairs.where(_shared_bytes(F.col("a"), F.col("b")) >= LEAST_SHARED)
-    near = near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
+    near = _tallied(pairs).where(F.col("shared") >= LEAST_SHARED)
+    near = near.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).select("a", "b")
 
     crowded = shared.where(F.col("n") > cap).select("simhash").distinct()
     masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)))
