@@ -94,7 +94,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repository
     frequency; ``live`` tells owner-specific values from widely copied ones.
 
     By default a document's owner is its source and its repository the source
-    with the language; null ones count as one unnamed owner or repository.
+    with the language, as the table names nothing else.  So repositories lie
+    within owners, and the number of owners alone decides; where the two are
+    given and cross, both do.  Null ones count as one unnamed owner or
+    repository.
     Null texts count as empty, and an empty text has no spans.  Texts are
     scanned whole, whatever their length.  Repeated rows and repeated ids are
     scanned each, row_no tells them apart; copies of one text count once in the

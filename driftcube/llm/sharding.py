@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation.
 
-Links are equal texts only, those of one text with each other, so a text's
-documents are one clique and a label travels one step; further rounds move
-what found no room before.  Labels are shards; in each round documents
+Links are equal texts only, those of one text with each other: there is no
+other edge table.  So a text's documents are one clique and a label travels one
+step; further rounds move what found no room before, as long as links are won.  Labels are shards; in each round documents
 move towards the shard that most of their neighbours are in, as far as that
 shard's quota has room, so few links are cut while the numbers of rows stay
 even.  Linked documents of one text and shard are alike, so a round works on
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from driftcube.llm.common import stage, text_of, with_running_sum
 
 #: Production parameters.
-SHARDS, ROUNDS, SEED = 40, 4, 7
+SHARDS, ROUNDS, SEED = 40, 8, 7
 #: Least number of ranges of a hash, into which the rows of one text or shard are dealt to be numbered; there are eight a shuffle partition.
 RANGES = 256
 
@@ -44,18 +44,24 @@ def _clamped(room: Column) -> Column:
     return F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), room))
 
 
-def _round(cells: DataFrame, quota: list[int], shards: int) -> tuple[DataFrame, bool]:
-    """Cells after one round, and whether any row moved."""
+def _links(cells: DataFrame) -> int:
+    """Links that no shard's border cuts."""
+    return cells.agg(F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0))).first()[0]
+
+
+def _round(cells: DataFrame, quota: list[int], shards: int) -> DataFrame:
+    """Cells after one round: those that are not among a text's largest move to these, the one with most room first."""
     room = [max(0, q - load) for q, load in zip(quota, _loads(cells, shards))]
     of_text = Window.partitionBy("key", "crc")
     ranked = cells.withColumn("r", F.row_number().over(of_text.orderBy(F.col("n").desc(), F.xxhash64("key", "shard"), "shard")) - 1)
     ranked = ranked.withColumn("total", F.sum("n").over(of_text))
     #: a text with more rows than a shard may hold keeps as many target shards as it needs
     ranked = ranked.withColumn("m", F.greatest(F.lit(1), F.ceil(F.col("total") / max(1, min(quota)))).cast("int"))
-    targets = F.sort_array(F.collect_list(F.when(F.col("r") < F.col("m"), F.struct("r", "shard"))).over(of_text))
+    open_ = _at(room, F.col("shard"))
+    targets = F.sort_array(F.collect_list(F.when((F.col("r") < F.col("m")) & (open_ > 0), F.struct((-open_).alias("room"), "r", "shard"))).over(of_text))
     ranked = ranked.withColumn("targets", targets)
-    moving = F.col("r") >= F.col("m")
-    wanted = F.when(moving, F.element_at(F.col("targets"), (F.col("r") % F.size("targets") + 1).cast("int"))["shard"])
+    moving = (F.col("r") >= F.col("m")) & (F.size("targets") > 0)
+    wanted = F.when(moving, F.element_at(F.col("targets"), ((F.col("r") - F.col("m")) % F.greatest(F.size("targets"), F.lit(1)) + 1).cast("int"))["shard"])
     ranked = stage(ranked.withColumn("wanted", wanted).select("key", "crc", "shard", "n", "wanted"), "proposals")
     asked = ranked.where("wanted is not null")
     asked = with_running_sum(asked, ["wanted"], ["key", "crc", "shard"], "n", _range("key"), "before")
@@ -64,8 +70,7 @@ def _round(cells: DataFrame, quota: list[int], shards: int) -> tuple[DataFrame,
     left = asked.select("key", "crc", "shard", (F.col("n") - F.col("taken")).alias("n"))
     moved = asked.select("key", "crc", F.col("wanted").alias("shard"), F.col("taken").alias("n"))
     after = stay.union(left).union(moved).where("n > 0").groupBy("key", "crc", "shard").agg(F.sum("n").alias("n"))
-    after = stage(after, "cells")
-    return after, after.count() < cells.count()
+    return stage(after, "cells")
 
 
 def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -93,10 +98,12 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
 
     cells = rows.groupBy("key", "crc", "shard").agg(F.count("*").alias("n"))
     cells = cells.withColumn("all", F.sum("n").over(Window.partitionBy("key", "crc"))).where("all > 1").drop("all")
-    cells, moved = stage(cells, "cells"), True
+    cells = stage(cells, "cells")
+    won = _links(cells)
     for _ in range(rounds):
-        if moved:
-            cells, moved = _round(cells, quota, shards)
+        before, cells = won, _round(cells, quota, shards)
+        if (won := _links(cells)) == before:
+            break
 
     kept = with_running_sum(cells, ["shard"], ["key", "crc"], "n", _range("key"), "before")
     kept = kept.withColumn("n", _clamped(_at(quota, F.col("shard")) - F.col("before"))).where("n > 0")

@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from by_hand import alike
 from pyspark.sql import functions as F
 
 from driftcube.llm import chat, kneser_ney, mixing, queries, secrets, sharding, simhash, topk, winnowing
@@ -115,7 +116,7 @@ def test_winnowing_against_definition():
             assert winnowing.winnow(hashes, w).tolist() == sorted(want)
     shared = "".join(draw.choice("abcdefgh") for _ in range(winnowing.K + winnowing.W - 1))
     a, b = winnowing.fingerprint("x" * 300 + shared)[1], winnowing.fingerprint(shared + "y" * 200)[1]
-    assert set(a.tolist()) & set(b.tolist())
+    assert set(a[0].tolist()) & set(b[0].tolist())
     text = words(draw, 300)
     assert [h for h, _ in winnowing.parse(winnowing.fingerprint(text)[0])] == winnowing.gram_hashes(text)[winnowing.winnow(winnowing.gram_hashes(text))].tolist()
 
@@ -128,16 +129,12 @@ def test_next_documents(docs):
         half = len(text) // 2
         want.append((doc_id, len(text), text[: len(text) - half] + order[(i + 1) % len(order)][1][:half]))
     assert Counter((r["doc_id"], r["n_chars"], r["edited"]) for r in got) == Counter(want)
-    def alike(a, b):
-        a, b = ({h for h, _ in winnowing.parse(x)} for x in (a, b))
-        return len(a & b) / len(a | b) if a | b else 1.0
-
     following = {}
     for (doc_id, text), (_, after) in zip(order, order[1:] + order[:1]):
-        following.setdefault((doc_id, len(text), winnowing.fingerprint(text)[0]), Counter())[round(alike(winnowing.fingerprint(text)[0], winnowing.fingerprint(after)[0]), 9)] += 1
+        following.setdefault((doc_id, len(text), winnowing.fingerprint(text)[0]), Counter())[round(alike(winnowing.fingerprint(text)[0], len(text), winnowing.fingerprint(after)[0], len(after)), 9)] += 1
     for r in got:
         assert r["edited_sha256"] == sha(r["edited"]) and r["edited_fingerprint"] == winnowing.fingerprint(r["edited"])[0]
-        assert r["near_edited"] == pytest.approx(alike(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_edited"] == pytest.approx(alike(r["fingerprint"], r["n_chars"], r["edited_fingerprint"], len(r["edited"])))
         following[r["doc_id"], r["n_chars"], r["fingerprint"]][round(r["near_next"], 9)] -= 1
     assert not any(n for c in following.values() for n in c.values())
     assert winnowing.with_next_document(docs.limit(0)).collect() == []
@@ -193,6 +190,9 @@ def test_sharding_keeps_links(spark):
     hot = spark.range(300).selectExpr("id as doc_id", "case when id < 100 then 'same' else concat('u', id) end as text")
     spread = sharding.assign(hot, shards=10).where("text_crc32 = crc32('same')").select("shard").distinct().count()
     assert spread <= 5  # 100 rows, quotas of 30
+    large = spark.range(4000).selectExpr("id as doc_id", "case when id < 2400 then 'same' else concat('u', id) end as text")
+    found = sharding.cut_links(sharding.assign(large)).first()  # 24 full shards of 100 would cut 2,760,000
+    assert found["links"] == 2400 * 2399 // 2 and 2_760_000 <= found["cut"] <= 1.01 * 2_760_000
 
 
 def components_by_hand(prints):
@@ -332,22 +332,24 @@ def test_top_k(spark):
     df = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<float>, score int").repartition(7)
     good = [(i, np.floor(256 * np.array(v, float))) for i, v in vectors if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all()]
     for block, chunk in ((3, 8), (1024, 2048)):
-        got = Counter(tuple(r) for r in topk.top_k(df, df.where("vec_id % 5 = 0"), block=block, chunk=chunk).select("query_id", "rank", "vec_id", "score").collect())
+        got = Counter(tuple(r) for r in topk.top_k(df, "vec_id % 5 = 0", block=block, chunk=chunk).select("query_id", "rank", "vec_id", "score").collect())
         want = Counter()
-        for q, v in good:
+        for at, (q, v) in enumerate(good):
             if q % 5 == 0:
-                hits = sorted((-int(v @ c), i) for i, c in good if i != q and len(c) == len(v))[:5]
+                hits = sorted((-int(v @ c), i) for n, (i, c) in enumerate(good) if n != at and len(c) == len(v))[:5]
                 want.update((q, n, i, -s) for n, (s, i) in enumerate(hits, 1))
         assert got == want
     assert sum(n for (q, *_), n in got.items() if q == 50) == 10
-    assert topk.top_k(df.limit(0), df.limit(0)).collect() == []
+    assert topk.top_k(df.limit(0), "true").collect() == [] == topk.top_k(df, "false").collect()
     only = spark.createDataFrame([(50, [None, 1.0]), (50, [1.0, 1.0]), (1, [1.0, 2.0]), (2, [3.0, 4.0])], "vec_id long, embedding array<double>")
-    assert [r["vec_id"] for r in topk.top_k(only, only.where("vec_id = 50")).collect()] == [2, 1]
+    assert [r["vec_id"] for r in topk.top_k(only, "vec_id = 50").collect()] == [2, 1]
+    twins = spark.createDataFrame([(50, [1.0, 0.0]), (50, [2.0, 0.0]), (51, [1.0, 0.0])], "vec_id long, embedding array<double>")  # each other's candidates
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(twins, "vec_id = 50").collect()) == [(1, 50, 131072), (1, 50, 131072), (2, 51, 65536), (2, 51, 131072)]
     huge = spark.createDataFrame([(1, [3e5, 2e5]), (2, [3e5, 2e5]), (3, [1e5, -2e5])], "vec_id long, embedding array<double>")
-    assert [(r["vec_id"], r["score"]) for r in topk.top_k(huge, huge.where("vec_id = 1")).collect()] == [(2, 256 * 256 * 130 * 10**9), (3, 256 * 256 * (-10) * 10**9)]
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(huge, F.col("vec_id") == 1).collect()] == [(2, 256 * 256 * 130 * 10**9), (3, 256 * 256 * (-10) * 10**9)]
     over = spark.createDataFrame([(1, [1e30]), (2, [1e30])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="does not fit a long"):
-        topk.top_k(over, over).collect()
+        topk.top_k(over, "true").collect()
 
 
 def test_classifier(spark):
