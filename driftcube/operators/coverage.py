@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftcube.config import DIMENSIONS
 from driftcube.functions.keys import key_parts, normalize_dim_value
 from driftcube.operators.components import components as connected
+from driftcube.operators.ranks import with_rank
 from driftcube.storage import stage
 
 
@@ -120,12 +121,23 @@ def eligible_coverage(candidates: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def descendants(eligible: DataFrame) -> DataFrame:
-    """(segment_id, child_id): deeper segments all of whose atoms the segment covers (relational division)."""
-    sizes = eligible.groupBy("segment_id").agg(F.count("*").alias("size"))
-    child = eligible.join(sizes, "segment_id").select(F.col("segment_id").alias("child_id"), F.col("slice_depth").alias("child_depth"), "size", "atom_id")
-    pairs = eligible.join(child, "atom_id").where("child_depth > slice_depth")
-    shared = pairs.groupBy("segment_id", "child_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    return shared.where("n = size").select("segment_id", "child_id")
+    """(segment_id, child_id): deeper segments all of whose atoms the segment covers.
+
+    Whoever covers all atoms of a child covers its rarest one, so a child meets
+    only the segments over that atom, and each such pair is verified once: by
+    joining the child's other atoms, where it has any, with those of the pair.
+    A child of one atom needs no more.
+    """
+    cover = eligible.select("segment_id", "slice_depth", "atom_id")
+    over = cover.groupBy("atom_id").agg(F.count("*").alias("over"))
+    sized = cover.join(over, "atom_id").groupBy("segment_id", "slice_depth")
+    child = sized.agg(F.count("*").alias("size"), F.min(F.struct("over", "atom_id"))["atom_id"].alias("atom_id"))
+    child = stage(child.select(F.col("segment_id").alias("child_id"), F.col("slice_depth").alias("child_depth"), "size", F.col("atom_id").alias("rarest")), "children")
+    pairs = stage(cover.join(child, F.col("atom_id") == F.col("rarest")).where("child_depth > slice_depth").select("segment_id", "child_id", "size"), "candidates")
+    single = pairs.where("size = 1").select("segment_id", "child_id")
+    asked = pairs.where("size > 1").join(cover.select(F.col("segment_id").alias("child_id"), "atom_id"), "child_id")
+    held = asked.join(cover.select("segment_id", "atom_id"), ["segment_id", "atom_id"], "left_semi").groupBy("segment_id", "child_id").agg(F.count("*").alias("n"), F.first("size").alias("size"))
+    return single.union(held.where("n = size").select("segment_id", "child_id"))
 
 
 def conflict_pairs(eligible: DataFrame) -> DataFrame:
@@ -146,7 +158,7 @@ def components(eligible: DataFrame) -> DataFrame:
     low = rows.groupBy("atom_id").agg(F.min("segment_key").alias("a"))
     roots = stage(connected(rows.join(low, "atom_id").select("a", F.col("segment_key").alias("b"))), "roots")
     found = rows.select("segment_id", "segment_key").distinct().join(roots, F.col("segment_key") == F.col("node"), "left").withColumn("root", F.coalesce("root", "segment_key"))
-    numbered = found.select("root").distinct().withColumn("no", F.row_number().over(Window.orderBy("root")))  # a row a component
+    numbered = with_rank(found.select("root").distinct(), ["root"], "no")
     return found.join(numbered, "root").select("segment_id", F.format_string("C%03d", F.col("no")).alias("component_id"))
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from driftcube.config import AnomalyThresholds
 from driftcube.operators import coverage as cov
+from driftcube.operators.certificate import price_bounds
+from driftcube.operators.ranks import with_rank
 from driftcube.operators.solver import UNADJUSTED, Node, adjust_hierarchy, pack
 from driftcube.storage import ship, stage
 
@@ -174,14 +176,15 @@ def search_anomal(
     source = "SEGMENT_KEY_FALLBACK" if allow_segment_key_fallback else "FACTUAL_ATOMIC_COVERAGE"
     found = stage(diagnostics(rows.drop("anomaly_score"), coverage, solved, thresholds, source), "diagnosed")
     best = stage(final(found), "final")
-    validate(found, coverage, solved, best, thresholds)
+    validate(found, coverage, solved, best, thresholds, certified(found, coverage, thresholds))
     return best, found, decision_log(found, coverage)
 
 
 def final(diagnosed: DataFrame) -> DataFrame:
     """The selected segments with their rank; keys are unique, so the order is total."""
     order = [F.col("anomaly_score").desc(), F.col("abs_robust_z").desc(), F.col("materiality_share").desc(), F.abs("wow_delta_gmv").desc(), F.col("reliability_factor").desc(), F.col("segment_key")]
-    return diagnosed.where("selected").withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    ranked = with_rank(diagnosed.where("selected"), order)
+    return ranked.withColumn("rank", F.col("rank").cast("int"))
 
 
 def component_stats(diagnosed: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -228,13 +231,29 @@ def decision_log(diagnosed: DataFrame, coverage: DataFrame) -> DataFrame:
     return log
 
 
-def validate(diagnosed: DataFrame, coverage: DataFrame, solved: DataFrame | None = None, best: DataFrame | None = None, thresholds: AnomalyThresholds = AnomalyThresholds()) -> None:
+def certified(diagnosed: DataFrame, coverage: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds()) -> DataFrame:
+    """The bound of each component by prices of atoms, whatever its solver says; see :func:`driftcube.operators.certificate.price_bounds`."""
+    return price_bounds(diagnosed.where("component_id is not null"), coverage, thresholds.set_packing_gap_tolerance)
+
+
+def _searched_anew(diagnosed: DataFrame, coverage: DataFrame, doubtful: DataFrame, thresholds: AnomalyThresholds) -> float:
+    """What the ``doubtful`` components can be worth, by a search of their own that knows nothing of the solution at hand."""
+    rows = diagnosed.join(doubtful.select("component_id"), "component_id", "left_semi").where("is_eligible")
+    again = solve(rows.drop("component_id"), coverage, thresholds, prescored=True)
+    return again.where("selected").agg(F.coalesce(F.sum("anomaly_score"), F.lit(0.0))).first()[0]
+
+
+def validate(
+    diagnosed: DataFrame, coverage: DataFrame, solved: DataFrame | None = None, best: DataFrame | None = None, thresholds: AnomalyThresholds = AnomalyThresholds(), bounds: DataFrame | None = None
+) -> None:
     """Errors for what must hold of a solution.
 
     All eligible segments resolved with positive scores, every component proven,
     its objective the sum of its chosen scores, no atom twice and none missing,
     ids and keys unique; and, where given, the final rows exactly what the
-    solver chose, with the same sum.
+    solver chose, with the same sum.  ``bounds`` are those of :func:`certified`:
+    a component that its prices do not prove is searched anew, and a better
+    set is an error, so neither the solver's word nor its figures count.
     """
     tolerance = max(1e-7, thresholds.set_packing_gap_tolerance + 1e-12)
     checks = diagnosed.agg(
@@ -257,5 +276,12 @@ def validate(diagnosed: DataFrame, coverage: DataFrame, solved: DataFrame | None
         bad["chosen segments that are not final"] = chosen.join(best, "segment_id", "left_anti").count()
         total = stats.agg(F.coalesce(F.sum("objective_value"), F.lit(0.0)).alias("a")).join(best.agg(F.coalesce(F.sum("anomaly_score"), F.lit(0.0)).alias("b")))
         bad["final sums that are not the objective"] = total.where(apart(F.col("a"), F.col("b"))).count()
+    if bounds is not None:
+        doubtful = bounds.where("not certified")
+        claimed = doubtful.agg(F.count("*").alias("n"), F.sum("objective").alias("objective")).first()
+        if claimed["n"]:
+            reached = _searched_anew(diagnosed, coverage, doubtful, thresholds)
+            if reached > claimed["objective"] + max(tolerance, 1e-9 * abs(reached)):
+                bad["score that a better set has above the components that no prices prove"] = reached - claimed["objective"]
     if bad := {k: v for k, v in bad.items() if v}:
         raise ValueError(f"set packing solution is not valid: {bad}")

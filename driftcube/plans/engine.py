@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 from functools import cached_property
 
@@ -28,9 +29,15 @@ class Analysis:
     @classmethod
     def of_sales(cls, spark: SparkSession, sf_dir: str, period: str = "13W", thresholds: AnomalyThresholds = AnomalyThresholds()) -> "Analysis":
         """From the transaction tables in ``sf_dir``, through the mart."""
-        rows = stage(mart.windowed_sales(spark, sf_dir, period), "windows")
-        history = stage(mart.with_segment(mart.cube(mart.bucketed(rows), period)), "history")
-        return cls(history, panel.calendar(history), thresholds)
+        return cls.of_periods(spark, sf_dir, [period], thresholds)[period]
+
+    @classmethod
+    def of_periods(cls, spark: SparkSession, sf_dir: str, periods: Sequence[str], thresholds: AnomalyThresholds = AnomalyThresholds()) -> dict[str, "Analysis"]:
+        """An analysis for each of ``periods``, of one mart that reads the sales once; a period without a complete window has no rows."""
+        rows = stage(mart.windowed_sales(spark, sf_dir, periods), "windows")
+        history = stage(mart.with_segment(mart.cube(mart.bucketed(rows))), "history")
+        own = {p: history.where(F.col("period") == p.strip().upper()) for p in periods}
+        return {p: cls(rows, panel.calendar(rows), thresholds) for p, rows in own.items()}
 
     def under(self, thresholds: AnomalyThresholds) -> "Analysis":
         """The same panel under other thresholds of the filter and what follows; its metrics, too, where those agree on what they need."""
@@ -76,9 +83,13 @@ class Analysis:
     @cached_property
     def final(self) -> DataFrame:
         best = stage(packing.final(self.diagnosed), "final")
-        packing.validate(self.diagnosed, self.coverage, self.solved, best, self.thresholds)
+        packing.validate(self.diagnosed, self.coverage, self.solved, best, self.thresholds, self.bounds)
         return best
 
+    @cached_property
+    def bounds(self) -> DataFrame:
+        return packing.certified(self.diagnosed, self.coverage, self.thresholds)  # a staged table
+
     @cached_property
     def manager(self) -> DataFrame:
         return reports.manager_summary(self.final, self.candidates, self.panel, self.current, self.thresholds)

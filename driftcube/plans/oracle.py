@@ -37,6 +37,17 @@ _CTES = {
         SELECT cal_date, {_D}, sum(amount)::BIGINT / 10000.0::DOUBLE AS gmv, count(DISTINCT order_id)::DOUBLE AS tx,
                count(DISTINCT user_id)::DOUBLE AS au, count(DISTINCT merchant_id)::DOUBLE AS am
         FROM bucketed GROUP BY cal_date, CUBE ({_D})""",
+    "spans": "SELECT * FROM (VALUES ('1W', 7), ('4W', 28), ('13W', 91)) AS t(period, span)",
+    "pwindows": """
+        SELECT * FROM (SELECT s.*, period, span, (last - day) // span AS idx, last - span * ((last - day) // span) AS cal_date, first
+                       FROM sales s, spans, (SELECT min(day) AS first, max(day) AS last FROM sales))
+        WHERE idx < 13 AND cal_date - (span - 1) >= first""",
+    "ptop": """
+        SELECT period, brand AS b, amount, row_number() OVER (PARTITION BY period ORDER BY amount DESC, brand) AS rank
+        FROM (SELECT period, brand, sum(amount) AS amount FROM pwindows WHERE idx >= 1 GROUP BY period, brand) QUALIFY rank <= 5""",
+    "pcubed": f"""
+        SELECT period, cal_date, {_D}, sum(amount)::BIGINT / 10000.0::DOUBLE AS gmv, count(DISTINCT order_id)::DOUBLE AS tx, count(DISTINCT user_id)::DOUBLE AS au, count(DISTINCT merchant_id)::DOUBLE AS am
+        FROM (SELECT w.*, coalesce(t.b, 'Other') AS merchants_type FROM pwindows w LEFT JOIN ptop t ON w.brand = t.b AND w.period = t.period) GROUP BY period, cal_date, CUBE ({_D})""",
     "history": f"""
         SELECT *, gmv / tx AS aov, tx / am AS tpm, tx / au AS freq, {_DEPTH} AS slice_depth, {_json()} AS segment_id, {_KEY} AS segment_key, {_LEVEL} AS segment_level
         FROM cubed""",
@@ -199,6 +210,8 @@ _QUERIES = {
     "complete_windows": "SELECT idx, cal_date, count(*) AS rows, sum(amount)::BIGINT / 10000.0::DOUBLE AS gmv FROM windows GROUP BY ALL",
     "top_n_bucket": "SELECT merchants_type, cal_date, count(*) AS rows, sum(amount)::BIGINT / 10000.0::DOUBLE AS gmv FROM bucketed GROUP BY ALL",
     "cube_mart": f"SELECT cal_date, slice_depth, {_D}, gmv, tx, au, am FROM history",
+    "mart_periods": f"SELECT period, cal_date, {_DEPTH} AS slice_depth, {_D}, gmv, tx, au, am, gmv / tx AS aov, tx / am AS tpm, tx / au AS freq FROM pcubed",
+    "top_brands_by_period": "SELECT period, rank::INT AS rank, b AS brand, amount::BIGINT / 10000.0::DOUBLE AS gmv FROM ptop",
     "ratio_metrics": "SELECT segment_id, cal_date, aov, tpm, freq FROM history",
     "share_of_total": """
         SELECT segment_id, cal_date, round(gmv / total, 10) AS share_in_total_gmv FROM history JOIN (SELECT cal_date, gmv AS total FROM history WHERE slice_depth = 0) USING (cal_date)""",
@@ -213,6 +226,9 @@ _QUERIES = {
         SELECT component_id, segment_count, atom_count, conflict_pair_count, min_depth, max_depth, solver_name, solver_status, round(score_sum, 6) AS score_sum, round(score_min, 6) AS score_min,
                round(score_max, 6) AS score_max, round(objective_value, 6) AS objective_value, round(best_bound, 6) AS best_bound, round(absolute_gap, 6) AS absolute_gap, round(relative_gap, 6) AS relative_gap,
                round(score_dynamic_range, 6) AS score_dynamic_range FROM proof""",
+    # the best of all disjoint sets: what the prices must prove
+    "packing_bound_strict": """
+        SELECT component_id, segment_count, round(objective_value, 4) AS objective, round(best_bound, 4) AS bound, abs(best_bound - objective_value) <= 1e-9 * greatest(1, abs(objective_value)) AS certified FROM stats""",
     "segment_keys": "SELECT DISTINCT segment_id, segment_key, segment_level, slice_depth FROM history",
     "parse_segment_key": """
         SELECT segment_id, (i - 1)::INT AS part_no, split_part(part, '=', 1) AS dim, substr(part, instr(part, '=') + 1) AS value

@@ -20,6 +20,8 @@ from driftcube.storage import stage
 THRESHOLDS = AnomalyThresholds(min_anomaly_abs=0.0, max_hierarchy_descendants=1_000_000)
 #: Thresholds under which the components of the test tables stay so small that SQL can list all their disjoint sets.
 STRICT = AnomalyThresholds(min_anomaly_abs=0.0, min_z_score=3.0, min_materiality_share=0.005)
+#: Periods of the mart that holds several.
+PERIODS = ("1W", "4W", "13W")
 DIMS = ["geo", "products", "merchants_type", "is_terminal_or_cpqr"]
 
 _analyses: WeakKeyDictionary = WeakKeyDictionary()
@@ -55,6 +57,16 @@ def cube_mart(spark, sf_dir):
     return analysis(spark, sf_dir).history.select("cal_date", "slice_depth", *DIMS, "gmv", "tx", "au", "am")
 
 
+def mart_periods(spark, sf_dir):
+    rows = stage(mart.windowed_sales(spark, sf_dir, PERIODS), "windows")
+    return mart.cube(mart.bucketed(rows)).select("period", "cal_date", "slice_depth", *DIMS, "gmv", "tx", "au", "am", "aov", "tpm", "freq")
+
+
+def top_brands_by_period(spark, sf_dir):
+    rows = mart.top_brands(mart.windowed_sales(spark, sf_dir, PERIODS))
+    return rows.select("period", "rank", "brand", (F.col("amount") / mart.UNIT).alias("gmv"))
+
+
 def ratio_metrics(spark, sf_dir):
     return analysis(spark, sf_dir).history.select("segment_id", "cal_date", "aov", "tpm", "freq")
 
@@ -158,6 +170,16 @@ def set_packing_selected_strict(spark, sf_dir):
     return strict(spark, sf_dir).diagnosed.where("is_eligible").select("segment_id", "component_id", "selected", "set_packing_status", "set_packing_global_status", "selected_atomic_count")
 
 
+def packing_bound(spark, sf_dir):
+    rows = analysis(spark, sf_dir).bounds.select("component_id", "segment_count", "objective", "bound", F.when(F.col("certified"), 0.0).otherwise(F.col("gap")).alias("gap"), "certified")
+    return _round(rows, 4, "objective", "bound", "gap")  # a certified gap is within the tolerance
+
+
+def packing_bound_strict(spark, sf_dir):
+    rows = strict(spark, sf_dir).bounds.select("component_id", "segment_count", "objective", "bound", "certified")
+    return _round(rows, 4, "objective", "bound")
+
+
 def final_ranked(spark, sf_dir):
     return _round(analysis(spark, sf_dir).final.select("rank", "segment_key", "component_id", "anomaly_score"), 6, "anomaly_score")
 
@@ -205,9 +227,9 @@ def dag_edges(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     of = (
-        complete_windows, top_n_bucket, cube_mart, ratio_metrics, share_of_total, segment_keys, parse_segment_key, week_grid, missing_zero_report, robust_z, lifecycle_state, metric_wow, materiality,
-        initial_filter, top_movers, atomic_coverage, coverage_by_keys, reconciliation, descendants, conflict_pairs, components, component_stats, final_ranked, dag_edges, structure_changes,
-        hierarchy_adjust_strict, set_packing_selected_strict, component_stats_strict, final_ranked_strict, decision_log_strict, history_selected_strict, analysis_sheet_strict, manager_summary_strict,
+        complete_windows, top_n_bucket, cube_mart, mart_periods, top_brands_by_period, ratio_metrics, share_of_total, segment_keys, parse_segment_key, week_grid, missing_zero_report, robust_z, lifecycle_state, metric_wow, materiality,
+        initial_filter, top_movers, atomic_coverage, coverage_by_keys, reconciliation, descendants, conflict_pairs, components, component_stats, packing_bound, final_ranked, dag_edges, structure_changes,
+        hierarchy_adjust_strict, set_packing_selected_strict, component_stats_strict, packing_bound_strict, final_ranked_strict, decision_log_strict, history_selected_strict, analysis_sheet_strict, manager_summary_strict,
         control_table_strict,
     )
     return {f.__name__: f for f in of}

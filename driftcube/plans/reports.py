@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftcube.config import AnomalyThresholds
 from driftcube.functions.keys import key_parts
 from driftcube.operators.panel import totals
+from driftcube.operators.ranks import with_rank
 
 #: Order of the lifecycle states in the report of structure changes.
 STATES = ("new", "resumed", "vanished")
@@ -61,8 +62,9 @@ def structure_changes(candidates: DataFrame) -> DataFrame:
     """Segments that are new, resumed or vanished, largest change first within each state."""
     place = F.when(F.col("state") == STATES[0], 0).when(F.col("state") == STATES[1], 1).otherwise(2)
     rows = candidates.where(F.col("state").isin(*STATES) & (F.col("slice_depth") > 0))
-    order = Window.orderBy(place, F.abs("wow_delta_gmv").desc(), F.col("slice_depth").desc(), "segment_key")
-    return rows.select(F.row_number().over(order).alias("row_no"), "state", "segment_id", "segment_key", "slice_depth", "wow_delta_gmv", "robust_z")
+    rows = rows.select("state", "segment_id", "segment_key", "slice_depth", "wow_delta_gmv", "robust_z")
+    rows = with_rank(rows, [place, F.abs("wow_delta_gmv").desc(), F.col("slice_depth").desc(), F.col("segment_key")], "row_no")
+    return rows.select(F.col("row_no").cast("int").alias("row_no"), *rows.columns[:-1])
 
 
 def money(value: Column) -> Column:
