@@ -23,6 +23,8 @@ from driftcube.llm.common import stage, text_of, with_running_sum
 SHARDS, ROUNDS, SEED = 40, 8, 7
 #: Least number of ranges of a hash, into which the rows of one text or shard are dealt to be numbered; there are eight a shuffle partition.
 RANGES = 256
+#: What a row is dealt by.
+_OWN = ("doc_id", "size", "crc", "salt")
 
 
 def _range(*columns: str) -> Column:
@@ -79,7 +81,8 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     size is the text's UTF-8 bytes plus 16.  Null texts count as empty, and all
     empty texts are linked; long texts are read whole.  Repeated rows and rows
     that share an id or have none are documents of their own, numbered among
-    themselves in any order, as they are alike.  Ties between shards go by a
+    themselves in any order, as they are alike; rows without an id are dealt
+    apart, so that many of them are no single task's.  Ties between shards go by a
     hash of text and shard.  slot numbers the rows of a shard from 0 without
     gaps.  Other columns are left out; an empty table gives an empty result;
     with fewer rows than shards some shards are empty.  :func:`cut_links` tells
@@ -92,7 +95,9 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
         F.crc32(body.cast("binary")).alias("crc"),
         F.xxhash64(body).alias("key"),
     )
-    rows = stage(rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED)), F.lit(shards)).cast("int")), "rows")
+    lost = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(0)  # rows without an id have one another, for as long as they are staged
+    rows = rows.withColumn("salt", lost)
+    rows = stage(rows.withColumn("shard", F.pmod(F.xxhash64(*_OWN, F.lit(SEED)), F.lit(shards)).cast("int")), "rows")
     total = rows.count()
     quota = [total // shards + (b < total % shards) for b in range(shards)]
 
@@ -115,22 +120,22 @@ def assign(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards:
     places = kept.withColumn("upto", upto).groupBy("key", "crc").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("places"))
     linked = rows.join(places.select("key", "crc"), ["key", "crc"], "left_semi")
     linked = stage(linked, "linked")
-    parts = linked.withColumn("b", _range("doc_id", "size")).groupBy("key", "crc", "b").agg(F.count("*").alias("w"))
+    parts = linked.withColumn("b", _range(*_OWN)).groupBy("key", "crc", "b").agg(F.count("*").alias("w"))
     before = F.sum("w").over(Window.partitionBy("key", "crc").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.withColumn("before", F.coalesce(before, F.lit(0))).drop("w").join(places, ["key", "crc"])
     inner = F.row_number().over(Window.partitionBy("key", "crc", "b").orderBy("doc_id")) - 1
-    ranged = linked.drop("shard").withColumn("b", _range("doc_id", "size")).repartition("key", "crc", "b")  # else the rows of a text go to one task
+    ranged = linked.drop("shard").withColumn("b", _range(*_OWN)).repartition("key", "crc", "b")  # else the rows of a text go to one task
     numbered = ranged.withColumn("inner", inner).join(parts, ["key", "crc", "b"])
     place = F.filter("places", lambda p: p["upto"] > F.col("before") + F.col("inner"))
-    placed = numbered.withColumn("shard", F.try_element_at(place, F.lit(1))["shard"]).select("doc_id", "size", "crc", "shard")
-    single = rows.join(places.select("key", "crc"), ["key", "crc"], "left_anti").select("doc_id", "size", "crc", F.lit(None).cast("int").alias("shard"))
+    placed = numbered.withColumn("shard", F.try_element_at(place, F.lit(1))["shard"]).select(*_OWN, "shard")
+    single = rows.join(places.select("key", "crc"), ["key", "crc"], "left_anti").select(*_OWN, F.lit(None).cast("int").alias("shard"))
     placed = stage(placed.union(single), "placed")
 
-    free = with_running_sum(placed.where("shard is null").drop("shard"), [], ["doc_id", "size", "crc"], F.lit(1).cast("long"), _range("doc_id", "size"), "at")
+    free = with_running_sum(placed.where("shard is null").drop("shard"), [], [*_OWN], F.lit(1).cast("long"), _range(*_OWN), "at")
     ends = [sum(rest[: b + 1]) for b in range(shards)]
     shard_of = F.aggregate(F.array(*(F.lit(e).cast("long") for e in ends)), F.lit(0), lambda n, e: n + (e <= F.col("at")).cast("int"))
-    full = stage(placed.where("shard is not null").union(free.select("doc_id", "size", "crc", shard_of.alias("shard"))), "assigned")
-    slots = with_running_sum(full, ["shard"], ["doc_id", "size", "crc"], F.lit(1).cast("long"), _range("doc_id", "size"), "slot")
+    full = stage(placed.where("shard is not null").union(free.select(*_OWN, shard_of.alias("shard"))), "assigned")
+    slots = with_running_sum(full, ["shard"], [*_OWN], F.lit(1).cast("long"), _range(*_OWN), "slot")
     return slots.select("doc_id", "size", F.col("crc").alias("text_crc32"), "shard", "slot")
 
 

@@ -195,6 +195,21 @@ def test_sharding_keeps_links(spark):
     assert found["links"] == 2400 * 2399 // 2 and 2_760_000 <= found["cut"] <= 1.01 * 2_760_000
 
 
+def test_sharding_deals_rows_without_ids_apart(spark):
+    lost = spark.range(3000).selectExpr("cast(null as long) as doc_id", "case when id < 1000 then 'same' else concat('u', id) end as text").repartition(6)
+    got = sharding.assign(lost, shards=7)
+    rows_ = got.collect()
+    sizes = Counter(r["shard"] for r in rows_)
+    assert len(rows_) == 3000 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(sorted(r["slot"] for r in rows_ if r["shard"] == b) == list(range(n)) for b, n in sizes.items())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = [r[0] for r in sharding.assign(lost, shards=7).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(parts) < 1500  # not all in the task of their id
+
+
 def components_by_hand(prints):
     parent = {p: p for p in prints}
 
