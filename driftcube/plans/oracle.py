@@ -261,6 +261,8 @@ _QUERIES = {
                round(cap, 6) AS hierarchy_score_cap, round(u, 6) AS hierarchy_unidirectionality, round(dominant_share, 6) AS hierarchy_dominant_share, round(b_max, 6) AS hierarchy_balance_max,
                round(b_eff, 6) AS hierarchy_balance_eff, round(u * least(b_max, b_eff), 6) AS hierarchy_coherence, n_desc::INT AS hierarchy_descendant_count, n_groups AS hierarchy_group_count,
                to_json(ids)::VARCHAR AS hierarchy_best_group_ids, cap_applied AS hierarchy_cap_applied, same_direction AS hierarchy_same_direction FROM nodes""",
+    "hierarchy_groups_strict": """
+        SELECT segment_id, n_desc AS descendant_count, n_groups AS group_count, round(best_score, 6) AS group_score, to_json(ids)::VARCHAR AS group_ids FROM nodes WHERE n_desc > 0""",
     "set_packing_selected_strict": """
         SELECT segment_id, component_id, selected, CASE WHEN selected THEN 'SET_PACKING_SELECTED' ELSE 'SET_PACKING_NOT_SELECTED' END AS set_packing_status, global_status AS set_packing_global_status,
                CASE WHEN selected THEN len(atoms) ELSE 0 END AS selected_atomic_count FROM solved, overall""",

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftcube.config import DIMENSIONS, AnomalyThresholds
 from driftcube.plans import figure
@@ -20,10 +22,25 @@ def highlight_manager_rows_on_anomaly_analysis(columns: Sequence[str], rows: Seq
     return {i for i, r in enumerate(rows) if r[at] is not None}
 
 
+#: Rows of one sheet and of a whole workbook that the driver writes at most, and boxes of a graph; a sheet of the format ends at 1,048,576.
+MOST_ROWS, MOST_IN_ALL, MOST_BOXES = 1_048_575, 2_000_000, 5_000
+
+
+def _held(sheets: dict[str, DataFrame], most: int, in_all: int) -> None:
+    """An error for tables that are too large for the driver; they are counted by one job, before any row of them is collected."""
+    counts = reduce(DataFrame.unionAll, (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in sheets.items()))
+    found = {r["name"]: r["n"] for r in counts.collect()}
+    large = {name: n for name, n in found.items() if n > most}
+    if large or sum(found.values()) > in_all:
+        raise ValueError(f"too many rows for the driver, {large or found}; write_tables writes them as Parquet")
+
+
 def write_report(analysis: Analysis, path: str | Path) -> None:
-    """The nine sheets as one workbook.  They list segments that passed thresholds and summaries, so they fit the driver."""
+    """The nine sheets as one workbook; an error, before anything is collected, where they do not fit a sheet or the driver."""
+    tables = analysis.sheets()
+    _held(tables, MOST_ROWS, MOST_IN_ALL)
     sheets, marked = {}, {}
-    for name, df in analysis.sheets().items():
+    for name, df in tables.items():
         rows = [list(r) for r in df.collect()]
         sheets[name] = df.columns, rows
         if name == "analysis":
@@ -38,8 +55,10 @@ def write_tables(analysis: Analysis, folder: str) -> None:
 
 
 def write_tree(analysis: Analysis, path: str | Path) -> Path:
-    """The graph of the segments above the thresholds."""
-    rows = [r.asDict() for r in analysis.sheets()["analysis"].collect()]  # segments that passed the thresholds
+    """The graph of the segments above the thresholds; more than a graph can show are an error."""
+    shown = analysis.sheets()["analysis"]
+    _held({"analysis": shown}, MOST_BOXES, MOST_BOXES)
+    rows = [r.asDict() for r in shown.collect()]
     return figure.write(path, _boxes(rows))
 
 

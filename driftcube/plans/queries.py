@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftcube.config import AnomalyThresholds
 from driftcube.functions import keys
 from driftcube.operators import coverage as cov
-from driftcube.operators import mart, packing, panel
+from driftcube.operators import groups, mart, packing, panel
 from driftcube.plans import reports
 from driftcube.plans.engine import Analysis
 from driftcube.storage import stage
@@ -166,6 +166,12 @@ def hierarchy_adjust_strict(spark, sf_dir):
     return _round(rows, 6, *names)
 
 
+def hierarchy_groups_strict(spark, sf_dir):
+    a = strict(spark, sf_dir)
+    rows = groups.disjoint_groups(a.eligible, a.solved, a.thresholds.max_hierarchy_descendants)
+    return _round(rows.withColumn("group_ids", F.to_json("group_ids")), 6, "group_score")
+
+
 def set_packing_selected_strict(spark, sf_dir):
     return strict(spark, sf_dir).diagnosed.where("is_eligible").select("segment_id", "component_id", "selected", "set_packing_status", "set_packing_global_status", "selected_atomic_count")
 
@@ -229,7 +235,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     of = (
         complete_windows, top_n_bucket, cube_mart, mart_periods, top_brands_by_period, ratio_metrics, share_of_total, segment_keys, parse_segment_key, week_grid, missing_zero_report, robust_z, lifecycle_state, metric_wow, materiality,
         initial_filter, top_movers, atomic_coverage, coverage_by_keys, reconciliation, descendants, conflict_pairs, components, component_stats, packing_bound, final_ranked, dag_edges, structure_changes,
-        hierarchy_adjust_strict, set_packing_selected_strict, component_stats_strict, packing_bound_strict, final_ranked_strict, decision_log_strict, history_selected_strict, analysis_sheet_strict, manager_summary_strict,
+        hierarchy_adjust_strict, hierarchy_groups_strict, set_packing_selected_strict, component_stats_strict, packing_bound_strict, final_ranked_strict, decision_log_strict, history_selected_strict, analysis_sheet_strict, manager_summary_strict,
         control_table_strict,
     )
     return {f.__name__: f for f in of}

@@ -223,3 +223,42 @@ def test_descendants_by_rarest_atom(spark):
     got = [tuple(r) for r in cov.descendants(eligible).collect()]
     assert set(got) == want and len(got) == len(want)
     assert cov.descendants(eligible.limit(0)).count() == 0
+
+
+def test_groups_by_recursion(spark):
+    """Groups of a parent against the search and against all subsets, and the guards."""
+    from driftcube.operators import groups, solver
+
+    draw = random.Random(12)
+    covers = {"p": (1, {f"a{i}" for i in range(7)})} | {f"c{i}": (2, {f"a{draw.randrange(7)}" for _ in range(draw.randint(1, 3))}) for i in range(9)}
+    scores = {s: float(draw.randint(1, 5)) for s in covers}  # with ties
+    eligible = spark.createDataFrame([(s, f"k{s}", d, a) for s, (d, atoms) in covers.items() for a in atoms], "segment_id string, segment_key string, slice_depth int, atom_id string")
+    given = spark.createDataFrame(list(scores.items()), "segment_id string, anomaly_score double")
+    found = groups.disjoint_groups(eligible, given).collect()
+    assert [r["segment_id"] for r in found] == ["p"]
+    children = sorted(c for c in covers if c != "p")
+    sets = [()]
+    for c in children:
+        sets += [(*s, c) for s in sets if not any(covers[c][1] & covers[x][1] for x in s)]
+    best = min(sets[1:], key=lambda s: (-sum(scores[x] for x in s), len(s), s))
+    r = found[0]
+    assert (r["descendant_count"], r["group_count"], r["group_score"], r["group_ids"]) == (9, len(sets) - 1, sum(scores[x] for x in best), list(best))
+    bits = [sum(1 << int(a[1:]) for a in covers[c][1]) for c in children]
+    assert solver.count_disjoint(bits) == r["group_count"]
+    with pytest.raises(ValueError, match="exceed max_hierarchy_descendants=8"):
+        groups.disjoint_groups(eligible, given, 8)
+    with pytest.raises(Exception, match="RECURSION_ROW_LIMIT"):
+        groups.disjoint_groups(eligible, given, most_rows=10)
+    assert groups.disjoint_groups(eligible.limit(0), given).count() == 0
+
+
+def test_reports_that_do_not_fit_are_refused(spark, tmp_path, monkeypatch):
+    from driftcube.plans import pipeline, queries
+
+    a = queries.analysis(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(pipeline, "MOST_ROWS", 20)
+    monkeypatch.setattr(pipeline, "MOST_BOXES", 20)
+    for write, name in ((pipeline.write_report, "r.xlsx"), (pipeline.write_tree, "t.svg")):
+        with pytest.raises(ValueError, match="write_tables"):
+            write(a, tmp_path / name)
+        assert not (tmp_path / name).exists()
