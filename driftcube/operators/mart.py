@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from itertools import product
 
@@ -129,25 +130,55 @@ def bucketed(rows: DataFrame, top: int = TOP) -> DataFrame:
 
 #: Values of the dimensions up to which they are numbered by the driver and broadcast; beyond it they are ranked and joined by shuffles.
 BROADCAST_VALUES = 100_000
+#: Values of one dimension up to which they stand in the plan as a list, which needs no join.
+LITERAL_VALUES = 64
 #: What is counted apart, and of what.
 DISTINCT = {"tx": "order_id", "au": "user_id", "am": "merchant_id"}
 
 
-def _codes(sums: DataFrame, dims: tuple[str, ...]) -> dict[str, tuple[DataFrame, int]]:
-    """For each dimension (value, code from 1), a null one included, and how many there are."""
-    listed = sums.select(F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(d).cast("string").alias("value")) for i, d in enumerate(dims)))).alias("x")).select("x.*").distinct()
+@dataclass
+class _Codes:
+    """The codes of a dimension, from 1: a literal list of few values, else a table (value, code)."""
+
+    column: str
+    n: int
+    values: list | None = None
+    table: DataFrame | None = None
+
+    def coded(self, df: DataFrame) -> DataFrame:
+        """``df`` with the code of its column as ``c_`` and the name."""
+        if self.values is not None:
+            known = [v for v in self.values if v is not None]
+            code = F.array_position(F.array(*map(F.lit, known)).cast("array<string>"), F.col(self.column).cast("string")) + (len(self.values) - len(known))
+            return df.withColumn(f"c_{self.column}", F.when(F.col(self.column).isNull(), 1).otherwise(code).cast("long"))
+        table = self.table.select(F.col("value").alias("__value"), F.col("code").alias(f"c_{self.column}"))
+        return df.join(table, F.col(self.column).eqNullSafe(F.col("__value"))).drop("__value")
+
+    def named(self, df: DataFrame, code: Column) -> DataFrame:
+        """``df`` with the value of a code as the column; null for code 0."""
+        if self.values is not None:
+            return df.withColumn(self.column, F.get(F.array(*map(F.lit, self.values)).cast("array<string>"), (code - 1).cast("int")))
+        return df.join(self.table.select(F.col("value").alias(self.column), F.col("code").alias("__code")), code == F.col("__code"), "left").drop("__code")
+
+
+def _codes(sums: DataFrame, columns: tuple[str, ...]) -> dict[str, _Codes]:
+    """The codes of the values of each column, a null one's first."""
+    listed = sums.select(F.explode(F.array(*(F.struct(F.lit(i).alias("dim"), F.col(c).cast("string").alias("value")) for i, c in enumerate(columns)))).alias("x")).select("x.*").distinct()
     found = sorted(listed.limit(BROADCAST_VALUES + 1).collect(), key=lambda r: (r["dim"], r["value"] is not None, r["value"]))  # bounded
     out = {}
     if len(found) <= BROADCAST_VALUES:
-        for i, d in enumerate(dims):
+        for i, c in enumerate(columns):
             values = [r["value"] for r in found if r["dim"] == i]
-            out[d] = F.broadcast(sums.sparkSession.createDataFrame([(v, c) for c, v in enumerate(values, 1)], "value string, code long")), len(values)
+            if len(values) <= LITERAL_VALUES:
+                out[c] = _Codes(c, len(values), values=values)
+            else:
+                out[c] = _Codes(c, len(values), table=F.broadcast(sums.sparkSession.createDataFrame([(v, n) for n, v in enumerate(values, 1)], "value string, code long")))
         return out
     ranked = stage(with_rank(listed, [F.col("dim"), F.col("value")], "no"), "codes")
-    firsts = {r["dim"]: (r["first"], r["n"]) for r in ranked.groupBy("dim").agg(F.min("no").alias("first"), F.count("*").alias("n")).collect()}  # a row a dimension
-    for i, d in enumerate(dims):
-        first, n = firsts[i]
-        out[d] = ranked.where(F.col("dim") == i).select("value", (F.col("no") - first + 1).cast("long").alias("code")), n
+    firsts = {r["dim"]: (r["first"], r["n"]) for r in ranked.groupBy("dim").agg(F.min("no").alias("first"), F.count("*").alias("n")).collect()}  # a row a column
+    for i, c in enumerate(columns):
+        first, n = firsts.get(i, (1, 0))
+        out[c] = _Codes(c, n, table=ranked.where(F.col("dim") == i).select("value", (F.col("no") - first + 1).cast("long").alias("code")))
     return out
 
 
@@ -167,14 +198,14 @@ def cube(rows: DataFrame, period: str = "13W", dims: tuple[str, ...] = DIMENSION
     sums = stage(rows.groupBy("window", *dims).agg(F.sum("amount").alias("amount")), "amounts")
     lists, strides, stride = _codes(sums, ("window", *dims)), {}, 1
     for d in dims:
-        strides[d] = stride, lists[d][1] + 1
-        stride *= lists[d][1] + 1
+        strides[d] = stride, lists[d].n + 1
+        stride *= lists[d].n + 1
     if stride >= 1 << 62:
         raise ValueError("the dimensions have too many combinations to be numbered")
 
     def coded(df: DataFrame, *columns: str) -> DataFrame:
-        for d in ("window", *dims):
-            df = df.join(lists[d][0].select(F.col("value").alias(f"v_{d}"), F.col("code").alias(f"c_{d}")), F.col(d).eqNullSafe(F.col(f"v_{d}"))).drop(f"v_{d}")
+        for codes in lists.values():
+            df = codes.coded(df)
         atom = sum((F.col(f"c_{d}") * F.lit(strides[d][0]) for d in dims), F.lit(0).cast("long"))
         return df.select(F.col("c_window").alias("window"), atom.alias("atom"), *columns)
 
@@ -190,11 +221,10 @@ def cube(rows: DataFrame, period: str = "13W", dims: tuple[str, ...] = DIMENSION
     counts = found.groupBy(F.call_function("div", F.col("of"), F.lit(len(DISTINCT))).alias("window"), "combination").agg(*(number(i).alias(name) for i, name in enumerate(DISTINCT)))
     out = totals.join(counts, ["window", "combination"], "left").fillna(0.0, list(DISTINCT))
     for d in dims:
-        low, n = strides[d]
-        named = lists[d][0].select(F.col("value").alias(d), F.col("code").alias("__code"))
-        out = out.join(named, _digit(F.col("combination"), low, n) == F.col("__code"), "left").drop("__code")
-    windows = lists["window"][0].select(F.substring_index("value", "|", 1).alias("period"), F.substring_index("value", "|", -1).cast("long").alias("cal_date"), F.col("code").alias("window"))
-    out = out.join(windows, "window").withColumn("gmv", F.col("amount") / UNIT)
+        out = lists[d].named(out, _digit(F.col("combination"), *strides[d]))
+    out = lists["window"].named(out.withColumnRenamed("window", "__no"), F.col("__no"))
+    place = {"period": F.substring_index("window", "|", 1), "cal_date": F.substring_index("window", "|", -1).cast("long")}
+    out = out.withColumns(place).withColumn("gmv", F.col("amount") / UNIT)
     return with_ratios(out.select("period", "cal_date", depth(dims).alias("slice_depth"), *dims, *ADDITIVE))
 
 

@@ -47,9 +47,10 @@ def by_hand(rows, periods, windows=13, top=5):
     return out
 
 
-@pytest.mark.parametrize("most", [mart.BROADCAST_VALUES, 3])
-def test_mart_of_several_periods(spark, monkeypatch, most):
-    monkeypatch.setattr(mart, "BROADCAST_VALUES", most)  # numbers by the driver, and by ranges of the values
+@pytest.mark.parametrize("most, few", [(mart.BROADCAST_VALUES, mart.LITERAL_VALUES), (mart.BROADCAST_VALUES, 3), (3, 3)])
+def test_mart_of_several_periods(spark, monkeypatch, most, few):
+    monkeypatch.setattr(mart, "BROADCAST_VALUES", most)  # numbers by the driver, in the plan or broadcast, and by ranges of the values
+    monkeypatch.setattr(mart, "LITERAL_VALUES", few)
     rows = sales()
     df = spark.createDataFrame(rows, SALES).repartition(5)
     windowed = mart.complete_windows(df, ["1w", "4W", " 13W", "1W"])
@@ -69,6 +70,17 @@ def test_mart_of_one_period_is_that_of_several(spark):
     assert mart.cube(mart.bucketed(mart.complete_windows(df.limit(0), ["1W", "4W"]))).count() == 0
 
 
+def test_null_values_of_dimensions(spark, monkeypatch):
+    """A null value given to the cube is a value's place of its own, apart from what is rolled up, whichever way it is numbered."""
+    df = spark.createDataFrame([(7, 10_000, 1, 1, 1, None, "p", "m", "x"), (7, 10_000, 2, 1, 1, "a", "p", "m", "x")], "cal_date long, amount long, order_id long, user_id long, merchant_id long, geo string, products string, merchants_type string, is_terminal_or_cpqr string")
+    results = []
+    for few in (64, 0):
+        monkeypatch.setattr(mart, "LITERAL_VALUES", few)
+        results.append(sorted(map(repr, mart.cube(df).collect())))
+        assert len(results[-1]) == 24  # geo null, a or rolled up, times the 8 sets of the others
+    assert results[0] == results[1]
+
+
 def test_sales_are_read_once(spark):
     plan = mart.windowed_sales(spark, "/root/testdata/sf0.001", ["1W", "4W", "13W"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("/lineitem.parquet") == 1 and plan.count("Generate explode") == 1
