@@ -387,7 +387,7 @@ def test_classifier(spark):
 def test_sql(spark, name, folder="/root/testdata/sf0.001"):
     got = queries.queries()[name](spark, folder).toPandas()
     con = duckdb.connect(config={"max_temp_directory_size": "1GB"})
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
     want = con.execute(queries.oracle_sql()[name]).df()
     columns = sorted(want.columns)
