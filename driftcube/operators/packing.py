@@ -151,12 +151,13 @@ REQUIRED = ("segment_id", "segment_key", "slice_depth", "passes_initial_anomaly_
 
 
 def search_anomal(
-    candidates: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds(), coverage: DataFrame | None = None, allow_segment_key_fallback: bool = False
+    candidates: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds(), coverage: DataFrame | None = None, allow_segment_key_fallback: bool = False, certify: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(final, diagnostics, log): the optimal disjoint set for candidates that have their ``anomaly_score``.
 
     Coverage must be given, or taken from the keys on request.  A segment that
     passed the filter without a finite positive score is an error, not a loser.
+    ``certify`` holds the solution to a bound of its own, see :func:`certified`.
     """
     if missing := sorted(set(REQUIRED) - set(candidates.columns)):
         raise ValueError(f"required columns are missing: {missing}")
@@ -176,7 +177,7 @@ def search_anomal(
     source = "SEGMENT_KEY_FALLBACK" if allow_segment_key_fallback else "FACTUAL_ATOMIC_COVERAGE"
     found = stage(diagnostics(rows.drop("anomaly_score"), coverage, solved, thresholds, source), "diagnosed")
     best = stage(final(found), "final")
-    validate(found, coverage, solved, best, thresholds, certified(found, coverage, thresholds))
+    validate(found, coverage, solved, best, thresholds, certified(found, coverage, thresholds) if certify else None)
     return best, found, decision_log(found, coverage)
 
 
