@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from driftcube.storage import release, stage
 
 #: Rounds at most, and rounds in which the gap must fall by a tenth for more to follow.
-ROUNDS, PATIENCE = 80, 10
+ROUNDS, PATIENCE = 40, 6
 
 
 def price_bounds(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-9, rounds: int = ROUNDS) -> DataFrame:
