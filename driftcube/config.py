@@ -29,6 +29,8 @@ class AnomalyThresholds:
     max_manager_facts: int = 10
     #: nodes of the search for one component before it gives up with an error
     max_search_nodes: int = 2_000_000
+    #: segments of a component up to which one task holds it; larger ones are adjusted a parent a task and packed by a frontier
+    max_group_size: int = 1_000
 
     def check(self) -> "AnomalyThresholds":
         rules = {

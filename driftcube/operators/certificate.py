@@ -33,6 +33,17 @@ def price_bounds(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-
     not positive need no price.  Chosen segments that share an atom are an
     error.  No rows give no rows.  The driver sees one count and sum a round.
     """
+    gaps, _, _ = prices_of(packing, coverage, tolerance, rounds)
+    return stage(gaps.select("component_id", "segment_count", "objective", "bound", "gap", "certified"), "bounds")
+
+
+def prices_of(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-9, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(gaps, prices, short) of the round with the lowest sum of gaps, for the arguments of :func:`price_bounds`.
+
+    ``prices`` (component_id, owner, atom_id, score, price) has the atoms of
+    chosen segments, others have no price; ``short`` (component_id, segment_id,
+    short) the segments whose score is above the prices of their atoms.
+    """
     score, chosen = F.col("anomaly_score").cast("double"), F.coalesce("selected", F.lit(False))
     rows = stage(packing.select("component_id", "segment_id", score.alias("score"), chosen.alias("selected")), "packing")
     atoms = coverage.select("segment_id", "atom_id").join(rows, "segment_id")
@@ -43,19 +54,22 @@ def price_bounds(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-
     others = stage(atoms.where("not selected and score > 0").drop("selected"), "others")
     objective = F.coalesce(F.sum(F.when(F.col("selected"), F.col("score"))), F.lit(0.0)).alias("objective")
     sums = stage(rows.groupBy("component_id").agg(F.count("*").alias("segment_count"), objective), "objectives")
-    seen, held = [], None
+    seen, best = [], None
     for n in range(rounds + 1):
         short = stage(_lacking(prices, others), "lacking")
         gaps = _gaps(sums, short, tolerance)
         left = gaps.where("not certified").agg(F.count("*").alias("n"), F.sum("gap").alias("gap")).first()
         seen.append(left["gap"] or 0.0)
-        if held is not None:
-            release(*held)
+        earlier, last = best, (gaps, prices, short)
+        best = last if best is None or seen[-1] <= min(seen) else best
         if not left["n"] or n == rounds or (n >= PATIENCE and min(seen[-PATIENCE:]) > 0.9 * min(seen[:-PATIENCE])):
             break
-        held = prices, short
         prices = stage(_moved(prices, others, short, gaps.where("not certified")), "prices")
-    return stage(gaps.select("component_id", "segment_count", "objective", "bound", "gap", "certified"), "bounds")
+        if earlier not in (None, best):
+            release(*earlier[1:])
+        if last is not best:
+            release(*last[1:])
+    return best
 
 
 def _lacking(prices: DataFrame, others: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from driftcube.config import AnomalyThresholds
 from driftcube.operators import coverage as cov
 from driftcube.operators.certificate import price_bounds
+from driftcube.operators.frontier import pack_frontier
 from driftcube.operators.ranks import with_rank
-from driftcube.operators.solver import UNADJUSTED, Node, adjust_hierarchy, pack
+from driftcube.operators.solver import UNADJUSTED, Node, adjust, adjust_hierarchy, pack
 from driftcube.storage import ship, stage
 
 _log = logging.getLogger(__name__)
@@ -29,6 +30,8 @@ _FIELDS = (
     "score", "factor", "descendants", "groups", "group_ids", "group_keys", "group_score", "uncapped", "capture", "cap", "cap_applied", "same_direction", "dominant",
     "u", "dominant_share", "b_max", "b_eff", "balance", "coherence",
 )
+#: The part of these columns that adjusting sets.
+_ADJUSTED = ", ".join(_SOLVED.split(", ")[: 2 + len(_FIELDS)])
 
 
 def proven(tolerance: float) -> Column:
@@ -41,9 +44,10 @@ def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresho
     """One row for each eligible segment: its adjusted score and whether the optimum holds it.
 
     A descendant shares atoms with its ancestor, so neither step leaves a
-    conflict component.  Components of one segment need no search; the others
-    are solved in parallel, one group each, and their number and the size of
-    the largest are logged before.
+    conflict component.  Components of one segment need no search; those of at
+    most ``max_group_size`` are solved in parallel, one group each, the larger
+    ones by :func:`_spread`.  The components' number and the size of the
+    largest are logged before.
     ``prescored`` takes ``anomaly_score`` as given and only packs.
     """
     thresholds.check()
@@ -60,11 +64,7 @@ def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresho
     _log.info("%s conflict components, %s of one segment, the largest of %s", found["n"], found["alone"], found["largest"])
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        bit = {a: 1 << i for i, a in enumerate(sorted({a for atoms in group["atoms"] for a in atoms}))}
-        nodes = [
-            Node(r.segment_id, r.segment_key, int(r.slice_depth), bool(r.is_atom), float(r.wow_delta_gmv), float(r.base), float(r.gross_atomic), sum(bit[a] for a in r.atoms))
-            for r in group.itertuples()
-        ]
+        nodes = _nodes(group)
         if prescored:
             for n in nodes:
                 n.result.update(UNADJUSTED, group_ids=[], group_keys=[], score=n.base, uncapped=n.base)
@@ -75,8 +75,74 @@ def solve(candidates: DataFrame, coverage: DataFrame, thresholds: AnomalyThresho
         rows = [(n.segment_id, key[0], *(n.result[f] for f in _FIELDS), n.segment_id in p.chosen, *of) for n in nodes]
         return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _SOLVED.split(", ")])
 
-    together = ready.where("members > 1").drop("members").groupBy("component_id").applyInPandas(run, _SOLVED)
-    return stage(_alone(ready.where("members = 1"), prescored).unionByName(together), "solved")
+    most = thresholds.max_group_size
+    together = ready.where((F.col("members") > 1) & (F.col("members") <= most)).drop("members").groupBy("component_id").applyInPandas(run, _SOLVED)
+    parts = _alone(ready.where("members = 1"), prescored).unionByName(together)
+    if (found["largest"] or 0) > max(most, 1):
+        parts = parts.unionByName(_spread(ready.where((F.col("members") > most) & (F.col("members") > 1)), eligible, thresholds, prescored))
+    return stage(parts, "solved")
+
+
+def _nodes(group: pd.DataFrame) -> list[Node]:
+    bit = {a: 1 << i for i, a in enumerate(sorted({a for atoms in group["atoms"] for a in atoms}))}
+    return [
+        Node(r.segment_id, r.segment_key, int(r.slice_depth), bool(r.is_atom), float(r.wow_delta_gmv), float(r.base), float(r.gross_atomic), sum(bit[a] for a in r.atoms))
+        for r in group.itertuples()
+    ]
+
+
+def _spread(ready: DataFrame, eligible: DataFrame, thresholds: AnomalyThresholds, prescored: bool) -> DataFrame:
+    """The solution of components that no task is to hold whole.
+
+    Segments are adjusted depth by depth from the deepest, a task sees one
+    segment and its descendants, whose scores are known by then; the frontier
+    packs what comes of it.
+    """
+    eligible = eligible.join(ready.select("segment_id"), "segment_id", "left_semi")
+    if prescored:
+        plain = {"anomaly_score": F.col("base"), "hierarchy_uncapped_score": F.col("base"), "hierarchy_factor": F.lit(1.0), "hierarchy_cap_applied": F.lit(False)}
+        plain |= {c: F.lit(0) for c in ("hierarchy_descendant_count", "hierarchy_group_count", "hierarchy_best_group_score")} | {c: F.array() for c in ("hierarchy_best_group_ids", "hierarchy_best_group_keys")}
+        names = [c.split(" ") for c in _ADJUSTED.split(", ")]
+        adjusted = ready.select(*((F.col(name) if name in ready.columns else plain.get(name, F.lit(None))).cast(kind).alias(name) for name, kind in names))
+    else:
+        adjusted = _adjusted_by_depth(ready, eligible, thresholds)
+    chosen = pack_frontier(adjusted.join(ready.select("segment_id", "segment_key"), "segment_id"), eligible)
+    rows = adjusted.join(chosen.select("segment_id", "selected"), "segment_id")
+    limits = eligible.join(ready.select("segment_id", "component_id"), "segment_id").groupBy("component_id", "atom_id").count().where("count > 1")
+    limits = limits.groupBy("component_id").agg(F.count("*").cast("int").alias("constraint_count"))
+    total = F.coalesce(F.sum(F.when(F.col("selected"), F.col("anomaly_score"))), F.lit(0.0))
+    sums = rows.groupBy("component_id").agg(total.alias("objective_value"), total.alias("best_bound"), F.count("*").cast("int").alias("variable_count"))
+    same = {"solver_name": F.lit("FRONTIER"), "solver_status": F.lit("OPTIMAL"), "message": F.lit(""), **{c: F.lit(0.0) for c in ("absolute_gap", "relative_gap", "solve_time_sec")}}
+    solved = rows.join(sums, "component_id").join(limits, "component_id").withColumns(same)
+    return solved.select(*(c.split(" ")[0] for c in _SOLVED.split(", ")))
+
+
+def _adjusted_by_depth(ready: DataFrame, eligible: DataFrame, thresholds: AnomalyThresholds) -> DataFrame:
+    """The columns of ``_ADJUSTED`` of every segment, its descendants' scores first."""
+    columns = ["segment_id", "segment_key", "slice_depth", "is_atom", "wow_delta_gmv", "base", "gross_atomic", "atoms", "component_id"]
+    below = stage(cov.descendants(eligible), "below")
+    none = F.lit(None).cast("double").alias("score")
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        nodes = dict(zip(group["segment_id"], _nodes(group)))
+        own = nodes.pop(key[0])
+        for n, score in zip(group["segment_id"], group["score"]):
+            if n != key[0]:
+                nodes[n].result["score"] = float(score)
+        adjust(own, list(nodes.values()), thresholds)
+        return pd.DataFrame([(own.segment_id, group["component_id"].iloc[0], *(own.result[f] for f in _FIELDS))], columns=[c.split(" ")[0] for c in _ADJUSTED.split(", ")])
+
+    done = None
+    for (depth,) in sorted(ready.select("slice_depth").distinct().collect(), reverse=True):  # as many as the cube has dimensions
+        own = ready.where(F.col("slice_depth") == depth).select(*columns)
+        rows = own.select(F.col("segment_id").alias("parent"), *columns, none)
+        if done is not None:
+            scored = ready.select(*columns).join(done.select("segment_id", F.col("anomaly_score").alias("score")), "segment_id").withColumnRenamed("segment_id", "child_id")
+            pairs = below.join(own.select("segment_id"), "segment_id", "left_semi").withColumnRenamed("segment_id", "parent").join(scored, "child_id")
+            rows = rows.union(pairs.select("parent", F.col("child_id").alias("segment_id"), *columns[1:], "score"))
+        found = stage(rows.groupBy("parent").applyInPandas(run, _ADJUSTED), "adjusted")
+        done = found if done is None else done.union(found)
+    return done
 
 
 def _alone(ready: DataFrame, prescored: bool) -> DataFrame:

@@ -199,27 +199,30 @@ UNADJUSTED = {
 def adjust_hierarchy(nodes: list[Node], t: AnomalyThresholds) -> None:
     """Set every node's ``result``: its score adjusted by its best disjoint descendants, deepest first."""
     for p in sorted(nodes, key=lambda n: (-n.depth, n.segment_id)):
-        r = p.result
-        if not math.isfinite(p.base) or not math.isfinite(p.delta) or not p.delta:
-            raise ValueError(f"segment {p.segment_id}: an eligible segment needs a finite base score and a change, not {p.base} and {p.delta}")
-        r.update(UNADJUSTED, group_ids=[], group_keys=[], score=p.base, uncapped=p.base)
-        if p.is_atom:
-            continue
-        below = sorted((n for n in nodes if n.depth > p.depth and n.bits & ~p.bits == 0), key=lambda n: n.segment_id)
-        r["descendants"] = len(below)
-        if not below:
-            continue
-        if len(below) > t.max_hierarchy_descendants:
-            raise ValueError(f"segment {p.segment_id}: {len(below)} eligible descendants exceed max_hierarchy_descendants={t.max_hierarchy_descendants}")
-        bits = [n.bits for n in below]
-        r["groups"] = count_disjoint(bits)
-        group = [below[i] for i in best_disjoint(bits, [n.result["score"] for n in below], [n.segment_id for n in below], t.max_search_nodes)]
-        group.sort(key=lambda n: n.segment_id)
-        r["group_ids"], r["group_keys"], r["group_score"] = [n.segment_id for n in group], [n.segment_key for n in group], sum(n.result["score"] for n in group)
-        if len(group) == 1:
-            _single_child(p, group[0], t)
-        else:
-            _coherence(p, [n.delta for n in group], t)
+        adjust(p, [n for n in nodes if n.depth > p.depth and n.bits & ~p.bits == 0], t)
+
+
+def adjust(p: Node, below: list[Node], t: AnomalyThresholds) -> None:
+    """Set the ``result`` of ``p`` from its descendants, whose results are known."""
+    r = p.result
+    if not math.isfinite(p.base) or not math.isfinite(p.delta) or not p.delta:
+        raise ValueError(f"segment {p.segment_id}: an eligible segment needs a finite base score and a change, not {p.base} and {p.delta}")
+    r.update(UNADJUSTED, group_ids=[], group_keys=[], score=p.base, uncapped=p.base)
+    if p.is_atom or not below:
+        return
+    below = sorted(below, key=lambda n: n.segment_id)
+    r["descendants"] = len(below)
+    if len(below) > t.max_hierarchy_descendants:
+        raise ValueError(f"segment {p.segment_id}: {len(below)} eligible descendants exceed max_hierarchy_descendants={t.max_hierarchy_descendants}")
+    bits = [n.bits for n in below]
+    r["groups"] = count_disjoint(bits)
+    group = [below[i] for i in best_disjoint(bits, [n.result["score"] for n in below], [n.segment_id for n in below], t.max_search_nodes)]
+    group.sort(key=lambda n: n.segment_id)
+    r["group_ids"], r["group_keys"], r["group_score"] = [n.segment_id for n in group], [n.segment_key for n in group], sum(n.result["score"] for n in group)
+    if len(group) == 1:
+        _single_child(p, group[0], t)
+    else:
+        _coherence(p, [n.delta for n in group], t)
 
 
 def _single_child(p: Node, child: Node, t: AnomalyThresholds) -> None:

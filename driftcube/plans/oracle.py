@@ -266,6 +266,7 @@ _QUERIES = {
     "set_packing_selected_strict": """
         SELECT segment_id, component_id, selected, CASE WHEN selected THEN 'SET_PACKING_SELECTED' ELSE 'SET_PACKING_NOT_SELECTED' END AS set_packing_status, global_status AS set_packing_global_status,
                CASE WHEN selected THEN len(atoms) ELSE 0 END AS selected_atomic_count FROM solved, overall""",
+    "packing_frontier_strict": "SELECT component_id, segment_id, selected FROM solved",
     "final_ranked_strict": "SELECT rank::INT AS rank, segment_key, round(score, 6) AS anomaly_score FROM final",
     "decision_log_strict": """
         SELECT 'GLOBAL_OPTIMIZATION_SUMMARY' AS event_type, (SELECT count(*) FROM proof) AS component_count, (SELECT count(*) FROM final) AS selected_count, round((SELECT coalesce(sum(objective_value), 0) FROM proof), 6) AS objective_value,

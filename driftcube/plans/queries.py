@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftcube.config import AnomalyThresholds
 from driftcube.functions import keys
 from driftcube.operators import coverage as cov
-from driftcube.operators import groups, mart, packing, panel
+from driftcube.operators import frontier, groups, mart, packing, panel
 from driftcube.plans import reports
 from driftcube.plans.engine import Analysis
 from driftcube.storage import stage
@@ -186,6 +186,20 @@ def packing_bound_strict(spark, sf_dir):
     return _round(rows, 4, "objective", "bound")
 
 
+def _by_frontier(a):
+    """The packing of every component, none by the search: their adjusted scores and coverage, through the frontier."""
+    rows = a.solved.join(a.candidates.select("segment_id", "segment_key"), "segment_id")
+    return frontier.pack_frontier(rows, a.eligible)
+
+
+def packing_frontier(spark, sf_dir):
+    return _by_frontier(analysis(spark, sf_dir))
+
+
+def packing_frontier_strict(spark, sf_dir):
+    return _by_frontier(strict(spark, sf_dir))
+
+
 def final_ranked(spark, sf_dir):
     return _round(analysis(spark, sf_dir).final.select("rank", "segment_key", "component_id", "anomaly_score"), 6, "anomaly_score")
 
@@ -234,8 +248,8 @@ def dag_edges(spark, sf_dir):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     of = (
         complete_windows, top_n_bucket, cube_mart, mart_periods, top_brands_by_period, ratio_metrics, share_of_total, segment_keys, parse_segment_key, week_grid, missing_zero_report, robust_z, lifecycle_state, metric_wow, materiality,
-        initial_filter, top_movers, atomic_coverage, coverage_by_keys, reconciliation, descendants, conflict_pairs, components, component_stats, packing_bound, final_ranked, dag_edges, structure_changes,
-        hierarchy_adjust_strict, hierarchy_groups_strict, set_packing_selected_strict, component_stats_strict, packing_bound_strict, final_ranked_strict, decision_log_strict, history_selected_strict, analysis_sheet_strict, manager_summary_strict,
+        initial_filter, top_movers, atomic_coverage, coverage_by_keys, reconciliation, descendants, conflict_pairs, components, component_stats, packing_bound, packing_frontier, final_ranked, dag_edges, structure_changes,
+        hierarchy_adjust_strict, hierarchy_groups_strict, set_packing_selected_strict, component_stats_strict, packing_bound_strict, packing_frontier_strict, final_ranked_strict, decision_log_strict, history_selected_strict, analysis_sheet_strict, manager_summary_strict,
         control_table_strict,
     )
     return {f.__name__: f for f in of}
