@@ -69,3 +69,18 @@ def test_analysis_through_the_frontier(spark):
     for s, row in one.items():
         for c, v in row.items():
             assert two[s][c] == (pytest.approx(v) if c in close and v is not None else v), (s, c)
+
+
+def test_given_scores_through_the_frontier(spark):
+    """The packing of given scores agrees with all subsets, and what it reports is accepted by the checks."""
+    given = list(problems(2, 9))
+    cells, coverage = tables(spark, given)
+    rows = cells.selectExpr("segment_id", "segment_key", "1 as slice_depth", "true as passes_initial_anomaly_filter", "anomaly_score", "1.0D as wow_delta_gmv", "1.0D as abs_robust_z", "0.1D as materiality_share", "1.0D as reliability_factor")
+    atoms = coverage.select("atom_id").distinct().selectExpr("atom_id as segment_id", "atom_id as segment_key", "2 as slice_depth", "false", "0.0D", "1.0D", "1.0D", "0.1D", "1.0D")
+    own = coverage.select("atom_id").distinct().selectExpr("atom_id as segment_id", "atom_id")
+    final, diagnosed, _ = packing.search_anomal(rows.union(atoms), replace(packing.AnomalyThresholds(), max_group_size=1), coverage.union(own), certify=True)
+    want = set()
+    for _, covers, scores in given:
+        want |= set(min(disjoint_sets(covers), key=lambda c: (-sum(scores[s] for s in c), len(c), sorted(c))))
+    assert {r["segment_id"] for r in final.collect()} == want
+    assert {r[0] for r in diagnosed.where("is_eligible").select("set_packing_status").distinct().collect()} == {"SET_PACKING_SELECTED", "SET_PACKING_NOT_SELECTED"}
