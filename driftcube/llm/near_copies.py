@@ -1,24 +1,37 @@
-"""Near copies by an exact similarity join over word shingles.
+"""Near copies by SimHash with a byte-position inverted index, and by an exact similarity join what it leaves apart.
 
 Two texts are linked if the Jaccard index of their sets of 5-word shingles is
-0.8 or more; a text of fewer words has one shingle, all of it.  Bits of a
-SimHash don't hold that bound: pairs at 0.8 differ in some 6 to 11 of 64 bits,
-and an index of so many is quadratic.  A prefix filter holds it: under any
-order of all shingles, two sets of that likeness share one of their first
+0.8 or more; a text of fewer words has one shingle, all of it.  Links are
+sought by the SimHash of these sets first.  Its index posts three of the eight
+positional bytes at a time, 56 postings a fingerprint, so fingerprints that
+differ in at most 5 bits always meet.  A posting's members are held against one
+of them, the text with most copies.  The postings in which a pair meets are
+counted: 1, 4, 10, 20, 35 or 56 of them tally 3 to 8 shared bytes.  Pairs that
+share no more than the three of their one posting meet by chance as a rule and
+must be within 14 bits.  What is left is verified on the whole sets, and
+components of the links label the texts.
+
+Fingerprints don't hold the bound of 0.8: pairs there differ in some 6 to 14 of
+64 bits, and an index of so many is quadratic.  So texts of different labels
+are sought by a prefix filter as well, which is exact: under
+any order of all shingles, two sets of that likeness share one of their first
 n - ceil(0.8 n) + 1, at places behind which enough of both sets is left.
 Frequent shingles, as a sample shows them, come last in the order, so postings
 stay short and what only one text has comes first.
 
-A posting emits no pairs within a group of copies.  Its members are held
-against one of them first, the text with most copies; linked ones then have one
-label, and only members of different labels are held against each other.  The
-links found connect exactly the texts that all links connect.  Every pair is
-held against the whole prefixes first, which tell what else the two cannot
-share, and then verified on the whole sets; no posting is cut.
+Its postings emit no pairs within a group of copies either.  Members of
+different labels are held against one text first; linked ones then have one
+label, and only members of labels that still differ are held against each
+other.  The links found connect exactly the texts that all links connect.
+Every pair is held against the whole prefixes first, which tell what else the
+two cannot share, and then verified on the whole sets; no posting is cut.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +39,13 @@ from pyspark.sql import types as T
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from driftcube.llm.common import prepare, release, stage, text_key, text_of, with_columns_mapped
+from driftcube.llm.simhash import majority
 from driftcube.operators.components import components
 
 #: Words of a shingle, seed of its hash, least Jaccard index of a link as a fraction.
 SHINGLE, SEED, PART, WHOLE = 5, 42, 4, 5
+#: Positional bytes of a posting of the SimHash index, and most differing bits of a pair that shares no more bytes than these.
+HELD, NEAR = 3, 14
 #: One text in so many is in the sample that tells frequent shingles, texts of it that a frequent one is in at least, and most of these.
 #: They only order the shingles; links don't depend on them. The sample grows with the input, so what is frequent doesn't.
 SHARE, LEAST, FREQUENT = 4, 4, 1_000_000
@@ -138,26 +154,66 @@ def _verified(pairs: DataFrame, texts: DataFrame, prints: DataFrame) -> DataFram
     return out
 
 
-def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
-    """(a, b): rows of pairs of sets alike that connect all such pairs, from ``prints`` (row, n, prefix, places, text_key, text_sum, copies), a row a set, of ``texts``."""
-    postings = prints.select("row", "n", "copies", F.posexplode("prefix").alias("at", "hash"))
-    crowd = stage(postings.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash"), "crowd")
-    shared = stage(postings.join(_listed(crowd, BROADCAST_SHARED), "hash"), "shared-shingles")
-    centre = shared.groupBy("hash").agg(F.max(F.struct("copies", "row", "n", "at")).alias("c")).select("hash", *(F.col(f"c.{x}").alias(f"{x}_b") for x in ("row", "n", "at")))
-    star = _side(shared, "a").join(centre, "hash").where((F.col("row_a") != F.col("row_b")) & _possible("a", "b"))
-    near = _verified(star.select(F.col("row_b").alias("a"), F.col("row_a").alias("b")).distinct(), texts, prints)
+def met(prints: DataFrame) -> DataFrame:
+    """(a, b, postings, bits): pairs of rows that meet in the SimHash index of ``prints`` (row, n, copies, simhash), in how many postings, and their differing bits.
 
+    Sets of lengths that leave no room for a link don't meet, nor do empty
+    ones.  A row meets the one of most copies in each of its postings, so pairs
+    grow with the rows, whatever a posting holds.
+    """
+    masks = [sum(0xFF << 8 * i for i in held) for held in combinations(range(8), HELD)]
+    masks = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks))
+    postings = prints.where("n > 0").select("row", "n", "copies", "simhash", F.explode(masks).alias("mask"))
+    postings = postings.withColumn("bytes", F.col("simhash").bitwiseAND(F.col("mask")))
+    crowd = stage(postings.groupBy("mask", "bytes").agg(F.count("*").alias("m")).where("m > 1").select("mask", "bytes"), "crowded-bytes")
+    shared = stage(postings.join(_listed(crowd, BROADCAST_SHARED), ["mask", "bytes"]), "shared-bytes")
+    centre = shared.groupBy("mask", "bytes").agg(F.max(F.struct("copies", "row", "n", "simhash")).alias("c"))
+    pairs = shared.join(centre, ["mask", "bytes"]).where((F.col("row") != F.col("c.row")) & (WHOLE * F.least("n", "c.n") >= PART * F.greatest("n", "c.n")))
+    pairs = pairs.select(F.least("row", "c.row").alias("a"), F.greatest("row", "c.row").alias("b"), F.bit_count(F.col("simhash").bitwiseXOR(F.col("c.simhash"))).alias("bits"))
+    out = stage(pairs.groupBy("a", "b").agg(F.count("*").alias("postings"), F.first("bits").alias("bits")), "met")
+    release(crowd, shared)
+    return out
+
+
+def _apart(shared: DataFrame, near: DataFrame) -> DataFrame:
+    """The ``shared`` postings that hold several labels, with the label ``root`` of each row: the smallest that links ``near`` lead to."""
     label = stage(components(near), "labels")
-    labelled = shared.drop("copies").join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    labelled = shared.join(label.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     mixed = labelled.groupBy("hash").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hash")
-    rest = stage(labelled.join(mixed, "hash"), "labelled-shingles")
+    out = stage(labelled.join(mixed, "hash"), "labelled-shingles")
+    release(label)
+    return out
+
+
+def _star(rest: DataFrame) -> DataFrame:
+    """(a, b): each row of the postings ``rest`` with that of most copies, where labels differ."""
+    centre = rest.groupBy("hash").agg(F.max(F.struct("copies", "row", "n", "at", "root")).alias("c"))
+    centre = centre.select("hash", *(F.col(f"c.{x}").alias(f"{x}_b") for x in ("row", "n", "at", "root")))
+    star = _side(rest, "a", "root").join(centre, "hash").where((F.col("root_a") != F.col("root_b")) & _possible("a", "b"))
+    return star.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+
+
+def _cross(rest: DataFrame) -> DataFrame:
+    """(a, b): all pairs of rows of the postings ``rest`` whose labels differ."""
     largest = rest.groupBy("hash", "root").agg(F.count("*").alias("m")).groupBy("hash").agg(F.max(F.struct("m", "root"))["root"].alias("largest"))
     others = rest.join(largest, "hash").where("root != largest")
     cross = _side(others, "a", "root").join(_side(rest, "b", "root"), "hash").where((F.col("root_a") != F.col("root_b")) & _possible("a", "b"))
-    cross = cross.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
-    more = _verified(cross, texts, prints)
-    release(crowd, shared, label, rest)
-    return near.union(more)
+    return cross.select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b")).distinct()
+
+
+def links(texts: DataFrame, prints: DataFrame) -> DataFrame:
+    """(a, b): rows of pairs of sets alike that connect all such pairs, from ``prints`` (row, n, simhash, prefix, places, text_key, text_sum, copies), a row a set, of ``texts``."""
+    tallied = met(prints)
+    near = _verified(tallied.where((F.col("postings") >= comb(HELD + 1, HELD)) | (F.col("bits") <= NEAR)).select("a", "b"), texts, prints)
+    postings = prints.select("row", "n", "copies", F.posexplode("prefix").alias("at", "hash"))
+    crowd = stage(postings.groupBy("hash").agg(F.count("*").alias("m")).where("m > 1").select("hash"), "crowd")
+    shared = stage(postings.join(_listed(crowd, BROADCAST_SHARED), "hash"), "shared-shingles")
+    for pairs in (_star, _cross):  # what the fingerprints leave apart, exactly
+        rest = _apart(shared, near)
+        near = near.union(_verified(pairs(rest), texts, prints))
+        release(rest)
+    release(tallied, crowd, shared)
+    return near
 
 
 def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -178,11 +234,11 @@ def near_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
         def batch(values):
             found = [shingles(t) for t in values]
             heads = [prefix(h, frequent, ranks) for h in found]
-            return [_digest(h) for h in found], [len(h) for h in found], [h for h, _ in heads], [p for _, p in heads]
+            return [_digest(h) for h in found], [len(h) for h in found], [majority(h) for h in found], [h for h, _ in heads], [p for _, p in heads]
 
         return batch
 
-    fields = [T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
+    fields = [T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("simhash", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("places", T.ArrayType(T.IntegerType()))]
     made = with_columns_mapped(rows.withColumns({"text_key": text_key(), "text_sum": _text_sum()}), fields, first, "text", drop=["text"])
     made = stage(made.withColumn("row", F.monotonically_increasing_id()), "shingles")
     copied = stage(made.groupBy("digest").agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copied")

@@ -36,6 +36,15 @@ CAP = 32
 LEAST_SHARED = 8 - RADIUS
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of 64-bit hashes, as a signed long: a bit is 1 if it is set in over half of them; 0 without hashes."""
+    total = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 16):  # in blocks: a long text must not need 64 bytes a shingle at once
+        block = hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def fingerprint(text: str | None) -> int:
     """SimHash over the XXH64 of all 3-word shingles, as a signed long; 0 without words."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z, only ASCII white space
@@ -45,12 +54,7 @@ def fingerprint(text: str | None) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = map(b" ".join, zip(words, words[1:], words[2:]))
-    hashes = np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64)
-    total = np.zeros(64, np.int64)
-    for start in range(0, len(hashes), 1 << 16):  # in blocks: a long text must not need 64 bytes a shingle at once
-        block = hashes[start : start + (1 << 16)].view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+    return majority(np.array([xxh64_intdigest(s, SEED) for s in shingles], np.uint64))
 
 
 def with_simhash(df: DataFrame, text: str = "text") -> DataFrame:
