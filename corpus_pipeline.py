@@ -35,10 +35,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Links come from the SimHash of these shingles by its byte-position index,
     tally and verification; what fingerprints can't tell is sought exactly
-    between components.  Null and empty texts are alike and only each other's copies; long ones are
-    compared whole; rows without an id stay only where no other of their
-    component has one; of rows that repeat an id and a text one stays.  Other
-    columns pass, whatever their names; an empty table gives an empty one.
+    between components.  Null and empty texts are alike and only each other's
+    copies; long ones are compared whole; rows without an id stay only where no
+    other of their component has one; of rows that repeat an id and a text one
+    stays.  Other columns pass, whatever their names; an empty table gives an
+    empty one.
     """
     return simhash.deduplicated(docs, found=near_copies.near_copies(docs))
 
