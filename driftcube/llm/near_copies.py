@@ -11,8 +11,8 @@ share no more than the three of their one posting meet by chance as a rule and
 must be within 14 bits.  What is left is verified on the whole sets, and
 components of the links label the texts.
 
-Fingerprints don't hold the bound of 0.8: pairs there differ in some 6 to 14 of
-64 bits, and an index of so many is quadratic.  So texts of different labels
+Fingerprints don't hold the bound of 0.8: linked pairs of sf0.1 differ in 4 to 14
+of 64 bits, and an index of so many is quadratic.  So texts of different labels
 are sought by a prefix filter as well, which is exact: under
 any order of all shingles, two sets of that likeness share one of their first
 n - ceil(0.8 n) + 1, at places behind which enough of both sets is left.
