@@ -5,39 +5,44 @@ all prices and what segments score above the prices of their atoms.  Here the
 prices are the chosen segments' own scores, each split over its atoms, so the
 bound is the objective and what the other segments lack to be paid for.
 Splits are moved towards the unpaid segments in rounds of joins over the
-coverage: each atom by what the segments over it lack, with the step of
-Polyak's rule for nothing lacking, and projected back so that each split keeps
-its sum.  Where nothing is lacking the optimum is proven; a worse packing is
-never.
+coverage: each atom by what the segments over it lack, with RELAX times the
+step of Polyak's rule for nothing lacking, and projected back so that each split
+keeps its sum.  Where nothing is lacking the optimum is proven; a worse packing
+is never.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftcube.storage import release, stage
 
-#: Rounds at most, and rounds in which the gap must fall by a tenth for more to follow.
-ROUNDS, PATIENCE = 40, 6
+#: Rounds in which the gap must fall by a tenth for more to follow.
+PATIENCE = 6
+#: What Polyak's step is lengthened by; it closes in for any below 2.
+RELAX = 1.5
 
 
-def price_bounds(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-9, rounds: int = ROUNDS) -> DataFrame:
+def price_bounds(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-9, rounds: int | None = None) -> DataFrame:
     """(component_id, segment_count, objective, bound, gap, certified), a row a component.
 
     ``packing`` has component_id, segment_id, anomaly_score and selected, a row
     an eligible segment; ``coverage`` (segment_id, atom_id).  ``certified`` tells
     that the gap is at most ``tolerance``, absolute or of the objective.  The
     bound holds for any packing, also where it certifies nothing: the packing
-    is not the best, no prices prove it, or the rounds ended.  Scores that are
-    not positive need no price.  Chosen segments that share an atom are an
-    error.  No rows give no rows.  The driver sees one count and sum a round.
+    is not the best, or no prices prove it.  Rounds go on while the gap falls, or
+    up to ``rounds``.  Scores that are not positive need no price.  Chosen
+    segments that share an atom are an error.  No rows give no rows.  The driver
+    sees one count and sum a round.
     """
     gaps, _, _ = prices_of(packing, coverage, tolerance, rounds)
     return stage(gaps.select("component_id", "segment_count", "objective", "bound", "gap", "certified"), "bounds")
 
 
-def prices_of(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-9, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prices_of(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-9, rounds: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gaps, prices, short) of the round with the lowest sum of gaps, for the arguments of :func:`price_bounds`.
 
     ``prices`` (component_id, owner, atom_id, score, price) has the atoms of
@@ -55,14 +60,14 @@ def prices_of(packing: DataFrame, coverage: DataFrame, tolerance: float = 1e-9,
     objective = F.coalesce(F.sum(F.when(F.col("selected"), F.col("score"))), F.lit(0.0)).alias("objective")
     sums = stage(rows.groupBy("component_id").agg(F.count("*").alias("segment_count"), objective), "objectives")
     seen, best = [], None
-    for n in range(rounds + 1):
+    for n in count():
         short = stage(_lacking(prices, others), "lacking")
         gaps = _gaps(sums, short, tolerance)
         left = gaps.where("not certified").agg(F.count("*").alias("n"), F.sum("gap").alias("gap")).first()
         seen.append(left["gap"] or 0.0)
         earlier, last = best, (gaps, prices, short)
         best = last if best is None or seen[-1] <= min(seen) else best
-        if not left["n"] or n == rounds or (n >= PATIENCE and min(seen[-PATIENCE:]) > 0.9 * min(seen[:-PATIENCE])):
+        if not left["n"] or n == rounds or (n >= PATIENCE and not min(seen[-PATIENCE:]) < 0.9 * min(seen[:-PATIENCE])):
             break
         prices = stage(_moved(prices, others, short, gaps.where("not certified")), "prices")
         if earlier not in (None, best):
@@ -92,7 +97,7 @@ def _moved(prices: DataFrame, others: DataFrame, short: DataFrame, open_: DataFr
     rows = prices.join(pull, "atom_id", "left").withColumn("pull", F.coalesce("pull", F.lit(0.0)))
     rows = rows.withColumn("way", F.col("pull") - F.avg("pull").over(of_owner))
     lengths = rows.groupBy("component_id").agg(F.sum(F.col("way") * F.col("way")).alias("length")).where("length > 0")
-    steps = open_.join(lengths, "component_id").select("component_id", (F.col("squares") / F.col("length")).alias("step"))
+    steps = open_.join(lengths, "component_id").select("component_id", (RELAX * F.col("squares") / F.col("length")).alias("step"))
     rows = rows.join(steps, "component_id", "left").withColumn("aim", F.col("price") + F.coalesce(F.col("step") * F.col("way"), F.lit(0.0)))
     # the nearest split of the same sum: what the largest are above it goes, from all that stay above 0
     down = of_owner.orderBy(F.col("aim").desc(), "atom_id")

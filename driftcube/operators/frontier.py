@@ -42,6 +42,10 @@ POWERS = (0.0, 0.5, 1.0)
 _STATE = "array<struct<used:array<string>,loss:double,score:double,names:array<string>>>"
 
 
+class NotProven(RuntimeError):
+    """Frontiers of all widths that were tried left some part undecided."""
+
+
 def pack_frontier(segments: DataFrame, coverage: DataFrame, width: int = WIDTH, step: int = STEP) -> DataFrame:
     """(component_id, segment_id, selected) of every row of ``segments``, the best set of disjoint segments of each component.
 
@@ -72,7 +76,7 @@ def pack_frontier(segments: DataFrame, coverage: DataFrame, width: int = WIDTH,
             break
         width *= 4
     else:
-        raise RuntimeError(f"no optimum proven of {problem.select('component_id').distinct().count()} parts with frontiers of {width // 4} states")
+        raise NotProven(f"no optimum proven of {problem.select('component_id').distinct().count()} parts with frontiers of {width // 4} states")
     chosen = found[0]
     for more in found[1:]:
         chosen = chosen.union(more)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from driftcube.config import AnomalyThresholds
 from driftcube.operators import coverage as cov
 from driftcube.operators.certificate import price_bounds
-from driftcube.operators.frontier import pack_frontier
+from driftcube.operators.frontier import NotProven, pack_frontier
 from driftcube.operators.ranks import with_rank
 from driftcube.operators.solver import UNADJUSTED, Node, adjust, adjust_hierarchy, pack
 from driftcube.storage import ship, stage
@@ -299,8 +299,29 @@ def decision_log(diagnosed: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def certified(diagnosed: DataFrame, coverage: DataFrame, thresholds: AnomalyThresholds = AnomalyThresholds()) -> DataFrame:
-    """The bound of each component by prices of atoms, whatever its solver says; see :func:`driftcube.operators.certificate.price_bounds`."""
-    return price_bounds(diagnosed.where("component_id is not null"), coverage, thresholds.set_packing_gap_tolerance)
+    """The bound of each component by prices of atoms, whatever its solver says; see :func:`driftcube.operators.certificate.price_bounds`.
+
+    Prices alone may have no bound as low as the best set.  What they do not
+    prove is packed anew by the frontier, which knows nothing of the solution at
+    hand; the bound is then what it finds, to its TIE.  Where its widths end
+    without a proof the prices' bound stays.
+    """
+    tolerance = thresholds.set_packing_gap_tolerance
+    rows = diagnosed.where("component_id is not null")
+    bounds = price_bounds(rows, coverage, tolerance)
+    left = rows.join(bounds.where("not certified").select("component_id"), "component_id", "left_semi")
+    if left.isEmpty():
+        return bounds
+    try:
+        chosen = pack_frontier(left, coverage).where("selected")
+    except NotProven as stopped:
+        _log.warning("bounds by prices only: %s", stopped)
+        return bounds
+    found = left.select("segment_id", "anomaly_score").join(chosen, "segment_id").groupBy("component_id").agg(F.sum("anomaly_score").alias("best"))
+    every = bounds.join(found, "component_id", "left").withColumn("bound", F.least("bound", F.greatest("objective", F.coalesce("best", F.col("bound")))))
+    every = every.withColumn("gap", F.col("bound") - F.col("objective"))
+    near = F.col("gap") <= tolerance * F.greatest(F.lit(1.0), F.abs("objective"))
+    return stage(every.withColumn("certified", F.col("certified") | near).select(*bounds.columns), "bounds")
 
 
 def _searched_anew(diagnosed: DataFrame, coverage: DataFrame, doubtful: DataFrame, thresholds: AnomalyThresholds) -> float:

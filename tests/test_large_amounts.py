@@ -86,3 +86,12 @@ def test_packing_bound(spark, large):
     rows = queries.packing_bound(spark, large)
     assert listed(rows.collect()) == listed(queries.packing_bound(spark, SF).select(*rows.columns).collect())
     assert rows.where("not certified").count() == 0
+
+
+@pytest.mark.parametrize("name", ["packing_bound_strict"])
+def test_queries_of_large_amounts_against_sql(spark, large, tables, name):
+    got = queries.queries()[name](spark, large)
+    want = tables.execute(oracle.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(names)
+    assert listed(got.select(*names).collect()) == listed(want.fetchall())
