@@ -88,7 +88,7 @@ def test_packing_bound(spark, large):
     assert rows.where("not certified").count() == 0
 
 
-@pytest.mark.parametrize("name", ["packing_bound_strict", "final_ranked_strict", "hierarchy_adjust_strict", "component_stats_strict"])
+@pytest.mark.parametrize("name", ["packing_bound_strict", "final_ranked_strict", "hierarchy_adjust_strict", "component_stats_strict", "decision_log_strict"])
 def test_queries_of_large_amounts_against_sql(spark, large, tables, name):
     got = queries.queries()[name](spark, large)
     want = tables.execute(oracle.oracle_sql()[name])
